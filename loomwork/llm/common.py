@@ -65,3 +65,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting integers is many times faster than the hash table behind ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1]))]
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1])))
+    return values[first], np.diff(first, append=len(values))

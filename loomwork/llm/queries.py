@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, sql, url_templates
-from .common import table
+from . import flac, langid, pieces, sql, toxicity, url_templates
+from .common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -20,6 +20,21 @@ def model_path() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = flac.decode_flac(flac.encode_flac(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = langid.profiles(docs.where(fold("doc_id", 3) != 1))
+    return langid.identify(docs, learned).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "fit")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_texts(table(spark, sf_dir, "documents"), model_path())
     return coded.select(
@@ -32,8 +47,15 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(fold("doc_id", 5) != 0))
+    held_out = (fold("doc_id", 5) == 0).alias("held_out")
+    return toxicity.score(docs, machine).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_pieces, op9_url_templates)}
+    return {f.__name__: f for f in (op4_flac, op5_language, op7_pieces, op9_url_templates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
