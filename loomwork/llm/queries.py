@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, langid, pieces, sql, toxicity, url_templates
+from . import flac, html_layout, langid, mixing, pieces, sql, toxicity, url_templates
 from .common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -20,6 +20,17 @@ def model_path() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def topic_of(text: Column) -> Column:
+    """A topic by form: tables, records with long numbers, licences, or prose."""
+    return F.when(text.contains(" | "), "table").when(text.contains("icense"), "licence").when(text.rlike("[0-9]{4}"), "record").otherwise("prose")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    drawn = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}, share=0.3)
+    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = flac.decode_flac(flac.encode_flac(table(spark, sf_dir, "documents")))
     return read.select(
@@ -43,6 +54,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_layout.extract_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -55,8 +71,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_flac, op5_language, op7_pieces, op9_url_templates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op4_flac, op5_language, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_templates": sql.url_templates()}
+    return {"op1_mixing": sql.mixing(), "op9_url_templates": sql.url_templates()}

@@ -47,3 +47,41 @@ def url_templates(depth: int = 3, max_children: int = 20, z: float = 2.58, alpha
     select page_id, said.host as host, path, rule, coalesce(says, case when purity >= {reject_at}::double then 'block' else 'allow' end) as verdict,
         named.template as template, round(purity, 9) as purity
     from said join named using (host, shape) join scored on scored.host = said.host and scored.template = named.template"""
+
+
+def mixing(share: float = 0.3, alpha: float = 0.5, rounds: int = 25, seed: str = "mix") -> str:
+    dims = ("source", "lang", "topic")
+    goals, steps, last = "", "", "w0"
+    for d in dims:
+        goals += f"""
+    , sums_{d} as (select {d}, sum(n)::double as s from cells group by {d} having sum(n) > 0)
+    , goal_{d} as (select {d}, s ** {alpha}::double / (select sum(s ** {alpha}::double) from sums_{d}) * (select sum(n) from cells) as goal from sums_{d})"""
+    for i in range(rounds):
+        for d in dims:
+            name = f"w{i}_{d}"
+            steps += f"""
+    , {name} as materialized (
+        select {', '.join(dims)}, n, coalesce(w * goal / nullif(sum(w) over (partition by {d}), 0), 0) as w from {last} left join goal_{d} using ({d}))"""
+            last = name
+    return rf"""
+    with keyed as (
+        select doc_id, coalesce(source, '(missing)') as source, coalesce(lang, '(missing)') as lang,
+            case when contains(text, ' | ') then 'table' when contains(text, 'icense') then 'licence'
+                when regexp_matches(text, '[0-9]{{4}}') then 'record' else 'prose' end as topic,
+            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as n_tokens
+        from documents)
+    , cells as materialized (select source, lang, topic, sum(n_tokens)::double as n from keyed group by all){goals}
+    , w0 as (select *, n as w from cells){steps}
+    , ratios as (select *, coalesce(w / nullif(n, 0), 0) as r from {last})
+    , upto as (
+        select *, coalesce(sum(n) over (order by r desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as before,
+            sum(n * r) over (order by r desc, source, lang, topic rows between current row and unbounded following) as rest,
+            row_number() over (order by r desc, source, lang, topic) as k
+        from ratios)
+    , scale as (
+        select coalesce(arg_min(({share}::double * total - before) / rest, k), 'inf'::double) as s
+        from upto, (select sum(n) as total from cells) where rest > 0 and ({share}::double * total - before) / rest * r <= 1)
+    , probs as (select source, lang, topic, r, case when r > 0 then greatest(0, least(1, s * r)) else 0 end as p from upto, scale)
+    select doc_id, source, lang, topic, n_tokens, round(r, 6) as weight, round(p, 6) as prob,
+        ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / {float(16**13)!r}::double < p as sampled
+    from keyed join probs using (source, lang, topic)"""
