@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, html_layout, langid, mixing, ngram_lm, pieces, sql, toxicity, url_templates
+from . import flac, html_layout, langid, mixing, near_vectors, ngram_lm, pieces, sql, toxicity, url_templates
 from .common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tenth = table(spark, sf_dir, "documents"), fold("doc_id", 10)
     part = F.when(tenth == 0, ngram_lm.UNSEEN).when(tenth == 9, ngram_lm.HELD).otherwise(ngram_lm.ESTIMATE)
@@ -78,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_ngram_lm, op4_flac, op5_language, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
