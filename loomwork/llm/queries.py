@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, html_layout, langid, mixing, near_vectors, ngram_lm, pieces, sql, toxicity, url_templates
+from . import flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, toxicity, url_templates
 from .common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -57,6 +57,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learned).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "fit")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_texts(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_texts(table(spark, sf_dir, "documents"), model_path())
     return coded.select(
@@ -82,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
