@@ -110,3 +110,13 @@ def mix(
         F.col("id").alias(id_col), *(F.col(d).alias(n) for d, n in zip(ds, names)), F.col("n").alias("n_tokens"),
         "weight", "prob", (uniform("id", seed) < F.col("prob")).alias("sampled"),
     )
+
+
+def mixed_rows(df: DataFrame, dimensions: dict[str, Column], share: float, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, all their columns, that ``mix`` samples: the cells' probabilities are looked up for each row."""
+    drawn = mix(df, dimensions, share, id_col=id_col, text_col=text_col, **options)
+    names = [f"mix_{i}" for i in range(len(dimensions))]
+    cells = drawn.groupBy(*dimensions).agg(F.max("prob").alias("mix_prob")).toDF(*names, "mix_prob")
+    keyed = df.withColumns({n: F.coalesce(c.cast("string"), F.lit(MISSING)) for n, c in zip(names, dimensions.values())})
+    # a row for each cell, of which there are MOST_CELLS at most
+    return keyed.join(F.broadcast(cells), names).where(uniform(id_col, options.get("seed", "mix")) < F.col("mix_prob")).select(*df.columns)

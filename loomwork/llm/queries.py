@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, toxicity, url_templates
 from .common import fold, table
 
+#: Share of all tokens that mixing draws.
+MIX_SHARE = 0.3
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -25,9 +27,13 @@ def topic_of(text: Column) -> Column:
     return F.when(text.contains(" | "), "table").when(text.contains("icense"), "licence").when(text.rlike("[0-9]{4}"), "record").otherwise("prose")
 
 
+def mix_dimensions() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    drawn = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}, share=0.3)
+    drawn = mixing.mix(docs, mix_dimensions(), share=MIX_SHARE)
     return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), "sampled")
 
 

@@ -163,3 +163,15 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(machine.score(docs, found, batch.num_rows))], [id_col, "score"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def clean_rows(df: DataFrame, machine: Machine, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of ``df``, all their columns, whose score is under ``below``. As ``score``, in one pass without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in text_slices(batches, text_col):
+            docs, found = (none, none) if machine.constant is not None else features_of(batch.column(text_col).to_pylist(), machine.feature)
+            yield batch.filter(pa.array(machine.score(docs, found, batch.num_rows) < below))
+
+    return df.mapInArrow(run, df.schema)
