@@ -44,9 +44,11 @@ def encode_payloads(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def url_components(df: DataFrame, key: str, col: str) -> DataFrame:
     """key, host, path, param, raw, value and ok of every query parameter; null param for a URL without a query."""
-    part = lambda name: F.try_parse_url(F.col(col), F.lit(name))
-    pairs = F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda p: p != "")
-    rows = df.select(key, part("HOST").alias("host"), part("PATH").alias("path"), F.explode_outer(pairs).alias("pair"))
+    # by pattern: a URL parser gives up on the whole URL where one escape is malformed
+    part = lambda pattern: F.regexp_extract(F.coalesce(F.col(col), F.lit("")), pattern, 1)
+    pairs = F.filter(F.split(part(r"^[^?#]*[?]([^#]*)"), "&"), lambda p: p != "")
+    host, path = part(r"://(?:[^/?#@]*@)?([^/?#:]*)"), part(r"://[^/?#]*([^?#]*)")
+    rows = df.select(key, host.alias("host"), path.alias("path"), F.explode_outer(pairs).alias("pair"))
     raw = F.when(F.instr("pair", "=") > 0, F.expr("substring(pair, instr(pair, '=') + 1)")).when(F.col("pair").isNotNull(), "")
     return rows.select(key, "host", "path", F.substring_index("pair", "=", 1).alias("param"), raw.alias("raw")).withColumn("value", js.url_decode(F.col("raw"))).withColumn("ok", F.col("raw").isNull() | F.col("value").isNotNull())
 
