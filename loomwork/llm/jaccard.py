@@ -4,10 +4,15 @@ Shingles have one global order, rare ones first. Two sets that are similar enoug
 n - o + k shingles of each, for every k, where o is the overlap that a set of n needs. Each document picks its own k by the
 estimated cost of its candidates: where its prefix holds frequent shingles, a longer prefix that must match more often.
 
+Most documents are done before any list is made: one with n - o + 1 shingles that no other document has, however the rest
+is ordered, has a prefix without candidates. To count such shingles, tasks send each of their distinct shingles once, packed
+and cut to a few bits more than the number of shingles needs; a collision can only make a shingle look shared.
+
 Groups of near copies would give all pairs of their members. So candidates are met in two ways. First every document of a
 posting list is compared to one leader of the list; what links is one component. Then only lists that still span several
-components are joined with themselves, between components. No pair of documents that are linked stays unconnected, since
-each pair that shares enough of its prefixes is either in one component by then or is compared.
+components are looked at again: short ones are joined with themselves, between components; the sets of long ones are
+compared block by block, which makes no row for a pair. No pair of documents that are linked stays unconnected, since each
+pair that shares enough of its prefixes is either in one component by then or is compared.
 
 The order's frequencies come from a summary of bounded size, in which every shingle with more than a fixed share of all
 occurrences is found (those that a task sees once count as rare). Any order gives the same result.
@@ -15,24 +20,28 @@ occurrences is found (those that a task sees once count as rare). Any order give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import counted, settled, text_slices
-from .components import components
-from .words import mixed, word_hashes
+from .components import components, roots
+from .words import deltas, mixed, planes, undeltas, unplanes, word_hashes
 
 #: Frequent shingles that a task reports, that are kept of all, and the frequency from which one is not rare.
 TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
-#: Largest number of matches that a document asks for, and the cost of verifying a candidate in scanned postings.
-MOST_MATCHES, VERIFY_COST = 4, 8
-#: Rounds of leaders before the lists that are left are joined, and pairs a posting for which that is put off.
-LEADER_ROUNDS, PAIRS_A_POSTING = 4, 4
+#: Largest number of matches that a document asks for; the cost of verifying a candidate in scanned postings; and how many
+#: other holders a rare shingle is expected to have.
+MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
+#: Holders up to which a list is joined with itself, and documents in a block of a longer one.
+SHORT, BLOCK = 64, 512
+#: Shingles a task holds before it sends them, and shingles counted at a time.
+CHUNK, BUCKET = 6_000_000, 1_500_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,41 +75,113 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.concatenate(([0], np.cumsum(new)))[starts]
 
 
-def _surveyed(texts: DataFrame, words: int) -> DataFrame:
-    """kind 0: id, set size n and two fingerprints x, y of the set; kind 1: a shingle x that a task saw more than once and
-    the number n of its texts that have it."""
+def _surveyed(texts: DataFrame, words: int, buckets: int, bits: int) -> DataFrame:
+    """Every row's id, set size n, two fingerprints x, y of the set, and how many of its shingles no other row has."""
+    kept = np.uint64(64 - bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = number = 0
+
+        def rows() -> pa.RecordBatch:
+            ids = [i for part in held for i in part[0].to_pylist()]
+            n, x, y = (np.concatenate([part[j] for part in held]) for j in (1, 2, 3))
+            short = np.concatenate([part[4] for part in held])
+            low = np.uint64(24)  # a chunk's texts fit: bits is at most 40
+            pairs = short << low | np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            pairs.sort()
+            keys, docs = pairs >> low, pairs & ((np.uint64(1) << low) - np.uint64(1))
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), dtype=bool), keys[1:] != keys[:-1])))
+            once = np.diff(first, append=len(keys)) == 1
+            keys = keys[first]
+            # 0: met more than once here, so shared whoever else has it; else the text's place plus 1
+            place = np.where(once, docs[first] + np.uint64(1), 0).astype(np.uint32)
+            cuts = np.searchsorted(keys, np.array([(i << bits) // buckets for i in range(buckets + 1)], dtype=np.uint64))
+            chunk = TaskContext.get().partitionId() << 24 | number
+            head = np.concatenate((n, x.view(np.int64), y.view(np.int64))).tobytes()
+            out = [(b, chunk, len(n), deltas(keys[i:j]), planes(place[i:j]), None, None) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            out.append((number % buckets, chunk, len(n), None, None, head, ids))
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["bucket", "chunk", "texts", "keys", "places", "head", "ids"])
+
+        for batch in text_slices(batches, "text", 2 << 20):
+            h, starts = shingle_sets(batch.column("text"), words)
+            n = np.diff(starts)
+            x, y = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            if len(h):
+                x[n > 0] = np.add.reduceat(h, starts[:-1][n > 0])
+                y[n > 0] = np.bitwise_xor.reduceat(mixed(h + np.uint64(0x2545F4914F6CDD1D)), starts[:-1][n > 0])
+            held.append((batch.column("id"), n, x, y, h >> kept))
+            size += len(h) + len(n)
+            if size > CHUNK:
+                yield rows()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield rows()
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, places, heads = (table.column(c).to_pylist() for c in ("keys", "places", "head"))
+        full = [i for i, k in enumerate(keys) if k is not None]
+        out = []
+        if full:
+            k = [undeltas(keys[i], "<u8") for i in full]
+            size = [len(v) for v in k]
+            k, place = np.concatenate(k), np.concatenate([unplanes(places[i], "<u4") for i in full])
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            alone = np.ones(len(k), dtype=bool)
+            alone[1:] &= k[1:] != k[:-1]
+            alone[:-1] &= k[1:] != k[:-1]
+            unique = np.zeros(len(k), dtype=bool)
+            unique[order] = alone
+            unique &= place > 0
+            ends = np.cumsum(size)
+            for i, a, b in zip(full, ends - size, ends):
+                mine = place[a:b][unique[a:b]].astype(np.int64) - 1
+                n = table.column("texts")[i].as_py()
+                out.append((table.column("chunk")[i].as_py(), planes(np.bincount(mine, minlength=n).astype(np.uint32)), None, None))
+        out += [(table.column("chunk")[i].as_py(), None, heads[i], table.column("ids")[i].as_py()) for i, h in enumerate(heads) if h is not None]
+        return pa.table([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["chunk", "unique", "head", "ids"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        head = next(h for h in table.column("head").to_pylist() if h is not None)
+        ids = next(i for i in table.column("ids").to_pylist() if i is not None)
+        n, x, y = np.frombuffer(head, np.int64).reshape(3, -1)
+        unique = np.zeros(len(n), dtype=np.int64)
+        for u in table.column("unique").to_pylist():
+            if u is not None:
+                unique += unplanes(u, "<u4")
+        return pa.table({"id": pa.array(ids, pa.int64()), "n": n, "x": x, "y": y, "own": unique})
+
+    sent = texts.mapInArrow(send, "bucket int, chunk long, texts int, keys binary, places binary, head binary, ids array<long>")
+    back = sent.groupBy("bucket").applyInArrow(count, "chunk long, unique binary, head binary, ids array<long>")
+    return back.groupBy("chunk").applyInArrow(finish, "id long, n long, x long, y long, own long")
+
+
+def _summary(texts: DataFrame, words: int) -> DataFrame:
+    """Shingles that tasks saw more than once, and how many of the texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
         size = 0
 
-        def summary() -> pa.RecordBatch:
+        def rows() -> pa.RecordBatch:
             keys, counts = counted(np.concatenate(seen))
             top = np.flatnonzero(counts > 1)
             if len(top) > TASK_SUMMARY:
                 top = top[np.argsort(-counts[top], kind="stable")[:TASK_SUMMARY]]
-            return rows(np.ones(len(top), np.int32), pa.nulls(len(top), pa.int64()), counts[top], keys[top].view(np.int64), np.zeros(len(top), np.int64))
-
-        def rows(kind: np.ndarray, ids: pa.Array, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), ids, pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["kind", "id", "n", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], ["token", "n"])
 
         for batch in text_slices(batches, "text", 2 << 20):
-            h, starts = shingle_sets(batch.column("text"), words)
-            n = np.diff(starts)
-            x, y = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(h):
-                x[n > 0] = np.add.reduceat(h, starts[:-1][n > 0])
-                y[n > 0] = np.bitwise_xor.reduceat(mixed(h + np.uint64(0x2545F4914F6CDD1D)), starts[:-1][n > 0])
-            yield rows(np.zeros(len(n), np.int32), batch.column("id"), n, x.view(np.int64), y.view(np.int64))
+            h, _ = shingle_sets(batch.column("text"), words)
             seen.append(h)
             size += len(h)
-            if size > 6_000_000:
-                yield summary()
+            if size > CHUNK:
+                yield rows()
                 seen, size = [], 0
         if size:
-            yield summary()
+            yield rows()
 
-    return texts.mapInArrow(run, "kind int, id long, n long, x long, y long")
+    return texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, times: np.ndarray, words: int, num: int, den: int) -> DataFrame:
@@ -112,23 +193,19 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, times: np.ndarray, words:
         overlap = -(-num * n // den)
         at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
         hit = frequent[at] == own if len(frequent) else np.zeros(n, dtype=bool)
-        rare = own[~hit]
-        first = n - overlap + 1
-        if len(rare) >= first:
-            return 1, rare[:first]
-        common, f = own[hit], times[at[hit]]
+        rare, common, f = own[~hit], own[hit], times[at[hit]]
         order = np.argsort(f, kind="stable")
         common, f = common[order], f[order]
         scanned = np.concatenate(([0], np.cumsum(f - 1)))
         best, cost = 1, None
         for k in range(1, min(MOST_MATCHES, overlap) + 1):
             length = n - overlap + k
-            scan = int(scanned[max(length - len(rare), 0)])
+            scan = RARE_HOLDERS * min(length, len(rare)) + int(scanned[max(length - len(rare), 0)])
             now = length + scan + VERIFY_COST * scan / k
             if cost is None or now < cost:
                 best, cost = k, now
         length = n - overlap + best
-        return best, np.concatenate((rare, common[: length - len(rare)]))
+        return best, np.concatenate((rare[:length], common[: max(length - len(rare), 0)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 << 20):
@@ -187,52 +264,95 @@ def link_texts(
     table gives an empty result; other columns of ``df`` are left out. Shingles are told apart by 64-bit hashes.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    surveyed = settled(_surveyed(texts, words))
-    sets = surveyed.where("kind = 0")
-    top = surveyed.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= NOT_RARE).orderBy(F.col("n").desc(), "x").limit(SUMMARY).collect()
+    about = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 6  # a shingle a word, of six bytes
+    sets = settled(_surveyed(texts, words, max(1, math.ceil(about / BUCKET)), min(40, max(32, math.ceil(math.log2(about + 2)) + 5))))
+    left = sets.where("n > 0 and id is not null").where((F.col("n") - F.col("own")) * den >= F.col("n") * num)
+    classes = left.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    copies = left.join(classes.where("rows > 1"), ["x", "y", "n"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    needed = settled(texts.join(classes.select(F.col("first").alias("id")).distinct(), "id", "left_semi"))
+
+    top = _summary(needed, words).where(F.col("n") >= NOT_RARE).orderBy(F.col("n").desc(), "token").limit(SUMMARY).collect()
     frequent = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(frequent)
     frequent, times = frequent[order], np.array([r[1] for r in top], dtype=np.int64)[order]
-
-    usable = sets.where("n > 0 and id is not null")
-    classes = usable.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    copies = usable.join(classes.where("rows > 1"), ["x", "y", "n"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    firsts = classes.select(F.col("first").alias("id")).distinct()
-
-    # a set whose id is not the first of its class has a first elsewhere; ids with several texts keep all their prefixes
-    prefixed = settled(_prefixes(texts.where("id is not null"), frequent, times, words, num, den).join(firsts, "id", "left_semi"))
+    prefixed = settled(_prefixes(needed, frequent, times, words, num, den))
     postings = prefixed.select("id", "n", "k", "band", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     lists = settled(postings.join(shared, "token").select("token", "id", "n", "k", "band"))
-    needed = settled(texts.join(lists.select("id").distinct(), "id", "left_semi"))
-
-    links = copies
-    known = lists.select("token", "id", "n", "k", "band", F.col("id").alias("component"))
-    tried = df.sparkSession.createDataFrame([], "a long, b long, linked boolean")
-    grouped = None
-    for turn in range(LEADER_ROUNDS + 1):
-        spans = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        open_ = known.join(spans, "token")
-        if turn == 0 or turn < LEADER_ROUNDS and _pairs_left(open_) > PAIRS_A_POSTING * max(lists.count(), 1):
-            pairs = _leader_pairs(open_, turn, num, den)
-        else:
-            pairs = _all_pairs(open_, num, den)
-            turn = LEADER_ROUNDS
-        found = settled(_verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), needed, words, num, den))
-        tried = tried.union(found)
-        links = links.union(found.where("linked").select("a", "b"))
-        grouped = settled(components(links))
-        known = settled(lists.join(grouped, "id", "left").select("token", "id", "n", "k", "band", F.coalesce("component", "id").alias("component")))
-        if turn == LEADER_ROUNDS:
-            break
+
+    found = settled(_verified(_leader_pairs(lists, num, den), needed, words, num, den)).where("linked").select("a", "b")
+    links = copies.union(found)
+    grouped = components(links)
+    known = lists.join(grouped, "id", "left").select("token", "id", "n", "k", F.coalesce("component", "id").alias("component"))
+    known = settled(known)
+    spans = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")).where("low < high").select("token", "holders")
+    open_ = settled(known.join(spans, "token"))
+    short = _verified(_all_pairs(open_.where(F.col("holders") <= SHORT), num, den), needed, words, num, den).where("linked").select("a", "b")
+    long = _compared(open_.where(F.col("holders") > SHORT), needed, words, num, den)
+    more = settled(short.union(long))
+    grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     return sets.join(grouped, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _leader_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Each document of a list with the list's leader among those of about its size, another one in each turn."""
-    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    leaders = lists.groupBy("token", "band").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "k", "component")).alias("leader"))
-    met = lists.join(leaders, ["token", "band"]).where("component <> leader.component")
+def _compared(lists: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components among the documents of each list; enough of them to connect what is linked."""
+    many = F.ceil(F.col("holders") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), many).cast("int")
+    dealt = lists.select("token", "id", "component", many.alias("many"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    blocks = dealt.select("token", "id", "component", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, groups, mine = (np.asarray(table.column(c)) for c in ("id", "component", "mine"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        h, starts = shingle_sets(table.column("text").combine_chunks(), words)
+        n = np.diff(starts)
+        keys, times = counted(h)
+        keys = keys[times > 1]  # a shingle of one document is in no intersection
+        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+        common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        row = np.repeat(np.arange(len(ids)), n)[hit]
+        for s in range(0, len(keys), 4096):
+            part = (at[hit] >= s) & (at[hit] < s + 4096)
+            has = np.zeros((len(ids), min(4096, len(keys) - s)), dtype=np.float32)
+            has[row[part], at[hit][part] - s] = 1
+            common += has @ has.T
+        shared = common.astype(np.int64)
+        linked = den * shared >= num * (n[:, None] + n[None, :] - shared)
+        linked &= (groups[:, None] != groups[None, :]) & (ids[:, None] < ids[None, :]) & (n > 0)[:, None] & (n > 0)[None, :]
+        if low != high:
+            linked &= mine[:, None] != mine[None, :]
+        a, b = np.nonzero(linked)
+        # a forest over the components met here says as much as all links
+        names = np.unique(groups)
+        label = roots(len(names), np.searchsorted(names, groups[a]), np.searchsorted(names, groups[b]))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.table({"a": names[moved], "b": names[label[moved]]})
+
+    joined = blocks.join(texts, "id").select("token", "low", "high", "mine", "id", "component", "text")
+    return joined.groupBy("token", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``df``, all their columns, of the smallest id of each component of ``link_texts``.
+
+    Rows without an id or without words stay. Of several rows with one id, the first in the order of all columns stays.
+    """
+    linked = link_texts(df, id_col, text_col, words, num, den)
+    gone = linked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = df.join(gone, id_col, "left_anti")
+    order = [F.col(c) for c in df.columns if c != id_col]
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
+    # a row without an id is alone, whatever others there are
+    alone, named = kept.where(F.col(id_col).isNull()), kept.where(F.col(id_col).isNotNull())
+    return named.withColumn("row_of_id", first).where("row_of_id = 1").select(*df.columns).union(alone.select(*df.columns))
+
+
+def _leader_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Each document of a list with the list's leader among those of about its size."""
+    leaders = lists.groupBy("token", "band").agg(F.min(F.struct("id", "n", "k")).alias("leader"))
+    met = lists.join(leaders, ["token", "band"]).where("id <> leader.id")
     pairs = met.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"), F.col("n").alias("na"), F.col("leader.n").alias("nb"), F.least("k", "leader.k").alias("k"))
     return pairs.where(_near_sizes(num, den)).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("k").alias("k")).where("matches >= k").select("a", "b")
 
@@ -243,10 +363,3 @@ def _all_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     two = lists.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("component").alias("cb"))
     pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_sizes(num, den))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("matches"), F.min(F.least("ka", "kb")).alias("k")).where("matches >= k").select("a", "b")
-
-
-def _pairs_left(lists: DataFrame) -> int:
-    """How many pairs of postings of different components the lists hold."""
-    by = lists.groupBy("token", "component").count()
-    per = by.groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-    return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()[0])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import distinct, settled
-from .components import components
+from .components import components, roots
 
 #: Vectors (those of smallest hashed id) the trees are fitted on; vectors a leaf should hold; vectors compared at a time.
 SAMPLE, LEAF, BLOCK = 32_768, 256, 1024
@@ -103,19 +103,6 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out / np.linalg.norm(out / np.abs(out).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(out).max(axis=1, keepdims=True)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of ``n`` nodes the smallest node it is linked to through pairs (a, b)."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _route(vectors: DataFrame, forest: Forest, dim: int, blocks: dict[int, int] | None) -> DataFrame:
     """A row for each vector and leaf, or, with the number of ``blocks`` of each leaf, for each pair of blocks it is in.
 
@@ -186,7 +173,7 @@ def _compare(threshold: float, dim: int, width: int):
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
-        root = ids[order][_roots(len(ids), place[a], place[b])][place]
+        root = ids[order][roots(len(ids), place[a], place[b])][place]
         out = np.zeros(len(ids), dtype=bool)
         out[a] = out[b] = True
         return pa.table({"id": ids[out], "links": links[out], "root": root[out]})
