@@ -41,7 +41,7 @@ MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
 #: Holders up to which a list is joined with itself, and documents in a block of a longer one.
 SHORT, BLOCK = 64, 512
 #: Shingles a task holds before it sends them, and shingles counted at a time.
-CHUNK, BUCKET = 6_000_000, 1_500_000
+CHUNK, BUCKET = 2_000_000, 750_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
