@@ -40,6 +40,8 @@ TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
 MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
 #: Holders up to which a list is joined with itself, and documents in a block of a longer one.
 SHORT, BLOCK = 64, 512
+#: Parts in which the copies of one set are dealt out.
+SALTS = 32
 #: Shingles a task holds before it sends them, and shingles counted at a time.
 CHUNK, BUCKET = 2_000_000, 750_000
 
@@ -268,7 +270,10 @@ def link_texts(
     sets = settled(_surveyed(texts, words, max(1, math.ceil(about / BUCKET)), min(40, max(32, math.ceil(math.log2(about + 2)) + 5))))
     left = sets.where("n > 0 and id is not null").where((F.col("n") - F.col("own")) * den >= F.col("n") * num)
     classes = left.groupBy("x", "y", "n").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
-    copies = left.join(classes.where("rows > 1"), ["x", "y", "n"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    # a class may hold a third of all rows, so its copies meet their first under several salts
+    firsts = classes.where("rows > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = salted.join(firsts, ["x", "y", "n", "salt"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     needed = settled(texts.join(classes.select(F.col("first").alias("id")).distinct(), "id", "left_semi"))
 
     top = _summary(needed, words).where(F.col("n") >= NOT_RARE).orderBy(F.col("n").desc(), "token").limit(SUMMARY).collect()
