@@ -15,12 +15,12 @@ def trim(c: Column) -> Column:
 
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units: code points, and one more for each beyond the basic plane."""
-    return F.length(c) + F.length(F.regexp_replace(c, "[^\\x{10000}-\\x{10FFFF}]", ""))
+    return F.length(c) + F.regexp_count(c, F.lit("[\\x{10000}-\\x{10FFFF}]"))
 
 
 def word_count(c: Column) -> Column:
-    text = trim(c)
-    return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(text, f"{SPACE}+")))
+    """Runs of anything but white space, counted without making an array of them."""
+    return F.regexp_count(c, F.lit(f"[^{SPACE[1:-1]}]+"))
 
 
 def lines(c: Column) -> Column:
