@@ -4,10 +4,12 @@ P(w | h) mixes maximum-likelihood estimates of the bigram, the unigram and a uni
 the context h was seen (buckets of powers of two) and are learned by expectation-maximisation on counts that the estimates
 have not seen: a fold of the training texts is held out for that, and then returned to the final counts.
 
-The model's words are the VOCABULARY most frequent ones; the others are one class, <rare>, whose members share its
-probability by their own smoothed counts. A bigram is then 32 bits, exactly, and unigram counts of the words fit a table of
-fixed size in every task. Everything else is counted by shuffles of packed arrays: a task sends one row for each bucket of
-keys, with its keys sorted and delta-coded.
+Every word is a context and a predicted word of its own. The VOCABULARY most frequent ones have classes, so that a bigram
+of two of them is 32 bits, exactly, and their counts fit a table of fixed size in every task. Bigrams with another word are
+dealt by its 64-bit hash to where the word's own count is; for bigrams of two such words the count of the first is fetched
+there before. All of that goes by shuffles of packed arrays: a task sends one row for each bucket of keys, with its keys
+sorted and delta-coded. Only where a caller asks for a vocabulary, the other words are one class, <rare>, whose members
+share its probability by their own smoothed counts.
 
 Pairs of two FREQUENT words, which alone can hold many documents each, are counted after combining in each task and scored
 from a table of fixed size; so no key that is sent document by document has more than 1 / FREQUENT of all tokens.
@@ -29,12 +31,14 @@ from pyspark.sql import types as T
 from .common import counted, settled, text_slices
 from .words import deltas, planes, undeltas, unplanes, word_hashes
 
-#: Classes: 0 starts a text, 1 is any rare word, then the words by frequency, among them the end of a text.
+#: Classes: 0 starts a text, 1 is any word without a class of its own, then the words by frequency, among them the end of a text.
 START, RARE, WORDS = 0, 1, 2
 VOCABULARY, FREQUENT = (1 << 16) - WORDS, 1024
 END = np.uint64(0x1D8E4E27C47D124F)
 #: Parts of a corpus: counts are estimated on the first, weights learned on the second, and neither sees the third.
 ESTIMATE, HELD, UNSEEN = 0, 1, 2
+#: Kinds of packed rows: pairs by which of their words have no class, and counts of words and of words before a bucket's.
+RARE_FIRST, RARE_SECOND, RARE_BOTH, WORD_COUNTS, COUNTS_BEFORE = 3, 4, 5, 6, 7
 BASE_ADD, EM_ROUNDS, KEYS_A_BUCKET, KEYS_A_TASK = 0.1, 15, 1_000_000, 6_000_000
 _ODD, _BACK = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
 
@@ -50,6 +54,7 @@ class Model:
     tokens: int  # in training texts
     distinct: int
     rare_distinct: int
+    whole: bool = False  # words without a class keep their own counts
     weights: np.ndarray | None = None  # for each context bucket: bigram, unigram, uniform
     frequent: np.ndarray | None = None  # counts of pairs of frequent classes
 
@@ -59,6 +64,11 @@ class Model:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.classes[at], RARE)
 
+    @property
+    def outcomes(self) -> int:
+        """What the uniform estimate shares its mass among: all words and one that is not known, or all classes."""
+        return self.distinct + 1 if self.whole else len(self.counts) - 1
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + BASE_ADD) / (self.tokens + BASE_ADD * (self.distinct + 1)))
 
@@ -68,10 +78,12 @@ class Model:
     def bigram(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 P(second class | first class) from the pairs' counts."""
         one, two = keys >> 16, keys & 0xFFFF
-        before = self.contexts[one]
+        return self.mixed(self.contexts[one], self.counts[two], c)
+
+    def mixed(self, before: np.ndarray, word: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log10 P(second | first) from the counts of the first as a context, of the second, and of the pair."""
         w = self.weights[bucket_of(before)]
-        p = w[:, 0] * c / np.maximum(before, 1) + w[:, 1] * self.counts[two] / max(self.tokens, 1) + w[:, 2] / (len(self.counts) - 1)
-        return np.log10(p)
+        return np.log10(w[:, 0] * both / np.maximum(before, 1) + w[:, 1] * word / max(self.tokens, 1) + w[:, 2] / self.outcomes)
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -112,6 +124,21 @@ def _cuts(ascending: np.ndarray, buckets: int) -> list[int]:
     return [0, *np.searchsorted(ascending, edges).tolist(), len(ascending)]
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The number of the range of ``_cuts`` that each 64-bit hash is in."""
+    return np.searchsorted(np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64), h, side="right")
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the columns, the first one first, and where in it a new combination starts."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    return order, new
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of several (keys, counts) and their summed counts."""
     if not parts:
@@ -124,7 +151,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]], kind: str) -> tuple[np.n
 
 
 def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """A row for each word of the training texts: h, estimate and held counts; from packed rows of each task."""
+    """A row for each bucket of words of the training texts: their hashes, estimate and held counts, packed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
@@ -160,15 +187,21 @@ def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
         found = [np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)]
         for p in (0, 1):
             found[p][np.searchsorted(both, keys[p])] = counts[p]
-        return pa.table({"h": both.view(np.int64), "estimate": found[0], "held": found[1]})
+        return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([deltas(both)], pa.binary()), **{c: pa.array([planes(f.astype(np.uint32))], pa.binary()) for c, f in zip(("estimate", "held"), found)}})
 
     packed = texts.where(F.col("part") != UNSEEN).mapInArrow(count, "bucket int, k0 binary, n0 binary, k1 binary, n1 binary")
-    return packed.groupBy("bucket").applyInArrow(merge, "h long, estimate long, held long")
+    return packed.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, estimate binary, held binary")
 
 
-def _vocabulary(texts: DataFrame, buckets: int, size: int) -> tuple[Model, Model]:
+def _vocabulary(packed: DataFrame, size: int, whole: bool) -> tuple[Model, Model]:
     """The final model and the one of the estimates alone, over the same classes."""
-    words = settled(_word_counts(texts, buckets))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, e, h in zip(*(batch.column(c).to_pylist() for c in ("keys", "estimate", "held"))):
+                yield pa.RecordBatch.from_arrays([pa.array(undeltas(k, "<u8").view(np.int64)), *(pa.array(unplanes(x, "<u4").astype(np.int64)) for x in (e, h))], ["h", "estimate", "held"])
+
+    words = packed.mapInArrow(unpack, "h long, estimate long, held long")
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("estimate"), F.lit(0)).alias("e"), F.coalesce(F.sum("held"), F.lit(0)).alias("h")).first()
     top = [tuple(r) for r in words.orderBy((F.col("estimate") + F.col("held")).desc(), "h").limit(size).collect()]
     end = int(END.astype(np.int64))
@@ -186,7 +219,7 @@ def _vocabulary(texts: DataFrame, buckets: int, size: int) -> tuple[Model, Model
         at_end = WORDS + next((i for i, r in enumerate(top) if r[0] == end), 0)
         if top:
             contexts[START], contexts[at_end] = c[at_end], 0
-        models.append(Model(h[order], WORDS + order, c, contexts, tokens, total["v"], total["v"] - len(top)))
+        models.append(Model(h[order], WORDS + order, c, contexts, tokens, total["v"], total["v"] - len(top), whole))
     return models[0], models[1]
 
 
@@ -210,8 +243,11 @@ def _pair_counts(texts: DataFrame, final: Model, estimate: Model, buckets: int)
 
         for batch in text_slices(batches, "text", 2 << 20):
             h, doc, n = _tokens(batch)
-            keys = _spread(_pairs(final.class_of(h), n))
-            part = np.asarray(batch.column("part"))[doc]
+            pairs, part = _pairs(final.class_of(h), n), np.asarray(batch.column("part"))[doc]
+            if final.whole:  # the others are counted by ``_rare_events``
+                known = (pairs >> 16 != RARE) & (pairs & 0xFFFF != RARE)
+                pairs, part = pairs[known], part[known]
+            keys = _spread(pairs)
             for p in (ESTIMATE, HELD):
                 held[p].append(keys[part == p])
             size += len(h)
@@ -251,6 +287,124 @@ def _pair_counts(texts: DataFrame, final: Model, estimate: Model, buckets: int)
     return packed.groupBy("bucket").applyInArrow(merge, "kind int, b binary, f12 binary, f1 binary, n binary")
 
 
+def _rare_facts(texts: DataFrame, words: DataFrame, model: Model, buckets: int) -> DataFrame:
+    """For each bucket the counts of its words (WORD_COUNTS) and those of the words without a class that come before
+    words of the bucket without a class (COUNTS_BEFORE)."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 8 << 20):
+            h, _, n = _tokens(batch)
+            classes = model.class_of(h)
+            both = np.flatnonzero((classes == RARE) & (_pairs(classes, n) >> 16 == RARE))
+            before, to = h[both - 1], _bucket(h[both], buckets)
+            order, new = _groups(before, to)
+            before, to = before[order][new], to[order][new].astype(np.uint32)
+            cuts = _cuts(before, buckets)
+            rows = [(b, deltas(before[i:j]), planes(to[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([COUNTS_BEFORE] * len(rows), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)), pa.array([b""] * len(rows), pa.binary())], ["bucket", "kind", "keys", "docs", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        counts = _known(table, WORD_COUNTS)
+        asked = [(k, d) for kind, k, d in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "docs"))) if kind == COUNTS_BEFORE]
+        h = np.concatenate([np.zeros(0, np.uint64), *(undeltas(k, "<u8") for k, _ in asked)])
+        to = np.concatenate([np.zeros(0, np.uint32), *(unplanes(d, "<u4") for _, d in asked)])
+        order, new = _groups(to, h)
+        h, to = h[order][new], to[order][new]
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(to), 1), dtype=bool), to[1:] != to[:-1])))
+        rows = [(int(to[i]), h[i:j]) for i, j in zip(first, [*first[1:], len(to)])]
+        found = [_looked_up(counts, x) for _, x in rows]
+        return pa.table({
+            "bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([COUNTS_BEFORE] * len(rows), pa.int32()), "keys": pa.array([deltas(r[1]) for r in rows], pa.binary()),
+            **{c: pa.array([planes(f[i].astype(np.uint32)) for f in found], pa.binary()) for i, c in enumerate(("docs", "counts"))},
+        })
+
+    schema = "bucket int, kind int, keys binary, docs binary, counts binary"
+    own = words.select("bucket", F.lit(WORD_COUNTS).alias("kind"), "keys", F.col("estimate").alias("docs"), F.col("held").alias("counts"))
+    before = texts.mapInArrow(ask, schema).union(own).groupBy("bucket").applyInArrow(answer, schema)
+    return own.union(settled(before))
+
+
+def _known(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, estimate and held counts from a bucket's rows of facts of this kind."""
+    rows = [r for r in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "docs", "counts"))) if r[0] == kind]
+    h = np.concatenate([np.zeros(0, np.uint64), *(undeltas(r[1], "<u8") for r in rows)])
+    order = np.argsort(h, kind="stable")
+    return h[order], *(np.concatenate([np.zeros(0, np.uint32), *(unplanes(r[i], "<u4") for r in rows)])[order].astype(np.int64) for i in (2, 3))
+
+
+def _looked_up(known: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimate and held counts of words; 0 where the training texts do not have them."""
+    keys, *counts = known
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return tuple(np.where(keys[at] == h, c[at], 0) for c in counts)
+
+
+def _rare_rows(h: np.ndarray, classes: np.ndarray, n: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
+    """(kind, bucket, keys, others, docs, times) of the pairs with a word that has no class, distinct by document. The key
+    is the second word's hash, or the first's where only that has no class; the other is the other word's hash or class."""
+    before, one = np.concatenate((h[:1], h[:-1])), _pairs(classes, n) >> 16
+    for kind, chosen, keys, others in (
+        (RARE_FIRST, (one == RARE) & (classes != RARE), before, classes), (RARE_SECOND, (one != RARE) & (classes == RARE), h, one), (RARE_BOTH, (one == RARE) & (classes == RARE), h, before),
+    ):
+        keys, others, who = keys[chosen], others[chosen].astype(np.uint64 if kind == RARE_BOTH else np.uint16), docs[chosen].astype(np.uint32)
+        order, new = _groups(keys, others, who)
+        times = np.diff(np.flatnonzero(new), append=len(order)).astype(np.uint32)
+        keys, others, who = keys[order][new], others[order][new], who[order][new]
+        cuts = _cuts(keys, buckets)
+        for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            if j > i:
+                yield kind, b, deltas(keys[i:j]), planes(others[i:j]), planes(who[i:j]), planes(times[i:j])
+
+
+def _rare_counts(kind: int, keys: np.ndarray, others: np.ndarray, words: tuple, before: tuple, final: Model, estimate: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each pair's first word as a context and of its second word, of all training texts or of the estimates."""
+    total = lambda found: found[0] if estimate else found[0] + found[1]
+    model, own = estimate or final, total(_looked_up(words, keys))
+    if kind == RARE_FIRST:
+        return own, model.counts[others]
+    return (model.contexts[others] if kind == RARE_SECOND else total(_looked_up(before, others))), own
+
+
+def _rare_events(texts: DataFrame, final: Model, estimate: Model, facts: DataFrame, buckets: int) -> DataFrame:
+    """Held-out events as of ``_pair_counts``, of the pairs with a word that has no class."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 8 << 20):
+            h, doc, n = _tokens(batch)
+            rows = list(_rare_rows(h, final.class_of(h), n, np.asarray(batch.column("part"))[doc], buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 4, 5, 3))], ["bucket", "kind", "keys", "docs", "counts", "other"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        words, before = _known(table, WORD_COUNTS), _known(table, COUNTS_BEFORE)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "other", "docs", "counts"))))
+        seen, fresh = [], []
+        for kind in (RARE_FIRST, RARE_SECOND, RARE_BOTH):
+            mine = [r for r in rows if r[0] == kind]
+            if not mine:
+                continue
+            keys, others = np.concatenate([undeltas(r[1], "<u8") for r in mine]), np.concatenate([unplanes(r[2], "<u8" if kind == RARE_BOTH else "<u2") for r in mine])
+            part, times = (np.concatenate([unplanes(r[i], "<u4") for r in mine]).astype(np.int64) for i in (3, 4))
+            order, new = _groups(keys, others)
+            which = np.cumsum(new) - 1
+            part, times = part[order], times[order]
+            held = np.bincount(which, times * (part == HELD)).astype(np.int64)
+            events = np.flatnonzero(held)
+            both = np.bincount(which, times * (part == ESTIMATE))[events]
+            one, two = _rare_counts(kind, keys[order][new][events], others[order][new][events], words, before, final, estimate)
+            b, n, has = bucket_of(one), held[events], both > 0
+            seen.append((b[has], (both / np.maximum(one, 1))[has], two[has], n[has]))
+            fresh.append(((b << 48 | two)[~has], n[~has]))
+        b, f12, two, n = (np.concatenate([x[i] for x in seen]) if seen else np.zeros(0) for i in range(4))
+        key, times = _summed(fresh, "<i8")
+        columns = {"b": np.concatenate((b, key >> 48)).astype(np.uint8), "f12": np.concatenate((f12, np.zeros(len(key)))), "f1": np.concatenate((two, key & (1 << 48) - 1)) / max(estimate.tokens, 1), "n": np.concatenate((n, times)).astype(np.int64)}
+        return pa.table({"kind": pa.array([0], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in columns.items()}})
+
+    sent = texts.where(F.col("part") != UNSEEN).mapInArrow(send, "bucket int, kind int, keys binary, docs binary, counts binary, other binary")
+    return sent.unionByName(facts, allowMissingColumns=True).groupBy("bucket").applyInArrow(merge, "kind int, b binary, f12 binary, f1 binary, n binary")
+
+
 def learn_weights(events: DataFrame, classes: int, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Mixture weights of each context bucket by expectation-maximisation; a bucket without events has those of all."""
     buckets = 64
@@ -285,7 +439,7 @@ def learn_weights(events: DataFrame, classes: int, rounds: int = EM_ROUNDS) -> n
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, id_col: str) -> DataFrame:
+def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, id_col: str, facts: DataFrame | None = None) -> DataFrame:
     """Sends each text's keys to where they are counted, their sums back to the slice of texts they came from."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +455,15 @@ def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, i
             pairs = _pairs(classes, n)
             one, two = pairs >> 16, classes
             near = (one < FREQUENT) & (two < FREQUENT)
+            far = ~near
+            if model.whole:
+                known = (one != RARE) & ~rare
+                near, far = near & known, far & known
             score = np.bincount(doc[near], table[one[near], two[near]], minlength=texts_here)
             head = np.concatenate((score, np.bincount(doc[~rare], base[classes[~rare]], minlength=texts_here), np.bincount(doc[~rare], (model.counts[classes[~rare]] > 0).astype(float), minlength=texts_here), n.astype(float)))
             train = np.asarray(batch.column("part")) != UNSEEN
-            out = {"bucket": [number % buckets], "slice": [slice_id], "kind": [2], "keys": [head.tobytes()], "docs": [b""], "counts": [train.tobytes()]}
-            for kind, keys, docs in ((0, _spread(pairs[~near]), doc[~near]), (1, h[rare], doc[rare])):
+            out = {"bucket": [number % buckets], "slice": [slice_id], "kind": [2], "keys": [head.tobytes()], "docs": [b""], "counts": [train.tobytes()], "other": [b""]}
+            for kind, keys, docs in ((0, _spread(pairs[far]), doc[far]), *(() if model.whole else ((1, h[rare], doc[rare]),))):
                 order = np.lexsort((docs, keys))
                 keys, docs = keys[order], docs[order].astype(np.uint32)
                 first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), dtype=bool), (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))))
@@ -314,16 +472,21 @@ def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, i
                 cuts = _cuts(keys, buckets)
                 for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
                     if j > i:
-                        for c, v in (("bucket", b), ("slice", slice_id), ("kind", kind), ("keys", deltas(keys[i:j])), ("docs", planes(docs[i:j])), ("counts", train.tobytes() + planes(times[i:j]))):
+                        for c, v in (("bucket", b), ("slice", slice_id), ("kind", kind), ("keys", deltas(keys[i:j])), ("docs", planes(docs[i:j])), ("counts", train.tobytes() + planes(times[i:j])), ("other", b"")):
                             out[c].append(v)
+            if model.whole:
+                for kind, b, keys, others, docs, times in _rare_rows(h, classes, n, doc, buckets):
+                    for c, v in (("bucket", b), ("slice", slice_id), ("kind", kind), ("keys", keys), ("docs", docs), ("counts", train.tobytes() + times), ("other", others)):
+                        out[c].append(v)
             ids = pa.array([batch.column("id").to_pylist()] + [None] * (len(out["bucket"]) - 1), pa.list_(batch.column("id").type))
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["slice"], pa.int64()), pa.array(out["kind"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "docs", "counts")), pa.array([texts_here] * len(out["bucket"]), pa.int32()), ids], ["bucket", "slice", "kind", "keys", "docs", "counts", "texts", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["slice"], pa.int64()), pa.array(out["kind"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "docs", "counts")), pa.array([texts_here] * len(out["bucket"]), pa.int32()), ids, pa.array(out["other"], pa.binary())], ["bucket", "slice", "kind", "keys", "docs", "counts", "texts", "ids", "other"])
 
     def count(table: pa.Table) -> pa.Table:
         slices, kinds, n_texts = (table.column(c).to_pylist() for c in ("slice", "kind", "texts"))
         keys, docs, counts = (table.column(c) for c in ("keys", "docs", "counts"))
+        words, before = _known(table, WORD_COUNTS), _known(table, COUNTS_BEFORE)
         sums = {}
-        for kind, width in ((0, "<u4"), (1, "<u8")):
+        for kind, width in ((0, "<u4"), (1, "<u8"), (RARE_FIRST, "<u8"), (RARE_SECOND, "<u8"), (RARE_BOTH, "<u8")):
             rows = [i for i, k in enumerate(kinds) if k == kind]
             if not rows:
                 continue
@@ -336,14 +499,21 @@ def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, i
             at = np.cumsum([n_texts[i] for i in rows]) - [n_texts[i] for i in rows]
             d += np.repeat(at, size)
             k = np.concatenate(k)
-            order = np.argsort(k, kind="stable")
+            if kind in (0, 1):
+                order, new = _groups(k)
+            else:
+                others = np.concatenate([unplanes(table.column("other")[i].as_py(), "<u8" if kind == RARE_BOTH else "<u2") for i in rows])
+                order, new = _groups(k, others)
+                others = others[order][new]
             k = k[order]
-            new = np.concatenate((np.ones(min(len(k), 1), dtype=bool), k[1:] != k[:-1]))
             which = np.cumsum(new) - 1
             d, times = d[order], times[order]
             c = np.bincount(which, times * train[d])
             if kind == 0:
                 values = [model.bigram(_gathered(k[new]), c)]
+            elif kind != 1:
+                one, two = _rare_counts(kind, k[new], others, words, before, model, None)
+                values = [model.mixed(one, two, c)] + ([] if kind == RARE_FIRST else [model.base(two), (two > 0).astype(float)])
             else:
                 values = [model.within_rare(c), model.base(c), (c > 0).astype(float)]
             totals = [np.bincount(d, v[which] * times, minlength=len(train)) for v in values]
@@ -367,15 +537,17 @@ def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, i
             "train_tokens": np.full(n, model.tokens, dtype=np.int64), "base_score": total[1], "score": total[0],
         })
 
-    sent_schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "docs", "counts")), T.StructField("texts", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type))])
+    sent_schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "docs", "counts")), T.StructField("texts", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("other", T.BinaryType())])
     back_schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("sums", T.BinaryType()), T.StructField("train", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type))])
     out_schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     sent = texts.mapInArrow(send, sent_schema)
+    if facts is not None:
+        sent = sent.unionByName(facts, allowMissingColumns=True)
     back = sent.groupBy("bucket").applyInArrow(count, back_schema)
     return back.groupBy("slice").applyInArrow(finish, out_schema)
 
 
-def score_texts(df: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def score_texts(df: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, classes: int = VOCABULARY) -> DataFrame:
     """id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` for every row of ``df``.
 
     ``part`` says for each row whether the estimates (ESTIMATE), the weights (HELD) or neither (UNSEEN) learn from it; the
@@ -383,16 +555,20 @@ def score_texts(df: DataFrame, part: Column, id_col: str = "doc_id", text_col: s
     one token. ``base_score`` is the additively smoothed unigram score, ``score`` the model's log10 probability of the
     text, and ``n_known`` counts tokens that the training texts have. Repeated rows and ids count and give a row each. With no
     training rows every token has the uniform probability; an empty table gives an empty result. Other columns of ``df``
-    are left out. Words are told apart by 64-bit hashes.
+    are left out. Words are told apart by 64-bit hashes. The ``classes`` most frequent words have a class, which changes no
+    result; ``vocabulary`` limits the model to that many words and one class of all others.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.cast("int").alias("part"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     guess = max(1, math.ceil(size / 7 / KEYS_A_BUCKET))  # words are about seven bytes; this only sets how finely keys are dealt
-    final, estimate = _vocabulary(texts, guess, vocabulary)
-    pairs = settled(_pair_counts(texts, final, estimate, guess))
-    final.weights = learn_weights(pairs, len(final.counts) - 1)
+    words = settled(_word_counts(texts, guess))
+    final, estimate = _vocabulary(words, vocabulary or classes, vocabulary is None)
+    pairs = _pair_counts(texts, final, estimate, guess)
+    facts = _rare_facts(texts, words, final, guess) if final.whole else None
+    pairs = settled(pairs if facts is None else pairs.union(_rare_events(texts, final, estimate, facts, guess)))
+    final.weights = learn_weights(pairs, final.outcomes)
     final.frequent = np.zeros((FREQUENT, FREQUENT), dtype=np.int64)
     for keys, n in pairs.where("kind = 1").select("f1", "n").collect():
         keys = np.frombuffer(keys, np.int64)
         final.frequent[keys >> 16, keys & 0xFFFF] = np.frombuffer(n, np.int64)
-    return _scored(texts, final, guess, df.schema[id_col].dataType, id_col)
+    return _scored(texts, final, guess, df.schema[id_col].dataType, id_col, facts)

@@ -204,6 +204,65 @@ def test_lm_scores(spark, sf_dir):
     assert len(nothing) == awkward(spark).count() and all(r.n_known == 0 and r.base_score == 0 and np.isfinite(r.score) for r in nothing)
 
 
+@pytest.mark.parametrize("classes", [40, ngram_lm.VOCABULARY])
+def test_lm_keeps_the_counts_of_every_word(spark, sf_dir, monkeypatch, classes):
+    """Words without a class keep their own bigrams, as contexts and as predicted words, over several buckets."""
+    monkeypatch.setattr(ngram_lm, "KEYS_A_BUCKET", 4_000)
+    docs = documents(spark, sf_dir).select("doc_id", "text").union(awkward(spark).where("doc_id is not null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
+    tenth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    part = F.when(tenth == 0, ngram_lm.UNSEEN).when(tenth == 9, ngram_lm.HELD).otherwise(ngram_lm.ESTIMATE)
+    kept = {}
+    real, learn = ngram_lm._scored, ngram_lm.learn_weights
+
+    def spy(texts, model, *rest):
+        kept["model"] = model
+        return real(texts, model, *rest)
+
+    def events(pairs, n):
+        kept["events"] = [tuple(np.frombuffer(v, k) for v, k in zip(r, (np.uint8, float, float, np.int64))) for r in pairs.where("kind = 0").select("b", "f12", "f1", "n").collect()]
+        return learn(pairs, n)
+
+    monkeypatch.setattr(ngram_lm, "_scored", spy)
+    monkeypatch.setattr(ngram_lm, "learn_weights", events)
+    got = ngram_lm.score_texts(docs, part, classes=classes).collect()
+    model, table = kept["model"], [(r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 10, [*words(r.text), "\n"]) for r in docs.collect()]
+    size = lambda n: math.ceil(math.log2(n + 1))
+
+    def counts(folds):
+        uni, pairs, context = collections.Counter(), collections.Counter(), collections.Counter()
+        for _, f, ws in table:
+            if f in folds:
+                uni.update(ws)
+                pairs.update(zip([None, *ws], ws))
+                context.update([None, *ws[:-1]])
+        return uni, pairs, context
+
+    uni, pairs, context = counts(range(1, 9))
+    want = collections.Counter()
+    for (a, b), n in counts([9])[1].items():
+        want[size(context[a]), round(pairs[a, b] / max(context[a], 1), 9), round(uni[b] / sum(uni.values()), 12)] += n
+    have = collections.Counter()
+    for e in kept["events"]:
+        for b, f12, f1, n in zip(*(v.tolist() for v in e)):
+            have[b, round(f12, 9), round(f1, 12)] += n
+    assert have == want
+    uni, pairs, context = counts(range(1, 10))
+    total = sum(uni.values())
+    want, have = collections.defaultdict(list), collections.defaultdict(list)
+    for i, _, ws in table:
+        score = 0.0
+        for a, b in zip([None, *ws], ws):
+            lam = model.weights[size(context[a])]
+            score += math.log10(lam[0] * pairs[a, b] / max(context[a], 1) + lam[1] * uni[b] / total + lam[2] / (len(uni) + 1))
+        want[i].append((len(ws), sum(uni[w] > 0 for w in ws), sum(math.log10((uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))) for w in ws), score))
+    for r in got:
+        have[r.doc_id].append((r.n_tokens, r.n_known, r.base_score, r.score))
+    assert want.keys() == have.keys()
+    for i in want:
+        for a, b in zip(sorted(want[i]), sorted(have[i]), strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+
+
 def test_lm_weights_raise_the_likelihood_of_held_out_counts(spark):
     rng = np.random.default_rng(0)
     b, f12, f1, n = rng.integers(1, 4, 300).astype(np.uint8), rng.random(300) * (rng.random(300) < 0.5), rng.random(300) / 50, rng.integers(1, 9, 300)
