@@ -4,15 +4,16 @@ P(w | h) mixes maximum-likelihood estimates of the bigram, the unigram and a uni
 the context h was seen (buckets of powers of two) and are learned by expectation-maximisation on counts that the estimates
 have not seen: a fold of the training texts is held out for that, and then returned to the final counts.
 
-Every word is a context and a predicted word of its own. The VOCABULARY most frequent ones have classes, so that a bigram
-of two of them is 32 bits, exactly, and their counts fit a table of fixed size in every task. Bigrams with another word are
-dealt by its 64-bit hash to where the word's own count is; for bigrams of two such words the count of the first is fetched
-there before. All of that goes by shuffles of packed arrays: a task sends one row for each bucket of keys, with its keys
-sorted and delta-coded. Only where a caller asks for a vocabulary, the other words are one class, <rare>, whose members
-share its probability by their own smoothed counts.
-
-Pairs of two FREQUENT words, which alone can hold many documents each, are counted after combining in each task and scored
-from a table of fixed size; so no key that is sent document by document has more than 1 / FREQUENT of all tokens.
+Every word of the training texts is a context and a predicted word of its own, with its own counts. The CODED most frequent
+ones have short codes, so that a bigram of two of them is 32 bits, exactly, and their counts fit a table of fixed size in
+every task. Bigrams with another word are dealt by its 64-bit hash to where the word's own count is; for bigrams of two such
+words the count of the first is fetched there before. All of that goes by shuffles of packed arrays: a task sends a row for
+each bucket of keys that it has any of, with its keys sorted and delta-coded, and gets a row back with the sums of just those
+texts that the keys came from. So what is sent grows with the keys, however many buckets there are.
+
+The PAIRS most frequent bigrams, which alone can occur in very many documents each, are counted after combining in each task
+and scored from a table of fixed size. A bigram that is sent document by document has about 1 / PAIRS of all tokens at most,
+or 1 / CODED where one of its words has no code.
 """
 
 from __future__ import annotations
@@ -31,14 +32,17 @@ from pyspark.sql import types as T
 from .common import counted, settled, text_slices
 from .words import deltas, planes, undeltas, unplanes, word_hashes
 
-#: Classes: 0 starts a text, 1 is any word without a class of its own, then the words by frequency, among them the end of a text.
+#: Codes: 0 starts a text, 1 marks a word without a code of its own, then the words by frequency, among them the end of a text.
 START, RARE, WORDS = 0, 1, 2
-VOCABULARY, FREQUENT = (1 << 16) - WORDS, 1024
+CODED, PAIRS = (1 << 16) - WORDS, 1 << 20
 END = np.uint64(0x1D8E4E27C47D124F)
 #: Parts of a corpus: counts are estimated on the first, weights learned on the second, and neither sees the third.
 ESTIMATE, HELD, UNSEEN = 0, 1, 2
-#: Kinds of packed rows: pairs by which of their words have no class, and counts of words and of words before a bucket's.
-RARE_FIRST, RARE_SECOND, RARE_BOTH, WORD_COUNTS, COUNTS_BEFORE = 3, 4, 5, 6, 7
+#: Kinds of packed rows: pairs of coded words, a slice's own sums, pairs by which of their words have no code, and counts of
+#: words and of words before a bucket's.
+BOTH_CODED, HEAD, RARE_FIRST, RARE_SECOND, RARE_BOTH, WORD_COUNTS, COUNTS_BEFORE = 0, 2, 3, 4, 5, 6, 7
+#: Sums travel as whole multiples of 1 / FINE, so that they do not depend on the order in which they are added.
+FINE = 1 << 36
 BASE_ADD, EM_ROUNDS, KEYS_A_BUCKET, KEYS_A_TASK = 0.1, 15, 1_000_000, 6_000_000
 _ODD, _BACK = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
 
@@ -53,10 +57,9 @@ class Model:
     contexts: np.ndarray  # of each class as a context
     tokens: int  # in training texts
     distinct: int
-    rare_distinct: int
-    whole: bool = False  # words without a class keep their own counts
     weights: np.ndarray | None = None  # for each context bucket: bigram, unigram, uniform
-    frequent: np.ndarray | None = None  # counts of pairs of frequent classes
+    frequent: np.ndarray | None = None  # sorted keys of the most frequent pairs of classes
+    times: np.ndarray | None = None  # and how often they occur
 
     def class_of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -66,15 +69,12 @@ class Model:
 
     @property
     def outcomes(self) -> int:
-        """What the uniform estimate shares its mass among: all words and one that is not known, or all classes."""
-        return self.distinct + 1 if self.whole else len(self.counts) - 1
+        """What the uniform estimate shares its mass among: all words and one that is not known."""
+        return self.distinct + 1
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + BASE_ADD) / (self.tokens + BASE_ADD * (self.distinct + 1)))
 
-    def within_rare(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + BASE_ADD) / (self.counts[RARE] + BASE_ADD * (self.rare_distinct + 1)))
-
     def bigram(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 P(second class | first class) from the pairs' counts."""
         one, two = keys >> 16, keys & 0xFFFF
@@ -150,6 +150,14 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]], kind: str) -> tuple[np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _count_rows(keys: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that has any of the keys of the estimates or of the held-out texts."""
+    cuts = [_cuts(k, buckets) for k, _ in keys]
+    used = [b for b in range(buckets) if any(c[b + 1] > c[b] for c in cuts)]
+    packed = [x for (k, n), c in zip(keys, cuts) for x in ([deltas(k[c[b] : c[b + 1]]) for b in used], [planes(n[c[b] : c[b + 1]].astype(np.uint32)) for b in used])]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "k0", "n0", "k1", "n1"])
+
+
 def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
     """A row for each bucket of words of the training texts: their hashes, estimate and held counts, packed."""
 
@@ -159,10 +167,7 @@ def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             keys = [counted(np.concatenate(x)) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for x in held]
-            cuts = [_cuts(k, buckets) for k, _ in keys]
-            cols = [[deltas(k[c[b] : c[b + 1]]) for b in range(buckets)] for (k, _), c in zip(keys, cuts)]
-            nums = [[planes(n[c[b] : c[b + 1]].astype(np.uint32)) for b in range(buckets)] for (_, n), c in zip(keys, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(x, pa.binary()) for x in (cols[0], nums[0], cols[1], nums[1]))], ["bucket", "k0", "n0", "k1", "n1"])
+            return _count_rows(keys, buckets)
 
         for batch in text_slices(batches, "text", 2 << 20):
             h, doc, _ = _tokens(batch)
@@ -193,7 +198,7 @@ def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, estimate binary, held binary")
 
 
-def _vocabulary(packed: DataFrame, size: int, whole: bool) -> tuple[Model, Model]:
+def _vocabulary(packed: DataFrame, size: int) -> tuple[Model, Model]:
     """The final model and the one of the estimates alone, over the same classes."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +224,12 @@ def _vocabulary(packed: DataFrame, size: int, whole: bool) -> tuple[Model, Model
         at_end = WORDS + next((i for i, r in enumerate(top) if r[0] == end), 0)
         if top:
             contexts[START], contexts[at_end] = c[at_end], 0
-        models.append(Model(h[order], WORDS + order, c, contexts, tokens, total["v"], total["v"] - len(top), whole))
+        models.append(Model(h[order], WORDS + order, c, contexts, tokens, total["v"]))
     return models[0], models[1]
 
 
 def _pair_counts(texts: DataFrame, final: Model, estimate: Model, buckets: int) -> DataFrame:
-    """From counts of all pairs of classes, held-out events for the weights (kind 0) and the frequent pairs (kind 1).
+    """From counts of all pairs of coded words, held-out events for the weights (kind 0) and the most frequent pairs (kind 1).
 
     An event is a context bucket, the two estimates f12 and f1, and how often it was held out; events of pairs that the
     estimates have not seen differ only in f1 and are merged.
@@ -236,17 +241,13 @@ def _pair_counts(texts: DataFrame, final: Model, estimate: Model, buckets: int)
 
         def rows() -> pa.RecordBatch:
             keys = [counted(np.concatenate(x)) if x else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for x in held]
-            cuts = [_cuts(k, buckets) for k, _ in keys]
-            cols = [[deltas(k[c[b] : c[b + 1]]) for b in range(buckets)] for (k, _), c in zip(keys, cuts)]
-            nums = [[planes(n[c[b] : c[b + 1]].astype(np.uint32)) for b in range(buckets)] for (_, n), c in zip(keys, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(x, pa.binary()) for x in (cols[0], nums[0], cols[1], nums[1]))], ["bucket", "k0", "n0", "k1", "n1"])
+            return _count_rows(keys, buckets)
 
         for batch in text_slices(batches, "text", 2 << 20):
             h, doc, n = _tokens(batch)
             pairs, part = _pairs(final.class_of(h), n), np.asarray(batch.column("part"))[doc]
-            if final.whole:  # the others are counted by ``_rare_events``
-                known = (pairs >> 16 != RARE) & (pairs & 0xFFFF != RARE)
-                pairs, part = pairs[known], part[known]
+            known = (pairs >> 16 != RARE) & (pairs & 0xFFFF != RARE)  # the others are counted by ``_rare_events``
+            pairs, part = pairs[known], part[known]
             keys = _spread(pairs)
             for p in (ESTIMATE, HELD):
                 held[p].append(keys[part == p])
@@ -276,7 +277,8 @@ def _pair_counts(texts: DataFrame, final: Model, estimate: Model, buckets: int)
         )
         both, total = _summed(got, "<u4")
         keys = _gathered(both)
-        often = ((keys >> 16) < FREQUENT) & ((keys & 0xFFFF) < FREQUENT)
+        # keys are dealt by hash, so each bucket's share of the table is made of its own most frequent ones
+        often = np.lexsort((keys, -total))[: max(1, PAIRS // buckets)]
         none = np.zeros(0).tobytes()
         return pa.table({
             "kind": pa.array([0, 1], pa.int32()), "b": pa.array([events[0].tobytes(), none], pa.binary()), "f12": pa.array([events[1].tobytes(), none], pa.binary()),
@@ -439,136 +441,130 @@ def learn_weights(events: DataFrame, classes: int, rounds: int = EM_ROUNDS) -> n
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, id_col: str, facts: DataFrame | None = None) -> DataFrame:
-    """Sends each text's keys to where they are counted, their sums back to the slice of texts they came from."""
+def _scored(texts: DataFrame, model: Model, buckets: int, id_type: T.DataType, id_col: str, facts: DataFrame) -> DataFrame:
+    """Sends each text's keys to where they are counted, and their sums back to the slice of texts they came from.
+
+    A text is named by twice its place in the slice, and one more if it is a training text."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = model.base(model.counts), min(FREQUENT, len(model.counts))
-        table = np.zeros((FREQUENT, FREQUENT))
-        table[:n, :n] = model.bigram((np.arange(n)[:, None] << 16 | np.arange(n)).ravel(), model.frequent[:n, :n].ravel()).reshape(n, n)
+        base, table = model.base(model.counts), model.bigram(model.frequent, model.times)
         for number, batch in enumerate(text_slices(batches, "text", 8 << 20)):
-            slice_id = TaskContext.get().partitionId() << 32 | number
             h, doc, n = _tokens(batch)
-            texts_here = len(n)
-            classes = model.class_of(h)
-            rare = classes == RARE
-            pairs = _pairs(classes, n)
-            one, two = pairs >> 16, classes
-            near = (one < FREQUENT) & (two < FREQUENT)
-            far = ~near
-            if model.whole:
-                known = (one != RARE) & ~rare
-                near, far = near & known, far & known
-            score = np.bincount(doc[near], table[one[near], two[near]], minlength=texts_here)
-            head = np.concatenate((score, np.bincount(doc[~rare], base[classes[~rare]], minlength=texts_here), np.bincount(doc[~rare], (model.counts[classes[~rare]] > 0).astype(float), minlength=texts_here), n.astype(float)))
-            train = np.asarray(batch.column("part")) != UNSEEN
-            out = {"bucket": [number % buckets], "slice": [slice_id], "kind": [2], "keys": [head.tobytes()], "docs": [b""], "counts": [train.tobytes()], "other": [b""]}
-            for kind, keys, docs in ((0, _spread(pairs[far]), doc[far]), *(() if model.whole else ((1, h[rare], doc[rare]),))):
-                order = np.lexsort((docs, keys))
-                keys, docs = keys[order], docs[order].astype(np.uint32)
-                first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), dtype=bool), (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))))
-                times = np.diff(first, append=len(keys)).astype(np.uint32)
-                keys, docs = keys[first], docs[first]
-                cuts = _cuts(keys, buckets)
-                for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                    if j > i:
-                        for c, v in (("bucket", b), ("slice", slice_id), ("kind", kind), ("keys", deltas(keys[i:j])), ("docs", planes(docs[i:j])), ("counts", train.tobytes() + planes(times[i:j])), ("other", b"")):
-                            out[c].append(v)
-            if model.whole:
-                for kind, b, keys, others, docs, times in _rare_rows(h, classes, n, doc, buckets):
-                    for c, v in (("bucket", b), ("slice", slice_id), ("kind", kind), ("keys", keys), ("docs", docs), ("counts", train.tobytes() + times), ("other", others)):
-                        out[c].append(v)
-            ids = pa.array([batch.column("id").to_pylist()] + [None] * (len(out["bucket"]) - 1), pa.list_(batch.column("id").type))
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["slice"], pa.int64()), pa.array(out["kind"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("keys", "docs", "counts")), pa.array([texts_here] * len(out["bucket"]), pa.int32()), ids, pa.array(out["other"], pa.binary())], ["bucket", "slice", "kind", "keys", "docs", "counts", "texts", "ids", "other"])
+            texts_here, classes = len(n), model.class_of(h)
+            coded, pairs = classes != RARE, _pairs(classes, n)
+            at = np.minimum(np.searchsorted(model.frequent, pairs), max(len(table) - 1, 0))
+            near = model.frequent[at] == pairs if len(table) else np.zeros(len(pairs), dtype=bool)
+            far = ~near & coded & (pairs >> 16 != RARE)
+            known = doc[coded]
+            head = np.stack([
+                np.bincount(doc[near], table[at[near]], minlength=texts_here), np.bincount(known, base[classes[coded]], minlength=texts_here),
+                np.bincount(known, model.counts[classes[coded]] > 0, minlength=texts_here), n.astype(float),
+            ])
+            named = doc << 1 | (np.asarray(batch.column("part")) != UNSEEN)[doc]
+            rows = [(HEAD, number % buckets, head.tobytes(), b"", b"", b"")]
+            keys, who = _spread(pairs[far]), named[far].astype(np.uint32)
+            order, new = _groups(keys, who)
+            times = np.diff(np.flatnonzero(new), append=len(order)).astype(np.uint32)
+            keys, who = keys[order][new], who[order][new]
+            cuts = _cuts(keys, buckets)
+            rows += [(BOTH_CODED, b, deltas(keys[i:j]), b"", planes(who[i:j]), planes(times[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            rows += _rare_rows(h, classes, n, named, buckets)
+            ids = pa.array([batch.column("id").to_pylist()] + [None] * (len(rows) - 1), pa.list_(batch.column("id").type))
+            column = lambda i, kind: pa.array([r[i] for r in rows], kind)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [column(1, pa.int32()), pa.array([TaskContext.get().partitionId() << 32 | number] * len(rows), pa.int64()), column(0, pa.int32()), *(column(i, pa.binary()) for i in (2, 4, 5)), ids, column(3, pa.binary())],
+                ["bucket", "slice", "kind", "keys", "docs", "counts", "ids", "other"],
+            )
 
     def count(table: pa.Table) -> pa.Table:
-        slices, kinds, n_texts = (table.column(c).to_pylist() for c in ("slice", "kind", "texts"))
-        keys, docs, counts = (table.column(c) for c in ("keys", "docs", "counts"))
+        slices, kinds = (table.column(c).to_pylist() for c in ("slice", "kind"))
+        read = lambda c, i, width: unplanes(table.column(c)[i].as_py(), width)
         words, before = _known(table, WORD_COUNTS), _known(table, COUNTS_BEFORE)
-        sums = {}
-        for kind, width in ((0, "<u4"), (1, "<u8"), (RARE_FIRST, "<u8"), (RARE_SECOND, "<u8"), (RARE_BOTH, "<u8")):
+        found: list[tuple] = []  # (slice's number, text's name, score, base, known) of every key and text
+        asking = sorted({s for s, k in zip(slices, kinds) if k not in (HEAD, WORD_COUNTS, COUNTS_BEFORE)})
+        number = {s: i for i, s in enumerate(asking)}
+        for kind, width in ((BOTH_CODED, "<u4"), (RARE_FIRST, "<u8"), (RARE_SECOND, "<u8"), (RARE_BOTH, "<u8")):
             rows = [i for i, k in enumerate(kinds) if k == kind]
             if not rows:
                 continue
-            k = [undeltas(keys[i].as_py(), width) for i in rows]
-            size = np.array([len(x) for x in k])
-            d = np.concatenate([unplanes(docs[i].as_py(), "<u4") for i in rows]).astype(np.int64)
-            packed = [counts[i].as_py() for i in rows]
-            times = np.concatenate([unplanes(p[n_texts[i] :], "<u4") for p, i in zip(packed, rows)]).astype(np.int64)
-            train = np.concatenate([np.frombuffer(p, dtype=bool, count=n_texts[i]) for p, i in zip(packed, rows)])
-            at = np.cumsum([n_texts[i] for i in rows]) - [n_texts[i] for i in rows]
-            d += np.repeat(at, size)
-            k = np.concatenate(k)
-            if kind in (0, 1):
-                order, new = _groups(k)
-            else:
-                others = np.concatenate([unplanes(table.column("other")[i].as_py(), "<u8" if kind == RARE_BOTH else "<u2") for i in rows])
-                order, new = _groups(k, others)
-                others = others[order][new]
-            k = k[order]
-            which = np.cumsum(new) - 1
-            d, times = d[order], times[order]
-            c = np.bincount(which, times * train[d])
-            if kind == 0:
-                values = [model.bigram(_gathered(k[new]), c)]
-            elif kind != 1:
-                one, two = _rare_counts(kind, k[new], others, words, before, model, None)
-                values = [model.mixed(one, two, c)] + ([] if kind == RARE_FIRST else [model.base(two), (two > 0).astype(float)])
+            k = [undeltas(table.column("keys")[i].as_py(), width) for i in rows]
+            place = np.repeat([number[slices[i]] for i in rows], [len(x) for x in k])
+            k, who, times = np.concatenate(k), np.concatenate([read("docs", i, "<u4") for i in rows]), np.concatenate([read("counts", i, "<u4") for i in rows])
+            others = np.zeros(0) if kind == BOTH_CODED else np.concatenate([read("other", i, "<u8" if kind == RARE_BOTH else "<u2") for i in rows])
+            order, new = _groups(k) if kind == BOTH_CODED else _groups(k, others)
+            which, first = np.cumsum(new) - 1, order[new]
+            place, who, times = place[order], who[order], times[order].astype(np.int64)
+            c = np.bincount(which, times * (who & 1))
+            base = known = np.zeros(len(first))
+            if kind == BOTH_CODED:
+                score = model.bigram(_gathered(k[first]), c)
             else:
-                values = [model.within_rare(c), model.base(c), (c > 0).astype(float)]
-            totals = [np.bincount(d, v[which] * times, minlength=len(train)) for v in values]
-            for j, i in enumerate(rows):
-                own = [t[at[j] : at[j] + n_texts[i]] for t in totals] + [np.zeros(n_texts[i])] * (3 - len(totals))
-                sums[slices[i]] = sums.get(slices[i], 0) + np.stack(own)
-        heads = [i for i, k in enumerate(kinds) if k == 2]
-        got = [(s, np.float64(v).tobytes(), None, None) for s, v in sums.items()] + [(slices[i], keys[i].as_py(), counts[i].as_py(), table.column("ids")[i].as_py()) for i in heads]
-        return pa.table({"slice": pa.array([g[0] for g in got], pa.int64()), "sums": pa.array([g[1] for g in got], pa.binary()), "train": pa.array([g[2] for g in got], pa.binary()), "ids": pa.array([g[3] for g in got], table.schema.field("ids").type)})
+                one, two = _rare_counts(kind, k[first], others[first], words, before, model, None)
+                score = model.mixed(one, two, c)
+                if kind != RARE_FIRST:  # the coded word's own sums are in its slice's head
+                    base, known = model.base(two), (two > 0).astype(float)
+            fine = lambda v: (np.rint(v * FINE).astype(np.int64))[which] * times  # noqa: B023, E731
+            found.append((place, who, fine(score), fine(base), known[which].astype(np.int64) * times))
+        out = []
+        if found:
+            place, who, *values = (np.concatenate([f[i] for f in found]) for i in range(5))
+            order, new = _groups(place, who)
+            starts = np.flatnonzero(new)
+            sums = [np.add.reduceat(v[order], starts) for v in values]
+            place, who = place[order][starts], who[order][starts] >> 1
+            cuts = np.searchsorted(place, np.arange(len(asking) + 1))
+            for s, i, j in zip(asking, cuts, cuts[1:]):
+                out.append((s, deltas(who[i:j]), planes(-sums[0][i:j]), planes(-sums[1][i:j]), planes(sums[2][i:j].astype(np.uint32)), None))
+        out += [(slices[i], table.column("keys")[i].as_py(), None, None, None, table.column("ids")[i].as_py()) for i, k in enumerate(kinds) if k == HEAD]
+        kinds_out = (pa.int64(), *[pa.binary()] * 4, table.schema.field("ids").type)
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds_out)], ["slice", "texts", "score", "base", "known", "ids"])
 
     def finish(table: pa.Table) -> pa.Table:
-        sums, ids = table.column("sums").to_pylist(), table.column("ids").to_pylist()
-        head = next(i for i, x in enumerate(ids) if x is not None)
-        n = len(ids[head])
-        total = np.frombuffer(sums[head]).reshape(4, n).copy()
-        for i, x in enumerate(sums):
-            if i != head:
-                total[:3] += np.frombuffer(x).reshape(3, n)
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("texts", "score", "base", "known", "ids"))))
+        head, ids = next((r[0], r[4]) for r in rows if r[4] is not None)
+        n = len(ids)
+        own, added = np.frombuffer(head).reshape(4, n), np.zeros((3, n), dtype=np.int64)
+        for texts_of, score, base, known, _ in (r for r in rows if r[4] is None):
+            at = undeltas(texts_of, "<u4")
+            added[0, at] -= unplanes(score, "<i8")
+            added[1, at] -= unplanes(base, "<i8")
+            added[2, at] += unplanes(known, "<u4")
         return pa.table({
-            id_col: pa.array(ids[head], table.schema.field("ids").type.value_type), "n_tokens": total[3].astype(np.int64), "n_known": np.rint(total[2]).astype(np.int64),
-            "train_tokens": np.full(n, model.tokens, dtype=np.int64), "base_score": total[1], "score": total[0],
+            id_col: pa.array(ids, table.schema.field("ids").type.value_type), "n_tokens": own[3].astype(np.int64), "n_known": np.rint(own[2]).astype(np.int64) + added[2],
+            "train_tokens": np.full(n, model.tokens, dtype=np.int64), "base_score": own[1] + added[1] / FINE, "score": own[0] + added[0] / FINE,
         })
 
-    sent_schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "docs", "counts")), T.StructField("texts", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("other", T.BinaryType())])
-    back_schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("sums", T.BinaryType()), T.StructField("train", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type))])
+    binary = lambda *names: [T.StructField(c, T.BinaryType()) for c in names]
+    ids_field = T.StructField("ids", T.ArrayType(id_type))
+    sent_schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("slice", T.LongType()), T.StructField("kind", T.IntegerType()), *binary("keys", "docs", "counts"), ids_field, *binary("other")])
+    back_schema = T.StructType([T.StructField("slice", T.LongType()), *binary("texts", "score", "base", "known"), ids_field])
     out_schema = T.StructType([T.StructField(id_col, id_type), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    sent = texts.mapInArrow(send, sent_schema)
-    if facts is not None:
-        sent = sent.unionByName(facts, allowMissingColumns=True)
+    sent = texts.mapInArrow(send, sent_schema).unionByName(facts, allowMissingColumns=True)
     back = sent.groupBy("bucket").applyInArrow(count, back_schema)
     return back.groupBy("slice").applyInArrow(finish, out_schema)
 
 
-def score_texts(df: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, classes: int = VOCABULARY) -> DataFrame:
+def score_texts(df: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", coded: int = CODED) -> DataFrame:
     """id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` for every row of ``df``.
 
     ``part`` says for each row whether the estimates (ESTIMATE), the weights (HELD) or neither (UNSEEN) learn from it; the
     final counts are of both. Tokens are the lower-cased (A-Z) words and one end of the text, so null and empty texts have
     one token. ``base_score`` is the additively smoothed unigram score, ``score`` the model's log10 probability of the
     text, and ``n_known`` counts tokens that the training texts have. Repeated rows and ids count and give a row each. With no
-    training rows every token has the uniform probability; an empty table gives an empty result. Other columns of ``df``
-    are left out. Words are told apart by 64-bit hashes. The ``classes`` most frequent words have a class, which changes no
-    result; ``vocabulary`` limits the model to that many words and one class of all others.
+    training rows every token has the uniform probability; an empty table gives an empty result. Other columns of ``df``,
+    whatever their names, are left out. Texts are taken whole. Words are told apart by 64-bit hashes. The ``coded`` most
+    frequent words have a short code, which changes no result.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.cast("int").alias("part"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    guess = max(1, math.ceil(size / 7 / KEYS_A_BUCKET))  # words are about seven bytes; this only sets how finely keys are dealt
-    words = settled(_word_counts(texts, guess))
-    final, estimate = _vocabulary(words, vocabulary or classes, vocabulary is None)
-    pairs = _pair_counts(texts, final, estimate, guess)
-    facts = _rare_facts(texts, words, final, guess) if final.whole else None
-    pairs = settled(pairs if facts is None else pairs.union(_rare_events(texts, final, estimate, facts, guess)))
+    buckets = max(1, math.ceil(size / 7 / KEYS_A_BUCKET))  # words are about seven bytes; this only sets how finely keys are dealt
+    words = settled(_word_counts(texts, buckets))
+    final, estimate = _vocabulary(words, coded)
+    facts = _rare_facts(texts, words, final, buckets)
+    pairs = settled(_pair_counts(texts, final, estimate, buckets).union(_rare_events(texts, final, estimate, facts, buckets)))
     final.weights = learn_weights(pairs, final.outcomes)
-    final.frequent = np.zeros((FREQUENT, FREQUENT), dtype=np.int64)
-    for keys, n in pairs.where("kind = 1").select("f1", "n").collect():
-        keys = np.frombuffer(keys, np.int64)
-        final.frequent[keys >> 16, keys & 0xFFFF] = np.frombuffer(n, np.int64)
-    return _scored(texts, final, guess, df.schema[id_col].dataType, id_col, facts)
+    table = [(np.frombuffer(k, np.int64), np.frombuffer(n, np.int64)) for k, n in pairs.where("kind = 1").select("f1", "n").collect()]
+    keys, times = (np.concatenate([np.zeros(0, np.int64), *(t[i] for t in table)]) for i in (0, 1))
+    order = np.argsort(keys)
+    final.frequent, final.times = keys[order], times[order]
+    return _scored(texts, final, buckets, df.schema[id_col].dataType, id_col, facts)

@@ -133,81 +133,17 @@ def test_large_leaves_are_compared_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(99, 0)} and sum(r.kept for r in got) == 1
 
 
-def plain_lm(table, vocabulary, weights):
-    """The model's scores from plain counts, given its weights; table of (text, part)."""
-    toks = [[*words(t), "\n"] for t, _ in table]
-    count = collections.Counter(w for ws, (_, p) in zip(toks, table) if p != ngram_lm.UNSEEN for w in ws)
-    total, distinct = sum(count.values()), len(count)
-    return toks, count, total, distinct
-
-
-def test_lm_scores(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text").union(awkward(spark).where("doc_id is not null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
-    fold = lambda i: zlib.crc32(str(i).encode()) % 10
-    part = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, ngram_lm.UNSEEN).when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 9, ngram_lm.HELD).otherwise(ngram_lm.ESTIMATE)
-    kept = {}
-    real = ngram_lm._scored
-
-    def spy(texts, model, *rest):
-        kept["model"] = model
-        return real(texts, model, *rest)
-
-    ngram_lm._scored = spy
-    try:
-        got = ngram_lm.score_texts(docs, part, vocabulary=1500).collect()
-    finally:
-        ngram_lm._scored = real
-    model, table = kept["model"], [(r.doc_id, [*words(r.text), "\n"]) for r in docs.collect()]
-    count = collections.Counter(w for i, ws in table if fold(i) for w in ws)
-    total, distinct = sum(count.values()), len(count)
-    z = total + 0.1 * (distinct + 1)
-    # the model's classes are its most frequent words; which of those that tie at the end is seen from its counts
-    pairs, context = collections.Counter(), collections.Counter()
-    import pyarrow as pa
-
-    from loomwork.llm.words import word_hashes
-
-    names = sorted({w for _, ws in table for w in ws if w != "\n"})
-    h, _ = word_hashes(pa.array(names))
-    cls = dict(zip(names, model.class_of(h).tolist())) | {"\n": int(model.class_of(np.array([ngram_lm.END]))[0])}
-    for i, ws in table:
-        if fold(i):
-            cs = [0, *(cls[w] for w in ws)]
-            pairs.update(zip(cs, cs[1:]))
-            context.update(cs[:-1])
-    uni = collections.Counter()
-    for w, n in count.items():
-        uni[cls[w]] += n
-    rare = [w for w in count if cls[w] == ngram_lm.RARE]
-    classes = len(model.counts)
-    want = {}
-    for i, ws in table:
-        score, before = 0.0, 0
-        for w in ws:
-            c = cls[w]
-            lam = model.weights[math.ceil(math.log2(context[before] + 1))]
-            p = lam[0] * pairs[before, c] / max(context[before], 1) + lam[1] * uni[c] / total + lam[2] / (classes - 1)
-            score += math.log10(p)
-            if c == ngram_lm.RARE:
-                score += math.log10((count[w] + 0.1) / (uni[ngram_lm.RARE] + 0.1 * (len(rare) + 1)))
-            before = c
-        want[i] = want.get(i, []) + [(len(ws), sum(count[w] > 0 for w in ws), sum(math.log10((count[w] + 0.1) / z) for w in ws), score)]
-    have = collections.defaultdict(list)
-    for r in got:
-        assert r.train_tokens == total
-        have[r.doc_id].append((r.n_tokens, r.n_known, r.base_score, r.score))
-    for i in want:
-        for a, b in zip(sorted(want[i]), sorted(have[i]), strict=True):
-            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9) and a[3] == pytest.approx(b[3], rel=1e-9)
-    assert ngram_lm.score_texts(empty(spark), part).count() == 0
+def test_lm_without_rows_or_training_texts(spark):
+    assert ngram_lm.score_texts(empty(spark), F.lit(ngram_lm.ESTIMATE)).count() == 0
     nothing = ngram_lm.score_texts(awkward(spark), F.lit(ngram_lm.UNSEEN)).collect()
     assert len(nothing) == awkward(spark).count() and all(r.n_known == 0 and r.base_score == 0 and np.isfinite(r.score) for r in nothing)
 
 
-@pytest.mark.parametrize("classes", [40, ngram_lm.VOCABULARY])
-def test_lm_keeps_the_counts_of_every_word(spark, sf_dir, monkeypatch, classes):
-    """Words without a class keep their own bigrams, as contexts and as predicted words, over several buckets."""
+@pytest.mark.parametrize("coded,frequent", [(40, 1 << 20), (40, 100), (ngram_lm.CODED, 1 << 20), (ngram_lm.CODED, 50)])
+def test_lm_keeps_the_counts_of_every_word(spark, sf_dir, monkeypatch, coded, frequent):
+    """Words without a code keep their own bigrams, as contexts and as predicted words, over several buckets."""
     monkeypatch.setattr(ngram_lm, "KEYS_A_BUCKET", 4_000)
+    monkeypatch.setattr(ngram_lm, "PAIRS", frequent)
     docs = documents(spark, sf_dir).select("doc_id", "text").union(awkward(spark).where("doc_id is not null").select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     tenth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     part = F.when(tenth == 0, ngram_lm.UNSEEN).when(tenth == 9, ngram_lm.HELD).otherwise(ngram_lm.ESTIMATE)
@@ -224,7 +160,7 @@ def test_lm_keeps_the_counts_of_every_word(spark, sf_dir, monkeypatch, classes):
 
     monkeypatch.setattr(ngram_lm, "_scored", spy)
     monkeypatch.setattr(ngram_lm, "learn_weights", events)
-    got = ngram_lm.score_texts(docs, part, classes=classes).collect()
+    got = ngram_lm.score_texts(docs, part, coded=coded).collect()
     model, table = kept["model"], [(r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 10, [*words(r.text), "\n"]) for r in docs.collect()]
     size = lambda n: math.ceil(math.log2(n + 1))
 
