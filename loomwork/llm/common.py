@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,13 +30,23 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def new_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` does not have: ``wish``, or with as many underscores more as it takes. Case does not count."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset, a temporary one (local runs)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Where that is unset, a temporary one if Spark runs in this
+    process alone; on a cluster that is an error, since no machine would see what another wrote."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/loomwork-{os.getpid()}"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -66,7 +77,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 
-
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values. Sorting integers is many times faster than the hash table behind ``np.unique``."""
     values = np.sort(values)

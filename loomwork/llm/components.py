@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from .common import settled
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every id in ``edges`` (a, b: long) but the smallest ones.
 
-    Each round hangs every node, and every larger neighbour of a node, under the smallest neighbour; edges never increase
+    Repeated edges and loops change nothing; an empty table gives an empty result. Raises an error if ``most_rounds`` do not
+    suffice, rather than return what is not finished. Each round hangs every node, and every larger neighbour of a node, under the smallest neighbour; edges never increase
     and a few rounds flatten any tree. Minima are aggregated before they are joined, so a hub costs one row per neighbour.
     """
     flat, stamp = _noted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(most_rounds):
+    for _ in range(most_rounds):  # a logarithmic number of them is enough
         both = flat.union(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large, _ = _noted(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -24,9 +25,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         flat, now = _noted(hung.union(least.select("u", F.col("m").alias("v"))).distinct())
         if now == stamp:
-            break
+            return flat.select(F.col("u").alias("id"), F.col("v").alias("component"))
         stamp = now
-    return flat.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    raise RuntimeError(f"components are not found after {most_rounds} rounds")
 
 
 def _noted(edges: DataFrame) -> tuple[DataFrame, tuple]:

@@ -10,9 +10,10 @@ and cut to a few bits more than the number of shingles needs; a collision can on
 
 Groups of near copies would give all pairs of their members. So candidates are met in two ways. First every document of a
 posting list is compared to one leader of the list; what links is one component. Then only lists that still span several
-components are looked at again: short ones are joined with themselves, between components; the sets of long ones are
-compared block by block, which makes no row for a pair. No pair of documents that are linked stays unconnected, since each
-pair that shares enough of its prefixes is either in one component by then or is compared.
+components are looked at again. Short ones are joined with themselves, between components. Long ones are cut by the sizes
+that can link at all, and met block by block, which makes no row for a pair: first by their prefixes, to see who has a
+candidate in another component, and only those documents by their whole sets. No pair of documents that are linked stays
+unconnected, since each pair that shares enough of its prefixes is either in one component by then or is compared.
 
 The order's frequencies come from a summary of bounded size, in which every shingle with more than a fixed share of all
 occurrences is found (those that a task sees once count as rare). Any order gives the same result.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, settled, text_slices
+from .common import counted, new_name, settled, text_slices
 from .components import components, roots
 from .words import deltas, mixed, planes, undeltas, unplanes, word_hashes
 
@@ -39,7 +40,7 @@ TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
 #: other holders a rare shingle is expected to have.
 MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
 #: Holders up to which a list is joined with itself, and documents in a block of a longer one.
-SHORT, BLOCK = 64, 512
+SHORT, BLOCK = 64, 256
 #: Parts in which the copies of one set are dealt out.
 SALTS = 32
 #: Shingles a task holds before it sends them, and shingles counted at a time.
@@ -101,9 +102,9 @@ def _surveyed(texts: DataFrame, words: int, buckets: int, bits: int) -> DataFram
             cuts = np.searchsorted(keys, np.array([(i << bits) // buckets for i in range(buckets + 1)], dtype=np.uint64))
             chunk = TaskContext.get().partitionId() << 24 | number
             head = np.concatenate((n, x.view(np.int64), y.view(np.int64))).tobytes()
-            out = [(b, chunk, len(n), deltas(keys[i:j]), planes(place[i:j]), None, None) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
-            out.append((number % buckets, chunk, len(n), None, None, head, ids))
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["bucket", "chunk", "texts", "keys", "places", "head", "ids"])
+            out = [(b, chunk, deltas(keys[i:j]), planes(place[i:j]), None, None) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            out.append((number % buckets, chunk, None, None, head, ids))
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["bucket", "chunk", "keys", "places", "head", "ids"])
 
         for batch in text_slices(batches, "text", 2 << 20):
             h, starts = shingle_sets(batch.column("text"), words)
@@ -138,24 +139,24 @@ def _surveyed(texts: DataFrame, words: int, buckets: int, bits: int) -> DataFram
             unique &= place > 0
             ends = np.cumsum(size)
             for i, a, b in zip(full, ends - size, ends):
-                mine = place[a:b][unique[a:b]].astype(np.int64) - 1
-                n = table.column("texts")[i].as_py()
-                out.append((table.column("chunk")[i].as_py(), planes(np.bincount(mine, minlength=n).astype(np.uint32)), None, None))
-        out += [(table.column("chunk")[i].as_py(), None, heads[i], table.column("ids")[i].as_py()) for i, h in enumerate(heads) if h is not None]
-        return pa.table([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["chunk", "unique", "head", "ids"])
+                mine, n = counted(place[a:b][unique[a:b]] - np.uint32(1))
+                if len(mine):
+                    out.append((table.column("chunk")[i].as_py(), deltas(mine), planes(n.astype(np.uint32)), None, None))
+        out += [(table.column("chunk")[i].as_py(), None, None, heads[i], table.column("ids")[i].as_py()) for i, h in enumerate(heads) if h is not None]
+        return pa.table([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["chunk", "places", "unique", "head", "ids"])
 
     def finish(table: pa.Table) -> pa.Table:
         head = next(h for h in table.column("head").to_pylist() if h is not None)
         ids = next(i for i in table.column("ids").to_pylist() if i is not None)
         n, x, y = np.frombuffer(head, np.int64).reshape(3, -1)
         unique = np.zeros(len(n), dtype=np.int64)
-        for u in table.column("unique").to_pylist():
+        for at, u in zip(table.column("places").to_pylist(), table.column("unique").to_pylist()):
             if u is not None:
-                unique += unplanes(u, "<u4")
+                unique[undeltas(at, "<u4")] += unplanes(u, "<u4")
         return pa.table({"id": pa.array(ids, pa.int64()), "n": n, "x": x, "y": y, "own": unique})
 
-    sent = texts.mapInArrow(send, "bucket int, chunk long, texts int, keys binary, places binary, head binary, ids array<long>")
-    back = sent.groupBy("bucket").applyInArrow(count, "chunk long, unique binary, head binary, ids array<long>")
+    sent = texts.mapInArrow(send, "bucket int, chunk long, keys binary, places binary, head binary, ids array<long>")
+    back = sent.groupBy("bucket").applyInArrow(count, "chunk long, places binary, unique binary, head binary, ids array<long>")
     return back.groupBy("chunk").applyInArrow(finish, "id long, n long, x long, y long, own long")
 
 
@@ -188,7 +189,8 @@ def _summary(texts: DataFrame, words: int) -> DataFrame:
 
 def _prefixes(texts: DataFrame, frequent: np.ndarray, times: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """id, n, matches wanted k, a band of similar sizes, and the prefix of every non-empty set."""
-    width = -np.log(num / den) if num < den else 1.0
+    # a little more than what separates the sizes of two sets that can link, so that these are in one band or in neighbours
+    width = -np.log(num / den) * (1 + 1e-6) if num < den else 1.0
 
     def prefix(own: np.ndarray) -> tuple[int, np.ndarray]:
         n = len(own)
@@ -263,7 +265,8 @@ def link_texts(
     a text with fewer words is one shingle of all of them. ``component_id`` is the smallest id reachable by links. Null and
     empty texts and those without words have no shingles and link with nothing; rows without an id neither, and their
     component is null. Equal sets always link. Rows of one id are one document: it links if any of its texts does. An empty
-    table gives an empty result; other columns of ``df`` are left out. Shingles are told apart by 64-bit hashes.
+    table gives an empty result; other columns of ``df``, whatever their names, are left out. Texts are taken whole. Shingles
+    are told apart by 64-bit hashes.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     about = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 6  # a shingle a word, of six bytes
@@ -288,46 +291,77 @@ def link_texts(
     found = settled(_verified(_leader_pairs(lists, num, den), needed, words, num, den)).where("linked").select("a", "b")
     links = copies.union(found)
     grouped = components(links)
-    known = lists.join(grouped, "id", "left").select("token", "id", "n", "k", F.coalesce("component", "id").alias("component"))
+    known = lists.join(grouped, "id", "left").select("token", "id", "n", "k", "band", F.coalesce("component", "id").alias("component"))
     known = settled(known)
     spans = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")).where("low < high").select("token", "holders")
     open_ = settled(known.join(spans, "token"))
     short = _verified(_all_pairs(open_.where(F.col("holders") <= SHORT), num, den), needed, words, num, den).where("linked").select("a", "b")
-    long = _compared(open_.where(F.col("holders") > SHORT), needed, words, num, den)
+    long = _compared(open_.where(F.col("holders") > SHORT), prefixed, needed, words, num, den)
     more = settled(short.union(long))
     grouped = components(grouped.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     return sets.join(grouped, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _compared(lists: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components among the documents of each list; enough of them to connect what is linked."""
+def _in_common(row: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    """How many hashes each two of ``size`` sets share, from the (set, hash) pairs of all of them."""
+    keys, times = counted(h)
+    keys = keys[times > 1]  # what one set alone has is in no intersection
+    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+    row, at = row[hit], at[hit]
+    common = np.zeros((size, size), dtype=np.float32)
+    for s in range(0, len(keys), 4096):
+        part = (at >= s) & (at < s + 4096)
+        has = np.zeros((size, min(4096, len(keys) - s)), dtype=np.float32)
+        has[row[part], at[part] - s] = 1
+        common += has @ has.T
+    return common.astype(np.int64)
+
+
+def _in_blocks(lists: DataFrame, payload: DataFrame) -> DataFrame:
+    """The documents of each (token, at) that still spans several components, in pairs of blocks low and high, with payload.
+
+    ``at`` is a band of sizes: documents of the band meet each other and those of the band below.
+    """
+    spans = lists.groupBy("token", "at").agg(F.count("*").alias("holders"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("band").alias("top"))
     many = F.ceil(F.col("holders") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), many).cast("int")
-    dealt = lists.select("token", "id", "component", many.alias("many"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    blocks = dealt.select("token", "id", "component", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dealt = lists.join(spans.where("least < most and top = at").select("token", "at", many.alias("many")), ["token", "at"])
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    blocks = dealt.select("token", "at", "id", "n", "k", "band", "component", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    return blocks.join(payload, "id")
+
+
+def _compared(lists: DataFrame, prefixed: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components among the documents of each list; enough of them to connect what is linked."""
+    near = lists.select("token", "id", "n", "k", "band", "component", F.explode(F.array("band", F.col("band") + 1)).alias("at"))
+
+    def may_meet(table: pa.Table) -> np.ndarray:
+        """Which two rows are of different components, and of different blocks if two blocks meet here."""
+        groups, mine = (np.asarray(table.column(c)) for c in ("component", "mine"))
+        apart = groups[:, None] != groups[None, :]
+        if table.column("low")[0].as_py() != table.column("high")[0].as_py():
+            apart &= mine[:, None] != mine[None, :]
+        return apart
+
+    def contend(table: pa.Table) -> pa.Table:
+        n, k, band = (np.asarray(table.column(c)).astype(np.int64) for c in ("n", "k", "band"))
+        own = band == table.column("at")[0].as_py()
+        prefix = table.column("prefix").combine_chunks()
+        size = np.asarray(pa.compute.list_value_length(prefix)).astype(np.int64)
+        h = np.asarray(prefix.flatten()).view(np.uint64)
+        matches = _in_common(np.repeat(np.arange(len(n)), size), h, len(n))
+        fits = (matches >= np.minimum(k[:, None], k[None, :])) & (np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num)
+        fits &= (own[:, None] | own[None, :]) & may_meet(table)
+        return table.select(["token", "at", "id", "n", "k", "band", "component"]).take(pa.array(np.flatnonzero(fits.any(axis=1))))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, groups, mine = (np.asarray(table.column(c)) for c in ("id", "component", "mine"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        groups = np.asarray(table.column("component"))
         h, starts = shingle_sets(table.column("text").combine_chunks(), words)
         n = np.diff(starts)
-        keys, times = counted(h)
-        keys = keys[times > 1]  # a shingle of one document is in no intersection
-        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-        hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
-        common = np.zeros((len(ids), len(ids)), dtype=np.float32)
-        row = np.repeat(np.arange(len(ids)), n)[hit]
-        for s in range(0, len(keys), 4096):
-            part = (at[hit] >= s) & (at[hit] < s + 4096)
-            has = np.zeros((len(ids), min(4096, len(keys) - s)), dtype=np.float32)
-            has[row[part], at[hit][part] - s] = 1
-            common += has @ has.T
-        shared = common.astype(np.int64)
+        shared = _in_common(np.repeat(np.arange(len(n)), n), h, len(n))
         linked = den * shared >= num * (n[:, None] + n[None, :] - shared)
-        linked &= (groups[:, None] != groups[None, :]) & (ids[:, None] < ids[None, :]) & (n > 0)[:, None] & (n > 0)[None, :]
-        if low != high:
-            linked &= mine[:, None] != mine[None, :]
+        linked &= (n > 0)[:, None] & (n > 0)[None, :] & may_meet(table)
         a, b = np.nonzero(linked)
         # a forest over the components met here says as much as all links
         names = np.unique(groups)
@@ -335,23 +369,29 @@ def _compared(lists: DataFrame, texts: DataFrame, words: int, num: int, den: int
         moved = np.flatnonzero(label != np.arange(len(names)))
         return pa.table({"a": names[moved], "b": names[label[moved]]})
 
-    joined = blocks.join(texts, "id").select("token", "low", "high", "mine", "id", "component", "text")
-    return joined.groupBy("token", "low", "high").applyInArrow(compare, "a long, b long")
+    blocks = ["token", "at", "low", "high"]
+    met = _in_blocks(near, prefixed.select("id", "prefix")).select(*blocks, "mine", "id", "n", "k", "band", "component", "prefix")
+    contenders = settled(met.groupBy(*blocks).applyInArrow(contend, "token long, at int, id long, n int, k int, band int, component long").distinct())
+    held = _in_blocks(contenders, texts).select(*blocks, "mine", "id", "component", "text")
+    return held.groupBy(*blocks).applyInArrow(compare, "a long, b long")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``df``, all their columns, of the smallest id of each component of ``link_texts``.
 
-    Rows without an id or without words stay. Of several rows with one id, the first in the order of all columns stays.
+    Rows without an id or without words stay. Of several rows with one id, the first in the order of all columns stays. Null
+    and empty texts, ties and repeated rows are as in ``link_texts``; an empty table stays empty, and columns of any name stay.
     """
     linked = link_texts(df, id_col, text_col, words, num, den)
     gone = linked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = df.join(gone, id_col, "left_anti")
-    order = [F.col(c) for c in df.columns if c != id_col]
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
+    kept = df.join(gone, id_col, "left_anti").select(*df.columns)
+    # maps and variants have no order of their own
+    order = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes if c != id_col]
+    place = new_name(df, "row_of_id")
     # a row without an id is alone, whatever others there are
     alone, named = kept.where(F.col(id_col).isNull()), kept.where(F.col(id_col).isNotNull())
-    return named.withColumn("row_of_id", first).where("row_of_id = 1").select(*df.columns).union(alone.select(*df.columns))
+    firsts = named.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(*(order or [F.lit(0)])))).where(F.col(place) == 1)
+    return firsts.drop(place).union(alone)
 
 
 def _leader_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
