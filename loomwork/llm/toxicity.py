@@ -1,32 +1,43 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are words (runs of ASCII letters and of characters beyond ASCII, lower-cased) and word beginnings of a few lengths,
-hashed to buckets. The buckets that tell the classes apart most are features; the machine has a weight for each and a
-vector for each, so that pairs of features add what neither adds alone. It is trained by MLlib on a bounded sample.
+Terms are words (runs of letters, lower-cased, of any length), their beginnings, and, in scripts that do not put spaces
+between words, all runs of two and three letters; they are hashed to buckets. Every bucket that at least LEAST learned
+documents have is a feature. Its value says how much is known of it: near 1 if the labels of its documents are surely not
+those of all documents, and small, but never 0, if they could well be, so that the many terms that say nothing stay quiet
+while terms that are neutral alone can still act in pairs. The machine has a weight for each feature and a vector for each,
+so that pairs of features add what neither adds alone.
+
+It is learned by stochastic gradients from a bounded sample of labelled documents (SAMPLE), the only part of the corpus that
+one task ever holds; what is counted and scored is spread over all tasks.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import distinct, settled, text_slices
 
-#: Buckets of hashed terms, features kept of them, and labelled rows (those of smallest hashed id) that are learned from.
-BUCKETS, FEATURES, SAMPLE = 1 << 18, 2048, 30_000
-#: Lengths in bytes at which a word's beginning is a term too. Beyond WORD bytes a word counts by its beginning and length.
-BEGINNINGS, WORD = (4, 5, 6, 8), 16
-FACTORS, STEPS, STEP_SIZE, REGULARIZATION = 4, 80, 0.1, 0.0005
-#: A bucket is a feature if its chi-square and the share of learned documents that have it reach these (and 3 documents do).
-LEAST_CHI, LEAST_SHARE = 25.0, 0.004
+#: Buckets of hashed terms, labelled rows (those of smallest hashed id) that are learned from, documents a feature needs.
+BUCKETS, SAMPLE, LEAST = 1 << 18, 30_000, 3
+#: Letters of a word's beginnings that are terms too.
+BEGINNINGS = (4, 6)
+#: The evidence (twice a log-likelihood ratio) that makes a feature's value a half, and the value and number of documents of
+#: a feature without any: NEUTRAL times documents / (documents + SETTLED).
+HALF, NEUTRAL, SETTLED = 12.0, 0.05, 200.0
+#: Vectors' length, passes over the sample, documents of a step, rates of the weights and of the vectors, and penalties.
+FACTORS, EPOCHS, BATCH, RATE, VECTOR_RATE, L1, L2, DECAY = 4, 8, 128, 1.0, 0.05, 1.0, 0.1, 1e-4
+#: fixed values: blocks of scripts that are written without spaces between words
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_P = 0x100000001B3
 
 
 @dataclass(frozen=True)
@@ -51,31 +62,50 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 no letter, 1 a letter, 2 a letter of an unspaced script."""
+    kinds = np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)], dtype=np.int8)
+    for a, b in UNSPACED:
+        kinds[a : b + 1] *= 2
+    return kinds
+
+
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     h = h ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every term of every text, repeated as often as it occurs."""
-    parts = [(t or "").lower().encode("utf-8", "replace") + b" " for t in texts]
-    raw = np.frombuffer(b"".join(parts) + b" " * WORD, dtype=np.uint8)
-    letter = (raw >= 128) | ((raw >= 97) & (raw <= 122))
-    edge = np.diff(letter.astype(np.int8), prepend=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    doc = np.searchsorted(np.cumsum([len(p) for p in parts]), start, side="right")
-    length = end - start
-    h, docs, buckets = np.zeros(len(start), dtype=np.uint64), [], []
-    for j in range(1, WORD + 1):
-        inside = length >= j
-        h = np.where(inside, h * np.uint64(0x100000001B3) + raw[start + j - 1], h)
-        if j in BEGINNINGS:
-            docs.append(doc[inside])
-            buckets.append(_mixed(h[inside], j))
-    docs.append(doc)
-    buckets.append(_mixed(h + length.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D), 0))
-    return np.concatenate(docs), np.concatenate(buckets)
+    parts = [np.frombuffer(((t or "").lower() + "\0").encode("utf-32-le", "replace"), dtype=np.uint32) for t in texts]
+    cp = np.concatenate([np.zeros(1, np.uint32), *parts]).astype(np.uint64)
+    ends_of_texts = np.cumsum([1 + len(p) if i == 0 else len(p) for i, p in enumerate(parts)])
+    kind = _kinds()[cp.astype(np.int64)]
+    # a run's hash is a difference of running sums over all texts, so that words of any length cost the same
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((cp + np.uint64(1)) * _powers(_P, len(cp)))))
+    back = _powers(pow(_P, -1, 1 << 64), len(cp) + 1)
+    hash_of = lambda a, b: (sums[b] - sums[a]) * back[a]
+    edges = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    word = kind[edges] == 1
+    at, to = edges[word], np.append(edges[1:], len(cp))[word]
+    found = [(at, _mixed(hash_of(at, to), 0))]
+    for n in BEGINNINGS:
+        a = at[to - at > n]
+        found.append((a, _mixed(hash_of(a, a + n), n)))
+    for n in (2, 3):
+        inside = np.lib.stride_tricks.sliding_window_view(kind == 2, n).all(axis=1) if len(kind) >= n else np.zeros(0, bool)
+        a = np.flatnonzero(inside)
+        found.append((a, _mixed(hash_of(a, a + n), 32 + n)))
+    places = np.concatenate([a for a, _ in found])
+    return np.searchsorted(ends_of_texts, places, side="right"), np.concatenate([b for _, b in found])
 
 
 def _pairs(docs: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,52 +121,97 @@ def _labelled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return texts.join(F.broadcast(chosen), "id")  # of at most ``sample`` rows
 
 
+def values_of(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """A feature's value from how many toxic and clean learned documents have it; 0 under LEAST documents.
+
+    The evidence is that of the term's documents but one, taken from the side that makes the term stand out."""
+    n, share = toxic + clean, all_toxic / (all_toxic + all_clean)
+    over = toxic * all_clean > clean * all_toxic
+    t, c = np.maximum(toxic - over, 0), np.maximum(clean - ~over, 0)
+    of = np.maximum(t + c, 1)
+    part = lambda a, p: np.where(a > 0, a * np.log(np.maximum(a, 1) / (of * p)), 0.0)
+    evidence = np.maximum(2 * (part(t, share) + part(c, 1 - share)), 0)
+    return np.where(n >= LEAST, np.maximum(evidence / (evidence + HALF), NEUTRAL * n / (n + SETTLED)), 0.0)
+
+
+def fitted(starts: np.ndarray, features: np.ndarray, labels: np.ndarray, values: np.ndarray, factors: int, epochs: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors, with the features' values worked in. Document i has ``features[starts[i]:starts[i + 1]]``.
+
+    Weights follow the proximal gradient with an L1 penalty, under which a feature needs more than noise to move off 0."""
+    rng, size = np.random.default_rng(7), len(values)
+    share = labels.mean()
+    bias, bias_seen = float(np.log(share / (1 - share))), 0.0
+    pull, seen = np.zeros(size), np.zeros(size)
+    vectors, vectors_seen = rng.normal(size=(size, factors)) * 0.01, np.zeros((size, factors))
+    weights = lambda at: np.where(np.abs(pull[at]) <= L1, 0, (np.sign(pull[at]) * L1 - pull[at]) / ((1 + np.sqrt(seen[at])) / RATE + L2))
+    for _ in range(epochs):
+        order = rng.permutation(len(labels))
+        for s in range(0, len(order), BATCH):
+            rows = order[s : s + BATCH]
+            n, sizes = len(rows), starts[rows + 1] - starts[rows]
+            doc = np.repeat(np.arange(n), sizes)
+            mine = features[np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(doc))]
+            used, at = np.unique(mine, return_inverse=True)
+            x, w = values[used], weights(used)
+            v = vectors[used] * x[:, None]
+            sums = np.stack([np.bincount(doc, v[at, f], minlength=n) for f in range(factors)], axis=1)
+            raw = bias + np.bincount(doc, (w * x)[at], minlength=n) + ((sums**2).sum(axis=1) - np.bincount(doc, (v * v).sum(axis=1)[at], minlength=n)) / 2
+            off = 1 / (1 + np.exp(-np.clip(raw, -50, 50))) - labels[rows]
+            plain = np.bincount(at, off[doc], minlength=len(used))
+            step = plain * x
+            pull[used] += step - (np.sqrt(seen[used] + step * step) - np.sqrt(seen[used])) / RATE * w
+            seen[used] += step * step
+            for f in range(factors):
+                turn = x * np.bincount(at, (off * sums[:, f])[doc], minlength=len(used)) - plain * x * v[:, f] + DECAY * vectors[used, f]
+                vectors_seen[used, f] += turn * turn
+                vectors[used, f] -= VECTOR_RATE * turn / (1 + np.sqrt(vectors_seen[used, f]))
+            bias_seen += off.sum() ** 2
+            bias -= 0.1 * off.sum() / (1 + np.sqrt(bias_seen))
+    return float(bias), weights(np.arange(size)) * values, vectors * values[:, None]
+
+
 def train(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = SAMPLE, features: int = FEATURES, factors: int = FACTORS, steps: int = STEPS,
+    sample: int = SAMPLE, factors: int = FACTORS, epochs: int = EPOCHS,
 ) -> Machine:
-    """A machine learned from the texts of ``df`` whose ids ``labels`` has, at most ``sample`` of them."""
+    """A machine learned from the whole texts of ``df`` whose ids ``labels`` has, at most ``sample`` of them.
+
+    Of an id's several labels the largest counts; null ids and null labels do not. Null and empty texts are documents without
+    terms; repeated rows of an id count once each. Where the labelled rows are all clean, or there are none, every score will
+    be 0; where all are toxic, 1. Other columns of either table, whatever their names, do not matter.
+    """
     rows = _labelled(df, labels, id_col, text_col, label_col, sample)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((2, BUCKETS), dtype=np.int64)
-        totals = np.zeros(2, dtype=np.int64)
+    def list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            label = np.asarray(batch.column("label"))
-            totals += np.bincount(label, minlength=2)
             docs, buckets = _pairs(*terms(batch.column("text").to_pylist()), BUCKETS)
-            for c in (0, 1):
-                found[c] += np.bincount(buckets[label[docs] == c], minlength=BUCKETS)
-        at = np.flatnonzero(found.sum(axis=0))
-        # the last bucket stands for the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, BUCKETS)), pa.array(np.append(found[0, at], totals[0])), pa.array(np.append(found[1, at], totals[1]))], ["bucket", "clean", "toxic"])
-
-    counted = settled(rows.select("text", "label").mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    clean, toxic = next(iter([tuple(r) for r in counted.where(F.col("bucket") == BUCKETS).select("clean", "toxic").collect()]), (0, 0))
+            offsets = np.searchsorted(docs, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets.astype(np.int32)))], ["label", "h", "terms"])
+
+    listed = settled(rows.select("text", "label", F.xxhash64("id", "text").alias("h")).mapInArrow(list_terms, "label int, h long, terms array<int>").withColumn("sample", F.lit(0)))
+    totals = dict(listed.groupBy("label").count().collect())
+    clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
         return Machine(None, 0.0, None, None, 1.0 if toxic else 0.0)
-    # a chi-square statistic on documents with and without the term, of terms that are not rare
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    n, with_it = float(clean + toxic), a + b
-    chi = (a * clean - b * toxic) * (a * clean - b * toxic) * n / (with_it * (n - with_it + 1) * clean * toxic)
-    kept = [r[0] for r in counted.where((F.col("bucket") < BUCKETS) & (with_it >= max(3.0, LEAST_SHARE * n)) & (chi >= LEAST_CHI)).orderBy(F.round(chi, 6).desc(), "bucket").limit(features).select("bucket").collect()]
+    # a row for each bucket at most
+    counted = listed.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy("bucket").toArrow()
+    bucket, with_toxic, with_any = (np.asarray(counted.column(c)).astype(np.int64) for c in ("bucket", "toxic", "n"))
+    values = values_of(with_toxic, with_any - with_toxic, toxic, clean)
     feature = np.full(BUCKETS, -1, dtype=np.int64)
-    feature[np.array(kept, dtype=np.int64)] = np.arange(len(kept))
+    feature[bucket] = np.arange(len(bucket))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            docs, found = features_of(batch.column("text").to_pylist(), feature)
-            offsets = np.searchsorted(docs, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("label")), pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.astype(np.int32)))], ["label", "features"])
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("h", "ascending"), ("label", "ascending")]).combine_chunks()
+        terms_of = table.column("terms").combine_chunks()
+        found = feature[np.asarray(terms_of.flatten())]
+        row = np.repeat(np.arange(len(table)), np.asarray(pa.compute.list_value_length(terms_of)))[found >= 0]
+        bias, linear, vectors = fitted(np.searchsorted(row, np.arange(len(table) + 1)), found[found >= 0], np.asarray(table.column("label")), values, factors, epochs)
+        return pa.table({c: pa.array([np.asarray(v, dtype=np.float32).tobytes()], pa.binary()) for c, v in (("bias", bias), ("linear", linear), ("vectors", vectors))})
 
-    listed = settled(rows.select("text", "label").mapInArrow(vectors, "label double, features array<int>"))
-    named = listed.select("label", F.expr("transform(features, i -> string(i))").alias("names"))
-    vocabulary = [str(i) for i in range(max(len(kept), 1))]
-    sparse = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="names", outputCol="vector").transform(named)
-    model = FMClassifier(
-        featuresCol="vector", labelCol="label", factorSize=factors, maxIter=steps, stepSize=STEP_SIZE, regParam=REGULARIZATION, initStd=0.01, seed=7, tol=1e-5
-    ).fit(sparse.select("label", "vector"))
-    return Machine(feature, float(model.intercept), model.linear.toArray(), model.factors.toArray())
+    # the sample of at most ``sample`` documents is one group
+    learned = listed.groupBy("sample").applyInArrow(fit, "bias binary, linear binary, vectors binary").first()
+    bias, linear, vectors = (np.frombuffer(learned[c], np.float32) for c in ("bias", "linear", "vectors"))
+    return Machine(feature, float(bias[0]), linear, vectors.reshape(-1, factors))
 
 
 def features_of(texts: list[str | None], feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +222,12 @@ def features_of(texts: list[str | None], feature: np.ndarray) -> tuple[np.ndarra
     return _pairs(docs[has], found[has], BUCKETS)
 
 
+def _scores(batch: pa.RecordBatch, column: str, machine: Machine) -> np.ndarray:
+    none = np.zeros(0, np.int64)
+    docs, found = (none, none) if machine.constant is not None else features_of(batch.column(column).to_pylist(), machine.feature)
+    return machine.score(docs, found, batch.num_rows)
+
+
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``score`` (0 to 1, higher: likelier toxic) for every row of ``df``, from its whole text.
 
@@ -157,21 +238,20 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
         for batch in text_slices(batches, "text"):
-            docs, found = (none, none) if machine.constant is not None else features_of(batch.column("text").to_pylist(), machine.feature)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(machine.score(docs, found, batch.num_rows))], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(batch, "text", machine))], [id_col, "score"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def clean_rows(df: DataFrame, machine: Machine, text_col: str = "text", below: float = 0.5) -> DataFrame:
-    """The rows of ``df``, all their columns, whose score is under ``below``. As ``score``, in one pass without a join."""
+    """The rows of ``df``, all their columns, whose score is under ``below``, in one pass without a join.
+
+    Null and empty texts have the score of the bias alone and repeated rows that of each other; an empty table stays empty,
+    and columns of any name stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
         for batch in text_slices(batches, text_col):
-            docs, found = (none, none) if machine.constant is not None else features_of(batch.column(text_col).to_pylist(), machine.feature)
-            yield batch.filter(pa.array(machine.score(docs, found, batch.num_rows) < below))
+            yield batch.filter(pa.array(_scores(batch, text_col, machine) < below))
 
     return df.mapInArrow(run, df.schema)
