@@ -5,20 +5,27 @@ from __future__ import annotations
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def url_templates(depth: int = 3, max_children: int = 20, z: float = 2.58, alpha: float = 4.0, beta: float = 10.0, reject_at: float = 0.7) -> str:
+def url_templates(depth: int = 4, z: float = 2.58, alpha: float = 4.0, beta: float = 10.0, reject_at: float = 0.7) -> str:
     fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
-    segments = ", ".join(f"coalesce(string_split(shape, '/')[{k + 1}], '') as s{k}" for k in range(depth))
+    parts = "string_split(regexp_replace(shape, '^/', ''), '/')"
+    segments = ", ".join(f"coalesce({parts}[{k + 1}], '') as s{k}" for k in range(depth))
     steps, tree = "", "tree0"
     for k in range(depth + 1):
         above = ", ".join(["host", *(f"t{i}" for i in range(k))])
         steps += f"""
     , nodes{k} as (select {above}, s{k}, sum(blocked) as b, sum(allowed) as a from {tree} group by all)
-    , parents{k} as (select {above}, count(*) as children, sum(b) as pb, sum(a) as pa from nodes{k} group by all)
-    , named{k} as (
-        select {above}, s{k}, case when children > {max_children} then '*' when a + b = 0 then '?'
-            when (b / (a + b) - pb / (pa + pb)) * (b / (a + b) - pb / (pa + pb)) * (a + b)
-                <= {z}::double * {z}::double * (pb / (pa + pb) * (1 - pb / (pa + pb)) + 1 / (pa + pb)) then '~' else s{k} end as t{k}
+    , parents{k} as (select {above}, sum(b) as pb, sum(a) as pa from nodes{k} group by all)
+    , shares{k} as (
+        select {above}, s{k}, regexp_replace(regexp_replace(s{k}, '[A-Za-z]{{4,}}', '@', 'g'), '[A-Za-z]', 'a', 'g') as form, a + b as n, b / nullif(a + b, 0) as own,
+            pb / nullif(pa + pb, 0) as share, pa + pb as total
         from nodes{k} join parents{k} using ({above}))
+    , labelled{k} as (
+        select {above}, s{k}, form, case when n = 0 then null when (own - share) * (own - share) * n <= {z}::double * {z}::double * (share * (1 - share) + 1 / total) then '~'
+            else case when own > share then '+' else '-' end || least(floor(own * 5), 4)::int::varchar end as branch
+        from shares{k})
+    , variable{k} as (
+        select {above}, form, min(branch) as usual from labelled{k} where branch is not null group by {above}, form having count(*) >= 2 and min(branch) = max(branch))
+    , named{k} as (select {above}, s{k}, coalesce(branch, usual, '?' || form) as t{k} from labelled{k} left join variable{k} using ({above}, form))
     , tree{k + 1} as (select * from {tree} join named{k} using ({above}, s{k}))"""
         tree = f"tree{k + 1}"
     template = " || '/' || ".join(f"t{k}" for k in range(depth + 1))
@@ -37,13 +44,13 @@ def url_templates(depth: int = 3, max_children: int = 20, z: float = 2.58, alpha
         select host, shape, count(*)::double as n, (count(*) filter (says = 'block'))::double as blocked, (count(*) filter (says = 'allow'))::double as allowed
         from said group by all)
     , tree0 as (
-        select *, {segments}, coalesce(array_to_string(string_split(shape, '/')[{depth + 1}:], '/'), '') as s{depth} from shapes){steps}
+        select *, {segments}, coalesce(array_to_string({parts}[{depth + 1}:], '/'), '') as s{depth} from shapes){steps}
     , named as (select *, {template} as template from {tree})
     , hosts as (
         select host, (sum(blocked) + 0.5::double * (sum(n) - sum(blocked) - sum(allowed) + {beta}::double)) / (sum(n) + {beta}::double) as prior from named group by host)
     , stats as (select host, template, sum(blocked) as tb, sum(allowed) as ta from named group by all)
     , scored as (
-        select host, template, (tb + {alpha}::double * prior) / (tb + ta + {alpha}::double) as purity from stats join hosts using (host))
+        select host, template, case when tb + ta > 0 then (tb + {alpha}::double * prior) / (tb + ta + {alpha}::double) else least(prior, 0.5) end as purity from stats join hosts using (host))
     select page_id, said.host as host, path, rule, coalesce(says, case when purity >= {reject_at}::double then 'block' else 'allow' end) as verdict,
         named.template as template, round(purity, 9) as purity
     from said join named using (host, shape) join scored on scored.host = said.host and scored.template = named.template"""

@@ -1,9 +1,11 @@
 """URL filtering with rules and a tree of path templates per host.
 
-Paths of a host become a tree of segments. Digits and long hexadecimal runs are generalised first; then, level by level,
-the children of a node turn into a wildcard when there are too many of them, unlabelled children are taken together, and
-labelled children whose share of blocked pages does not differ significantly from that of all their siblings are merged.
-A template is rejected when its share of blocked labelled pages, smoothed towards its host's, reaches a threshold.
+Paths of a host become a tree of segments. Digits and long hexadecimal runs are generalised first. Then, level by level, the
+children of a node are merged by what their labelled pages say: those whose share of blocked pages does not differ
+significantly from all their siblings' are one branch, those that do are merged with the children that differ alike, in steps
+of a fifth. Children without a label join a branch only where the segment is shown to be variable, by two labelled siblings of
+the same form, all in that branch; the others are merged by form and learn nothing from their siblings. A template is rejected
+when its share of blocked labelled pages, smoothed towards its host's, reaches a threshold.
 
 Only DataFrame functions are used. All steps after the first grouping work on the distinct (host, shape) pairs.
 """
@@ -49,24 +51,35 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{12,}", "{h}"), "[0-9]+", "{n}")
 
 
-def template_purity(shapes: DataFrame, depth: int, max_children: int, z: float, alpha: float, beta: float) -> DataFrame:
+def form_of(segment: Column) -> Column:
+    """What a segment looks like: letters as a, runs of four and more of them as @, all else as it is."""
+    return F.regexp_replace(F.regexp_replace(segment, "[A-Za-z]{4,}", "@"), "[A-Za-z]", "a")
+
+
+def template_purity(shapes: DataFrame, depth: int, z: float, alpha: float, beta: float) -> DataFrame:
     """``shapes`` (host, shape, n, blocked, allowed; one row per pair) with template, purity."""
     keep = shapes.columns
-    parts = F.split("shape", "/")
+    parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
     tree = shapes
     for k in range(depth):
         tree = tree.withColumn(f"s{k}", F.coalesce(F.get(parts, F.lit(k)), F.lit("")))
-    tree = tree.withColumn(f"s{depth}", F.when(F.size(parts) > depth, F.concat_ws("/", F.slice(parts, F.lit(depth + 1), F.greatest(F.size(parts) - depth, F.lit(1))))).otherwise(""))
+    rest = F.concat_ws("/", F.slice(parts, F.lit(depth + 1), F.greatest(F.size(parts) - depth, F.lit(1))))
+    tree = tree.withColumn(f"s{depth}", F.when(F.size(parts) > depth, rest).otherwise(""))
     for k in range(depth + 1):
         above = ["host", *(f"t{i}" for i in range(k))]
         nodes = tree.groupBy(*above, f"s{k}").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-        parents = nodes.groupBy(*above).agg(F.count("*").alias("children"), F.sum("b").alias("pb"), F.sum("a").alias("pa"))
+        parents = nodes.groupBy(*above).agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"))
         n, total = F.col("b") + F.col("a"), F.col("pb") + F.col("pa")
-        share = F.col("pb") / total
-        apart = F.col("b") / n - share
+        share, own = F.col("pb") / total, F.col("b") / n
+        apart = own - share
         similar = apart * apart * n <= z * z * (share * (1 - share) + 1 / total)
-        label = F.when(F.col("children") > max_children, "*").when(n == 0, "?").when(similar, "~").otherwise(F.col(f"s{k}"))
-        named = nodes.join(parents, above).select(*above, f"s{k}", label.alias(f"t{k}"))
+        fifth = F.least(F.floor(own * 5), F.lit(4)).cast("string")
+        label = F.when(n == 0, None).when(similar, "~").when(apart > 0, F.concat(F.lit("+"), fifth)).otherwise(F.concat(F.lit("-"), fifth))
+        labelled = nodes.join(parents, above).select(*above, f"s{k}", form_of(F.col(f"s{k}")).alias("form"), label.alias("branch"))
+        forms = labelled.where("branch is not null").groupBy(*above, "form").agg(F.count("*").alias("known"), F.min("branch").alias("least"), F.max("branch").alias("most"))
+        variable = forms.where("known >= 2 and least = most").select(*above, "form", F.col("least").alias("usual"))
+        branch = F.coalesce("branch", "usual", F.concat(F.lit("?"), "form"))
+        named = labelled.join(variable, [*above, "form"], "left").select(*above, f"s{k}", branch.alias(f"t{k}"))
         tree = settled(tree.join(named, [*above, f"s{k}"]))  # read twice by the next level; distinct shapes only
     tree = tree.withColumn("template", F.concat_ws("/", *(f"t{k}" for k in range(depth + 1))))
     hosts = tree.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"))
@@ -74,19 +87,23 @@ def template_purity(shapes: DataFrame, depth: int, max_children: int, z: float,
     prior = (F.col("hb") + 0.5 * (F.col("hn") - F.col("hb") - F.col("ha") + beta)) / (F.col("hn") + beta)
     stats = tree.groupBy("host", "template").agg(F.sum("blocked").alias("tb"), F.sum("allowed").alias("ta"))
     purity = (F.col("tb") + alpha * F.col("prior")) / (F.col("tb") + F.col("ta") + alpha)
-    scored = stats.join(hosts.select("host", prior.alias("prior")), "host").select("host", "template", purity.alias("purity"))
+    # without a labelled page of its own a template is not rejected, however its host is seen
+    learned = F.when(F.col("tb") + F.col("ta") > 0, purity).otherwise(F.least(purity, F.lit(0.5)))
+    scored = stats.join(hosts.select("host", prior.alias("prior")), "host").select("host", "template", learned.alias("purity"))
     return tree.select(*keep, "template").join(scored, ["host", "template"])
 
 
 def judge_urls(
     pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url",
-    depth: int = 3, max_children: int = 20, z: float = 2.58, alpha: float = 4.0, beta: float = 10.0, reject_at: float = 0.7,
+    depth: int = 4, z: float = 2.58, alpha: float = 4.0, beta: float = 10.0, reject_at: float = 0.7, heavy: int = 1_000_000,
 ) -> DataFrame:
     """id, host, path, rule, verdict, template and purity for every row of ``pages``.
 
-    Pages that a rule decides are the labelled ones from which templates learn; the rule's verdict stands for them. Null
-    urls and urls without ``://`` have an empty host and path and are judged like any other host. Repeated rows and ids
-    give a row each; an empty table an empty result; further columns of ``pages``, whatever their names, are left out.
+    Pages that a rule decides are the labelled ones from which templates learn; the rule's verdict stands for them. The first
+    ``depth`` segments are levels of the tree and what follows them one more. Null urls and urls without ``://`` have an empty
+    host and path and are judged like any other host; urls may be of any length. Repeated rows and ids give a row each; an
+    empty table an empty result; further columns of ``pages``, whatever their names, are left out. ``heavy`` is the number of
+    pages from which a (host, shape) is sent to them rather than they to it; it changes no result.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -94,8 +111,11 @@ def judge_urls(
     base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), shape_of(F.col("path")).alias("shape"))
     count = lambda says: F.count(F.when(F.col("ruled") == says, 1))
     shapes = settled(base.groupBy("host", "shape").agg(F.count("*").alias("n"), count("block").alias("blocked"), count("allow").alias("allowed")))
-    judged = template_purity(shapes, depth, max_children, z, alpha, beta).select("host", "shape", "template", "purity")
+    judged = settled(template_purity(shapes, depth, z, alpha, beta).select("host", "shape", "n", "template", "purity"))
+    keys = ["host", "shape"]
+    # at most one heavy pair for every ``heavy`` pages, so these are few; no other key of the second join has more rows
+    often, seldom = judged.where(F.col("n") >= heavy).drop("n"), judged.where(F.col("n") < heavy).drop("n")
+    met = base.join(F.broadcast(often), keys).select(*base.columns, "template", "purity")
+    met = met.union(base.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys).select(*base.columns, "template", "purity"))
     method = F.when(F.col("purity") >= reject_at, "block").otherwise("allow")
-    return base.join(judged, ["host", "shape"]).select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", F.round("purity", 9).alias("purity")
-    )
+    return met.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "template", F.round("purity", 9).alias("purity"))

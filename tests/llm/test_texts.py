@@ -326,5 +326,26 @@ def test_templates_generalise_and_reject(spark):
     """A host whose labelled pages of one template are blocked, and of another allowed, whatever the numbers and names."""
     urls = [(i, f"http://h.test/bad/{i}/x") for i in range(30)] + [(100 + i, f"http://h.test/good/{i}") for i in range(30)]
     rules = [("h.test", f"/bad/{i}/", "block") for i in range(20)] + [("h.test", f"/good/{i}", "allow") for i in range(20)]
-    got = {r.page_id: (r.verdict, r.template) for r in url_templates.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.template) for r in url_templates.judge_urls(df, rules).collect()}
     assert all(got[i][0] == "block" for i in range(30)) and got[125][0] == "allow" and got[25][1] == got[0][1]
+    assert {r.page_id: (r.verdict, r.template) for r in url_templates.judge_urls(df, rules, heavy=20).collect()} == got
+
+
+def test_variable_segments_take_in_unlabelled_ones_of_their_form(spark):
+    """Users' spam folders are blocked where labelled, so others' are too, below any number of users; a single labelled
+    section says nothing of its siblings, even of many."""
+    user = lambda i: "user" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    urls = [(i, f"http://h.test/{user(i)}/spam/a") for i in range(60)] + [(100 + i, f"http://h.test/{user(i)}/notes/a") for i in range(60)]
+    urls += [(200 + i, f"http://x.test/{chr(97 + i % 26)}{chr(97 + i // 26)}/{i}") for i in range(400)]
+    rules = [("h.test", f"/{user(i)}/spam/", "block") for i in range(20)] + [("h.test", f"/{user(i)}/notes/", "allow") for i in range(20)] + [("x.test", "/da/", "block")]
+    got = {r.page_id: r.verdict for r in url_templates.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert all(got[i] == "block" for i in range(60)) and all(got[100 + i] == "allow" for i in range(60))
+    assert {i for i in range(400) if got[200 + i] == "block"} == {3}
+
+
+def test_templates_reject_what_rules_block(spark):
+    """On the given pages, the method's own view of the labelled pages is the rules', and it rejects whole templates."""
+    got = queries.op9_url_templates(spark, "/root/testdata/sf0.1").where("rule is not null").collect()
+    agrees = [(r.purity >= 0.7) == (r.verdict == "block") for r in got if r.rule != "org/fr/"]
+    assert sum(r.purity >= 0.7 for r in got) > 100 and sum(agrees) >= 0.9 * len(agrees)
