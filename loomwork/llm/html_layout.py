@@ -17,13 +17,13 @@ from pyspark.sql import types as T
 
 from .common import text_slices
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>
-    |<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>""",
-    re.S | re.X,
-)
+#: Where markup starts; a tag's name; and its attributes up to the end of the tag. A quote only opens a value after ``=``.
+OPENING = re.compile(r"<(?:!--|[!?]|/?(?=[a-zA-Z]))")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRS = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 SPACE = re.compile(r"[ \t\n\f\r]+")
+SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[a-zA-Z]?[\w-]*[.#][\w-]+")
 STYLE_NONE = re.compile(r"display\s*:\s*none", re.I)
 STYLE_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
@@ -46,15 +46,16 @@ ENDS = {
 }
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "object", "html"))
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
-#: Elements nested deeper than this become siblings, as in browsers. A column with a wider cell than WIDE is not padded.
+#: Elements nested deeper than this become siblings, as in browsers. A cell beside others is wrapped to WIDE characters, and
+#: spans over more columns than MOST_SPAN count as so many.
 DEPTH, WIDE, MOST_SPAN = 300, 60, 100
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "hidden")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.hidden = tag, attrs, [], False
 
     def attr(self, name: str) -> str | None:
         """The attribute's value, empty if it has none, None if it is absent."""
@@ -69,9 +70,72 @@ class Node:
         return int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else default
 
 
+def tokens(html: str, at: int, quotes: bool) -> tuple[int, int, str, str, str | None, bool]:
+    """The next markup from ``at``: where it starts and ends, its kind (start, end, other or none), name and attributes, and
+    whether quotes still count. Each character is looked at a fixed number of times over all calls for a text.
+
+    Markup that is not closed hides the rest if it is a comment, and is text otherwise. After a first tag whose quotes run to
+    the end of the text, tags end at the next ``>``."""
+    m = OPENING.search(html, at)
+    if m is None:
+        return len(html), len(html), "none", "", None, quotes
+    start, mark = m.start(), m[0]
+    if mark == "<!--":
+        end = html.find("-->", start + 2)
+        return start, end + 3 if end >= 0 else len(html), "other", "", None, quotes
+    if mark in ("<!", "<?"):
+        return start, html.find(">", start) + 1 or len(html), "other", "", None, quotes
+    name = NAME.match(html, m.end())
+    attrs = ATTRS.match(html, name.end()) if quotes else None
+    if attrs is None:
+        end = html.find(">", name.end())
+        if end < 0:
+            return len(html), len(html), "none", "", None, False
+        return start, end + 1, "end" if mark == "</" else "start", name[0].lower(), html[name.end() : end], False
+    return start, attrs.end(), "end" if mark == "</" else "start", name[0].lower(), attrs[1], quotes
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, body) of the rules of a style sheet that are not within another block."""
+    first, *others = sheet.split("/*")
+    sheet = first + "".join(" " + x.partition("*/")[2] for x in others)
+    depth = start = opened = 0
+    for m in re.finditer("[{};]", sheet):
+        if m[0] == "{":
+            opened = m.start() if depth == 0 else opened
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                yield sheet[start:opened], sheet[opened + 1 : m.start()]
+        start = m.end() if depth == 0 else start
+
+
+def hiding(sheets: list[str]) -> set[str]:
+    """Selectors of one tag, class or id, or a tag with one of these, that style sheets give ``display: none``."""
+    found: set[str] = set()
+    for sheet in sheets:
+        for selectors, body in _rules(sheet):
+            if not selectors.lstrip().startswith("@") and STYLE_NONE.search(body):
+                found.update(x.strip() for x in selectors.split(",") if SIMPLE.fullmatch(x.strip()))
+    return found
+
+
+def _hide(root: Node, selectors: set[str]) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        keys = [node.tag]
+        if node.attrs:
+            keys += [k for c in (node.attr("class") or "").split() for k in (f".{c}", f"{node.tag}.{c}")]
+            keys += [k for i in (node.attr("id") or "").split() for k in (f"#{i}", f"{node.tag}#{i}")]
+        node.hidden = not selectors.isdisjoint(keys)
+        todo.extend(c for c in node.children if not isinstance(c, str))
+
+
 def parse(html: str) -> Node:
     root = Node("#root")
-    stack = [root]
+    stack, sheets = [root], []
 
     def close(names: tuple, until: tuple | frozenset) -> None:
         last = 0
@@ -83,17 +147,17 @@ def parse(html: str) -> Node:
         if last:
             del stack[last:]
 
-    at, size = 0, len(html)
+    at, size, quotes = 0, len(html), True
+    unseen, inside = "", 0  # an unseen element below DEPTH, and how many elements of its name are open
     while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
-            stack[-1].children.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if name := m["end"]:
-            name = name.lower()
+        start, end, kind, name, attrs, quotes = tokens(html, at, quotes)
+        if start > at and not inside:
+            stack[-1].children.append(unescape(html[at:start]))
+        at = end
+        if inside:
+            inside += (name == unseen) * ((kind == "start") - (kind == "end"))
+            continue
+        if kind == "end":
             if name == "br":
                 stack[-1].children.append(Node("br"))
             elif name not in ("body", "html"):  # what follows them still belongs to the body
@@ -104,11 +168,7 @@ def parse(html: str) -> Node:
                     if stack[i].tag in SCOPE and name not in TABLE_TAGS:
                         break
             continue
-        name, attrs = (m["start"], m["attrs"]) if m["start"] else (m["loose"], m["rest"])
-        if not name:
-            continue
-        name = name.lower()
-        if name in ("html", "body") and any(n.tag == name for n in stack[:4]):
+        if kind != "start" or name in ("html", "body") and any(n.tag == name for n in stack[:4]):
             continue
         if name in ENDS:
             close(*ENDS[name])
@@ -119,19 +179,25 @@ def parse(html: str) -> Node:
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name in RAW or name in ESCAPED_RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
-            text = html[at : end.start() if end else size]
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+            text = html[at : found.start() if found else size]
             node.children.append(unescape(text) if name in ESCAPED_RAW else text)
-            at = (html.find(">", end.start()) + 1 or size) if end else size
+            if name == "style":
+                sheets.append(text)
+            at = (html.find(">", found.start()) + 1 or size) if found else size
         elif name not in VOID and not attrs.endswith("/") or name not in VOID and name in BLOCKS:
             if len(stack) < DEPTH:
                 stack.append(node)
+            elif not visibility(node, True)[0]:
+                unseen, inside = name, 1
+    if selectors := hiding(sheets):
+        _hide(root, selectors)
     return root
 
 
 def visibility(node: Node, shown: bool) -> tuple[bool, bool]:
     """(is it laid out, are its texts seen)."""
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.hidden:
         return False, False
     if node.attrs:
         low = node.attrs.lower()
@@ -244,10 +310,50 @@ def listed(node: Node, shown: bool) -> list[str]:
     return out
 
 
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of at most WIDE characters, but for longer words."""
+    out = []
+    for line in lines:
+        while len(line) > WIDE:
+            cut = line.rfind(" ", 0, WIDE + 1)
+            cut = cut if line[: max(cut, 0)].strip() else line.find(" ", WIDE)
+            if cut < 0:
+                break
+            out.append(line[:cut].rstrip())
+            line = line[cut + 1 :]
+        out.append(line)
+    return out
+
+
 def tabled(node: Node, shown: bool) -> list[str]:
-    """Captions, then rows with their cells side by side; each column as wide as its widest cell."""
+    """Captions, then rows with their cells side by side; each column as wide as its widest cell. Columns without any text, and
+    the places that a cell of several rows or columns takes up, are not seen."""
     captions: list[str] = []
-    rows: list[list[list[str]]] = []
+    rows: list[dict[int, list[str]]] = []
+    taken: dict[int, int] = {}  # rows that a cell from above still takes up in a column
+
+    def place(row: Node, seen: bool) -> dict[int, list[str]]:
+        cells: dict[int, list[str]] = {}
+        at, below = 0, dict(taken)
+        for cell in row.children:
+            if isinstance(cell, str):
+                if seen and cell.strip():
+                    captions.append(SPACE.sub(" ", cell).strip())
+                continue
+            laid, visible = visibility(cell, seen)
+            if not laid:
+                continue
+            while taken.get(at, 0) > 0:
+                at += 1
+            cells[at] = _bare(block(cell, visible, False) if cell.tag in BLOCKS and cell.tag not in CELL else flow(cell, visible))
+            height = cell.number("rowspan", 1)
+            for _ in range(max(min(cell.number("colspan", 1), MOST_SPAN), 1)):
+                if height != 1:
+                    below[at] = height if height > 0 else len(node.children) + 65534  # 0 is to the end of the table
+                at += 1
+        taken.clear()
+        taken.update({c: n - 1 for c, n in below.items() if n > 1})
+        return cells
 
     def gather(parent: Node, seen: bool) -> None:
         for child in parent.children:
@@ -261,34 +367,32 @@ def tabled(node: Node, shown: bool) -> list[str]:
             if child.tag in ("thead", "tbody", "tfoot", "colgroup"):
                 gather(child, visible)
             elif child.tag == "tr":
-                cells: list[list[str]] = []
-                for cell in child.children:
-                    if isinstance(cell, str):
-                        if visible and cell.strip():
-                            captions.append(SPACE.sub(" ", cell).strip())
-                        continue
-                    cell_laid, cell_shown = visibility(cell, visible)
-                    if cell_laid:
-                        cells.append(_bare(block(cell, cell_shown, False) if cell.tag in BLOCKS and cell.tag not in CELL else flow(cell, cell_shown)))
-                        cells.extend([] for _ in range(min(cell.number("colspan", 1), MOST_SPAN) - 1))
-                rows.append(cells)
+                rows.append(place(child, visible))
             else:
                 captions.extend(block(child, visible, False) if child.tag in BLOCKS else flow(child, visible))
 
     gather(node, shown)
-    columns = max(map(len, rows), default=0)
-    widths = [max((len(line) for row in rows if c < len(row) for line in row[c]), default=0) for c in range(columns)]
+    columns = sorted({c for row in rows for c, lines in row.items() if lines})
+    if len(columns) > 1:
+        rows = [{c: _wrapped(lines) for c, lines in row.items()} for row in rows]
+    widths = _widths(rows)
     out = list(captions)
     for row in rows:
-        if len(row) == 1:
-            out.extend(row[0])
-            continue
-        for i in range(max(map(len, row), default=0)):
-            cells = [cell[i] if i < len(cell) else "" for cell in row]
-            out.append("  ".join(c.ljust(w) if w <= WIDE else c for c, w in zip(cells, widths)).rstrip())
+        last = max((c for c, lines in row.items() if lines), default=-1)
+        mine = [c for c in columns if c <= last]
+        for i in range(max((len(row[c]) for c in mine if c in row), default=0)):
+            out.append("  ".join((row[c][i] if c in row and i < len(row[c]) else "").ljust(widths[c] if c != last else 0) for c in mine).rstrip())
     return out
 
 
+def _widths(rows: list[dict[int, list[str]]]) -> dict[int, int]:
+    widths: dict[int, int] = {}
+    for row in rows:
+        for c, lines in row.items():
+            widths[c] = max(widths.get(c, 0), *(min(len(line), WIDE) for line in lines), 0)
+    return widths
+
+
 def render(html: str | None) -> str:
     return "\n".join(_bare(flow(parse(html), True))) if html else ""
 
@@ -296,8 +400,9 @@ def render(html: str | None) -> str:
 def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id and ``text``, the visible text of every row's HTML laid out as plain lines.
 
-    Null and empty HTML give an empty text; text without tags is one paragraph; damaged markup never fails. Pages are read
-    whole. Repeated rows give a row each; an empty table gives an empty result; other columns of ``df``, whatever their
+    Null and empty HTML give an empty text; text without tags is one paragraph; damaged markup never fails, and the time for a
+    page grows with its length only. Pages are read whole. Of style sheets only rules that hide a tag, a class or an id are
+    followed, of scripts nothing. Repeated rows give a row each; an empty table gives an empty result; other columns of ``df``, whatever their
     names, are left out.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("text", T.StringType())])

@@ -294,6 +294,87 @@ def test_html_layout():
     assert html_layout.render(page) == want
 
 
+def test_html_tables_styles_and_depth():
+    render = html_layout.render
+    assert render("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert render("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == "a  b  c\nd     e\nf     g"
+    assert render("<table><tr><td colspan=2>wide<td>x<tr><td>p<td>q<td>r</table>") == "wide     x\np     q  r"
+    words = " ".join(["word"] * 20)
+    assert render(f"<table><tr><td>{words}<td>x<tr><td>a<td>y</table>").splitlines()[0].endswith("word  x") and render(f"<table><tr><td>{words}</table>") == words
+    long = "w" * 100
+    assert render(f"<table><tr><td>{long}<td>x<tr><td>a<td>y</table>") == f"{long}  x\na{' ' * 61}y"
+    style = "<style>/* p{display:none} */ .gone, #off , b.x{ color:red; display : none } @media print{.shown{display:none}} i > u {display:none}</style>"
+    assert render(style + "<p class='a gone'>1<p id=off>2<p class=shown>3<b class=x>4</b><b>5</b><i><u>6") == "356"
+    assert render("<div>" * 400 + "a<span hidden>b<span>c</span>d</span><i style='display:none'>e</i>f") == "af"
+    assert render("<a title='x > y'>t</a><a title=\"q>r</a> s") == "tr s" and render("a < b <3 c") == "a < b <3 c"
+
+
+def test_html_time_grows_with_the_length_only():
+    import time
+
+    damaged = ["<a", '<a x=">" ', "<p", "<!--", "<a '", '<a "', "<div><b>", "</x>", "<table><tr><td>", "<li>", "<p><button>", "<style>", "&am", "<td colspan=1000>x<tr>"]
+    for piece in damaged:
+        spent = []
+        for n in (20_000, 100_000):
+            began = time.perf_counter()
+            html_layout.render(piece * (n // len(piece)))
+            spent.append(time.perf_counter() - began)
+        assert spent[1] < 12 * max(spent[0], 0.05), piece
+
+
+def test_html_of_a_very_long_page():
+    rows_of = [f"<tr><td>name {i}<td>{i}" for i in range(60_000)]
+    page = "<p>start<p>" + "long words " * 150_000 + "<table>" + "".join(rows_of) + "</table><p>end"
+    assert len(page) > 3_000_000
+    lines = html_layout.render(page).split("\n")
+    assert lines[0] == "start" and lines[-1] == "end" and len(lines[2]) == 11 * 150_000 - 1 and lines[4:6] == ["name 0" + " " * 4 + "  0", "name 1" + " " * 4 + "  1"]
+
+
+def test_html_layout_matches_a_plain_renderer():
+    """Random pages written with and without the end tags that may be left out, and their text put together by hand."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    text = lambda most: " ".join(word() for _ in range(rng.randint(1, most)))
+    end = lambda tag: f"</{tag}>" if rng.random() < 0.5 else ""
+
+    def listing(depth):
+        ordered, html, lines = rng.random() < 0.5, [], []
+        for i in range(rng.randint(1, 4)):
+            t = text(5)
+            mark = f"{i + 1}. " if ordered else "- "
+            lines.append(mark + t)
+            inner = ""
+            if depth and rng.random() < 0.4:
+                inner, below = listing(depth - 1)
+                lines += [" " * len(mark) + x for x in below]
+            html.append(f"<li>{t}{inner}{end('li')}")
+        tag = "ol" if ordered else "ul"
+        return f"<{tag}>{''.join(html)}</{tag}>", lines
+
+    def table():
+        n, grid = rng.randint(2, 4), [[text(3) for _ in range(4)] for _ in range(rng.randint(1, 5))]
+        grid = [row[:n] for row in grid]
+        html = "".join("<tr>" + "".join(f"<td>{c}{end('td')}" for c in row) + end("tr") for row in grid)
+        wide = [max(len(row[c]) for row in grid) for c in range(n)]
+        return f"<table>{html}</table>", ["  ".join(c.ljust(w) for c, w in zip(row, wide)).rstrip() for row in grid]
+
+    for _ in range(200):
+        html, want = [], []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                t = text(12)
+                made = f"<p>{t.replace(' ', rng.choice([' ', chr(10), '  ']))}{end('p')}", [t]
+            elif kind == 1:
+                t = text(4)
+                made = f"<h2>{t}</h2>", [t]
+            else:
+                made = listing(2) if kind == 2 else table()
+            html.append(made[0])
+            want.append("\n".join(made[1]))
+        assert html_layout.render("<body>" + "".join(html)) == "\n\n".join(want), html
+
+
 def test_html_odd_rows(spark):
     odd = ["", None, "plain", "<", "<p", "<div>" * 3000 + "deep", "<table>x<td>y</table>z", "</p></div>q", '<a "b>c', "<ul>t<p>u</ul>", "<p>a</p>" * 2000]
     df = spark.createDataFrame(list(enumerate(odd)), "page_id long, html string").withColumn("text", F.lit("clash"))
