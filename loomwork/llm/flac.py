@@ -1,8 +1,9 @@
 """FLAC as a column: texts stored losslessly as 8-bit mono audio, checked, and read back as seekable PCM blocks.
 
 The stored form is a plain FLAC stream: STREAMINFO, a SEEKTABLE with a point for every frame, and frames of 192 samples
-with constant, verbatim or fixed-predictor subframes and Rice-coded residuals. The decoder also takes quantised linear
-predictors, several Rice partitions, 5-bit parameters, escaped partitions and streams without a seek table.
+with constant, verbatim, fixed-predictor or quantised linear-predictor subframes and Rice-coded residuals. The decoder also
+takes predictors of other orders, several Rice partitions, 5-bit parameters, escaped partitions and streams without a seek
+table. Streams of more than one channel or of other than 8 bits a sample are reported as errors, not read.
 
 Within a task the frames of many rows are coded in step: the n-th sample of every frame at once, by numpy arrays.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,9 @@ from .common import text_bytes, text_slices
 BLOCK, RATE, PAD = 192, 8000, 32
 #: Coefficients of the format's fixed predictors, by order.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
+#: Order of the encoder's linear predictors, bits of a coefficient, and by how many bits a prediction is shifted.
+ORDER, PRECISION, SHIFT = 4, 9, 6
+LPC_BITS = 9 + ORDER * PRECISION
 
 
 def _crc_table(bits: int, poly: int) -> np.ndarray:
@@ -74,6 +78,23 @@ def _headers(most: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, lengths
 
 
+def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients of each frame's linear predictor, by Levinson's recursion on exact autocorrelations, and the
+    residuals of all samples but the first ORDER."""
+    r = np.stack([(x[:, lag:].astype(np.int64) * x[:, : BLOCK - lag]).sum(axis=1) for lag in range(ORDER + 1)], axis=1).astype(np.float64)
+    a, error = np.zeros((len(x), ORDER)), r[:, 0].copy()
+    for i in range(ORDER):
+        left = r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)
+        k = np.divide(left, error, out=np.zeros(len(x)), where=error > 0)
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error *= 1 - k * k
+    half = 1 << (PRECISION - 1)
+    q = np.clip(np.rint(a * (1 << SHIFT)), -half, half - 1).astype(np.int32)
+    predicted = sum(q[:, j : j + 1] * x[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> SHIFT
+    return q, x[:, ORDER:] - predicted
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames of signed 8-bit ``samples`` (frames by BLOCK) one after another, and the length of each in bytes."""
     frames = len(samples)
@@ -87,21 +108,28 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
         better = total < cost
         best[better, o:] = step[better]
         cost, order = np.where(better, total, cost), np.where(better, o, order)
+    coefs, left = _linear(x)
+    total = np.abs(left).sum(axis=1)
+    # a halved residual saves a bit a sample
+    lpc = (BLOCK - ORDER) * np.log2((cost + 1) / (total + 1)) > LPC_BITS + 8 * (ORDER - order)
+    best[lpc, ORDER:] = left[lpc]
+    order[lpc] = ORDER
     u = ((best << 1) ^ (best >> 31)).astype(np.int64)
-    for o in (1, 2):
+    for o in (1, 2, ORDER):
         u[order == o, :o] = 0
+    extra = np.where(lpc, LPC_BITS, 0)
     count = BLOCK - order
     k0 = np.clip(np.log2(np.maximum(u.sum(axis=1) / count, 1)).astype(np.int64), 0, 14)
     bits = np.stack([(u >> k[:, None]).sum(axis=1) + count * (1 + k) for k in (np.maximum(k0 - 1, 0), k0)])
     k = np.where(bits[0] < bits[1], np.maximum(k0 - 1, 0), k0)
     bits = bits.min(axis=0)
     constant = (x == x[:, :1]).all(axis=1)
-    verbatim = ~constant & (bits + 10 + 8 * order >= 8 * BLOCK)
+    verbatim = ~constant & (bits + 10 + extra + 8 * order >= 8 * BLOCK)
     coded = ~constant & ~verbatim
 
     rows, head_of = _headers(int(numbers.max(initial=0)))
     head = head_of[numbers]
-    body = np.where(constant, 2, np.where(verbatim, 1 + BLOCK, 1 + order + (10 + bits + 7) // 8))
+    body = np.where(constant, 2, np.where(verbatim, 1 + BLOCK, 1 + order + (10 + extra + bits + 7) // 8))
     lengths = head + body + 2
     starts = np.cumsum(lengths) - lengths
     total = int(lengths.sum())
@@ -113,11 +141,11 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
         uc, kc, oc = u[c], k[c][:, None], order[c]
         q = uc >> kc
         size = q + 1 + kc
-        for o in (1, 2):
+        for o in (1, 2, ORDER):
             size[oc == o, :o] = 0
-        first = (starts[c] + head[c] + 1 + oc) * 8
+        first = (starts[c] + head[c] + 1 + oc) * 8 + extra[c]
         at = np.cumsum(size, axis=1) - size + (first + 10)[:, None] + q
-        for o in (1, 2):
+        for o in (1, 2, ORDER):
             at[oc == o, :o] = total * 8  # warm-up samples have no code; what is put there falls beyond the end
         one[at] = 1
         for j in range(int(kc[0, 0])):
@@ -126,17 +154,23 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
             one[np.minimum(at[:n], total * 8, out=at[:n])] = (uc[:n] >> (kc[:n] - 1 - j)) & 1
         for j in range(4):
             one[first + 6 + j] = (kc[:, 0] >> (3 - j)) & 1
+        w = np.flatnonzero(lpc[c])
+        place = first[w] - LPC_BITS
+        for value, width in ((np.full(len(w), PRECISION - 1), 4), (np.full(len(w), SHIFT), 5), *((coefs[c[w], j], PRECISION) for j in range(ORDER))):
+            for j in range(width):
+                one[place + j] = (value >> (width - 1 - j)) & 1
+            place = place + width
     out = np.packbits(one[:-1])
     for i in range(rows.shape[1]):
         has = head > i
         out[(starts + i)[has]] = rows[numbers[has], i]
     sub = starts + head
-    out[sub] = np.where(constant, 0, np.where(verbatim, 2, (8 + order) << 1))
+    out[sub] = np.where(constant, 0, np.where(verbatim, 2, np.where(lpc, 31 + ORDER, 8 + order) << 1))
     raw = samples.view(np.uint8)
     out[sub[constant] + 1] = raw[constant, 0]
     if verbatim.any():
         out[(sub[verbatim] + 1)[:, None] + np.arange(BLOCK)] = raw[verbatim]
-    for o in (1, 2):
+    for o in (1, 2, ORDER):
         for i in range(o):
             w = coded & (order == o)
             out[sub[w] + 1 + i] = raw[w, i]
@@ -442,37 +476,48 @@ def features(payload: bytes) -> str:
     return f"rms={np.sqrt((x * x).sum() / n):.6f};mean={x.sum() / n:.6f};crossings={crossings};peak={int(np.abs(x).max(initial=0))}"
 
 
-def decode_flac(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """All columns of ``df`` with ``payload`` (the decoded bytes), ``feature`` and ``error``.
+BLOCKS = T.ArrayType(T.StructType([*(T.StructField(c, T.LongType()) for c in ("block_no", "sample_offset", "byte_offset", "n_samples")), T.StructField("pcm", T.BinaryType())]), False)
+
 
-    Header and frame checksums, frame numbers, sample counts and the stream's MD5 are verified. A stream that fails, or a
-    null, has a null payload and feature, and ``error`` says why; it never fails the task. Of ``df``'s own columns, those
-    with one of the three names are replaced.
+def payload_of(blocks: Column) -> Column:
+    """The bytes of all PCM blocks one after another."""
+    return F.unhex(F.array_join(F.transform(blocks, lambda b: F.hex(b["pcm"])), ""))
+
+
+def decode_flac(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """All columns of ``df`` with ``blocks``, the stream's PCM blocks in order, ``payload`` (their bytes), ``feature`` and
+    ``error``.
+
+    A block has its number, the ``sample_offset`` and ``byte_offset`` (in the stream) to seek by, ``n_samples``, and ``pcm``
+    (unsigned 8-bit, as WAV files have it). Header and frame checksums, frame numbers, sample counts and the stream's MD5 are
+    verified. A stream that fails, is empty or null, has null blocks, payload and feature, and ``error`` says why; it never
+    fails the task. Equal and repeated rows have equal results, an empty table an empty one; streams are read whole. Of
+    ``df``'s own columns, those with one of the four names are replaced.
     """
-    kept = [c for c in df.columns if c not in ("payload", "feature", "error")]
-    fields = [df.schema[c] for c in kept] + [T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())]
+    kept = [c for c in df.columns if c not in ("blocks", "payload", "feature", "error")]
+    fields = [df.schema[c] for c in kept] + [T.StructField("blocks", BLOCKS), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, media_col, 1 << 20):
             got = decode_streams(batch.column(media_col).to_pylist())
-            more = [pa.array([g[0] for g in got], pa.binary()), pa.array([None if g[0] is None else features(g[0]) for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
+            good = [g for g in got if g[0] is not None]
+            table = np.concatenate([np.zeros((0, 4), np.int64), *(g[1] for g in good)])
+            # blocks follow each other in a stream's samples, and streams in a slice
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(table[:, 3])))
+            pcm = pa.Array.from_buffers(pa.large_binary(), len(table), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(g[0] for g in good))]).cast(pa.binary())
+            rows = pa.StructArray.from_arrays([*(pa.array(table[:, j]) for j in range(4)), pcm], [f.name for f in BLOCKS.elementType])
+            upto = np.cumsum([0, *(len(g[1]) if g[0] is not None else 0 for g in got)])
+            blocks = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows, mask=pa.array([g[0] is None for g in got], pa.bool_()))
+            more = [blocks, pa.array([None if g[0] is None else features(g[0]) for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [f.name for f in fields])
 
-    return df.select(*kept).mapInArrow(run, T.StructType(fields))
+    read = df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, T.StructType(fields))
+    return read.withColumn("payload", payload_of(F.col("blocks")))
 
 
 def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for every frame: id, ``block_no``, ``sample_offset`` and ``byte_offset`` to seek by, ``n_samples`` and ``pcm``
-    (signed 8-bit). Streams that fail their checks give none."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("block_no", "sample_offset", "byte_offset", "n_samples")), T.StructField("pcm", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "media", 1 << 20):
-            got = decode_streams(batch.column("media").to_pylist())
-            rows = [i for i, g in enumerate(got) if g[1] is not None for _ in range(len(g[1]))]
-            parts = [g[1] for g in got if g[1] is not None]
-            table = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-            pcm = [(np.frombuffer(g[0], np.uint8) ^ np.uint8(128))[a : a + n].tobytes() for g in got if g[1] is not None for a, n in zip(g[1][:, 1].tolist(), g[1][:, 3].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), *(pa.array(table[:, j], pa.int64()) for j in range(4)), pa.array(pcm, pa.binary())], [f.name for f in schema])
-
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
+    """A row for every frame: id, ``block_no``, ``sample_offset`` and ``byte_offset`` to seek by, ``n_samples`` and ``pcm``, as
+    in ``decode_flac``. Streams that are null or fail their checks give none, repeated rows give theirs each; an empty table
+    gives an empty result, and other columns of ``df``, whatever their names, are left out."""
+    read = decode_flac(df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")))
+    return read.select("id", F.explode("blocks").alias("b")).select(F.col("id").alias(id_col), "b.*")
