@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,6 @@ from .common import counted, text_slices
 
 #: Ranks in a language's profile, and most frequent n-grams of a document that are compared.
 PROFILE, COMPARED = 400, 300
-#: N-grams below this share of a language's n-grams are not collected: at most 1 / MIN_SHARE reach the driver per language.
-MIN_SHARE = 2e-5
 UNDETERMINED = "und"
 EDGE = 1  # stands for anything between words; no letter has this code point
 
@@ -93,7 +91,12 @@ def _counted(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
-    """Each language's most frequent n-grams in order, counted over every row with a text and a language."""
+    """Each language's ``size`` most frequent n-grams in order, counted over every row with a text and a language.
+
+    Ties are in the order of the n-grams' code points. Null and empty texts and null languages count for nothing, repeated rows
+    once each; a language without a letter has no profile, and an empty table gives none. Texts are read whole; other columns
+    of ``df``, whatever their names, do not matter.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
@@ -118,12 +121,13 @@ def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size
 
     usable = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     totalled = usable.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = totalled.groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = totalled.join(totals, "lang").where(F.col("n") >= F.col("total") * MIN_SHARE).select("lang", "gram", "n").collect()
+    # every task keeps the first ``size`` of each language before they meet
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    rows = totalled.withColumn("place", place).where(F.col("place") <= size).select("lang", "place", "gram").collect()
     found: dict[str, list] = {}
-    for lang, gram, n in rows:
-        found.setdefault(lang, []).append((-n, gram))
-    return {lang: [g for _, g in sorted(found[lang])[:size]] for lang in sorted(found)}
+    for lang, place_of, gram in rows:
+        found.setdefault(lang, []).append((place_of, gram))
+    return {lang: [g for _, g in sorted(found[lang])] for lang in sorted(found)}
 
 
 def distances(cp: np.ndarray, ranked: list[tuple[np.ndarray, np.ndarray]], size: int, compared: int) -> tuple[np.ndarray, int]:
@@ -190,7 +194,8 @@ def identify(df: DataFrame, learned: dict[str, list[int]], id_col: str = "doc_id
 
 def identified_rows(df: DataFrame, learned: dict[str, list[int]], text_col: str = "text", least_fit: float = 0.25) -> DataFrame:
     """The rows of ``df``, all their columns, whose language is determined and whose text fits it at all: those with a fit
-    of at least ``least_fit``. As ``identify``, in one pass without a join."""
+    of at least ``least_fit``, in one pass without a join. Null and empty texts go; repeated rows stay or go together; an empty
+    table stays empty, and columns of any name stay as they are."""
     name = Identifier(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

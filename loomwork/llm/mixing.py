@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import new_name, settled
 
 WORDS = r"[^\x20\x09-\x0D]+"
 MISSING = "(missing)"
@@ -113,10 +113,13 @@ def mix(
 
 
 def mixed_rows(df: DataFrame, dimensions: dict[str, Column], share: float, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, all their columns, that ``mix`` samples: the cells' probabilities are looked up for each row."""
+    """The rows of ``df``, all their columns, that ``mix`` samples: the cells' probabilities are looked up for each row.
+
+    Null categories, ids and texts, ties and repeated rows are as in ``mix``; an empty table stays empty, and columns of any
+    name stay as they are."""
     drawn = mix(df, dimensions, share, id_col=id_col, text_col=text_col, **options)
-    names = [f"mix_{i}" for i in range(len(dimensions))]
-    cells = drawn.groupBy(*dimensions).agg(F.max("prob").alias("mix_prob")).toDF(*names, "mix_prob")
+    names, prob = [new_name(df, f"mix_{i}") for i in range(len(dimensions))], new_name(df, "mix_prob")
+    cells = drawn.groupBy(*dimensions).agg(F.max("prob").alias(prob)).toDF(*names, prob)
     keyed = df.withColumns({n: F.coalesce(c.cast("string"), F.lit(MISSING)) for n, c in zip(names, dimensions.values())})
     # a row for each cell, of which there are MOST_CELLS at most
-    return keyed.join(F.broadcast(cells), names).where(uniform(id_col, options.get("seed", "mix")) < F.col("mix_prob")).select(*df.columns)
+    return keyed.join(F.broadcast(cells), names).where(uniform(id_col, options.get("seed", "mix")) < F.col(prob)).drop(*names, prob).select(*(F.col(f"`{c}`") for c in df.columns))

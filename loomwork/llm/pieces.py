@@ -46,8 +46,8 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.lengths: list[int] = []
+        # what is learned is put at the end of arrays that grow by doubling, so that a slice costs what it has new
+        self.flat, self.starts, self.used = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int64), 0
 
     def learn(self, new: list[str]) -> None:
         """The library puts one marker before a text, so a chunk's own first marker is left out; a chunk without one is
@@ -55,11 +55,19 @@ class ChunkTable:
         marked = [c[0] in " ▁" for c in new]
         ids = self.model.encode([c[1:] if m else "\n" + c for c, m in zip(new, marked)], num_threads=1)
         skip = 1 + len(self.line_end)
-        for chunk, m, found in zip(new, marked, ids):
-            found = (found or [self.marker_id]) if m else self.line_end if chunk == "\n" else found[skip:]
-            self.index[chunk] = len(self.lengths)
-            self.lengths.append(len(found))
-            self.flat.extend(found)
+        found = [(f or [self.marker_id]) if m else self.line_end if c == "\n" else f[skip:] for c, m, f in zip(new, marked, ids)]
+        first, n = len(self.index), len(self.index) + len(new)
+        self.index.update(zip(new, range(first, n)))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(new))
+        upto = self.used + np.cumsum(sizes)
+        used = int(upto[-1]) if len(upto) else self.used
+        self.flat, self.starts = self._grown(self.flat, used), self._grown(self.starts, n + 1)
+        self.flat[self.used : used] = np.fromiter((i for f in found for i in f), dtype=np.int32, count=used - self.used)
+        self.starts[first + 1 : n + 1], self.used = upto, used
+
+    @staticmethod
+    def _grown(values: np.ndarray, size: int) -> np.ndarray:
+        return values if size <= len(values) else np.concatenate((values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
@@ -73,13 +81,12 @@ class ChunkTable:
         self.learn(sorted(new))
         at = np.fromiter((self.index[c] for row in chunks for c in row), dtype=np.int64)
         per_text = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        lengths = np.array(self.lengths, dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[at] if len(at) else np.zeros(0, np.int64)
+        first = self.starts[at]
+        n = self.starts[at + 1] - first
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total) + np.repeat((starts[at] if len(at) else n) - (ends - n), n)
-        ids = np.array(self.flat, dtype=np.int32)[places] if total else np.zeros(0, np.int32)
+        places = np.arange(total) + np.repeat(first - (ends - n), n)
+        ids = self.flat[places]
         upto = np.concatenate(([0], ends))
         bounds = np.concatenate(([0], np.cumsum(per_text)))
         return ids, np.diff(upto[bounds])

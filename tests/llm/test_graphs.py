@@ -95,6 +95,9 @@ def test_one_row_of_each_group_stays(spark):
     table = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (9, "other words here", "c"), (None, text, "d"), (None, None, "e"), (8, None, "f")]
     df = spark.createDataFrame(table, "doc_id long, text string, x string")
     assert sorted(r.x for r in jaccard.one_of_each(df).collect()) == ["b", "c", "d", "e", "f"] and jaccard.one_of_each(df).columns == df.columns
+    clash = df.withColumns({"row_of_id": F.lit("mine"), "m": F.create_map(F.lit("k"), F.col("x")), "component_id": F.lit(-1)})
+    kept = jaccard.one_of_each(clash)
+    assert kept.columns == clash.columns and sorted((r.x, r.row_of_id, r.m["k"], r.component_id) for r in kept.collect()) == [(x, "mine", x, -1) for x in "bcdef"]
 
 
 def test_components(spark):
@@ -235,6 +238,9 @@ def test_mixing_odd_rows(spark):
     kept = mixing.mixed_rows(df, dims, 0.5)
     assert kept.columns == df.columns and sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r.doc_id) for r in got if r.sampled)
     assert mixing.mix(df.where("false"), dims, 0.5).count() == 0
+    clash = df.withColumns({"mix_0": F.lit("mine"), "MIX_prob": F.lit(7), "a.b": F.lit("dot")})
+    kept = mixing.mixed_rows(clash, dims, 0.5)
+    assert kept.columns == clash.columns and {(r.mix_0, r.MIX_prob, r["a.b"]) for r in kept.collect()} == {("mine", 7, "dot")}
 
 
 @pytest.mark.parametrize("name", ["op1_mixing", "op9_url_templates"])

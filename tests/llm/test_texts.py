@@ -74,9 +74,9 @@ def test_flac_round_trip(spark):
 def test_flac_writes_linear_predictors():
     rng = np.random.default_rng(3)
     t = np.arange(40 * 192)
-    wave = np.clip(np.rint(70 * np.sin(t / 5) + 30 * np.sin(t / 2.3 + 1) + 0.3 * rng.normal(size=len(t))), -128, 127).astype(np.int8).reshape(-1, 192)
+    wave = np.clip(np.rint(70 * np.sin(t / 1.2) + 30 * np.sin(t / 0.9 + 1) + rng.normal(size=len(t))), -128, 127).astype(np.int8).reshape(-1, 192)
     text = np.frombuffer(("The quick brown fox jumps over the lazy dog. " * 200).encode()[: 40 * 192], np.uint8)
-    for samples, most in ((wave, 0.6), ((text ^ np.uint8(128)).view(np.int8).reshape(-1, 192), 1.0)):
+    for samples, most in ((wave, 0.8), ((text ^ np.uint8(128)).view(np.int8).reshape(-1, 192), 1.0)):
         coded, lengths = flac.encode_frames(samples, np.arange(40))
         starts = np.cumsum(lengths) - lengths
         kinds = coded[starts + 6] >> 1  # after headers of six bytes
@@ -217,6 +217,27 @@ def test_profiles_match_a_plain_count(spark):
         assert found == sorted(found, key=lambda g: (-want[g], langid_key(g)))
 
 
+def test_language_distance_matches_a_plain_one(spark, sf_dir):
+    """Out-of-place distances of real and odd texts to the learned profiles, rank by rank."""
+    docs = documents(spark, sf_dir)
+    learned = langid.profiles(docs)
+    texts = [r.text for r in docs.limit(60).collect()] + AWKWARD
+    langs, scores, fits = langid.Identifier(learned)(texts)
+    for text, lang, score, fit in zip(texts, langs, scores, fits):
+        counts = {}
+        for g in naive_grams(text):
+            if not (len(g) == 3 and g[1] == "_"):
+                counts[langid_key(g)] = counts.get(langid_key(g), 0) + 1
+        top = sorted(counts, key=lambda g: (-counts[g], g))[: langid.COMPARED]
+        if not top:
+            assert (lang, score, fit) == ("und", 0.0, 0.0)
+            continue
+        places = {name: {g: i for i, g in enumerate(p)} for name, p in learned.items()}
+        far = {name: sum(abs(at[g] - i) if g in at else langid.PROFILE for i, g in enumerate(top)) for name, at in places.items()}
+        best, second = sorted(far.values())[:2]
+        assert far[lang] == best and score == pytest.approx((second - best) / second) and fit == pytest.approx(1 - best / (langid.PROFILE * len(top)))
+
+
 def test_language_odd_rows(spark):
     learned = {"aa": [ord("a"), ord("b")], "zz": [ord("z")]}
     got = {(r.doc_id, r.lang_pred, r.score) for r in langid.identify(awkward(spark).where("text is null or trim(text) = ''"), learned).collect()}
