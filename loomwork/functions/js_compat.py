@@ -14,13 +14,22 @@ def trim(c: Column) -> Column:
 
 
 def utf16_length(c: Column) -> Column:
-    """Length in UTF-16 units: code points, and one more for each beyond the basic plane."""
-    return F.length(c) + F.regexp_count(c, F.lit("[\\x{10000}-\\x{10FFFF}]"))
+    """Length in UTF-16 units, by the size of that encoding where there are characters beyond ASCII."""
+    return F.when(_ascii(c), F.length(c)).otherwise((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"))
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def space_count(c: Column) -> Column:
+    """White-space characters, none of which is beyond the basic plane. In ASCII texts the engine's own class is the same."""
+    return F.when(_ascii(c), F.regexp_count(c, F.lit(r"\s"))).otherwise(F.regexp_count(c, F.lit(SPACE)))
 
 
 def word_count(c: Column) -> Column:
     """Runs of anything but white space, counted without making an array of them."""
-    return F.regexp_count(c, F.lit(f"[^{SPACE[1:-1]}]+"))
+    return F.when(_ascii(c), F.regexp_count(c, F.lit(r"\S+"))).otherwise(F.regexp_count(c, F.lit(f"[^{SPACE[1:-1]}]+")))
 
 
 def lines(c: Column) -> Column:

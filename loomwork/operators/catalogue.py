@@ -16,17 +16,20 @@ from ..functions import js_compat as js
 POINTS = {"equal": 100, "prefix": 60, "name": 40, "keywords": 20, "description": 10, "else": 5}
 
 
-def _haystack() -> Column:
-    return F.lower(F.concat_ws(" ", "name", "category", "description", F.concat_ws(" ", "keywords")))
+def _haystack(catalogue: DataFrame) -> Column:
+    """All that is searched: names and texts, keywords, and badges and accepted types where the catalogue has them."""
+    lists = [c for c in ("keywords", "badges", "accepted") if c in catalogue.columns]
+    return F.lower(F.concat_ws(" ", "name", "category", "description", *lists))
 
 
-def _score(tokens: Sequence[str]) -> Column:
+def _score(catalogue: DataFrame, tokens: Sequence[str]) -> Column:
     """Sum of the tokens' points, null if one occurs nowhere."""
+    haystack = _haystack(catalogue)
     name, words, about = F.lower("name"), F.lower(F.concat_ws(" ", "keywords")), F.lower("description")
     total = F.lit(0)
     for t in tokens:
         total = total + (
-            F.when(~_haystack().contains(t), None).when(name == t, POINTS["equal"]).when(name.startswith(t), POINTS["prefix"]).when(name.contains(t), POINTS["name"])
+            F.when(~haystack.contains(t), None).when(name == t, POINTS["equal"]).when(name.startswith(t), POINTS["prefix"]).when(name.contains(t), POINTS["name"])
             .when(words.contains(t), POINTS["keywords"]).when(about.contains(t), POINTS["description"]).otherwise(POINTS["else"])
         )
     return total
@@ -38,7 +41,7 @@ def keyword_search(catalogue: DataFrame, queries: dict[int, str], k: int) -> Dat
     The queries are a stated set, so each row scores itself against them in one pass: nothing is joined, and only hits are
     shuffled to be ranked.
     """
-    scores = F.array(*(F.struct(F.lit(q).alias("query_id"), _score(text.lower().split()).alias("score")) for q, text in queries.items()))
+    scores = F.array(*(F.struct(F.lit(q).alias("query_id"), _score(catalogue, text.lower().split()).alias("score")) for q, text in queries.items()))
     hits = catalogue.select("id", "ord", F.explode(F.filter(scores, lambda s: s["score"].isNotNull())).alias("s")).select("s.query_id", "id", "ord", "s.score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
@@ -66,7 +69,7 @@ def category_counts(catalogue: DataFrame, categories: DataFrame) -> DataFrame:
 
 def category_filter(catalogue: DataFrame, category: str, query: str) -> DataFrame:
     """Rows of a category that hold the whole trimmed query."""
-    return catalogue.where((F.col("category") == category) & _haystack().contains(query.strip().lower()))
+    return catalogue.where((F.col("category") == category) & _haystack(catalogue).contains(query.strip().lower()))
 
 
 def related_items(catalogue: DataFrame, k: int = 6) -> DataFrame:
@@ -102,7 +105,7 @@ def classify_routes(hits: DataFrame, catalogue: DataFrame, categories: DataFrame
     cats = categories.select(F.concat(F.lit("category-"), slug(F.col("category"))).alias("route"), F.col("category").alias("cat")).dropDuplicates(["route"])
     items = catalogue.select(F.col("id").cast("string").alias("route"), F.col("id").cast("string").alias("item")).unionByName(catalogue.select("route", F.col("id").cast("string").alias("item"))).groupBy("route").agg(F.min("item").alias("item"))
     found = rows.join(cats, "route", "left").join(items, "route", "left")
-    kind = F.when(F.col("route").isin("", "dashboard"), "dashboard").when(F.col("route") == "browse", "browse").when(F.col("cat").isNotNull(), "category").when(F.col("item").isNotNull(), "item").otherwise("missing")
+    kind = F.when(F.col("route").isin("", "dashboard"), "dashboard").when(F.col("route") == "browse", "browse").when(F.col("cat").isNotNull(), "category").when(F.col("route").startswith("category-"), "missing").when(F.col("item").isNotNull(), "item").otherwise("missing")
     return found.select("hit_id", kind.alias("type"), F.when(kind == "category", F.col("cat")).when(kind == "item", F.col("item")).alias("target"))
 
 

@@ -57,13 +57,18 @@ def url_encode_col(df: DataFrame, key: str, col: str) -> DataFrame:
     return df.select(key, js.url_encode(F.col(col)).alias("encoded"))
 
 
+# fixed values: what each score is called
+STRENGTHS = ("Not generated", "Fair", "Good", "Strong", "Very strong")
+
+
 def strength(token: Column) -> tuple[Column, Column, Column]:
     """(bits, score, label) of a secret by the pool of characters it draws from."""
-    pool = sum((F.when(token.rlike(p), n).otherwise(0) for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 28))), F.lit(0))
-    pool = F.when(token.rlike("[ _-]"), F.greatest(pool, F.lit(48))).otherwise(pool)
-    bits = F.when(F.length(token) == 0, 0).otherwise(F.round(F.length(token) * F.log2(F.greatest(pool, F.lit(1)))).cast("int"))
-    score = F.when(bits >= 80, 4).when(bits >= 60, 3).when(bits >= 40, 2).when(bits > 0, 1).otherwise(0)
-    label = F.when(score == 4, "very strong").when(score == 3, "strong").when(score == 2, "fair").when(score == 1, "weak").otherwise("empty")
+    pool = sum((F.when(token.rlike(p), n).otherwise(0) for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), (f"[^A-Za-z0-9{js.SPACE[1:-1]}]", 28))), F.lit(0))
+    pool = F.when(token.rlike(f"[_{js.SPACE[1:-1]}-]"), F.greatest(pool, F.lit(48))).otherwise(pool)
+    length = js.utf16_length(token)
+    bits = F.when(length == 0, 0).otherwise(F.round(length * F.log2(F.greatest(pool, F.lit(1)))).cast("int"))
+    score = F.when(bits >= 80, 4).when(bits >= 60, 3).when(bits >= 40, 2).when(length > 0, 1).otherwise(0)
+    label = F.element_at(F.array(*map(F.lit, STRENGTHS)), score + 1)
     return bits, score, label
 
 

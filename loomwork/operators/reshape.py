@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import js_compat as js
@@ -56,26 +57,31 @@ def leaf_paths(df: DataFrame, key: str, col: str, depth: int = 4) -> DataFrame:
         out = rows if out is None else out.union(rows)
         if d < depth:
             deeper = typed.where(nested)
-            deeper.createOrReplaceTempView("loomwork_level")
-            exploded = df.sparkSession.sql(f"select l.`{key}`, l.path, e.pos, e.key as name, e.value as v from loomwork_level l, lateral variant_explode(l.v) e")
+            view = f"level_{uuid.uuid4().hex}"  # only while the query is read
+            deeper.createOrReplaceTempView(view)
+            exploded = df.sparkSession.sql(f"select l.`{key}`, l.path, e.pos, e.key as name, e.value as v from {view} l, lateral variant_explode(l.v) e")
+            df.sparkSession.catalog.dropTempView(view)
             at = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(_path("path", "name"))
             level = exploded.select(key, at.alias("path"), "v")
     return out
 
 
-#: Texts that would be read as another type if left unquoted, by rule.
-AMBIGUOUS = (
-    ("blank", r"^\s*$"), ("marks", r"[:#\r\n\t]|^ | $"), ("word", r"^(?i:y|n|yes|no|on|off|true|false|null|~)$"),
-    ("number", r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"),
-)
+# fixed values: words that are read as truth values or nothing, in any case
+TRUTH_WORDS = ("y", "n", "yes", "no", "on", "off", "true", "false", "null", "~")
+
+
+def ambiguity(value: Column) -> Column:
+    """Why a text would be read as something else if left unquoted: blank, marks, word or number; null if it would not."""
+    edges = js.trim(value)
+    marked = (edges != value) | (F.translate(value, ":#\r\n\t", "") != value)
+    # a number by what it is made of and by whether it can be read as one
+    numeric = (F.translate(value, "0123456789.eE+-", "") == "") & value.try_cast("double").isNotNull()
+    return F.when(edges == "", "blank").when(marked, "marks").when(F.lower(value).isin(*TRUTH_WORDS), "word").when(numeric, "number")
 
 
 def ambiguous_scalars(leaves: DataFrame) -> DataFrame:
     """path, rule, n and share of the path's texts, for each rule that fits first."""
-    rule = F.lit(None).cast("string")
-    for name, pattern in reversed(AMBIGUOUS):
-        rule = F.when(F.col("value").rlike(pattern), name).otherwise(rule)
-    counted = leaves.where("value is not null").groupBy("path", rule.alias("rule")).agg(F.count("*").alias("n"))
+    counted = leaves.where("value is not null").groupBy("path", ambiguity(F.col("value")).alias("rule")).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("path"))
     return counted.withColumn("share", F.round(share, 9)).where("rule is not null").select("path", "rule", "n", "share")
 

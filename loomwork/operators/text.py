@@ -19,10 +19,10 @@ WIN_ANSI_EXTRAS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™
 def text_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with words, characters (UTF-16 units), characters_no_spaces, lines and reading_minutes. Null counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = js.word_count(text)
+    words, characters = js.word_count(text), js.utf16_length(text)
     return df.withColumns({
-        "words": words, "characters": js.utf16_length(text), "characters_no_spaces": js.utf16_length(F.regexp_replace(text, js.SPACE, "")),
-        "lines": F.when(text == "", 0).otherwise(F.size(js.lines(text))), "reading_minutes": F.ceil(words / F.lit(WORDS_A_MINUTE)).cast("int"),
+        "words": words, "characters": characters, "characters_no_spaces": characters - js.space_count(text),
+        "lines": F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1), "reading_minutes": F.ceil(words / F.lit(WORDS_A_MINUTE)).cast("int"),
     })
 
 

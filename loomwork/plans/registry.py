@@ -49,10 +49,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see; a machine-local one only where the session names none."""
+    """A new folder that all executors see: in ``spark.checkpoint.dir``, or a temporary one where Spark runs in this process."""
     import tempfile
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    shared = shared or f"file://{tempfile.gettempdir()}"
     return f"{shared.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
 
 
@@ -233,11 +236,21 @@ def h7_url_encode(spark, sf_dir):
 @query(r"""with t as (select doc_id, unnest(regexp_extract_all(text, '[0-9a-f]{32,64}')) as token from documents)
     , b as (select doc_id, token, round(length(token) * log2(case when regexp_matches(token, '[a-z]') then 26 else 0 end + case when regexp_matches(token, '[0-9]') then 10 else 0 end))::int as bits from t)
     select doc_id, sha256(token) as token_sha256, bits, case when bits >= 80 then 4 when bits >= 60 then 3 when bits >= 40 then 2 else 1 end as score,
-        case when bits >= 80 then 'very strong' when bits >= 60 then 'strong' when bits >= 40 then 'fair' else 'weak' end as label from b""")
+        case when bits >= 80 then 'Very strong' when bits >= 60 then 'Strong' when bits >= 40 then 'Good' else 'Fair' end as label from b""")
 def h8_secret_strength(spark, sf_dir):
     return integrity.secret_strength(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query(r"""with t as (select doc_id, unnest(regexp_extract_all(text, '[^\s]{9,}')) as token from documents)
+    , b as (select doc_id, token, round(length(token) * log2(greatest(case when regexp_matches(token, '[a-z]') then 26 else 0 end + case when regexp_matches(token, '[A-Z]') then 26 else 0 end
+        + case when regexp_matches(token, '[0-9]') then 10 else 0 end + case when regexp_matches(token, '[^A-Za-z0-9]') then 28 else 0 end, case when regexp_matches(token, '[_-]') then 48 else 0 end)))::int as bits from t)
+    select doc_id, sha256(token) as token_sha256, bits, case when bits >= 80 then 4 when bits >= 60 then 3 when bits >= 40 then 2 else 1 end as score,
+        case when bits >= 80 then 'Very strong' when bits >= 60 then 'Strong' when bits >= 40 then 'Good' else 'Fair' end as label from b""")
+def h8_strength_of_long_words(spark, sf_dir):
+    """All words of nine and more characters as secrets, so that every class of characters occurs."""
+    return integrity.secret_strength(_table(spark, sf_dir, "documents"), "doc_id", "text", r"\S{9,}")
+
+
 # --- semi-structured records -----------------------------------------------------------------------------------------
 
 
@@ -298,8 +311,8 @@ def r4_leaf_paths(spark, sf_dir):
     return _leaves(spark, sf_dir)
 
 
-@query(rf"""with c as (select path, case when regexp_matches(value, '^\s*$') then 'blank' when regexp_matches(value, '[:#\r\n\t]|^ | $') then 'marks'
-        when regexp_matches(value, '^(?i:y|n|yes|no|on|off|true|false|null|~)$') then 'word' when regexp_matches(value, '^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$') then 'number' end as rule, count(*) as n
+@query(rf"""with c as (select path, case when trim(value) = '' then 'blank' when trim(value) <> value or regexp_matches(value, '[:#\r\n\t]') then 'marks'
+        when lower(value) in ('y', 'n', 'yes', 'no', 'on', 'off', 'true', 'false', 'null', '~') then 'word' when regexp_full_match(value, '[-+.0-9eE]+') and try_cast(value as double) is not null then 'number' end as rule, count(*) as n
         from {_LEAVES} where value is not null group by all)
     select path, rule, n, share from (select *, round(n / sum(n) over (partition by path), 9) as share from c) where rule is not null""")
 def r5_ambiguous_scalars(spark, sf_dir):
@@ -311,9 +324,10 @@ def _cleaned(spark, sf_dir):
     return reshape.drop_sensitive(_table(spark, sf_dir, "customer").select("c_custkey", fields.alias("m")), "c_custkey", "m", ["c_name", "c_phone"])
 
 
-@query("""select c_custkey, 1 as dropped, octet_length(encode(c_name)) + 12 as saved from customer""")
+@query("""select c_custkey, 1 as dropped, octet_length(encode(c_name)) + 12 as saved, c_mktsegment from customer""")
 def r6_drop_sensitive(spark, sf_dir):
-    return _cleaned(spark, sf_dir).select("c_custkey", "dropped", (F.col("bytes_before") - F.col("bytes_after")).cast("long").alias("saved"))
+    kept = F.from_json("cleaned", "c_name string, c_mktsegment string")
+    return _cleaned(spark, sf_dir).select("c_custkey", "dropped", (F.col("bytes_before") - F.col("bytes_after")).cast("long").alias("saved"), F.coalesce(kept["c_name"], kept["c_mktsegment"]).alias("c_mktsegment"))
 
 
 @query("""select count(*) as n, sum(n_chars)::bigint as total_before, sum(length(replace(text, ' ', '')))::bigint as total_after, count(*) filter (length(replace(text, ' ', '')) >= n_chars) as grew,
@@ -414,7 +428,7 @@ def s7_recent_items(spark, sf_dir):
     return _recent(spark, sf_dir)
 
 
-@query()
+@query(f"select * from {_RECENT}")
 def s8_stream_recent(spark, sf_dir):
     """The stream's last lists, which are those of s7."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STATE_STORE)
@@ -559,9 +573,18 @@ def b3_invoice_pages(spark, sf_dir):
 # --- files -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+_FILES = """(select page_id, regexp_extract(url, '^[^?#]*') || case when page_id % 3 = 0 then '.HTML' else '' end as path, octet_length(encode(html)) as length from pages)"""
+
+
+def _files(pages: DataFrame) -> DataFrame:
+    """Pages as files: their urls without queries, some with an extension more, and the size of their markup."""
+    ending = F.when(F.col("page_id") % 3 == 0, ".HTML").otherwise("")
+    return pages.select("page_id", F.concat(F.regexp_extract("url", "^[^?#]*", 0), ending).alias("path"), F.octet_length("html").cast("long").alias("length"))
+
+
+@query(f"select page_id, path, string_split(path, '/')[-1] as name, string_split(lower(string_split(path, '/')[-1]), '.')[-1] as ext, length from {_FILES}")
 def i1_file_inventory(spark, sf_dir):
-    return files.file_inventory(spark, sf_dir).select("name", "ext", "length", "mtime")
+    return files.inventory_of(_files(_table(spark, sf_dir, "pages")))
 
 
 def _uploads(spark, sf_dir):
@@ -624,36 +647,96 @@ def o3_write_outputs(spark, sf_dir):
     return files.write_outputs(_table(spark, sf_dir, "documents").select(kinds.alias("kind"), F.col("text").alias("body")), _scratch(spark))
 
 
-def _images(spark, sf_dir):
-    """PNG files with a text chunk, made of the documents; every seventh is cut off."""
-    body = F.concat(F.encode(F.lit("Comment"), "UTF-8"), F.unhex(F.lit("00")), F.encode(F.regexp_replace("text", r"[^\x20-\x7E]", "."), "UTF-8"))
-    chunk = F.concat(F.unhex(F.lpad(F.hex(F.length(body)), 8, "0")), F.encode(F.lit("tEXt"), "UTF-8"), body, F.unhex(F.lit("00000000")))
-    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), chunk, F.unhex(F.lit("0000000049454E4400000000")))
-    content = F.when(F.col("doc_id") % 7 == 0, F.expr("substring(png, 1, 30)")).otherwise(F.col("png"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", png.alias("png"))
-    return docs.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
+# a TIFF block with an orientation, a camera, an unknown tag, an exposure and a position, made by the format's rules
+_TIFF = (
+    "4D4D002A00000008" "0006" "010F000200000005000000C8" "01120003000000010006" "0000" "0131000200000004" "4C6F6F00" "8769000400000001" "00000056" "8825000400000001" "00000080" "BEEF000300000002" "00010002" "00000000"
+    "0003" "829A000500000001" "000000D0" "920A000500000001" "000000D8" "9202000500000001" "000000E0" "00000000"
+    "0004" "0001000200000002" "53000000" "0002000500000003" "000000E8" "0003000200000002" "45000000" "0004000500000003" "00000100" "00000000"
+)
+_TIFF_DATA = "41636D6500000000" "0000000A000007D0" "0000003200000001" "00003699" "00002710" "0000000C00000001" "0000002200000001" "0000000000000000" "0000003800000001" "0000000700000001" "0000001E00000002"
+TIFF = _TIFF.ljust(2 * 0xC8, "0") + _TIFF_DATA
 
 
-@query(r"""select 'p' || doc_id as path, case when doc_id % 7 = 0 then 'warning' else 'PNG text' end as grp, case when doc_id % 7 = 0 then 'a chunk is cut off' else regexp_replace(text, '[^\x20-\x7E]', '.', 'g') end as value from documents""")
+def _images(spark, sf_dir):
+    """Image files made of the documents: PNG with texts, an EXIF block or 100 text chunks, JPEG and WebP with EXIF and XMP, and
+    files that are cut off or no images."""
+    word = lambda t: F.encode(F.lit(t), "UTF-8")
+    hexed = lambda t: F.unhex(F.lit(t))
+    size = lambda b: F.unhex(F.lpad(F.hex(F.length(b).cast("long")), 8, "0"))
+    png_chunk = lambda kind, body: F.concat(size(body), word(kind), body, hexed("00000000"))
+    body = F.concat(word("Comment"), hexed("00"), F.encode(F.regexp_replace("text", r"[^\x20-\x7E]", "."), "UTF-8"))
+    start, end = hexed("89504E470D0A1A0A"), hexed("0000000049454E4400000000")
+    many = hexed("".join(f"00000004{b'tEXt'.hex()}{b'k'.hex()}00{f'{n:02d}'.encode().hex()}00000000" for n in range(100)))
+    packet = F.concat(F.lit('<x xmp:CreatorTool="'), F.col("source"), F.lit('" tiff:Make=\'Acme\'><dc:creator><rdf:Seq><rdf:li> A B </rdf:li>'))
+    xmp, exif = F.encode(packet, "UTF-8"), hexed(TIFF)
+    segment = lambda marker, b: F.concat(hexed("FFFF" + marker), F.substring(F.unhex(F.lpad(F.hex((F.length(b) + 2).cast("long")), 4, "0")), 1, 2), b)
+    jpeg = F.concat(hexed("FFD8"), segment("E0", word("JFIF")), segment("E1", F.concat(word("Exif"), hexed("0000"), exif)), segment("E1", F.concat(word("http://ns.adobe.com/xap/1.0/"), hexed("00"), xmp)), segment("ED", word("8BIM")), hexed("FFD9"))
+    little = lambda b: F.concat(*(F.substring(size(b), k, 1) for k in (4, 3, 2, 1)))
+    riff = lambda kind, b: F.concat(word(kind), little(b), b, F.when(F.length(b) % 2 == 1, hexed("00")).otherwise(hexed("")))
+    webp = F.concat(word("RIFF"), hexed("00000000"), word("WEBP"), riff("VP8X", hexed("2C" + "00" * 9)), riff("EXIF", exif), riff("XMP ", xmp), riff("ICCP", word("icc")))
+    text_png = F.concat(start, png_chunk("tEXt", body), png_chunk("pHYs", hexed("00000B130000000A01")), png_chunk("tIME", word("1234567")), end)
+    kinds = [text_png, F.substring(text_png, 1, 30), F.concat(start, png_chunk("eXIf", exif), end), F.concat(start, many, end), jpeg, webp, F.encode("text", "UTF-8")]
+    content = F.element_at(F.array(*kinds), (F.col("doc_id") % len(kinds) + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
+
+
+def _exif_rows(kind: str) -> list[tuple]:
+    gps = "EXIF GPS location"
+    return [
+        ("EXIF", "container", "EXIF", kind, None, None), (None, "EXIF image", "Camera make", "Acme", None, None), (None, "EXIF image", "Orientation", "6", "6", "1"), (None, "EXIF image", "Software", "Loo", None, None),
+        (None, "EXIF image", "Tag 0xbeef", "1, 2", "1,2", "1,1"), (None, "EXIF camera", "Exposure time", "10/2000", "10", "2000"), (None, "EXIF camera", "Focal length", "50/1", "50", "1"),
+        (None, "EXIF camera", "Aperture", "13977/10000", "13977", "10000"), (None, gps, "Latitude ref", "S", None, None), (None, gps, "Latitude", "12/1, 34/1, 0/0", "12,34,0", "1,1,0"),
+        (None, gps, "Longitude ref", "E", None, None), (None, gps, "Longitude", "56/1, 7/1, 30/2", "56,7,30", "1,1,2"), (None, "warning", "warning", media.GPS_FOUND, None, None),
+    ]
+
+
+def _rows_sql(remainder: int, rows: list[tuple]) -> str:
+    said = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'"
+    values = ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows)
+    return f"""select 'p' || doc_id as path, v.* from documents, (values {values}) as v(container, grp, label, value, num, den) where doc_id % 7 = {remainder}"""
+
+
+_XMP_SQL = lambda n: f"""select 'p' || doc_id as path, null as container, 'XMP' as grp, unnest(['Creator tool', 'Camera make', 'Author']) as label, unnest([source, 'Acme', 'A B']) as value, null as num, null as den
+    from documents where doc_id % 7 = {n}"""
+_MEDIA_SQL = " union all ".join([
+    r"select 'p' || doc_id as path, null as container, 'PNG tEXt' as grp, 'Comment' as label, trim(regexp_replace(text, '[^\x20-\x7E]', '.', 'g')) as value, null as num, null as den from documents where doc_id % 7 = 0",
+    _rows_sql(0, [("PNG text", "container", "PNG text", "tEXt chunk", None, None), ("Pixel density", "container", "Pixel density", "PNG pHYs chunk", None, None), ("Timestamp", "container", "Timestamp", "PNG tIME chunk", None, None),
+        (None, "PNG density", "Pixels per unit X", "2835", None, None), (None, "PNG density", "Pixels per unit Y", "10", None, None), (None, "PNG density", "Unit", "Meter", None, None)]),
+    _rows_sql(1, [(None, "warning", "warning", media.NOTHING_FOUND, None, None)]), _rows_sql(2, _exif_rows("PNG eXIf chunk")),
+    _rows_sql(3, [("PNG text", "container", "PNG text", "tEXt chunk", None, None)] * 100 + [(None, "PNG tEXt", "k", f"{n:02d}", None, None) for n in range(100)]),
+    _rows_sql(4, [*_exif_rows("JPEG APP1 EXIF block"), ("APP0", "container", "APP0", "JPEG application segment 0xe0", None, None), ("XMP", "container", "XMP", "JPEG APP1 XMP block", None, None),
+        ("Photoshop/IPTC", "container", "Photoshop/IPTC", "JPEG APP13 metadata block", None, None)]), _XMP_SQL(4),
+    _rows_sql(5, [*_exif_rows("WebP EXIF chunk"), ("XMP", "container", "XMP", "WebP XMP chunk", None, None), ("ICC profile", "container", "ICC profile", "WebP ICCP chunk", None, None),
+        *((None, "WebP container", f"{c} flag", "Present", None, None) for c in ("ICC profile", "EXIF", "XMP"))]), _XMP_SQL(5),
+    _rows_sql(6, [(None, "warning", "warning", media.UNSUPPORTED, None, None), (None, "warning", "warning", media.NOTHING_FOUND, None, None)]),
+])
+
+
+@query(f"select *, grp = 'EXIF GPS location' as sensitive from ({_MEDIA_SQL})")
 def m1_image_metadata(spark, sf_dir):
-    return media.image_metadata_items(_images(spark, sf_dir)).select("path", "grp", "value")
+    items = media.image_metadata_items(_images(spark, sf_dir))
+    return items.select("path", "container", "grp", "label", "value", F.array_join("num", ",").alias("num"), F.array_join("den", ",").alias("den"), "sensitive")
 
 
-@query("""select 'p' || doc_id as path, doc_id % 7 <> 0 as has_png_text, false as has_gps, case when doc_id % 7 = 0 then 0 else 2 end::bigint as metadata_count, case when doc_id % 7 = 0 then 1 else 0 end::bigint as warnings from documents""")
+@query(f"""select path, bool_or(container = 'EXIF') is true as has_exif, bool_or(grp = 'EXIF GPS location') as has_gps, bool_or(grp = 'EXIF camera') as has_camera, bool_or(label = 'Software') as has_software,
+    bool_or(container = 'XMP') is true as has_xmp, bool_or(container = 'ICC profile') is true as has_icc, bool_or(container = 'PNG text') is true as has_png_text, bool_or(grp = 'container' and starts_with(value, 'WebP')) as has_webp,
+    count(*) filter (grp <> 'warning') as metadata_count, count(*) filter (grp = 'warning') as warnings from ({_MEDIA_SQL}) group by path""")
 def m2_privacy_flags(spark, sf_dir):
     images = _images(spark, sf_dir)
-    return media.privacy_flags(images, media.image_metadata_items(images)).select("path", "has_png_text", "has_gps", "metadata_count", "warnings")
+    return media.privacy_flags(images, media.image_metadata_items(images))
 
 
 def _items(spark, sf_dir):
-    """Metadata items made of the parts: a camera, an exposure and a position for each."""
+    """Metadata items made of the parts: a camera, exposures and a position for each."""
     k = F.col("p_partkey")
     rat = lambda *x: F.array(*(F.lit(v).cast("long") if isinstance(v, int) else v.cast("long") for v in x))
     row = lambda grp, label, value, num=None, den=None: F.struct(F.lit(grp).alias("grp"), F.lit(label).alias("label"), value.cast("string").alias("value"), (num if num is not None else F.lit(None).cast("array<long>")).alias("num"), (den if den is not None else F.lit(None).cast("array<long>")).alias("den"))
+    gps = "EXIF GPS location"
     rows = F.array(
-        row("EXIF", "Make", F.col("p_brand")), row("EXIF", "Model", F.element_at(F.split("p_type", " "), 1)), row("EXIF", "ExposureTime", F.lit("r"), rat(1), rat(k % 500 + 2)), row("EXIF", "FNumber", F.lit("r"), rat(k % 30 + 10), rat(10)),
-        row("EXIF", "ISO", (k % 8 * 100), rat(k % 8 * 100), rat(1)), row("GPS", "GPSLatitudeRef", F.when(k % 2 == 0, "N").otherwise("S")), row("GPS", "GPSLatitude", F.lit("r"), rat(k % 90, k % 60, 30), rat(1, 1, k % 2)),
-        row("GPS", "GPSLongitudeRef", F.lit("E")), row("GPS", "GPSLongitude", F.lit("r"), rat(k % 180, 0, 0), rat(1, 1, 1)),
+        row("EXIF image", "Camera make", F.col("p_brand")), row("EXIF image", "Camera model", F.element_at(F.split("p_type", " "), 1)), row("EXIF camera", "Exposure time", F.lit("n/d"), rat(1), rat(k % 500 + 2)),
+        row("EXIF camera", "F number", F.lit("n/d"), rat(k % 3000 + 1000), rat(999)), row("EXIF camera", "Exposure bias", F.lit("n/d"), rat(k % 7 - 3), rat(k % 2)), row("EXIF camera", "Lens specification", F.lit("n/d, n/d"), rat(k % 50, 7), rat(4, 2)),
+        row("EXIF camera", "ISO speed", (k % 8 * 100), rat(k % 8 * 100), rat(1)), row(gps, "Latitude ref", F.when(k % 2 == 0, "N").otherwise("S")), row(gps, "Latitude", F.lit("n/d"), rat(k % 90, k % 60, 30), rat(1, 1, k % 2)),
+        row(gps, "Longitude ref", F.lit("E")), row(gps, "Longitude", F.lit("n/d"), rat(k % 180, 0, 0), rat(1, 1, 1)),
     )
     return _table(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.explode(rows).alias("r")).select("path", "r.*")
 
@@ -663,11 +746,16 @@ def m3_gps_points(spark, sf_dir):
     return media.gps_points(_items(spark, sf_dir))
 
 
-@query("""select p_partkey::varchar as path, 'ExposureTime' as label, '1/' || (p_partkey % 500 + 2) || ' sec' as display from part
-    union all select p_partkey::varchar, 'ISO', (p_partkey % 8 * 100)::varchar from part
-    union all select p_partkey::varchar, 'FNumber', 'f/' || case when p_partkey % 10 = 0 then ((p_partkey % 30 + 10) // 10)::varchar else ((p_partkey % 30 + 10) // 10) || '.' || p_partkey % 10 end from part""")
+_SHORT = lambda x: f"regexp_replace(printf('%.2f', {x}::double), '[.]?0+$', '')"
+
+
+@query(f"""select p_partkey::varchar as path, 'Exposure time' as label, '1/' || (p_partkey % 500 + 2) || ' sec' as display from part
+    union all select p_partkey::varchar, 'ISO speed', (p_partkey % 8 * 100)::varchar from part
+    union all select p_partkey::varchar, 'F number', 'f/' || {_SHORT('(p_partkey % 3000 + 1000) / 999')} from part
+    union all select p_partkey::varchar, 'Exposure bias', case when p_partkey % 2 = 0 then '0' else (p_partkey % 7 - 3)::varchar end || ' (' || (p_partkey % 7 - 3) || '/' || p_partkey % 2 || ')' from part
+    union all select p_partkey::varchar, 'Lens specification', {_SHORT('p_partkey % 50 / 4')} || ', 3.5' from part""")
 def m4_format_exif(spark, sf_dir):
-    return media.format_exif(_items(spark, sf_dir).where("label in ('ExposureTime', 'ISO', 'FNumber')"))
+    return media.format_exif(_items(spark, sf_dir).where("grp = 'EXIF camera'"))
 
 
 @query("select p_brand as make, string_split(p_type, ' ')[1] as model, null as software, count(*) as files, count(*) as with_gps from part group by 1, 2")
@@ -675,11 +763,14 @@ def m5_device_summary(spark, sf_dir):
     return media.device_summary(_items(spark, sf_dir))
 
 
-@query()
+@query(f"""select name, size, reason is null as ok, reason from (select string_split(path, '/')[-1] as name, length as size,
+    case when string_split(lower(string_split(path, '/')[-1]), '.')[-1] <> 'html' then 'extension' when length > 4000 then 'size' end as reason from {_FILES})""")
 def i6_stream_admit(spark, sf_dir):
-    """The tables' own files as a stream of uploads."""
-    out = _scratch(spark)
-    limits = spark.createDataFrame([("table", 2_000_000_000, 1 << 20, [], ["parquet"])], files.LIMITS)
-    streams.stream_admit(spark, sf_dir, limits, "table", f"{out}/files", f"{out}/checkpoint").awaitTermination()
+    """The pages as a stream of uploads."""
+    out, source = _scratch(spark), f"{sf_dir}/pages.parquet"
+    # the table may be one file or a folder of parts
+    rows = _files(spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*"))
+    limits = spark.createDataFrame([("page", 2_000_000_000, 4000, [], ["html"])], files.LIMITS)
+    streams.admit_rows(rows, limits, "page", f"{out}/files", f"{out}/checkpoint").awaitTermination()
     schema = "batch_id string, kind string, name string, mime string, size long, path string, ok boolean, reason string"
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/files").select("name", "size", "ok", "reason")

@@ -26,21 +26,19 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", header_path:
 
     Quoted cells may hold separators, doubled quotes and line ends; short rows are filled with empty text, extra cells and
     all-empty rows are dropped. A file without a row below its header is an error. Only the header comes to the driver. Several
-    files without a ``header_path`` must all start with the same header.
+    files without a ``header_path`` must all start with the same header. The header alone says how many cells a row has, and it
+    is left out by its place, so rows that repeat it stay.
     """
-    read = lambda p: spark.read.csv(p, sep=sep, header=False, multiLine=True, quote='"', escape='"', inferSchema=False)
-    raw = read(path)
-    first = read(header_path).take(1) if header_path else raw.take(2)
-    if len(first) < (1 if header_path else 2):
+    options = {"sep": sep, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
+    first = spark.read.csv(header_path or path, header=False, **options).take(1)
+    if not first:
         raise ValueError("a header and a row are needed")
     names = header_names(list(first[0]))
-    if not header_path:
-        is_header = F.lit(True)
-        for c, v in zip(raw.columns, first[0]):
-            is_header = is_header & F.col(c).eqNullSafe(F.lit(v))
-        raw = raw.where(~is_header)
-    cells = [F.col(c) for c in raw.columns[: len(names)]] + [F.lit("")] * (len(names) - len(raw.columns))
-    rows = raw.select(*(F.coalesce(c, F.lit("")).alias(n) for c, n in zip(cells, names)))
+    width = ", ".join(f"c{i} string" for i in range(len(names)))
+    raw = spark.read.csv(path, schema=width, header=not header_path, enforceSchema=True, **options)
+    if not header_path and raw.isEmpty():
+        raise ValueError("a header and a row are needed")
+    rows = raw.select(*(F.coalesce(c, F.lit("")).alias(n) for c, n in zip(raw.columns, names)))
     return rows.where(F.greatest(*(F.length(F.col(f"`{n}`")) for n in names), F.lit(0)) > 0)
 
 

@@ -19,9 +19,14 @@ def extension(name: Column) -> Column:
 
 def file_inventory(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
     """path, name, ext, length, mtime and, if asked for, content. Without it no file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumnRenamed("modificationTime", "mtime")
+    return inventory_of(files).select("path", "name", "ext", "length", "mtime", *(["content"] if with_content else []))
+
+
+def inventory_of(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) with name, what follows the last slash, and ext."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), extension(name).alias("ext"), "length", F.col("modificationTime").alias("mtime"), *(["content"] if with_content else []))
+    return files.withColumns({"name": name, "ext": extension(name)})
 
 
 def admit(files: DataFrame, limits: DataFrame, batches: DataFrame | None = None) -> DataFrame:
@@ -44,9 +49,9 @@ def admit(files: DataFrame, limits: DataFrame, batches: DataFrame | None = None)
     return judged.unionByName(empty, allowMissingColumns=True)
 
 
-# fixed values: signatures of image files and the formats of MIME types and extensions
+# fixed values: signatures of image files and the formats of extensions
 SIGNATURES = (("JPEG", "^FFD8"), ("PNG", "^89504E47"), ("WebP", "^52494646.{8}57454250"))
-BY_NAME = (("JPEG", ("image/jpeg", "image/jpg", "jpg", "jpeg")), ("PNG", ("image/png", "png")), ("WebP", ("image/webp", "webp")))
+BY_NAME = (("JPEG", ("jpg", "jpeg")), ("PNG", ("png",)), ("WebP", ("webp",)))
 
 
 def _by_name(c: Column) -> Column:
@@ -62,13 +67,16 @@ def sniff_format(files: DataFrame) -> DataFrame:
     for name, pattern in reversed(SIGNATURES):
         by_bytes = F.when(head.rlike(pattern), name).otherwise(by_bytes)
     by_ext = _by_name(extension(F.col("name")))
-    found = F.coalesce(by_bytes, _by_name(F.lower("mime")), by_ext, F.lit("Unknown"))
+    by_mime = F.lit(None).cast("string")
+    for name in ("WebP", "PNG", "JPEG"):
+        by_mime = F.when(F.lower("mime").contains(name.lower()), name).otherwise(by_mime)
+    found = F.coalesce(by_bytes, by_mime, by_ext, F.lit("Unknown"))
     return files.withColumns({"format": found, "ext_format": F.coalesce(by_ext, F.lit("Unknown")), "mismatch": found != F.coalesce(by_ext, F.lit("Unknown"))})
 
 
 def safe_name(name: Column, fallback: str = "file", longest: int = 80) -> Column:
     base = F.element_at(F.split(F.coalesce(name, F.lit("")), r"[/\\]"), -1)
-    bare = F.when(F.instr(base, ".") > 1, F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
+    bare = F.regexp_replace(base, r"\.[^.]*$", "")
     clean = F.regexp_replace(F.regexp_replace(bare, r"[^A-Za-z0-9._-]+", "-"), r"^-+|-+$", "").substr(1, longest)
     return F.when(clean == "", fallback).otherwise(clean)
 

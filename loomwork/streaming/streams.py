@@ -18,9 +18,14 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def stream_admit(spark: SparkSession, path: str, limits: DataFrame, kind: str, out: str, checkpoint: str, once: bool = True):
     """Admits files as they come: ``out``/ok and ``out``/rejected. A micro-batch is the batch whose size is limited."""
     source = spark.readStream.format("binaryFile").schema(file_ops.BINARY_FILE).option("recursiveFileLookup", "true").load(path)
+    return admit_rows(source, limits, kind, out, checkpoint, once)
+
+
+def admit_rows(source: DataFrame, limits: DataFrame, kind: str, out: str, checkpoint: str, once: bool = True):
+    """As ``stream_admit`` for a stream of (path, length) rows."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        named = batch.select(F.lit(str(batch_id)).alias("batch_id"), F.lit(kind).alias("kind"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("mime"), F.col("length").alias("size"), "path")
+        named = file_ops.inventory_of(batch).select(F.lit(str(batch_id)).alias("batch_id"), F.lit(kind).alias("kind"), "name", F.lit("").alias("mime"), F.col("length").alias("size"), "path")
         judged = file_ops.admit(named, limits)
         # a micro-batch that is run again replaces what it wrote before
         judged.where("ok").write.mode("overwrite").parquet(f"{out}/ok/batch={batch_id}")

@@ -21,7 +21,7 @@ def test_admission_order(spark):
 def test_safe_names(spark):
     names = ["../up/My file?.pdf", "noext", "x" * 100 + ".txt", "???", None, ".hidden"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in df.select(files.safe_name(F.col("n"))).collect()] == ["My-file", "noext", "x" * 80, "file", "file", ".hidden"]
+    assert [r[0] for r in df.select(files.safe_name(F.col("n"))).collect()] == ["My-file", "noext", "x" * 80, "file", "file", "file"]
 
 
 def test_headers():
@@ -38,6 +38,11 @@ def test_delimited_round_trip(spark, tmp_path):
     assert header == "a,a_2,a_3,column_4,column_5"
     again = delimited.read_delimited(spark, str(tmp_path / "out/rows"), header_path=str(tmp_path / "out/header"))
     assert rows(again) == rows(df)
+    (tmp_path / "repeats.csv").write_text("a,b,c\na,b,c\nshort\n1,2,3\n")
+    assert rows(delimited.read_delimited(spark, str(tmp_path / "repeats.csv"))) == [("1", "2", "3"), ("a", "b", "c"), ("short", "", "")]
+    (tmp_path / "head.csv").write_text("a,b,c\n")
+    (tmp_path / "body.csv").write_text("short\n1,2,3,9\n4,5,6\n")
+    assert rows(delimited.read_delimited(spark, str(tmp_path / "body.csv"), header_path=str(tmp_path / "head.csv"))) == [("1", "2", "3"), ("4", "5", "6"), ("short", "", "")]
     (tmp_path / "one.csv").write_text("a,b\n")
     with pytest.raises(ValueError):
         delimited.read_delimited(spark, str(tmp_path / "one.csv"))
@@ -67,11 +72,10 @@ def test_media(spark):
     table = [("a.jpg", jpeg()), ("b.png", png), ("c.webp", webp), ("d.jpg", jpeg()[:60]), ("e.txt", b"hello"), ("f", None)]
     df = spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in table], "path string, content binary")
     items = media.image_metadata_items(df).cache()
-    assert {(r.label, r.value) for r in items.where("path = 'a.jpg' and label in ('Make', 'Model')").collect()} == {("Make", "Acme"), ("Model", "Cam 1")}
-    assert items.where("path = 'd.jpg' and grp = 'warning'").count() == 1
+    assert {(r.label, r.value) for r in items.where("path = 'a.jpg' and label in ('Camera make', 'Camera model')").collect()} == {("Camera make", "Acme"), ("Camera model", "Cam 1")}
     flags = {r.path: r for r in media.privacy_flags(df, items).collect()}
     assert flags["a.jpg"].has_gps and flags["a.jpg"].has_camera and flags["b.png"].has_png_text and flags["c.webp"].has_xmp and flags["c.webp"].has_webp
-    assert flags["e.txt"].metadata_count == 0 and flags["f"].warnings == 0 and len(flags) == 6
+    assert flags["e.txt"].metadata_count == 0 and flags["f"].warnings == 2 and len(flags) == 6 and flags["d.jpg"].has_exif
     # the seconds of the latitude have denominator 0 and count as 0
     assert [tuple(r) for r in media.gps_points(items).collect()] == [("a.jpg", -12.566667, 56.120833)]
     sniffed = files.sniff_format(df.select(F.col("path").alias("name"), F.lit("image/png").alias("mime"), "content"))
@@ -79,11 +83,26 @@ def test_media(spark):
 
 
 def test_exif_display(spark):
-    made = [("ExposureTime", 1, 250, "1/250 sec"), ("ExposureTime", 2, 1, "2"), ("FNumber", 28, 10, "f/2.8"), ("FocalLength", 50, 1, "50 mm"), ("GPSAltitude", 5, 2, "2.5 (5/2)"), ("GPSAltitude", 5, 0, "0 (5/0)")]
-    df = spark.createDataFrame([(str(i), lab, "2", [n], [d]) for i, (lab, n, d, _) in enumerate(made)], "path string, label string, value string, num array<long>, den array<long>")
+    made = [("Exposure time", 1, 250, "1/250 sec"), ("Exposure time", 2, 1, "2 (2/1)"), ("F number", 14142, 10000, "f/1.41"), ("Max aperture", 3, 1, "f/3"), ("Focal length", 50, 1, "50 mm"), ("Altitude", 5, 2, "2.5 (5/2)"), ("Altitude", 5, 0, "0 (5/0)"), ("Exposure bias", -1, 3, "-0.33 (-1/3)")]
+    df = spark.createDataFrame([(str(i), lab, f"{n}/{d}", [n], [d]) for i, (lab, n, d, _) in enumerate(made)], "path string, label string, value string, num array<long>, den array<long>")
     assert [r.display for r in media.format_exif(df).orderBy("path").collect()] == [m[3] for m in made]
 
 
+def test_media_of_damaged_and_odd_files():
+    items = lambda data, name="x.jpg": [r[1:4] for r in media.walk(data, name)]
+    tiff = b"MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, 6, 0, 0)
+    block = b"Exif\0\0" + tiff
+    oriented = b"\xff\xd8\xff\xff\xff\xe1" + struct.pack(">H", len(block) + 2) + block + b"\xff\xd9"
+    assert items(oriented) == [("container", "EXIF", "JPEG APP1 EXIF block"), ("EXIF image", "Orientation", "6")]
+    broken = oriented[:-2].replace(b"MM\0*", b"MM\0!") + b"\xff\xe2\0\4ic\xff\xd9"
+    assert [r[1] for r in items(broken)] == ["EXIF", "ICC profile"]
+    chunk = struct.pack(">I", 4) + b"tEXtk\0ab" + b"\0" * 4
+    assert len([r for r in items(b"\x89PNG\r\n\x1a\n" + chunk * 100, "p") if r[0] == "PNG tEXt"]) == 100
+    assert [r[2] for r in items(b"nothing", "x.bin")] == [media.UNSUPPORTED, media.NOTHING_FOUND] and [r[2] for r in items(None)] == [media.NOTHING_FOUND]
+    itxt = b"Title\0\0\0en\0Titel\0caf\xc3\xa9"
+    assert items(b"\x89PNG\r\n\x1a\n" + struct.pack(">I", len(itxt)) + b"iTXt" + itxt + b"\0" * 4, "p")[1] == ("PNG iTXt", "Title", "caf\u00e9")
+
+
 def test_stream_admit_splits_all_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, size in (("a.txt", 3), ("b.bin", 3), ("c.txt", 50)):

@@ -39,9 +39,9 @@ def test_url_rules(spark):
 
 
 def test_strength(spark):
-    df = spark.createDataFrame([("",), ("abc",), ("Abc123!xYz90Qw",), ("a b",)], "t string")
-    bits, score, _ = integrity.strength(F.col("t"))
-    assert [tuple(r) for r in df.select(bits, score).collect()] == [(0, 0), (14, 1), (91, 4), (17, 1)]
+    table = [("", 0, 0, "Not generated"), ("abc", 14, 1, "Fair"), ("Abc123!xYz90Qw", 91, 4, "Very strong"), ("a b", 17, 1, "Fair"), ("a\u3000b", 17, 1, "Fair"), ("\U0001f600", 10, 1, "Fair"), ("qwertyuiop", 47, 2, "Good"), ("k7Jw2pQx9m", 60, 3, "Strong")]
+    df = spark.createDataFrame([(t,) for t, *_ in table], "t string")
+    assert [tuple(r) for r in df.select(*integrity.strength(F.col("t"))).collect()] == [tuple(want) for _, *want in table]
 
 
 def test_size_labels(spark):
@@ -77,9 +77,10 @@ def test_leaves(spark):
 
 
 def test_ambiguous(spark):
-    values = ["yes", "-5", "~", "off", "1e5", "plain", "", " edge", "a:b"]
-    leaves = spark.createDataFrame([("p", v) for v in values], "path string, value string")
-    assert {r.rule: r.n for r in reshape.ambiguous_scalars(leaves).collect()} == {"word": 3, "number": 2, "blank": 1, "marks": 2}
+    words, numbers = ["No", "TRUE", "~", "n"], ["7", "+0.25", ".5", "3.", "2E-8", "-1e+2"]
+    blanks, marks, plain = ["", " ", "\u3000"], ["end ", "\u00a0x", "k: v", "#1", "a\tb"], ["east", "1e", "e5", ".", "1.2.3", "1-2", "0x1f", "nope", "NaN", "5 km", "--1", "1d"]
+    leaves = spark.createDataFrame([("p", v) for v in words + numbers + blanks + marks + plain], "path string, value string")
+    assert {r.rule: r.n for r in reshape.ambiguous_scalars(leaves).collect()} == {"word": 4, "number": 6, "blank": 3, "marks": 5}
 
 
 def test_drop_sensitive(spark):
