@@ -41,7 +41,7 @@ TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
 MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
 #: Holders up to which a list is joined with itself, and documents in a block of a longer one.
 SHORT, BLOCK = 64, 256
-#: Parts in which the copies of one set are dealt out.
+#: Parts in which the copies of one set, and the documents of one long list, are dealt out.
 SALTS = 32
 #: Shingles a task holds before it sends them, and shingles counted at a time.
 CHUNK, BUCKET = 2_000_000, 750_000
@@ -325,7 +325,9 @@ def _in_blocks(lists: DataFrame, payload: DataFrame) -> DataFrame:
     """
     spans = lists.groupBy("token", "at").agg(F.count("*").alias("holders"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("band").alias("top"))
     many = F.ceil(F.col("holders") / BLOCK).cast("int")
-    dealt = lists.join(spans.where("least < most and top = at").select("token", "at", many.alias("many")), ["token", "at"])
+    # a list may hold a third of all rows, so its documents meet its size under several salts; long lists are few to their rows
+    sizes = spans.where("least < most and top = at").select("token", "at", many.alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = lists.withColumn("salt", F.pmod(F.xxhash64("id", "token"), F.lit(SALTS)).cast("int")).join(sizes, ["token", "at", "salt"])
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     blocks = dealt.select("token", "at", "id", "n", "k", "band", "component", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     return blocks.join(payload, "id")
