@@ -39,8 +39,8 @@ TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
 #: Largest number of matches that a document asks for; the cost of verifying a candidate in scanned postings; and how many
 #: other holders a rare shingle is expected to have.
 MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
-#: Holders up to which a list is joined with itself, and documents in a block of a longer one.
-SHORT, BLOCK = 64, 256
+#: Holders up to which a list is joined with itself, and documents in a block of a longer one: of whole sets, and of prefixes.
+SHORT, BLOCK, PREFIXES = 64, 256, 1536
 #: Parts in which the copies of one set, and the documents of one long list, are dealt out.
 SALTS = 32
 #: Shingles a task holds before it sends them, and shingles counted at a time.
@@ -318,23 +318,25 @@ def _in_common(row: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
     return common.astype(np.int64)
 
 
-def _in_blocks(lists: DataFrame, payload: DataFrame) -> DataFrame:
+def _in_blocks(lists: DataFrame, payload: DataFrame, on: list[str], block: int) -> DataFrame:
     """The documents of each (token, at) that still spans several components, in pairs of blocks low and high, with payload.
 
     ``at`` is a band of sizes: documents of the band meet each other and those of the band below.
     """
     spans = lists.groupBy("token", "at").agg(F.count("*").alias("holders"), F.min("component").alias("least"), F.max("component").alias("most"), F.max("band").alias("top"))
-    many = F.ceil(F.col("holders") / BLOCK).cast("int")
+    many = F.ceil(F.col("holders") / block).cast("int")
     # a list may hold a third of all rows, so its documents meet its size under several salts; long lists are few to their rows
     sizes = spans.where("least < most and top = at").select("token", "at", many.alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = lists.withColumn("salt", F.pmod(F.xxhash64("id", "token"), F.lit(SALTS)).cast("int")).join(sizes, ["token", "at", "salt"])
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("many")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     blocks = dealt.select("token", "at", "id", "n", "k", "band", "component", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    return blocks.join(payload, "id")
+    return blocks.join(payload, on)
 
 
 def _compared(lists: DataFrame, prefixed: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components among the documents of each list; enough of them to connect what is linked."""
+    """Links (a, b) between components among the documents of each list; enough of them to connect what is linked.
+
+    Two documents that share several lists are candidates in the first of these only."""
     near = lists.select("token", "id", "n", "k", "band", "component", F.explode(F.array("band", F.col("band") + 1)).alias("at"))
 
     def may_meet(table: pa.Table) -> np.ndarray:
@@ -354,6 +356,10 @@ def _compared(lists: DataFrame, prefixed: DataFrame, texts: DataFrame, words: in
         matches = _in_common(np.repeat(np.arange(len(n)), size), h, len(n))
         fits = (matches >= np.minimum(k[:, None], k[None, :])) & (np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num)
         fits &= (own[:, None] | own[None, :]) & may_meet(table)
+        held = table.column("lists").combine_chunks()
+        row, token = np.repeat(np.arange(len(n)), np.asarray(pa.compute.list_value_length(held)).astype(np.int64)), np.asarray(held.flatten())
+        before = token < table.column("token")[0].as_py()
+        fits &= _in_common(row[before], token[before].view(np.uint64), len(n)) == 0
         return table.select(["token", "at", "id", "n", "k", "band", "component"]).take(pa.array(np.flatnonzero(fits.any(axis=1))))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -372,10 +378,12 @@ def _compared(lists: DataFrame, prefixed: DataFrame, texts: DataFrame, words: in
         return pa.table({"a": names[moved], "b": names[label[moved]]})
 
     blocks = ["token", "at", "low", "high"]
-    met = _in_blocks(near, prefixed.select("id", "prefix")).select(*blocks, "mine", "id", "n", "k", "band", "component", "prefix")
+    one = ["id", "n", "k", "band"]
+    held = lists.groupBy(*one).agg(F.collect_set("token").alias("lists"))  # no more than a prefix has
+    met = _in_blocks(near, prefixed.join(held, one).select(*one, "prefix", "lists"), one, PREFIXES).select(*blocks, "mine", *one, "component", "prefix", "lists")
     contenders = settled(met.groupBy(*blocks).applyInArrow(contend, "token long, at int, id long, n int, k int, band int, component long").distinct())
-    held = _in_blocks(contenders, texts).select(*blocks, "mine", "id", "component", "text")
-    return held.groupBy(*blocks).applyInArrow(compare, "a long, b long")
+    whole = _in_blocks(contenders, texts, ["id"], BLOCK).select(*blocks, "mine", "id", "component", "text")
+    return whole.groupBy(*blocks).applyInArrow(compare, "a long, b long")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

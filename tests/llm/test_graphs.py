@@ -76,6 +76,7 @@ def test_join_of_large_groups(spark, monkeypatch):
     """Copies, near copies that link and near copies that just miss; small blocks and short lists, so all paths are taken."""
     monkeypatch.setattr(jaccard, "SHORT", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "PREFIXES", 16)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(80)]
     table = [(i, " ".join(base)) for i in range(30)]
