@@ -2,8 +2,10 @@
 
 Each tree splits the vectors at random directions, sending those near a split to both sides; vectors that share a leaf of
 any tree are compared, exactly and in double precision, and linked at the threshold. Trees are fitted on a bounded sample
-and then route every vector. A leaf larger than a block is compared block by block, in as many tasks, so that no group of
-near copies has to be cut or dropped; identical vectors are one vector with a count.
+and then route every vector. A leaf that more than a block of all vectors reach is split further, each level at the median of
+the leaf's own sample along one more direction, as many levels as its count asks for: leaves stay of bounded size however
+many vectors there are, and the forest does not grow. What is too tight to split, a group of near copies, is compared block by
+block, in as many tasks, so that no group has to be cut or dropped; identical vectors are one vector with a count.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct, settled
+from .common import counted, distinct, settled
 from .components import components, roots
 
 #: Vectors (those of smallest hashed id) the trees are fitted on; vectors a leaf should hold; vectors compared at a time.
@@ -26,15 +28,26 @@ TREES, DIRECTIONS, DEPTH = 10, 24, 24
 #: Half-width of the overlap at a split, in standard deviations of a projected pair at the threshold; and the share of a
 #: node's vectors in the overlap above which it is too tight to split and stays a leaf.
 SPILL, TIGHT = 0.5, 0.5
+#: Levels a leaf can be split further by, and the share in the overlap above which a direction would add more comparisons
+#: than it saves.
+FURTHER, FURTHER_TIGHT = 20, 0.25
 
 
 @dataclass
 class Tree:
-    """Nodes by number: direction (-1 for a leaf), threshold and left child; the right child is the next number."""
+    """Nodes by number: direction (-1 for a leaf), threshold and left child; the right child is the next number.
+
+    A leaf's directions for further levels are in ``further``, the one with least overlap first (-1: none), their medians in
+    ``at``, and the share of the leaf that should be left after each in ``share``; ``levels`` of them are in use.
+    """
 
     direction: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
+    further: np.ndarray
+    at: np.ndarray
+    share: np.ndarray
+    levels: np.ndarray
 
 
 @dataclass
@@ -43,10 +56,27 @@ class Forest:
     trees: list[Tree]
     margin: float
 
+    @property
+    def width(self) -> int:
+        return max(len(t.direction) for t in self.trees)
+
+    def deepen(self, sizes: dict[int, int], most: int) -> bool:
+        """Splits leaves further, given the vectors that reach each code, towards ``most`` in a leaf. False if none can be."""
+        for code, n in sizes.items():
+            t, node = divmod(code >> FURTHER, self.width)
+            tree = self.trees[t]
+            usable = int((tree.further[node] >= 0).sum())
+            tree.levels[node] = min(usable, int((n * np.concatenate(([1.0], tree.share[node, :usable])) > most).sum()))
+        for tree in self.trees:  # what is not in use is not sent to tasks
+            tree.further[tree.levels == 0], tree.at[tree.levels == 0] = -1, 0.0
+            deepest = max(1, int(tree.levels.max()))
+            tree.further, tree.at, tree.share = tree.further[:, :deepest].copy(), tree.at[:, :deepest].copy(), tree.share[:0]
+        return any(tree.levels.any() for tree in self.trees)
+
     def leaves(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each tree (vector, leaf) pairs; a vector near splits has several leaves."""
+        """For each tree (vector, code of a leaf) pairs; a vector near splits has several. Codes of earlier trees are smaller."""
         projected = unit @ self.directions
-        found = []
+        width, found = self.width, []
         for t, tree in enumerate(self.trees):
             rows, nodes = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
             done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -58,7 +88,15 @@ class Forest:
                 off = projected[rows, t * DIRECTIONS + d] - tree.threshold[nodes]
                 low, high = off <= self.margin, off > -self.margin
                 rows, nodes = np.concatenate((rows[low], rows[high])), np.concatenate((tree.left[nodes[low]], tree.left[nodes[high]] + 1))
-            found.append((np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])))
+            rows, nodes = np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
+            cells = np.zeros(len(rows), dtype=np.int64)
+            for level in range(int(tree.levels.max())):
+                more = tree.levels[nodes] > level
+                off = projected[rows, t * DIRECTIONS + tree.further[nodes, level]] - tree.at[nodes, level]
+                low, high = ~more | (off <= self.margin), more & (off > -self.margin)
+                rows, nodes = np.concatenate((rows[low], rows[high])), np.concatenate((nodes[low], nodes[high]))
+                cells = np.concatenate((cells[low], cells[high] | 1 << level))
+            found.append((rows, (t * width + nodes) << FURTHER | cells))
         return found
 
 
@@ -73,13 +111,11 @@ def fit_forest(sample: np.ndarray, total: int, threshold: float, trees: int = TR
     projected = sample @ directions
     grown = []
     for t in range(trees):
-        direction, cut, left = [-1], [0.0], [0]
+        direction, cut, left, ends = [-1], [0.0], [0], []
         open_ = [(0, np.arange(len(sample)), 0)]
         while open_:
             node, rows, depth = open_.pop()
-            if len(rows) <= smallest or depth >= DEPTH:
-                continue
-            for _ in range(3):  # a tight node may still split well along another direction
+            for _ in range(3 if len(rows) > smallest and depth < DEPTH else 0):  # a tight node may still split well along another direction
                 d = int(rng.integers(DIRECTIONS))
                 p = projected[rows, t * DIRECTIONS + d]
                 at = float(np.quantile(p, rng.uniform(0.35, 0.65)))
@@ -90,7 +126,18 @@ def fit_forest(sample: np.ndarray, total: int, threshold: float, trees: int = TR
                     left += [0, 0]
                     open_ += [(left[node], rows[p - at <= margin], depth + 1), (left[node] + 1, rows[p - at > -margin], depth + 1)]
                     break
-        grown.append(Tree(np.array(direction), np.array(cut), np.array(left)))
+            else:
+                ends.append((node, rows))
+        further, (at, share) = np.full((len(direction), FURTHER), -1), np.zeros((2, len(direction), FURTHER))
+        for node, rows in ends:
+            p = projected[rows, t * DIRECTIONS : (t + 1) * DIRECTIONS]
+            median = np.median(p, axis=0)
+            overlap = (np.abs(p - median) <= margin).mean(axis=0)
+            best = np.argsort(overlap, kind="stable")[:FURTHER]
+            best = best[overlap[best] <= FURTHER_TIGHT]
+            further[node, : len(best)], at[node, : len(best)] = best, median[best]
+            share[node, : len(best)] = np.cumprod((1 + overlap[best]) / 2)
+        grown.append(Tree(np.array(direction), np.array(cut), np.array(left), further, at, share, np.zeros(len(direction), dtype=np.int64)))
     return Forest(directions, grown, margin)
 
 
@@ -103,51 +150,48 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out / np.linalg.norm(out / np.abs(out).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(out).max(axis=1, keepdims=True)
 
 
-def _route(vectors: DataFrame, forest: Forest, dim: int, blocks: dict[int, int] | None) -> DataFrame:
-    """A row for each vector and leaf, or, with the number of ``blocks`` of each leaf, for each pair of blocks it is in.
+def _codes(vectors: DataFrame, forest: Forest, dim: int) -> DataFrame:
+    """``code`` and ``n`` vectors of each leaf."""
 
-    A leaf's code is tree * nodes + node, so codes of earlier trees are smaller. ``codes`` are all of a vector's leaves.
-    """
-    width = max(len(t.direction) for t in forest.trees)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.concatenate([c for _, c in forest.leaves(_matrix(batch.column("vector"), dim))])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in counted(codes)], ["code", "n"])
+
+    return vectors.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _route(vectors: DataFrame, forest: Forest, dim: int) -> DataFrame:
+    """The columns of ``vectors`` for each vector and ``code`` of a leaf; ``codes`` are all of the vector's leaves."""
+    names = vectors.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _matrix(batch.column("vector"), dim)
-            rows, codes = [], []
-            for t, (r, node) in enumerate(forest.leaves(unit)):
-                rows.append(r)
-                codes.append(t * width + node)
-            rows, codes = np.concatenate(rows), np.concatenate(codes)
-            if blocks is None:
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64())], ["code"])
-                continue
+            found = forest.leaves(_matrix(batch.column("vector"), dim))
+            rows, codes = np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
             order = np.lexsort((codes, rows))
             rows, codes = rows[order], codes[order]
             own = np.split(codes, np.searchsorted(rows, np.arange(1, batch.num_rows)))
             packed = pa.array([c.astype(np.int64).tobytes() for c in own], pa.binary())
-            many = np.array([blocks.get(c, 1) for c in codes.tolist()], dtype=np.int64)
-            mine = (np.asarray(batch.column("h")) >> 1 & (1 << 40) - 1)[rows] % many
-            times = many
-            r, c, m = np.repeat(rows, times), np.repeat(codes, times), np.repeat(mine, times)
-            other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-            take = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c), pa.array(np.minimum(m, other)), pa.array(np.maximum(m, other)), pa.array(m), batch.column("id").take(take), batch.column("copies").take(take), batch.column("vector").take(take), packed.take(take)],
-                ["code", "low", "high", "mine", "id", "copies", "vector", "codes"],
-            )
-
-    if blocks is None:
-        return vectors.mapInArrow(run, "code long")
-    kind = vectors.schema["vector"].dataType
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("code", "low", "high", "mine", "id", "copies")), T.StructField("vector", kind), T.StructField("codes", T.BinaryType())])
-    return vectors.mapInArrow(run, schema)
-
-
-def _compare(threshold: float, dim: int, width: int):
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), pa.array(codes), packed.take(take)], [*names, "code", "codes"])
+
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema, T.StructField("code", T.LongType()), T.StructField("codes", T.BinaryType())]))
+
+
+def _in_blocks(routed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (low, high) of its leaf that a vector is in; a leaf of one block has one pair."""
+    many = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
+    spread = routed.join(sizes, "code", "left").withColumn("mine", F.shiftright("h", 1).bitwiseAND((1 << 40) - 1) % many)
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    return spread.select("code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "h", "copies", "vector", "codes")
+
+
+def _compare(threshold: float, dim: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda c: table.column(c).combine_chunks()
-        ids, copies, mine = (np.asarray(column(c)) for c in ("id", "copies", "mine"))
+        ids, hashes, copies, mine = (np.asarray(column(c)) for c in ("id", "h", "copies", "mine"))
         code, low, high = (int(table.column(c)[0].as_py()) for c in ("code", "low", "high"))
         unit = _matrix(column("vector"), dim)
         if low == high:
@@ -176,7 +220,7 @@ def _compare(threshold: float, dim: int, width: int):
         root = ids[order][roots(len(ids), place[a], place[b])][place]
         out = np.zeros(len(ids), dtype=bool)
         out[a] = out[b] = True
-        return pa.table({"id": ids[out], "links": links[out], "root": root[out]})
+        return pa.table({"id": ids[out], "h": hashes[out], "links": links[out], "root": root[out]})
 
     return run
 
@@ -187,8 +231,9 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     ``n_links`` counts the other rows linked directly, found with cosine at or above ``threshold``; never one below it.
     ``component_id`` is the smallest id reachable by links. Vectors that are null, empty, all zero, or hold a null or a
     non-finite number link with nothing, as do rows without an id (their component is null). Shorter vectors count as padded
-    with zeros. Repeated rows and equal vectors link with each other. An empty table gives an empty result; other columns
-    of ``df``, whatever their names, are left out.
+    with zeros. Repeated rows and equal vectors link with each other. Rows of one id with different vectors have the links of
+    their own vector each, and one component, that of the id. An empty table gives an empty result; other columns of ``df``,
+    whatever their names, are left out.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = F.col("id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
@@ -196,17 +241,19 @@ def link_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     vectors = settled(usable.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "copies", "vector", F.xxhash64("id", "vector").alias("h")))
     total, dim = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     sample = vectors.orderBy("h", "id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
+    schema = "id long, h long, links long, root long"
     if total:
         forest = fit_forest(_matrix(sample, dim), total, threshold, trees)
-        sizes = {code: n for code, n in _route(vectors, forest, dim, None).groupBy("code").count().where(F.col("count") > BLOCK).collect()}  # at most all leaves of the forest
-        routed = _route(vectors, forest, dim, {code: -(-n // BLOCK) for code, n in sizes.items()})
-        width = max(len(t.direction) for t in forest.trees)
-        found = settled(routed.groupBy("code", "low", "high").applyInArrow(_compare(threshold, dim, width), "id long, links long, root long"))
+        sizes = settled(_codes(vectors, forest, dim).where(F.col("n") > BLOCK))
+        if forest.deepen({code: n for code, n in sizes.collect()}, BLOCK):  # at most all leaves of the forest, which does not grow
+            sizes = settled(_codes(vectors, forest, dim).where(F.col("n") > BLOCK))
+        routed = _in_blocks(_route(vectors, forest, dim), sizes)
+        found = settled(routed.groupBy("code", "low", "high").applyInArrow(_compare(threshold, dim), schema))
     else:
-        found = df.sparkSession.createDataFrame([], "id long, links long, root long")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+        found = df.sparkSession.createDataFrame([], schema)
+    links = found.groupBy("id", "h").agg(F.sum("links").alias("links"))
     grouped = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = vectors.join(links, "id", "left").join(grouped, "id", "left").select(
+    classes = vectors.join(links, ["id", "h"], "left").join(grouped, "id", "left").select(
         "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component")
     )
     linked = usable.join(classes, "vector").select("id", "links", "component")

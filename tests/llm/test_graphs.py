@@ -137,6 +137,36 @@ def test_large_leaves_are_compared_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(99, 0)} and sum(r.kept for r in got) == 1
 
 
+def test_leaves_beyond_the_sample_are_split_further(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "SAMPLE", 256)
+    monkeypatch.setattr(near_vectors, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(2000, 48))
+    x = np.concatenate([centres, centres + rng.normal(size=centres.shape) * 0.12, centres[:1] + rng.normal(size=(300, 48)) * 0.05])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors.link_vectors(df).collect()}
+    assert all(got[i] <= near[i].sum() for i in range(len(x))) and sum(got.values()) >= 0.97 * near.sum()
+    # without the tight group, the leaves of a forest of 256 vectors are of bounded size, of 4,000 as of 16,000
+    for many in (4_000, 16_000):
+        more = rng.normal(size=(many, 48))
+        more /= np.linalg.norm(more, axis=1, keepdims=True)
+        forest = near_vectors.fit_forest(more[:256], many, 0.95)
+        codes, n = np.unique(np.concatenate([c for _, c in forest.leaves(more)]), return_counts=True)
+        assert n.max() > many / 64 and forest.deepen(dict(zip(codes[n > 64].tolist(), n[n > 64].tolist())), 64)
+        _, n = np.unique(np.concatenate([c for _, c in forest.leaves(more)]), return_counts=True)
+        assert np.percentile(n, 90) < 2 * 64  # twice the aim, at both sizes
+
+
+def test_vectors_that_share_an_id(spark):
+    x = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0]}
+    table = [(1, x["a"]), (1, x["b"]), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (4, [0.0, 1.0, 0.01])]
+    got = near_vectors.link_vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_lm_without_rows_or_training_texts(spark):
     assert ngram_lm.score_texts(empty(spark), F.lit(ngram_lm.ESTIMATE)).count() == 0
     nothing = ngram_lm.score_texts(awkward(spark), F.lit(ngram_lm.UNSEEN)).collect()
