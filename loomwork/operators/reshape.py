@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,33 +36,32 @@ def rows_to_json(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     return df.select(key, F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols))).alias("json"))
 
 
-def _path(parent: str, name: str):
-    plain = F.col(name).rlike("^[A-Za-z0-9_-]+$")
-    quoted = F.when(plain, F.col(name)).otherwise(F.concat(F.lit('"'), F.replace(F.col(name), F.lit('"'), F.lit('\\"')), F.lit('"')))
-    return F.when(F.col(parent) == "", quoted).otherwise(F.concat(parent, F.lit("."), quoted))
+def _path(parent: Column, name: Column, place: Column) -> Column:
+    """The path of a member: dotted, quoted where it is no plain name, or in brackets where it has only a place."""
+    quoted = F.when(name.rlike("^[A-Za-z0-9_-]+$"), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('\\"')), F.lit('"')))
+    dotted = F.when(parent == "", quoted).otherwise(F.concat(parent, F.lit("."), quoted))
+    return F.when(name.isNull(), F.concat(parent, F.lit("["), place, F.lit("]"))).otherwise(dotted)
 
 
 def leaf_paths(df: DataFrame, key: str, col: str, depth: int = 4) -> DataFrame:
     """key, path, kind, value and truncated of every leaf. Empty objects and arrays are leaves; what is nested deeper than
-    ``depth`` is kept as JSON text and flagged."""
-    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(F.col(col)).alias("v")).where("v is not null")
+    ``depth`` is kept as JSON text and flagged.
+
+    The input is read once: each level opens what is still nested and lets leaves through, as one member of themselves.
+    """
     kind = F.regexp_extract(F.expr("schema_of_variant(v)"), "^[A-Z]+", 0)
-    out = None
-    for d in range(depth + 1):
-        typed = level.withColumn("kind", kind)
-        nested = F.col("kind").isin("OBJECT", "ARRAY") & ~F.to_json("v").isin("{}", "[]")
-        leaves = typed.where(~nested) if d < depth else typed
-        rows = leaves.select(key, "path", F.when(F.col("kind") == "VOID", "null").otherwise(F.lower("kind")).alias("kind"), F.when(F.col("kind").isin("OBJECT", "ARRAY"), F.to_json("v")).otherwise(F.expr("try_variant_get(v, '$', 'string')")).alias("value"), (nested if d == depth else F.lit(False)).alias("truncated"))
-        out = rows if out is None else out.union(rows)
-        if d < depth:
-            deeper = typed.where(nested)
-            view = f"level_{uuid.uuid4().hex}"  # only while the query is read
-            deeper.createOrReplaceTempView(view)
-            exploded = df.sparkSession.sql(f"select l.`{key}`, l.path, e.pos, e.key as name, e.value as v from {view} l, lateral variant_explode(l.v) e")
-            df.sparkSession.catalog.dropTempView(view)
-            at = F.when(F.col("name").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(_path("path", "name"))
-            level = exploded.select(key, at.alias("path"), "v")
-    return out
+    nested = kind.isin("OBJECT", "ARRAY") & ~F.to_json("v").isin("{}", "[]")
+    level = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(F.col(col)).alias("v")).where("v is not null").withColumn("open", nested)
+    for _ in range(depth):
+        members = F.when(F.col("open"), F.col("v")).otherwise(F.parse_json(F.lit("[0]")))
+        inner = level.withColumn("members", members).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("members").outer()))
+        level = inner.select(
+            "k", F.when(F.col("open"), _path(F.col("path"), F.col("key"), F.col("pos"))).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("open"), F.col("value")).otherwise(F.col("v")).alias("v"), "open",
+        ).withColumn("open", F.col("open") & nested)
+    value = F.when(F.col("kind").isin("OBJECT", "ARRAY"), F.to_json("v")).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
+    named = F.when(F.col("kind") == "VOID", "null").otherwise(F.lower("kind"))
+    return level.withColumn("kind", kind).select(F.col("k").alias(key), "path", named.alias("kind"), value.alias("value"), F.col("open").alias("truncated"))
 
 
 # fixed values: words that are read as truth values or nothing, in any case

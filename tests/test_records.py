@@ -74,6 +74,9 @@ def test_leaves(spark):
     shallow = {(r.path): r.truncated for r in reshape.leaf_paths(df.where("id = 1"), "id", "j", depth=1).collect()}
     assert shallow["a"] is True and shallow["b"] is False
     assert (4, "") not in got and (6, "") not in got
+    named = spark.createDataFrame([(1, '{"open": {"v": [[1], 2]}, "pos": null}'), (2, "5"), (3, "{}"), (4, None)], "key long, value string")
+    got = {(r.key, r.path): (r.value, r.truncated) for r in reshape.leaf_paths(named, "key", "value", depth=3).collect()}
+    assert got == {(1, "open.v[0]"): ("[1]", True), (1, "open.v[1]"): ("2", False), (1, "pos"): (None, False), (2, ""): ("5", False), (3, ""): ("{}", False)}
 
 
 def test_ambiguous(spark):
