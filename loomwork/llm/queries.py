@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, toxicity, url_templates
+from . import flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, token_counts, toxicity, url_templates
 from .common import fold, table
 
 #: Share of all tokens that mixing draws.
 MIX_SHARE = 0.3
+TOKEN_LIMIT = 4096
 PIECE_MODEL = "piece_bpe_32k.model"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -91,8 +92,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is the session's, where it names one; else each run has its own and encodes all distinct texts."""
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), model_path(), cache=spark.conf.get("spark.loomwork.tokenCounts", None))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity, op11_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
