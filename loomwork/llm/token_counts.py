@@ -14,15 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settled, shared_dir, text_slices
 from .pieces import MARKER, ChunkTable
 
 COUNTS = "digest binary, n_tokens long"
-#: So many misses (a digest and an id each) are sent to every task; more are dealt out by digest and id, and texts with them.
-BROADCAST_ROWS = 100_000
 #: A long text is counted in parts of about so many characters.
 PART = 1 << 20
 
@@ -105,9 +103,7 @@ def cached_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return spark.read.schema(COUNTS).option("recursiveFileLookup", "true").parquet(f"{cache}/{version}")
 
 
-def count_tokens(
-    df: DataFrame, model_path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def count_tokens(df: DataFrame, model_path: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``, ``digest`` and ``cached`` (the count was there before) of every row.
 
     ``cache`` is a folder that all executors see and that outlasts the run; without one the run has a cache of its own. It holds
@@ -126,14 +122,11 @@ def count_tokens(
     keyed = settled(df.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), digest))
 
     held = cached_counts(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    seen = Observation()
-    asked = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(held, "digest", "left")
-    asked = settled(asked.observe(seen, F.count_if(F.col("n_tokens").isNull()).alias("misses")))
+    asked = settled(keyed.groupBy("digest").agg(F.min("id").alias("id")).join(held, "digest", "left"))
     known = asked.where("n_tokens is not null").select("digest", "n_tokens", F.lit(True).alias("cached"))
 
-    # one row stands for each missing digest; its text moves only if the misses are too many to be sent to the texts
-    misses = asked.where("n_tokens is null").select(F.col("digest").alias("miss"), F.col("id").alias("of"))
-    misses = F.broadcast(misses) if seen.get["misses"] <= broadcast_rows else misses.hint("shuffle_hash")
+    # one row stands for each missing digest; hashing the misses spares a sort of the texts
+    misses = asked.where("n_tokens is null").select(F.col("digest").alias("miss"), F.col("id").alias("of")).hint("shuffle_hash")
     texts = df.select(F.col(id_col).alias("id"), content.alias("text"), digest)
     texts = texts.join(misses, (F.col("digest") == F.col("miss")) & F.col("id").eqNullSafe(F.col("of")), "left_semi")
 
