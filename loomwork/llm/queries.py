@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, token_counts, toxicity, url_templates
+from . import alignment, flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, token_counts, toxicity, url_templates
 from .common import fold, table
 
 #: Share of all tokens that mixing draws.
 MIX_SHARE = 0.3
 TOKEN_LIMIT = 4096
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -98,8 +99,17 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path(BYTE_TOKENIZER), model_path()
+    aligned = alignment.settled_digests(alignment.align_texts(table(spark, sf_dir, "documents"), *paths))
+    counted = alignment.with_link_counts(aligned, *paths)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity, op11_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity, op11_token_counts, op12_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
