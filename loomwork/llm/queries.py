@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, token_counts, toxicity, url_templates
+from . import alignment, collocations, flac, html_layout, jaccard, langid, mixing, near_vectors, ngram_lm, pieces, sql, token_counts, toxicity, url_templates
 from .common import fold, table
 
 #: Share of all tokens that mixing draws.
@@ -108,9 +108,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity, op11_token_counts, op12_alignment)}
+    return {f.__name__: f for f in (op1_mixing, op2_near_vectors, op3_ngram_lm, op4_flac, op5_language, op6_jaccard, op7_pieces, op8_html_layout, op9_url_templates, op10_toxicity, op11_token_counts, op12_alignment, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": sql.mixing(), "op9_url_templates": sql.url_templates()}
+    return {"op1_mixing": sql.mixing(), "op9_url_templates": sql.url_templates(), "op13_collocations": sql.collocations()}

@@ -92,3 +92,34 @@ def mixing(share: float = 0.3, alpha: float = 0.5, rounds: int = 25, seed: str =
     select doc_id, source, lang, topic, n_tokens, round(r, 6) as weight, round(p, 6) as prob,
         ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / {float(16**13)!r}::double < p as sampled
     from keyed join probs using (source, lang, topic)"""
+
+
+def collocations(least: int = 30, top: int = 2000) -> str:
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    grams, tables = "", ""
+    for k in range(1, 5):
+        phrase = "w" + "".join(f" || ' ' || lead(w, {i}) over p" for i in range(1, k))
+        grams += f"""
+    , g{k} as (select lang, phrase, count(*) as f from (select lang, {phrase} as phrase from words window p as (partition by doc, piece order by place)) where phrase is not null group by all)"""
+    for k in range(2, 5):
+        cuts = ", ".join(f"array_to_string(ws[1:{j}], ' ') as h{j}, array_to_string(ws[{j + 1}:], ' ') as t{j}" for j in range(1, k))
+        joins = " ".join(f"join g{j} as x{j} on x{j}.lang = c.lang and x{j}.phrase = h{j} join g{k - j} as y{j} on y{j}.lang = c.lang and y{j}.phrase = t{j}" for j in range(1, k))
+        scores = ", ".join(f"{{'score': ((2000000::hugeint * c.a) // (x{j}.f + y{j}.f))::bigint, 'cut': {j}, 'l': x{j}.f, 'r': y{j}.f}}" for j in range(1, k))
+        tables += f"""
+    , c{k} as (select lang, phrase, f as a, string_split(phrase, ' ') as ws from g{k} where f >= {least})
+    , s{k} as (select c.lang as lang, c.phrase as phrase, c.a as a, list_min([{scores}]) as best from (select *, {cuts} from c{k}) as c {joins})"""
+    held = " union ".join(
+        f"select s.lang, s.phrase from c{k} as s join (select lang, a, unnest([array_to_string(ws[i:i + {k - 1}], ' ') for i in range(1, {m - k + 2})]) as part from c{m}) as o on o.lang = s.lang and o.part = s.phrase where 100 * o.a >= 80 * s.a"
+        for k in (2, 3) for m in range(k + 1, 5)
+    )
+    return rf"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang, row_number() over () as doc, string_split_regex({low}, '[.,;:!?\x0A-\x0D]') as ps from documents)
+    , split as (select lang, doc, unnest(ps) as p, generate_subscripts(ps, 1) as piece from pieces)
+    , listed as (select lang, doc, piece, regexp_extract_all(p, '[^\x20\x09]+') as ws from split)
+    , words as (select lang, doc, piece, unnest(ws) as w, generate_subscripts(ws, 1) as place from listed){grams}{tables}
+    , held as ({held})
+    , scored as (select * from s2 union all select * from s3 union all select * from s4)
+    , ranked as (
+        select *, row_number() over (partition by lang order by best.score desc, a desc, encode(phrase)) as rank from scored anti join held using (lang, phrase))
+    select lang, rank, phrase, a, best.l as l, best.r as r, n, best.score as score from ranked join (select lang, count(*) as n from words group by lang) using (lang) where rank <= {top}"""
