@@ -27,7 +27,7 @@ from .common import settled, text_slices
 from .pieces import MARKER, ChunkTable
 
 #: Distinct chunks that a worker keeps; beyond it the table is started afresh, which costs time and changes nothing else.
-TABLE_SIZE = 500_000
+TABLE_SIZE = 250_000
 #: What either tokenizer may read as white space, and those of it that start no chunk.
 WHITE = " \n\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　" + MARKER
 INNER = WHITE[2:]
@@ -114,7 +114,7 @@ class Aligner:
         self.index: dict[str, int] = {}
         self.groups: list[bytes] = []
         # tokens of both kinds, and links or, where the bytes differ, -1; where the links start; all links
-        self.numbers, self.starts, self.links, self.used = np.zeros((1 << 10, 3), np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), 0
+        self.numbers, self.starts, self.links, self.used = np.zeros((1 << 10, 3), np.int32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), 0
 
     def _encoded(self, new: list[str]) -> list[list[list[int]]]:
         """The second library puts a marker before a text, so a chunk's own first space is left out; a chunk that starts with a
@@ -178,8 +178,8 @@ class Aligner:
         broken = np.bincount(of[self.numbers[at, 2] < 0], minlength=len(chunks)) > 0
         at, of = at[~broken[of]], of[~broken[of]]
         bounds = np.searchsorted(of, np.arange(len(chunks) + 1))
-        numbers = np.diff(np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(self.numbers[at], axis=0)))[bounds], axis=0)
-        first, n = self.starts[at], self.numbers[at, 2]
+        numbers = np.diff(np.concatenate((np.zeros((1, 3), np.int64), np.cumsum(self.numbers[at], axis=0, dtype=np.int64)))[bounds], axis=0)
+        first, n = self.starts[at], self.numbers[at, 2].astype(np.int64)
         ends = np.cumsum(n)
         links = self.links[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - n), n)]
         listed, bounds = at.tolist(), bounds.tolist()
