@@ -221,13 +221,23 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _link_slices(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many links; a row stays whole."""
+    part = np.cumsum(batch.column("links").value_lengths().to_numpy().astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def pair_counts(aligned: DataFrame, n_pairs: int) -> np.ndarray:
     """How many links of all rows hold each pair. There are no more of them than the vocabularies allow, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_pairs, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column("links").flatten(), minlength=n_pairs)
+            for part in _link_slices(batch):
+                total += np.bincount(part.column("links").flatten().to_numpy(), minlength=n_pairs)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["pair", "n"])
 
@@ -255,11 +265,12 @@ def with_link_counts(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, best = shared.value
         for batch in batches:
-            links = batch.column("links")
-            flat = links.flatten().to_numpy()
-            offsets = np.concatenate(([0], np.cumsum(links.value_lengths().to_numpy())))
-            sums = [np.concatenate(([0], np.cumsum(x)))[offsets] for x in (np.ones(len(flat), np.int64), best[flat].astype(np.int64), counts[flat])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *(pa.array(np.diff(s)) for s in sums)], [*(f.name for f in others), *added])
+            for part in _link_slices(batch):
+                links = part.column("links")
+                flat, sizes = links.flatten().to_numpy(), links.value_lengths().to_numpy().astype(np.int64)
+                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                sums = [np.diff(np.concatenate(([0], np.cumsum(x[flat], dtype=np.int64)))[offsets]) for x in (best, counts)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), *map(pa.array, (sizes, *sums))], [*(f.name for f in others), *added])
 
     return aligned.select(*(f.name for f in others), "links").mapInArrow(run, T.StructType([*others, *(T.StructField(c, T.LongType()) for c in added)]))
 
