@@ -47,6 +47,49 @@ def keyword_search(catalogue: DataFrame, queries: dict[int, str], k: int) -> Dat
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All parts of ``n`` characters of a text."""
+    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def search_table(catalogue: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score and rank as ``keyword_search`` has them, for a table of ``queries`` (query_id, text) of any number.
+
+    A row that holds a token holds all its parts of three characters (or the token, if it is shorter). Each query is led by the
+    part that the fewest rows hold: the rows' lists of that part are its candidates, found by an equi-join, and all its tokens are
+    then looked for in these alone. Null and blank queries rank the whole catalogue in its order. Repeated tokens count again;
+    rows of one query_id must be one row.
+    """
+    split = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+"), lambda t: t != "")
+    asked = queries.select("query_id", split.alias("tokens"))
+    parts = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(_grams(t, 3)))))
+    wanted = asked.select("query_id", F.explode(parts).alias("part"))
+    hay = _haystack(catalogue)
+    rows = catalogue.select("id", "ord", F.lower("name").alias("name"), F.lower(F.concat_ws(" ", "keywords")).alias("words"), F.lower("description").alias("about"), hay.alias("hay"))
+    held = rows.select("id", F.explode(F.array_distinct(F.concat(*(_grams(F.col("hay"), n) for n in (1, 2, 3))))).alias("part"))
+    posted = held.join(wanted.select("part").distinct(), "part", "left_semi")
+    sizes = posted.groupBy("part").agg(F.count("*").alias("n"))
+    # a part that no row holds leads its query to no candidates
+    led = wanted.join(sizes, "part", "left").groupBy("query_id").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"))
+    candidates = posted.join(led, "part").select("query_id", "id")
+
+    def points(t: Column) -> Column:
+        name = F.col("name")
+        return (
+            F.when(~F.contains(F.col("hay"), t), None).when(name == t, POINTS["equal"]).when(F.startswith(name, t), POINTS["prefix"]).when(F.contains(name, t), POINTS["name"])
+            .when(F.contains(F.col("words"), t), POINTS["keywords"]).when(F.contains(F.col("about"), t), POINTS["description"]).otherwise(POINTS["else"])
+        )
+
+    score = F.aggregate(F.transform("tokens", points), F.lit(0), lambda a, x: a + x)
+    hits = candidates.join(rows, "id").join(asked, "query_id").select("query_id", "id", "ord", score.alias("score")).where("score is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord", "id"))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    # the first k rows, numbered, go to each blank query
+    first = catalogue.select("id", "ord").orderBy("ord", "id").limit(k).select("id", F.row_number().over(Window.orderBy("ord", "id")).alias("rank"))
+    blank = asked.where("size(tokens) = 0").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")).join(first, "rank")
+    return best.unionByName(blank.select("query_id", "id", F.lit(0).alias("score"), "rank"))
+
+
 def page_of(ranked: DataFrame, page: int, size: int = 10) -> DataFrame:
     """Rows of one page of each query's results, with total, total_pages, page (clamped), from_row and to_row."""
     totals = ranked.groupBy("query_id").agg(F.count("*").alias("total"))

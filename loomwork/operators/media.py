@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import js_compat as js
+from ..functions import json_text
 
 ITEMS = "path string, container string, grp string, label string, value string, num array<long>, den array<long>, sensitive boolean"
 #: Rows of these groups are no items: what a file holds, and what is to be said of it.
@@ -35,12 +36,13 @@ CAMERA_AT, GPS_AT = 0x8769, 0x8825
 GPS_FOUND = "GPS/location metadata detected. Review before sharing this image."
 NOTHING_FOUND = "No embedded metadata was detected by the local parser for this format."
 UNSUPPORTED = "Unsupported image container for metadata inspection."
-# fixed values: the fields that are looked for in an XMP packet, and how each is written there
-XMP_FIELDS = (
-    ("Creator tool", "xmp:CreatorTool=[\"']([^\"']+)"), ("Create date", "xmp:CreateDate=[\"']([^\"']+)"), ("Modify date", "xmp:ModifyDate=[\"']([^\"']+)"),
-    ("Metadata date", "xmp:MetadataDate=[\"']([^\"']+)"), ("Camera make", "tiff:Make=[\"']([^\"']+)"), ("Camera model", "tiff:Model=[\"']([^\"']+)"),
-    ("Author", r"<dc:creator>.*?<rdf:li>([^<]+)"), ("Description", r"<dc:description>.*?<rdf:li[^>]*>([^<]+)"),
-)
+# fixed values: labels and names of the properties that are looked for in an XMP packet: plain ones, and lists
+XMP_PLAIN = {
+    "Creator tool": "xmp:CreatorTool", "Create date": "xmp:CreateDate", "Modify date": "xmp:ModifyDate", "Metadata date": "xmp:MetadataDate", "Camera make": "tiff:Make", "Camera model": "tiff:Model",
+}
+XMP_LISTS = {"Author": "dc:creator", "Description": "dc:description"}
+#: A plain property is an attribute, with its value in quotes of either kind; of a list the first entry counts.
+XMP_FIELDS = [(label, rf"""{name}\s*=\s*["']([^"']+)""") for label, name in XMP_PLAIN.items()] + [(label, rf"<{name}\b[^>]*>.*?<rdf:li\b[^>]*>([^<]+)") for label, name in XMP_LISTS.items()]
 SPACES = "\t\n\v\f\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 CONTROL = re.compile("[\x00-\x1f\x7f]")
 
@@ -242,10 +244,18 @@ def image_metadata_items(files: DataFrame) -> DataFrame:
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), *[pa.string()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
         names = [part.split()[0] for part in ITEMS.split(", ")]
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
         for batch in batches:
-            for path, content, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "mime"))):
-                rows = [(path, *r) for r in walk(content, path, kind)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            rows = []
+            for at in range(batch.num_rows):  # one file's bytes at a time
+                path, content, kind = (batch.column(c)[at].as_py() for c in ("path", "content", "mime"))
+                rows += [(path, *r) for r in walk(content, path, kind)]
+                if len(rows) >= 4096:
+                    yield packed(rows)
+                    rows = []
+            yield packed(rows)
 
     read = files.select("path", "content", mime.alias("mime")).mapInArrow(leaf, ITEMS)
     packet = F.struct(F.lit("XMP packet").alias("label"), F.lit("Present").alias("value"))
@@ -255,15 +265,18 @@ def image_metadata_items(files: DataFrame) -> DataFrame:
 
 
 def privacy_flags(files: DataFrame, items: DataFrame) -> DataFrame:
-    """path, flags, metadata_count (items and containers) and warnings for every file, with or without items."""
+    """path, flags, metadata_count (items, containers, and the decimal coordinates of a position) and warnings for every file, with or
+    without items."""
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     group, label, holds = F.col("grp"), F.col("label"), F.when(F.col("grp") == CONTAINER, F.col("container"))
+    placed = has((label == "Latitude") & (F.size("num") >= 3)) & has((label == "Longitude") & (F.size("num") >= 3)) & ~has(label == "Decimal coordinates")
     flags = items.groupBy("path").agg(
         has(holds == "EXIF").alias("has_exif"), has(group == "EXIF GPS location").alias("has_gps"),
         has((group == "EXIF camera") | (group == "EXIF image") & label.isin("Camera make", "Camera model")).alias("has_camera"), has((group == "EXIF image") & (label == "Software")).alias("has_software"),
         has(holds == "XMP").alias("has_xmp"), has(holds == "ICC profile").alias("has_icc"), has(holds.isin(*PNG_TEXT.values())).alias("has_png_text"),
-        has((group == CONTAINER) & F.col("value").startswith("WebP")).alias("has_webp"), F.count_if(group != WARNING).alias("metadata_count"), F.count_if(group == WARNING).alias("warnings"),
+        has((group == CONTAINER) & F.col("value").startswith("WebP")).alias("has_webp"), F.count_if(group != WARNING).alias("metadata_count"), F.count_if(group == WARNING).alias("warnings"), placed.alias("placed"),
     )
+    flags = flags.withColumn("metadata_count", F.col("metadata_count") + F.col("placed").cast("long")).drop("placed")
     joined = files.select("path").join(flags, "path", "left")
     return joined.select("path", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in flags.dtypes if c != "path"))
 
@@ -284,6 +297,38 @@ def gps_points(items: DataFrame) -> DataFrame:
     return whole.select("path", degrees("Latitude").alias("lat"), degrees("Longitude").alias("lon"))
 
 
+def with_coordinates(items: DataFrame) -> DataFrame:
+    """The items, and for each file with a position an item of its coordinates in decimal degrees, which counts as one more."""
+    plain = lambda c: json_text.js_number(F.col(c).cast("string"))
+    texts = {"grp": F.lit("EXIF GPS location"), "label": F.lit("Decimal coordinates"), "value": F.concat_ws(", ", plain("lat"), plain("lon")), "sensitive": F.lit(True)}
+    points = gps_points(items).select("path", *(v.alias(k) for k, v in texts.items() if k in items.columns))
+    return items.unionByName(points, allowMissingColumns=True)
+
+
+#: Sides of grid cells in degrees, each a multiple of the next.
+GRID = (30, 10, 1)
+
+
+def gps_grid(points: DataFrame, sides: Sequence[int] = GRID) -> DataFrame:
+    """side, south, west and files of the cells that hold points (path, lat, lon), for each of ``sides``, from one aggregation.
+
+    A cell takes in its southern and western edges, and at the North Pole its northern one. Longitudes run on over the date line,
+    so 180 is -180; all of a pole is the point at -180. Points without a latitude from -90 to 90 or without a longitude are in a
+    cell of their own, side 0 without edges.
+    """
+    known = F.col("lat").between(-90, 90) & F.col("lon").isNotNull() & ~F.isnan("lon") & (F.abs("lon") != float("inf"))
+    turned = F.when(F.abs("lat") == 90, -180.0).otherwise(F.pmod(F.col("lon") + 180, F.lit(360.0)) - 180)
+    small = sides[-1]
+    south = F.least(F.floor(F.col("lat") / small) * small, F.lit(90 - small))
+    cells = points.select(F.when(known, south).cast("int").alias("s"), F.when(known, F.floor(turned / small) * small).cast("int").alias("w"))
+    counts = cells.groupBy("s", "w").agg(F.count("*").alias("n"))
+    edge = lambda c, side: (F.floor(F.col(c) / side) * side).cast("int")
+    levels = F.array(*(F.struct(F.lit(x).alias("side"), edge("s", x).alias("south"), edge("w", x).alias("west")) for x in sides))
+    nowhere = F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast("int").alias("south"), F.lit(None).cast("int").alias("west")))
+    spread = counts.select("n", F.explode(F.when(F.col("s").isNull(), nowhere).otherwise(levels)).alias("c"))
+    return spread.groupBy("c.side", "c.south", "c.west").agg(F.sum("n").alias("files"))
+
+
 def _short(x: Column) -> Column:
     """A number to two places without closing zeros."""
     fixed = F.regexp_replace(F.regexp_replace(F.format_number(x, 2), ",", ""), r"\.?0+$", "")

@@ -36,6 +36,31 @@ def text_stats_by(df: DataFrame, dims: Sequence[str], text_col: str = "text", gr
     return grouped.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("texts"), *sums, F.round(F.avg("words"), 6).alias("mean_words"))
 
 
+#: Size of quantile sketches: ranks are off by less than RANK_ERROR of a group's texts with 99 % confidence.
+SKETCH, RANK_ERROR = 800, 0.005
+
+
+def text_sketches(df: DataFrame, dims: Sequence[str], text_col: str = "text", measures: Sequence[str] = ("words",)) -> DataFrame:
+    """``dims`` and a quantile sketch (KLL) of each measure of ``text_stats`` for each of their groups: a small table to keep, since
+    sketches of parts and of days can be merged. A group of no more than some hundred texts is held exactly."""
+    return text_stats(df, text_col).groupBy(*dims).agg(*(F.kll_sketch_agg_bigint(F.col(m).cast("long"), SKETCH).alias(m) for m in measures))
+
+
+def text_quantiles_by(sketches: DataFrame, dims: Sequence[str], shares: Sequence[float] = (0.5, 0.9, 0.99), grouping: str = "rollup") -> DataFrame:
+    """``dims``, level (grouping_id), measure, share, texts and quantile over a rollup or cube of ``text_sketches``.
+
+    Sketches are merged by group; the texts are not read again. A quantile is a value of the group whose rank is off by less than
+    RANK_ERROR of its texts. An empty table gives none.
+    """
+    measures = [c for c in sketches.columns if c not in dims]
+    merged = getattr(sketches, grouping)(*dims).agg(F.grouping_id().cast("int").alias("level"), *(F.kll_merge_agg_bigint(m, SKETCH).alias(m) for m in measures))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("sketch")) for m in measures))).alias("s")
+    long = merged.select(*dims, "level", each).where("s.sketch is not null")
+    found = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(p))).alias("quantile")) for p in shares))).alias("q")
+    rows = long.select(*dims, "level", "s.measure", "s.sketch").where(F.kll_sketch_get_n_bigint("sketch") > 0)
+    return rows.select(*dims, "level", "measure", F.kll_sketch_get_n_bigint("sketch").alias("texts"), found).select(*dims, "level", "measure", "q.share", "texts", "q.quantile")
+
+
 def line_diff(left: DataFrame, right: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """key, line_no, type, left, right, seq. Line i is compared with line i: equal, else removed and then added.
 

@@ -6,6 +6,7 @@ sides, so that every query's work grows with them.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -59,6 +60,20 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _set(spark: SparkSession, name: str, value: str):
+    """A setting of the session that is put back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 # --- texts -----------------------------------------------------------------------------------------------------------
 
 _STATS_SQL = r"""select doc_id, lang, source,
@@ -79,6 +94,22 @@ def t2_text_stats_by(spark, sf_dir):
     return text.text_stats_by(_table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
+@query(f"""select lang, source, grouping(lang, source)::int as level, 'words' as measure, share::double as share, count(*) as texts, true as within
+    from ({_STATS_SQL}), (values (0.5), (0.9), (0.99)) as s(share) group by share, rollup(lang, source)""")
+def t2_text_quantiles(spark, sf_dir):
+    """Quantiles of words from merged sketches; ``within`` says whether each one's rank, counted exactly, is off by no more than
+    the sketch allows."""
+    docs, dims = _table(spark, sf_dir, "documents"), ["lang", "source"]
+    found = text.text_quantiles_by(text.text_sketches(docs, dims), dims)
+    counts = text.text_stats(docs).groupBy(*dims, "words").agg(F.count("*").alias("n"))
+    sets = counts.groupingSets([[*map(F.col, dims), F.col("words")], [F.col("lang"), F.col("words")], [F.col("words")]], *map(F.col, (*dims, "words")))
+    exact = sets.agg((F.grouping_id() / 2).cast("int").alias("level"), F.sum("n").alias("n")).select(*(F.col(c).alias(f"_{c}") for c in (*dims, "level")), F.col("words").alias("w"), "n")
+    same = F.expr("level = _level and lang <=> _lang and source <=> _source")
+    part = lambda c: F.sum(F.when(F.expr(c), F.col("n")).otherwise(0)) / F.col("texts")
+    ranked = found.join(exact, same).groupBy(*dims, "level", "measure", "share", "texts").agg(part("w < quantile").alias("below"), part("w <= quantile").alias("upto"))
+    return ranked.select(*dims, "level", "measure", "share", "texts", F.expr(f"below <= share + {text.RANK_ERROR} and upto >= share - {text.RANK_ERROR}").alias("within"))
+
+
 def _edited(docs: DataFrame) -> DataFrame:
     """An edited copy of the documents: k for q, a line more for even ids, and every 50th id gone."""
     more = F.when(F.col("doc_id") % 2 == 0, "\nEnd.").otherwise("")
@@ -266,26 +297,87 @@ _RECORDS = """(select event_id, case when event_id % 9 = 0 then j[:-2] when even
 _GOOD = "event_id % 9 <> 0 and event_id % 10 <> 0"
 
 
-@query("select event_id, json_valid(props) as ok, octet_length(encode(props)) as bytes_before from events")
+_MINIFIED = r"""regexp_replace({}, '("(?:[^"\\]|\\.)*")|[ \t\n\r]+', '\1', 'g')"""
+# valid, and without the commas at the end of lists and the words for numbers that one side lets pass
+_VALID = r"""coalesce(json_valid({0}) and not regexp_matches(regexp_replace({0}, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',[ \t\n\r]*[]}}]|[Nn]a[Nn]|[Ii]nf'), false)"""
+_GATE_SQL = """select event_id, ok, reason, minified, octet_length(encode(json))::int as bytes_before, octet_length(encode(minified))::int as bytes_after from (
+    select *, case when json is null then 'null' when not ok then 'syntax' end as reason, case when ok then {} end as minified from (select event_id, json, {} as ok from {}))"""
+
+
+@query(_GATE_SQL.format(_MINIFIED.format("json"), _VALID.format("json"), "(select event_id, props as json from events)"))
 def i5_json_gate(spark, sf_dir):
-    return reshape.json_gate(_table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "ok", F.col("bytes_before").cast("long").alias("bytes_before"))
+    return reshape.json_gate(_table(spark, sf_dir, "events"), "event_id", "props")
 
 
-@query(f"select event_id, json_valid(json) as ok from {_RECORDS}")
+def _faulty(spark, sf_dir):
+    """Records with one fault of each kind, or none: bad tails, quotes, numbers, escapes and commas, repeated keys, line ends."""
+    i, q = F.col("event_id"), F.lit
+    j = F.concat(q('{"kind": "'), F.col("event_type"), q('", "user": '), F.col("user_id").cast("string"), q(', "props": '), F.col("props"), q("}"))
+    cases = [
+        F.concat(j, q(" x")), F.replace(j, q('"'), q("'")), F.replace(j, q('"user": '), q('"user": NaN, "n": ')), F.concat(q('{"user": 1e2, '), F.substr(j, q(2))),
+        F.replace(j, q(": "), q(" :\n\t")), F.concat(q("["), j, q(",]")), F.replace(j, q('"kind": "'), q('"kind": "\x01')), F.concat(q("[ "), j, q(' , "a\\u00e9 \\" \\n b" , -0.5E+3 ]')),
+        F.replace(j, q('"kind": "'), q('"kind": "\\x')), F.replace(j, q('"user": '), q('"user": 0')), F.lit(None), q(' "alone" '), j,
+    ]
+    return _table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*cases), (i % len(cases) + 1).cast("int")).alias("json"))
+
+
+_FAULTY = r"""(select event_id, case event_id % 13 when 0 then j || ' x' when 1 then replace(j, '"', chr(39)) when 2 then replace(j, '"user": ', '"user": NaN, "n": ') when 3 then '{"user": 1e2, ' || substr(j, 2)
+    when 4 then replace(j, ': ', ' :' || chr(10) || chr(9)) when 5 then '[' || j || ',]' when 6 then replace(j, '"kind": "', '"kind": "' || chr(1)) when 7 then '[ ' || j || ' , "a\u00e9 \" \n b" , -0.5E+3 ]'
+    when 8 then replace(j, '"kind": "', '"kind": "\x') when 9 then replace(j, '"user": ', '"user": 0') when 10 then null when 11 then ' "alone" ' else j end as json from (
+    select event_id, '{"kind": "' || event_type || '", "user": ' || user_id || ', "props": ' || props || '}' as j from events))"""
+
+
+@query(_GATE_SQL.format(_MINIFIED.format("json"), _VALID.format("json"), _FAULTY))
 def i5_json_gate_rejects(spark, sf_dir):
-    return reshape.json_gate(_records(spark, sf_dir), "event_id", "json").select("event_id", "ok")
+    return reshape.json_gate(_faulty(spark, sf_dir), "event_id", "json")
 
 
 @query(f"""with k as (select event_id, unnest(json_keys(json)) as key, generate_subscripts(json_keys(json), 1) - 1 as pos from {_RECORDS} where {_GOOD})
-    select key, min(event_id) as first_row, arg_min(pos, event_id)::int as first_pos, count(*) as n_rows from k group by key""")
+    select key, min(event_id) as first_row, arg_min(pos, event_id)::int as first_pos, count(*) as n_rows, 0 as first_item from k group by key""")
 def r1_discover_keys(spark, sf_dir):
-    return reshape.discover_keys(_records(spark, sf_dir).where(F.expr(_GOOD)), "json", "event_id")
+    return reshape.discover_keys(_records(spark, sf_dir), "json", "event_id")
+
+
+def _feeds(spark, sf_dir):
+    """Records as objects, arrays of objects, and arrays and values that give no table; some numbers have exponents."""
+    i, q = F.col("event_id"), F.lit
+    number = F.concat(F.col("user_id").cast("string"), F.when(i % 7 == 0, "e2").when(i % 7 == 1, ".50").when(i % 7 == 2, ".0").otherwise(""))
+    more = F.when(i % 3 == 0, ', "flag": null, "Kind": "1e2", "item": true').otherwise("")
+    j = F.concat(q('{"kind": "'), F.col("event_type"), q('", "user": '), number, more, q(', "props": '), F.col("props"), q("}"))
+    json = (
+        F.when(i % 9 == 0, F.regexp_replace(j, "}$", "")).when(i % 10 == 0, '["a", "b"]').when(i % 11 == 0, F.concat(q("["), j, q(", null]"))).when(i % 13 == 0, "[[1, 2]]")
+        .when(i % 8 == 0, F.concat(q("["), j, q(", "), j, q("]"))).when(i % 14 == 0, "[ {} ]").when(i % 17 == 0, "3").when(i % 19 == 0, None).otherwise(j)
+    )
+    return _table(spark, sf_dir, "events").select("event_id", json.alias("json"))
+
+
+_FEEDS = """(select event_id, event_type as kind, case event_id % 7 when 0 then (user_id * 100)::varchar when 1 then user_id || '.5' else user_id::varchar end as user, event_id % 3 = 0 as more, replace(props, ' ', '') as props,
+    case when event_id % 9 = 0 then 'syntax' when event_id % 10 = 0 or event_id % 11 = 0 or event_id % 13 = 0 then 'not_objects' when event_id % 8 = 0 then null when event_id % 14 = 0 then 'no_fields'
+        when event_id % 17 = 0 then 'not_array' when event_id % 19 = 0 then 'null' end as reason, case when event_id % 8 = 0 then [0, 1] else [0] end as items from events)"""
 
 
-@query(f"""select event_id, {_GOOD} as ok, case when {_GOOD} then json ->> 'kind' else '' end as kind, case when {_GOOD} then json ->> 'user' else '' end as user,
-    case when {_GOOD} then coalesce(json ->> 'flag', '') else '' end as flag from (select event_id, case when {_GOOD} then json else '{{}}' end as json from {_RECORDS})""")
+@query(f"""select event_id, unnest(items)::int as item, kind, user, '' as flag, case when more then '1e2' else '' end as "Kind_2", case when more then 'true' else '' end as item_2, props, '' as more from {_FEEDS} where reason is null""")
 def r2_json_to_wide(spark, sf_dir):
-    return reshape.json_to_wide(_records(spark, sf_dir), "event_id", "json", ["kind", "user", "flag"])
+    """Columns as they are discovered: kind, user, props, flag, Kind and item, whose names are told apart."""
+    return reshape.json_to_wide(_feeds(spark, sf_dir), "event_id", "json")
+
+
+@query(f"""select event_id, unnest(items)::int as item, kind, '{{"user":"' || user || '"' || case when more then ',"flag":"","Kind":"1e2","item":"true"' else '' end || ',"props":' || to_json(props)::varchar || '}}' as more
+    from {_FEEDS} where reason is null""")
+def r2_json_to_wide_named(spark, sf_dir):
+    """One column, and all other fields in the text beside it."""
+    return reshape.json_to_wide(_feeds(spark, sf_dir), "event_id", "json", ["kind"])
+
+
+@query(f"""select event_id, item, f.field as field, f.value as value from (select event_id, unnest(items)::int as item, fields from (select event_id, items, [{{'field': 'kind', 'value': kind}}, {{'field': 'user', 'value': user}}, {{'field': 'props', 'value': props}}]
+    || case when more then [{{'field': 'flag', 'value': ''}}, {{'field': 'Kind', 'value': '1e2'}}, {{'field': 'item', 'value': 'true'}}] else [] end as fields from {_FEEDS} where reason is null)), unnest(fields) as u(f)""")
+def r2_json_to_long(spark, sf_dir):
+    return reshape.json_to_long(_feeds(spark, sf_dir), "event_id", "json")
+
+
+@query(f"select event_id, reason from {_FEEDS} where reason is not null")
+def r2_wide_rejects(spark, sf_dir):
+    return reshape.wide_rejects(_feeds(spark, sf_dir), "event_id", "json")
 
 
 @query("""select c_custkey, '{"c_name":"' || c_name || '","c_nationkey":"' || c_nationkey || '","c_mktsegment":"' || c_mktsegment || '"}' as json from customer""")
@@ -311,6 +403,11 @@ def r4_leaf_paths(spark, sf_dir):
     return _leaves(spark, sf_dir)
 
 
+@query(f"""select event_id, case when json is null then 'null' when not {_VALID.format("json")} then 'syntax' else 'repeated_keys' end as reason from {_FAULTY} where json is null or not {_VALID.format("json")} or event_id % 13 = 3""")
+def r4_leaf_rejects(spark, sf_dir):
+    return reshape.leaf_rejects(_faulty(spark, sf_dir), "event_id", "json")
+
+
 @query(rf"""with c as (select path, case when trim(value) = '' then 'blank' when trim(value) <> value or regexp_matches(value, '[:#\r\n\t]') then 'marks'
         when lower(value) in ('y', 'n', 'yes', 'no', 'on', 'off', 'true', 'false', 'null', '~') then 'word' when regexp_full_match(value, '[-+.0-9eE]+') and try_cast(value as double) is not null then 'number' end as rule, count(*) as n
         from {_LEAVES} where value is not null group by all)
@@ -319,15 +416,21 @@ def r5_ambiguous_scalars(spark, sf_dir):
     return reshape.ambiguous_scalars(_leaves(spark, sf_dir))
 
 
-def _cleaned(spark, sf_dir):
-    fields = F.create_map(*(x for c in ("c_name", "c_acctbal", "c_mktsegment") for x in (F.lit(c), F.col(c).cast("string"))))
-    return reshape.drop_sensitive(_table(spark, sf_dir, "customer").select("c_custkey", fields.alias("m")), "c_custkey", "m", ["c_name", "c_phone"])
+def _dropped(spark, sf_dir):
+    """A name for each document, and one that all customers have as a field."""
+    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name")).union(spark.range(2).select(F.lit("c_name").alias("name")))
 
 
-@query("""select c_custkey, 1 as dropped, octet_length(encode(c_name)) + 12 as saved, c_mktsegment from customer""")
+_R6 = """(select c_custkey, '{"c_nationkey":"' || c_nationkey || '","c_mktsegment":"' || c_mktsegment || '"' as kept, 'n' || c_custkey as field, c_name, 'n' || c_custkey in (select 'n' || doc_id from documents) as gone from customer)"""
+
+
+@query(f"""select c_custkey, cleaned, 1 + gone::int as dropped, octet_length(encode(kept)) + octet_length(encode(c_name)) + 12 + octet_length(encode(field)) + 8 as bytes_before, octet_length(encode(cleaned)) as bytes_after
+    from (select *, kept || case when gone then '' else ',"' || field || '":"x"' end || '}}' as cleaned from {_R6})""")
 def r6_drop_sensitive(spark, sf_dir):
-    kept = F.from_json("cleaned", "c_name string, c_mktsegment string")
-    return _cleaned(spark, sf_dir).select("c_custkey", "dropped", (F.col("bytes_before") - F.col("bytes_after")).cast("long").alias("saved"), F.coalesce(kept["c_name"], kept["c_mktsegment"]).alias("c_mktsegment"))
+    fields = [(F.lit("c_name"), F.col("c_name")), *((F.lit(c), F.col(c).cast("string")) for c in ("c_nationkey", "c_mktsegment")), (F.concat(F.lit("n"), F.col("c_custkey").cast("string")), F.lit("x"))]
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", F.create_map(*(x for f in fields for x in f)).alias("m"))
+    cleaned = reshape.drop_sensitive(customers, "c_custkey", "m", _dropped(spark, sf_dir))
+    return cleaned.select("c_custkey", "cleaned", "dropped", *(F.col(c).cast("long").alias(c) for c in ("bytes_before", "bytes_after")))
 
 
 @query("""select count(*) as n, sum(n_chars)::bigint as total_before, sum(length(replace(text, ' ', '')))::bigint as total_after, count(*) filter (length(replace(text, ' ', '')) >= n_chars) as grew,
@@ -337,9 +440,13 @@ def z2_size_report(spark, sf_dir):
     return reshape.size_report(docs.select("doc_id", F.col("n_chars").alias("bytes")), docs.select("doc_id", F.length(F.replace("text", F.lit(" "), F.lit(""))).cast("long").alias("bytes")), "doc_id")
 
 
-@query("""select case when n_chars < 1024 then 'B' else 'KB' end as unit, count(*) as n, sum(n_chars)::bigint as bytes from documents group by 1""")
+@query("""select unit, count(*) as n, sum(b)::bigint as bytes, case when sum(b) <= 0 then '0 B' when sum(b) < 1024 then sum(b)::bigint || ' B' when sum(b) < 1048576 then printf('%.2f KB', sum(b)::double / 1024)
+    when sum(b) < 1073741824 then printf('%.2f MB', sum(b)::double / 1048576) else printf('%.2f GB', sum(b)::double / 1073741824) end as label
+    from (select b, case when b < 1024 then 'B' when b < 1048576 then 'KB' when b < 1073741824 then 'MB' else 'GB' end as unit from (select n_chars::bigint * (1024 ** (doc_id % 4))::bigint as b from documents)) group by unit""")
 def z1_size_histogram(spark, sf_dir):
-    return reshape.size_histogram(_table(spark, sf_dir, "documents"), "n_chars").select("unit", "n", "bytes")
+    """Characters of the documents as bytes, kilobytes, megabytes and gigabytes, by turns."""
+    power = F.pow(F.lit(1024.0), F.col("doc_id") % 4).cast("long")
+    return reshape.size_histogram(_table(spark, sf_dir, "documents").select((F.col("n_chars").cast("long") * power).alias("b")), "b")
 
 
 # --- catalogue -------------------------------------------------------------------------------------------------------
@@ -383,6 +490,23 @@ def s1_keyword_search(spark, sf_dir):
     return catalogue.keyword_search(_catalogue(spark, sf_dir), SEARCHES, 25)
 
 
+_QUERY_SQL = """(select p_partkey as query_id, case when p_partkey % 50 = 0 then ' ' else substr(p_name, 1 + p_partkey % 3, 4) || ' ' || p_partkey % 7 || case when p_partkey % 5 = 0 then ' Zz' when p_partkey % 5 = 1 then '  ' || p_type || ' ' || p_type else '' end end as text from part)"""
+
+
+@query(f"""with q as (select query_id, list_filter(string_split(lower(text), ' '), lambda t: t <> '') as tokens from {_QUERY_SQL})
+    , c as (select id, ord, lower(name) as name, lower(array_to_string(keywords, ' ')) as words, lower(description) as about, {_HAY} as hay from {_CATALOGUE})
+    , p as (select query_id, id, ord, coalesce(list_sum([case when name = t then 100 when starts_with(name, t) then 60 when contains(name, t) then 40 when contains(words, t) then 20 when contains(about, t) then 10 else 5 end for t in tokens]), 0)::int as score
+        from q, c where len([t for t in tokens if not contains(hay, t)]) = 0)
+    select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, ord, id)::int as rank from p) where rank <= 10""")
+def s1_search_table(spark, sf_dir):
+    """A query for each part: some letters of its name and a number, with words that do not occur or occur twice, or nothing."""
+    k, q = F.col("p_partkey"), F.lit
+    more = F.when(k % 5 == 0, " Zz").when(k % 5 == 1, F.concat(q("  "), F.col("p_type"), q(" "), F.col("p_type"))).otherwise("")
+    text_of = F.when(k % 50 == 0, " ").otherwise(F.concat(F.substring("p_name", (1 + k % 3).cast("int"), F.lit(4)), q(" "), (k % 7).cast("string"), more))
+    asked = _table(spark, sf_dir, "part").select(k.alias("query_id"), text_of.alias("text"))
+    return catalogue.search_table(_catalogue(spark, sf_dir), asked, 10)
+
+
 def _page_sql(page: int) -> str:
     return f"""(with t as (select query_id, count(*) as total, greatest(ceil(count(*) / 10), 1)::int as total_pages from {_hits_sql(25)} group by query_id)
         , p as (select *, least({page}, total_pages) as page from t)
@@ -431,7 +555,6 @@ def s7_recent_items(spark, sf_dir):
 @query(f"select * from {_RECENT}")
 def s8_stream_recent(spark, sf_dir):
     """The stream's last lists, which are those of s7."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.STATE_STORE)
     out, source = _scratch(spark), f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     # the table may be one file or a folder of parts
@@ -440,7 +563,8 @@ def s8_stream_recent(spark, sf_dir):
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/lists/{batch_id:06d}")
 
-    streams.stream_recent(events).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with _set(spark, "spark.sql.streaming.stateStore.providerClass", streams.STATE_STORE):
+        streams.stream_recent(events).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     lists = spark.read.option("recursiveFileLookup", "true").schema(f"{streams.RECENT}, batch int").parquet(f"{out}/lists")
     last = lists.groupBy("user_id").agg(F.max("batch").alias("batch"))
     return lists.join(last, ["user_id", "batch"]).select("user_id", "item", "rank")
@@ -591,28 +715,28 @@ def _uploads(spark, sf_dir):
     i = F.col("doc_id")
     ext = F.element_at(F.array(*map(F.lit, (".jpg", ".PNG", ".txt", ".webp"))), (i % 4 + 1).cast("int"))
     mime = F.element_at(F.array(*map(F.lit, ("image/jpeg", "", "image/png", "application/octet-stream", "text/html"))), (i % 5 + 1).cast("int"))
-    return _table(spark, sf_dir, "documents").select(F.col("source").alias("batch_id"), F.lit("image").alias("kind"), F.concat(F.lit("f"), i.cast("string"), ext).alias("name"), mime.alias("mime"), F.col("n_chars").alias("size"), i.alias("doc_id"))
+    return _table(spark, sf_dir, "documents").select(F.when(i % 23 != 0, F.col("source")).alias("batch_id"), F.lit("image").alias("kind"), F.concat(F.lit("f"), i.cast("string"), ext).alias("name"), mime.alias("mime"), F.col("n_chars").alias("size"), i.alias("doc_id"), "text")
 
 
-_UPLOADS = """(select source as batch_id, 'f' || doc_id || ['.jpg', '.PNG', '.txt', '.webp'][doc_id % 4 + 1] as name, ['.jpg', '.png', '.txt', '.webp'][doc_id % 4 + 1] as ext,
+_UPLOADS = """(select case when doc_id % 23 <> 0 then source end as batch_id, 'f' || doc_id || ['.jpg', '.PNG', '.txt', '.webp'][doc_id % 4 + 1] as name, ['.jpg', '.png', '.txt', '.webp'][doc_id % 4 + 1] as ext,
     ['image/jpeg', '', 'image/png', 'application/octet-stream', 'text/html'][doc_id % 5 + 1] as mime, n_chars as size, doc_id, text from documents)"""
 
 
-@query(f"""with j as (select batch_id, name, case when count(*) over (partition by batch_id) > 49 and batch_id < 'src15' then 'too_many' when mime = 'text/html' then 'type' when ext = '.txt' then 'extension' when size > 3000 then 'size' end as reason from {_UPLOADS})
+@query(f"""with j as (select batch_id, name, case when doc_id % 19 = 0 then 'kind' when count(*) over (partition by batch_id) > 49 and batch_id < 'src15' then 'too_many' when mime = 'text/html' then 'type' when ext = '.txt' then 'extension' when size > 3000 then 'size' end as reason from {_UPLOADS})
     select batch_id, name, reason is null as ok, reason from j""")
 def i2_admit(spark, sf_dir):
     few = F.col("batch_id") < "src15"
     limits = spark.createDataFrame([("few", 49, 3000, ["image/jpeg", "image/png", "image/webp"], ["jpg", "png", "webp"]), ("many", 2_000_000_000, 3000, ["image/jpeg", "image/png", "image/webp"], ["jpg", "png", "webp"])], files.LIMITS)
-    uploads = _uploads(spark, sf_dir).withColumn("kind", F.when(few, "few").otherwise("many"))
+    uploads = _uploads(spark, sf_dir).withColumn("kind", F.when(F.col("doc_id") % 19 == 0, F.when(few, "unknown")).when(few, "few").otherwise("many"))
     return files.admit(uploads, limits).select("batch_id", "name", "ok", "reason")
 
 
 @query(f"""select name, case when doc_id % 3 = 0 then 'JPEG' when doc_id % 3 = 1 then 'WebP' when mime = 'image/jpeg' then 'JPEG' when mime = 'image/png' then 'PNG' when ext = '.jpg' then 'JPEG' when ext = '.png' then 'PNG' when ext = '.webp' then 'WebP' else 'Unknown' end as format,
-    case ext when '.jpg' then 'JPEG' when '.png' then 'PNG' when '.webp' then 'WebP' else 'Unknown' end as ext_format from {_UPLOADS}""")
+    case ext when '.jpg' then 'JPEG' when '.png' then 'PNG' when '.webp' then 'WebP' else 'Unknown' end as ext_format, format <> ext_format as mismatch from {_UPLOADS}""")
 def i3_sniff_format(spark, sf_dir):
-    uploads = _uploads(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    uploads = _uploads(spark, sf_dir)
     head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FFD8FFE0"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("524946460000000057454250"))).otherwise(F.unhex(F.lit("")))
-    return files.sniff_format(uploads.withColumn("content", F.concat(head, F.encode("text", "UTF-8")))).select("name", "format", "ext_format")
+    return files.sniff_format(uploads.withColumn("content", F.concat(head, F.encode("text", "UTF-8")))).select("name", "format", "ext_format", "mismatch")
 
 
 @query("select c_custkey::varchar as c_custkey, c_name || ',\"x' || chr(10) || 'y' as note, '' as blank from customer")
@@ -627,6 +751,17 @@ def i4_read_delimited(spark, sf_dir):
     return back.select("c_custkey", "note", F.col("note_2").alias("blank"))
 
 
+@query("""select doc_id::varchar as "A", sha256(text || chr(10) || '"' || chr(13)) as text_sha256, coalesce(lang, '') as a_2 from documents""")
+def i4_documents_back(spark, sf_dir):
+    """Documents written as delimited text in parts, with line ends, quotes and names that differ in case only, and read back."""
+    path = _scratch(spark)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit('\n"\r')), "lang").toDF("number", "text", "tongue")
+    rows.select(F.concat_ws(",", *(delimited.quoted(F.col(c)) for c in rows.columns)).alias("line")).write.text(f"{path}/rows")
+    spark.range(1).select(F.lit('A,"te`xt",a').alias("line")).coalesce(1).write.text(f"{path}/header")
+    back = delimited.read_delimited(spark, f"{path}/rows", header_path=f"{path}/header", raw_names=False)
+    return back.select("A", F.sha2("`te``xt`", 256).alias("text_sha256"), "a_2")
+
+
 @query("""select p_partkey, p_partkey || ',"' || replace(p_name || ', "' || p_brand || '"', '"', '""') || '",' || p_type as line from part""")
 def o1_delimited_lines(spark, sf_dir):
     part = _table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')))
@@ -641,10 +776,30 @@ def o2_export_manifest(spark, sf_dir):
     return files.export_manifest(named, "source", "doc_id", "name", "jpg", "small")
 
 
-@query()
+def _outputs(spark, sf_dir):
+    i = F.col("doc_id")
+    kinds = F.element_at(F.array(*map(F.lit, ("json", "csv", "text"))), (i % 3 + 1).cast("int"))
+    body = F.when(i % 3 == 0, F.concat(F.lit('{ "n" : '), F.col("n_chars").cast("string"), F.when(i % 5 == 0, "").otherwise(" }"))).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select(F.when(i % 11 == 0, "exe").otherwise(kinds).alias("kind"), F.concat(F.lit('d"'), i.cast("string")).alias("name"), body.alias("body"))
+
+
+_OUTPUTS = """(select doc_id, case when doc_id % 11 <> 0 then ['json', 'csv', 'text'][doc_id % 3 + 1] end as kind, doc_id % 11 <> 0 and (doc_id % 3 <> 0 or doc_id % 5 <> 0) as good, 'd"' || doc_id as name,
+    case when doc_id % 3 = 0 then '{"n":' || n_chars || '}' else text end as body from documents)"""
+
+
+@query(f"""select kind, case kind when 'json' then 'application/json' when 'csv' then 'text/csv' when 'text' then 'text/plain' end as mime, count(*) filter (good) as files, coalesce(sum(octet_length(encode(body))) filter (good), 0)::bigint as bytes,
+    count(*) filter (not good) as rejected from {_OUTPUTS} group by kind""")
 def o3_write_outputs(spark, sf_dir):
-    kinds = F.element_at(F.array(*map(F.lit, ("json", "csv", "text"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    return files.write_outputs(_table(spark, sf_dir, "documents").select(kinds.alias("kind"), F.col("text").alias("body")), _scratch(spark))
+    return files.write_outputs(_outputs(spark, sf_dir), _scratch(spark)).select("kind", "mime", "files", "bytes", "rejected")
+
+
+@query(f"select kind, name, sha256(body) as body_sha256 from {_OUTPUTS} where good")
+def o3_outputs_back(spark, sf_dir):
+    """What a second run over the same folder leaves: its outputs once."""
+    path = _scratch(spark)
+    for _ in range(2):
+        files.write_outputs(_outputs(spark, sf_dir), path)
+    return files.read_outputs(spark, path).select("kind", "name", F.sha2("body", 256).alias("body_sha256"))
 
 
 # a TIFF block with an orientation, a camera, an unknown tag, an exposure and a position, made by the format's rules
@@ -720,7 +875,7 @@ def m1_image_metadata(spark, sf_dir):
 
 @query(f"""select path, bool_or(container = 'EXIF') is true as has_exif, bool_or(grp = 'EXIF GPS location') as has_gps, bool_or(grp = 'EXIF camera') as has_camera, bool_or(label = 'Software') as has_software,
     bool_or(container = 'XMP') is true as has_xmp, bool_or(container = 'ICC profile') is true as has_icc, bool_or(container = 'PNG text') is true as has_png_text, bool_or(grp = 'container' and starts_with(value, 'WebP')) as has_webp,
-    count(*) filter (grp <> 'warning') as metadata_count, count(*) filter (grp = 'warning') as warnings from ({_MEDIA_SQL}) group by path""")
+    count(*) filter (grp <> 'warning') + count(*) filter (label = 'Latitude') as metadata_count, count(*) filter (grp = 'warning') as warnings from ({_MEDIA_SQL}) group by path""")
 def m2_privacy_flags(spark, sf_dir):
     images = _images(spark, sf_dir)
     return media.privacy_flags(images, media.image_metadata_items(images))
@@ -746,6 +901,19 @@ def m3_gps_points(spark, sf_dir):
     return media.gps_points(_items(spark, sf_dir))
 
 
+_POINTS = """(select case when p_partkey % 100 = 0 then 90 * (p_partkey // 100 % 2 * 2 - 1) when p_partkey % 31 = 0 then null else (p_partkey * 37 % 18001) / 100 - 90 end as lat, case when p_partkey % 37 = 0 then 180 else (p_partkey * 53 % 36001) / 100 - 180 end as lon from part)"""
+
+
+@query(f"""with p as (select lat is not null as known, case when lat is not null then least(floor(lat), 89) end as s, case when lat is not null then floor(case when abs(lat) = 90 or lon = 180 then -180 else lon end) end as w from {_POINTS})
+    select case when known then side else 0 end::int as side, (floor(s / side) * side)::int as south, (floor(w / side) * side)::int as west, count(*) as files from p, (values (30), (10), (1)) as g(side) where known or side = 1 group by all""")
+def m3_gps_grid(spark, sf_dir):
+    """Points spread over the globe, with both poles, the date line and some without a latitude."""
+    k = F.col("p_partkey")
+    lat = F.when(k % 100 == 0, 90.0 * (F.floor(k / 100) % 2 * 2 - 1)).when(k % 31 == 0, None).otherwise(k * 37 % 18001 / 100 - 90)
+    lon = F.when(k % 37 == 0, 180.0).otherwise(k * 53 % 36001 / 100 - 180)
+    return media.gps_grid(_table(spark, sf_dir, "part").select(k.cast("string").alias("path"), lat.alias("lat"), lon.alias("lon")))
+
+
 _SHORT = lambda x: f"regexp_replace(printf('%.2f', {x}::double), '[.]?0+$', '')"
 
 

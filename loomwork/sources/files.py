@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import json_text
+from . import delimited
+
 LIMITS = "kind string, max_files int, max_size long, types array<string>, extensions array<string>"
 #: MIME types that say nothing about a file.
 UNKNOWN_MIME = ("", "application/octet-stream")
@@ -29,18 +34,26 @@ def inventory_of(files: DataFrame) -> DataFrame:
     return files.withColumns({"name": name, "ext": extension(name)})
 
 
+#: What holds where a kind's limits leave a field null.
+MOST_FILES, MOST_BYTES = 1, 25 << 20
+
+
 def admit(files: DataFrame, limits: DataFrame, batches: DataFrame | None = None) -> DataFrame:
-    """``files`` (batch_id, kind, name, mime, size) with ok and reason: too_many, type, extension or size, in that order.
+    """``files`` (batch_id, kind, name, mime, size) with ok and reason: kind, too_many, type, extension or size, in that order.
 
-    Limits are a dimension table with a row for each kind. ``batches`` (batch_id, kind) adds a row for batches without files.
+    Limits are a dimension table with a row for each kind; a kind without a row is rejected. A limit's null field is one file,
+    25 MiB, any type or any extension. Every row comes back: one without a batch is a batch of its own, and one without a name or
+    size does not pass their limits. ``batches`` (batch_id, kind) adds a row for batches without files.
     """
-    held = files.join(files.groupBy("batch_id").agg(F.count("*").alias("in_batch")), "batch_id").join(limits, "kind", "left")
-    mime = F.coalesce("mime", F.lit(""))
+    sizes = files.groupBy("batch_id").agg(F.count("*").alias("in_batch"))
+    held = files.join(sizes, "batch_id", "left").join(limits.withColumn("known", F.lit(True)), "kind", "left")
+    mime, listed = F.coalesce("mime", F.lit("")), lambda c, x: F.col(c).isNull() | F.coalesce(F.array_contains(c, x), F.lit(False))
     reason = (
-        F.when(F.col("in_batch") > F.col("max_files"), "too_many")
-        .when(~mime.isin(*UNKNOWN_MIME) & ~F.array_contains("types", mime), "type")
-        .when(~F.array_contains("extensions", extension(F.col("name"))), "extension")
-        .when(F.col("size") > F.col("max_size"), "size")
+        F.when(F.col("known").isNull(), "kind")
+        .when(F.coalesce("in_batch", F.lit(1)) > F.coalesce("max_files", F.lit(MOST_FILES)), "too_many")
+        .when(~mime.isin(*UNKNOWN_MIME) & ~listed("types", mime), "type")
+        .when(~listed("extensions", extension(F.col("name"))), "extension")
+        .when(F.coalesce(F.col("size") > F.coalesce("max_size", F.lit(MOST_BYTES)), F.lit(True)), "size")
     )
     judged = held.select(*files.columns, reason.isNull().alias("ok"), reason.alias("reason"))
     if batches is None:
@@ -90,14 +103,52 @@ def export_manifest(df: DataFrame, batch: str, order: str, name_col: str, ext: s
     return named.join(twice, "out_name").select(batch, order, "out_name", "collision")
 
 
+# fixed values: kinds of outputs and their types
 MIME = {"json": "application/json", "csv": "text/csv", "yaml": "text/yaml", "diff": "text/plain", "html": "text/html", "text": "text/plain"}
+MANIFEST = "kind string, mime string, files long, bytes long, rejected long, run string, at timestamp"
+
 
+def write_outputs(df: DataFrame, path: str, kind_col: str = "kind", name_col: str = "name", body_col: str = "body") -> DataFrame:
+    """Writes named outputs by kind and returns the run's manifest: kind, mime, files, bytes, rejected, run and at.
 
-def write_outputs(df: DataFrame, path: str, kind_col: str = "kind", body_col: str = "body") -> DataFrame:
-    """Writes the bodies as text files in a folder for each kind and returns kind, mime, files and bytes written."""
-    df.select(kind_col, F.col(body_col).alias("value")).write.mode("overwrite").partitionBy(kind_col).text(path)
-    back = df.sparkSession.read.format("text").option("wholetext", "true").load(path).select(F.col(kind_col), "value")
-    mime = F.lit(None).cast("string")
-    for kind, m in MIME.items():
-        mime = F.when(F.col(kind_col) == kind, m).otherwise(mime)
-    return back.groupBy(kind_col).agg(F.count("*").alias("files"), F.sum(F.octet_length("value")).alias("bytes")).select(kind_col, mime.alias("mime"), "files", "bytes")
+    JSON goes to JSON lines, one minified value each, with its name; all other kinds to delimited records of name and body, which
+    keep line ends and quotes. Each run writes a folder of its own for each kind, and its manifest last, so readers
+    (``read_outputs``) see all of a run or the one before, and a run that failed or is repeated leaves one result. Rows of a kind
+    that is not in MIME, null ones among them, and JSON that is not valid are counted as rejected and not written; a null name is
+    empty, and so is a null body but of JSON. An empty table gives an empty manifest, which replaces what was there.
+    """
+    spark, run, seen = df.sparkSession, uuid.uuid4().hex, Observation()
+    known = F.coalesce(F.col(kind_col).isin(*MIME), F.lit(False))
+    kind = F.when(known, F.col(kind_col))
+    good = known & ((kind != "json") | json_text.json_problem(F.col(body_col)).isNull())
+    body = F.when(kind == "json", json_text.json_minified(F.col(body_col))).otherwise(F.coalesce(F.col(body_col), F.lit("")))
+    rows = df.select(kind.alias("kind"), F.coalesce(F.col(name_col).cast("string"), F.lit("")).alias("name"), body.alias("body"), good.alias("good"))
+    own = {k: (F.col("kind") == k) if k else F.col("kind").isNull() for k in (*MIME, None)}
+    told = [F.count_if(c & F.col("good")).alias(f"files_{k}") for k, c in own.items()] + [F.count_if(c & ~F.col("good")).alias(f"rejected_{k}") for k, c in own.items()]
+    told += [F.sum(F.when(c & F.col("good"), F.octet_length("body"))).alias(f"bytes_{k}") for k, c in own.items()]
+    named = F.to_json(F.struct("name"))
+    json_line = F.concat(F.left(named, F.length(named) - 1), F.lit(',"value":'), F.col("body"), F.lit("}"))
+    line = F.when(F.col("kind") == "json", json_line).otherwise(F.concat_ws(",", delimited.quoted(F.col("name")), delimited.quoted(F.col("body"))))
+    rows.observe(seen, *told).where("good").select("kind", line.alias("value")).write.partitionBy("kind").text(f"{path}/runs/{run}")
+    counts = [(k, MIME.get(k), *(seen.get[f"{c}_{k}"] or 0 for c in ("files", "bytes", "rejected")), run) for k in own]
+    made = spark.createDataFrame(counts, MANIFEST.rsplit(", ", 1)[0]).withColumn("at", F.current_timestamp())
+    made.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").where((F.col("run") == run) & ((F.col("files") > 0) | (F.col("rejected") > 0)))
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """kind, name and body of the outputs of the last run whose manifest is there; JSON bodies are minified."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    last = manifest.join(manifest.agg(F.max_by("run", F.struct("at", "run")).alias("run")), "run").where("files > 0")
+    found = spark.createDataFrame([], "kind string, name string, body string")
+    for r in last.select("kind", "run").collect():  # no more than there are kinds
+        folder = f"{path}/runs/{r.run}/kind={r.kind}"
+        if r.kind == "json":
+            head = F.regexp_extract("value", rf'^\{{"name":{json_text.STRING},"value":', 0)
+            name = F.get_json_object(F.concat(F.left(head, F.length(head) - len(',"value":')), F.lit("}")), "$.name")
+            rows = spark.read.option("lineSep", "\n").text(folder).select(name.alias("name"), F.substring("value", F.length(head) + 1, F.length("value") - F.length(head) - 1).alias("body"))
+        else:
+            cells = delimited.cells(F.col("text"))
+            rows = delimited.read_records(spark, folder).select(*(F.coalesce(F.get(cells, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(("name", "body"))))
+        found = found.unionByName(rows.select(F.lit(r.kind).alias("kind"), "name", "body"))
+    return found

@@ -36,13 +36,18 @@ def admit_rows(source: DataFrame, limits: DataFrame, kind: str, out: str, checkp
 
 
 class RecentItems(StatefulProcessor):
-    """Keeps a user's ``k`` latest distinct items. An item's time only ever grows, so the order of arrival does not matter."""
+    """Keeps a user's ``k`` latest distinct items. An item's time only ever grows, so the order of arrival does not matter.
 
-    def __init__(self, k: int):
-        self.k = k
+    With ``idle_ms`` a timer is set anew by each use. When it rings the state is gone and a row without an item says so; the state
+    also has that time to live, in case no timer could be kept.
+    """
+
+    def __init__(self, k: int, idle_ms: int | None = None):
+        self.k, self.idle_ms = k, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "items array<string>, times array<long>, ties array<long>")
+        self.handle = handle
+        self.state = handle.getValueState("recent", "items array<string>, times array<long>, ties array<long>", self.idle_ms and 2 * self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[int, int]] = {}
@@ -54,15 +59,26 @@ class RecentItems(StatefulProcessor):
                 held[item] = max(held.get(item, (int(ts), int(tie))), (int(ts), int(tie)))
         best = sorted(held.items(), key=lambda x: ((-x[1][0], -x[1][1]), x[0]))[: self.k]
         self.state.update(([i for i, _ in best], [t for _, (t, _) in best], [e for _, (_, e) in best]))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame({"user_id": [key[0]] * len(best), "item": [i for i, _ in best], "rank": range(1, len(best) + 1)})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "item": [None], "rank": [0]})
+
     def close(self) -> None:
         pass
 
 
-def stream_recent(events: DataFrame, k: int = 6) -> DataFrame:
+def stream_recent(events: DataFrame, k: int = 6, idle_ms: int | None = None) -> DataFrame:
     """user_id, item and rank of a stream (user_id, item, ts as microseconds, tie): the whole list again on each change.
 
-    Needs the state store in STATE_STORE. State holds ``k`` items for each user.
+    Needs the state store in STATE_STORE. State holds ``k`` items for each user; with ``idle_ms`` a user who has not been seen for
+    so long (by the clock of the machine) leaves it, and a row with no item and rank 0 says so. A late row of a user who is there
+    moves nothing that is newer; one of a user who has left starts a new list.
     """
-    return events.groupBy("user_id").transformWithStateInPandas(RecentItems(k), RECENT, "Update", "None")
+    mode = "ProcessingTime" if idle_ms else "None"
+    return events.groupBy("user_id").transformWithStateInPandas(RecentItems(k, idle_ms), RECENT, "Update", mode)

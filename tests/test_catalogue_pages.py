@@ -75,3 +75,58 @@ def test_page_sets(spark):
 def test_slug(spark):
     df = spark.createDataFrame([("  R & D -- x!",)], "n string")
     assert df.select(catalogue.slug(F.col("n"))).first()[0] == "r-and-d-x"
+
+
+def test_search_by_a_table_of_queries(spark):
+    """The same scores as a query at a time, and no join without an equal key."""
+    import random
+
+    rng = random.Random(2)
+    words = ["Red", "redder", "blue", "é", "steel", "bolt-9", "x", "RED blue", "日本"]
+    made = [(i, rng.choice(words) + " " + rng.choice(words), rng.choice("AB"), f"size {i % 7}", [rng.choice(words) for _ in range(2)], i % 5) for i in range(60)]
+    catalogue_df = spark.createDataFrame(made, "id long, name string, category string, description string, keywords array<string>, ord long")
+    texts = ["red", "e", "RED  red", "blue steel", "bolt-9 e", "日本", "é", "nothing here", "siz", "", "  ", "red zzz", "size 3", " red　", "b a"]
+    asked = spark.createDataFrame([*enumerate(texts), (99, None)], "query_id int, text string")
+    got = catalogue.search_table(catalogue_df, asked, 8)
+    want = catalogue.keyword_search(catalogue_df, {**dict(enumerate(texts)), 99: ""}, 8)
+    assert rows(got) == rows(want) and got.count() > 60
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert catalogue.search_table(catalogue_df, asked.where("false"), 8).count() == 0
+    assert catalogue.search_table(catalogue_df.where("false"), asked, 8).count() == 0
+
+
+def test_idle_users_leave_the_state(spark, tmp_path):
+    """Late rows move nothing newer, a restart goes on where it was, and who is idle is forgotten."""
+    import time
+
+    from loomwork.streaming import streams
+
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, streams.STATE_STORE)
+    schema = "user_id long, item string, ts long, tie long"
+
+    def feed(rows_of, idle_ms, want, seconds=60):
+        """Runs the stream from its checkpoint until ``want`` has come out, or for so long; with timers it never ends by itself."""
+        spark.createDataFrame(rows_of, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        seen: list[tuple] = []
+        take = lambda batch, _: seen.extend(tuple(r) for r in batch.collect())
+        events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        running = streams.stream_recent(events, 2, idle_ms=idle_ms).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+        end = time.time() + seconds
+        while time.time() < end and not want <= set(seen) and running.isActive:
+            time.sleep(0.2)
+        running.stop()
+        assert want <= set(seen), seen
+        return sorted(set(seen), key=repr)
+
+    try:
+        assert feed([(1, "a", 10, 0), (1, "b", 20, 0), (2, "z", 5, 0)], 600_000, {(1, "a", 2), (1, "b", 1), (2, "z", 1)}) == [(1, "a", 2), (1, "b", 1), (2, "z", 1)]
+        # a new run from the checkpoint: a late row changes nothing, a newer one does
+        assert feed([(1, "c", 1, 0)], 600_000, {(1, "a", 2)}) == [(1, "a", 2), (1, "b", 1)]
+        # the first user's time runs out: their state is gone, and what comes late starts a new list
+        gone = feed([(1, "a", 30, 0)], 1000, {(1, "a", 1), (1, None, 0)})
+        assert (1, "b", 2) in gone and not any(r[0] == 2 for r in gone)
+        assert feed([(1, "late", 2, 0)], 600_000, {(1, "late", 1)}) == [(1, "late", 1)]
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

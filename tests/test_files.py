@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -18,6 +19,95 @@ def test_admission_order(spark):
     assert got == {("a", "ok.png"): None, ("b", "x.png"): None, ("c", "x.png"): None, ("d", "x.txt"): "extension", ("e", "x.png"): "type", ("f", "x.PNG"): "size", ("g", "1.png"): "too_many", ("g", "2.png"): "too_many", ("g", "3.png"): "too_many", ("h", "png"): None, ("z", None): "no_files"}
 
 
+def test_admission_of_odd_rows(spark):
+    limits = spark.createDataFrame([("img", 2, 100, ["image/png"], ["png"]), ("any", None, None, None, None)], files.LIMITS)
+    table = [(None, "img", "a.png", "", 5), (None, "img", "b.png", "", 5), (None, "img", "c.png", "", 5), ("x", "exe", "a.exe", "", 1 << 40), ("y", None, "a.png", "", 5), ("z", "img", None, "", 5), ("w", "img", "n.png", "", None),
+             ("v", "any", "f.zzz", "a/b", 25 << 20), ("u", "any", "f.zzz", "a/b", (25 << 20) + 1), ("t", "any", "1", "", 1), ("t", "any", "2", "", 1)]
+    df = spark.createDataFrame(table, "batch_id string, kind string, name string, mime string, size long")
+    got = sorted(((r.batch_id, r.name, r.reason) for r in files.admit(df, limits).collect()), key=repr)
+    want = [(None, "a.png", None), (None, "b.png", None), (None, "c.png", None), ("x", "a.exe", "kind"), ("y", "a.png", "kind"), ("z", None, "extension"), ("w", "n.png", "size"), ("v", "f.zzz", None), ("u", "f.zzz", "size"), ("t", "1", "too_many"), ("t", "2", "too_many")]
+    assert got == sorted(want, key=repr)
+    assert files.admit(df.where("false"), limits).count() == 0
+
+
+def test_inventory_of_a_folder(spark, tmp_path):
+    for name in ("a.TXT", "sub/b.tar.gz", "sub/plain"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    found = files.file_inventory(spark, str(tmp_path))
+    assert found.columns == ["path", "name", "ext", "length", "mtime"]
+    assert [(r.name, r.ext, r.length) for r in found.orderBy("name").collect()] == [("a.TXT", "txt", 5), ("b.tar.gz", "gz", 12), ("plain", "plain", 9)]
+    assert {bytes(r.content) for r in files.file_inventory(spark, str(tmp_path), with_content=True).collect()} == {b"a.TXT", b"sub/b.tar.gz", b"sub/plain"}
+
+
+def test_outputs_by_kind(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    table = [("json", 'n"1\\', '{ "b" : 1 , "a" : "x y\\n" }'), ("json", "bad", "{"), ("csv", "n,2", 'a,"b"\r\nc\n'), ("text", None, "two\nlines\r"), ("text", "", None), ("exe", "x", "y"), (None, "x", "y"), ("json", "none", None)]
+    df = spark.createDataFrame(table, "kind string, name string, body string")
+    first = {r.kind: (r.mime, r.files, r.bytes, r.rejected) for r in files.write_outputs(df, path).collect()}
+    assert first == {"json": ("application/json", 1, 19, 2), "csv": ("text/csv", 1, 9, 0), "text": ("text/plain", 2, 10, 0), None: (None, 0, 0, 2)}
+    want = sorted([("json", 'n"1\\', '{"b":1,"a":"x y\\n"}'), ("csv", "n,2", 'a,"b"\r\nc\n'), ("text", "", "two\nlines\r"), ("text", "", "")])
+    assert rows(files.read_outputs(spark, path)) == want
+    # a run that has not written its manifest is not seen, and one that is repeated leaves one result
+    (tmp_path / "out/runs/broken/kind=text").mkdir(parents=True)
+    (tmp_path / "out/runs/broken/kind=text/part-0").write_text("half,an out")
+    assert rows(files.read_outputs(spark, path)) == want
+    files.write_outputs(df, path)
+    assert rows(files.read_outputs(spark, path)) == want
+    files.write_outputs(df.where("kind = 'csv'"), path)
+    assert files.read_outputs(spark, path).count() == 1
+    files.write_outputs(df.where("false"), path)
+    assert files.read_outputs(spark, path).count() == 0
+
+
+def plainly_read(text):
+    """Rows of cells, character by character: a quote opens or closes wherever it stands."""
+    table, row, cell, quoted, at = [], [], "", False, 0
+    while at < len(text):
+        c = text[at]
+        if c == '"' and quoted and text[at + 1 : at + 2] == '"':
+            cell, at = cell + c, at + 1
+        elif c == '"':
+            quoted = not quoted
+        elif c == "," and not quoted:
+            row, cell = [*row, cell], ""
+        elif c in "\r\n" and not quoted:
+            at += text[at : at + 2] == "\r\n"
+            table, row, cell = [*table, [*row, cell]], [], ""
+        else:
+            cell += c
+        at += 1
+    return [*table, [*row, cell]]
+
+
+@pytest.mark.parametrize("split", ["24", "128m"])
+def test_large_files_are_read_in_splits(spark, tmp_path, split):
+    """Quoted line ends at any place of a split, with splits of a few bytes."""
+    rng, before = random.Random(7), {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    parts = ["a", "bb", "é", '"', '""', ",", ",", "\n", "\n", "\r\n", '"x,y"', '"l\n2"', '"q""q"', " ", 'x"y,z"w', "\r"]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for n in (8, 90, 700):
+            text = "h1,H1,h`3\n" + "".join(rng.choice(parts) for _ in range(n)) + "z"
+            (tmp_path / f"{n}.csv").write_bytes(text.encode())
+            df = delimited.read_delimited(spark, str(tmp_path / f"{n}.csv"))
+            assert df.columns == ["h1", "H1", "h`3"]
+            want = sorted(tuple((r + [""] * 3)[:3]) for r in plainly_read(text)[1:] if any(r[:3]))
+            assert sorted(tuple(r) for r in df.collect()) == want
+        if split == "24":
+            assert spark.read.text(str(tmp_path / "700.csv")).rdd.getNumPartitions() > 20
+        # a header of several lines that runs over splits, and several files with their own headers
+        for name in ("one", "two"):
+            (tmp_path / "many").mkdir(exist_ok=True)
+            (tmp_path / "many" / name).write_text(f'"a long header\n\nof lines that go on",b,B\n{name},"1\n",2\n')
+        df = delimited.read_delimited(spark, str(tmp_path / "many"), raw_names=False)
+        assert df.columns == ["a long header\n\nof lines that go on", "b", "B_2"] and rows(df) == [("one", "1\n", "2"), ("two", "1\n", "2")]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_safe_names(spark):
     names = ["../up/My file?.pdf", "noext", "x" * 100 + ".txt", "???", None, ".hidden"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
@@ -76,12 +166,27 @@ def test_media(spark):
     flags = {r.path: r for r in media.privacy_flags(df, items).collect()}
     assert flags["a.jpg"].has_gps and flags["a.jpg"].has_camera and flags["b.png"].has_png_text and flags["c.webp"].has_xmp and flags["c.webp"].has_webp
     assert flags["e.txt"].metadata_count == 0 and flags["f"].warnings == 2 and len(flags) == 6 and flags["d.jpg"].has_exif
+    assert flags["a.jpg"].metadata_count == items.where("path = 'a.jpg' and grp <> 'warning'").count() + 1
+    more = media.with_coordinates(items)
+    assert [(r.path, r.value) for r in more.where("label = 'Decimal coordinates'").collect()] == [("a.jpg", "-12.566667, 56.120833")]
+    assert {r.path: r.metadata_count for r in media.privacy_flags(df, more).collect()} == {p: r.metadata_count for p, r in flags.items()}
     # the seconds of the latitude have denominator 0 and count as 0
     assert [tuple(r) for r in media.gps_points(items).collect()] == [("a.jpg", -12.566667, 56.120833)]
     sniffed = files.sniff_format(df.select(F.col("path").alias("name"), F.lit("image/png").alias("mime"), "content"))
     assert {r.name: (r.format, r.mismatch) for r in sniffed.collect()} == {"a.jpg": ("JPEG", False), "b.png": ("PNG", False), "c.webp": ("WebP", False), "d.jpg": ("JPEG", False), "e.txt": ("PNG", True), "f": ("PNG", True)}
 
 
+def test_grid_at_poles_and_date_line(spark):
+    made = [(0.0, 0.0), (0.5, 0.5), (-0.1, -0.1), (90.0, 77.0), (90.0, -3.0), (89.5, -180.0), (-90.0, 12.0), (10.0, 180.0), (10.0, -180.0), (10.0, 190.0), (10.0, 539.0), (None, 1.0), (1.0, None), (91.0, 0.0), (1.0, float("nan")), (1.0, float("inf"))]
+    points = spark.createDataFrame([(str(i), *p) for i, p in enumerate(made)], "path string, lat double, lon double")
+    got = {(r.side, r.south, r.west): r.files for r in media.gps_grid(points, (10, 1)).collect()}
+    small = {k[1:]: n for k, n in got.items() if k[0] == 1}
+    assert small == {(0, 0): 2, (-1, -1): 1, (89, -180): 3, (-90, -180): 1, (10, -180): 2, (10, -170): 1, (10, 179): 1}
+    large = {k[1:]: n for k, n in got.items() if k[0] == 10}
+    assert large == {(0, 0): 2, (-10, -10): 1, (80, -180): 3, (-90, -180): 1, (10, -180): 2, (10, -170): 1, (10, 170): 1}
+    assert got[0, None, None] == 5 and media.gps_grid(points.where("false")).count() == 0
+
+
 def test_exif_display(spark):
     made = [("Exposure time", 1, 250, "1/250 sec"), ("Exposure time", 2, 1, "2 (2/1)"), ("F number", 14142, 10000, "f/1.41"), ("Max aperture", 3, 1, "f/3"), ("Focal length", 50, 1, "50 mm"), ("Altitude", 5, 2, "2.5 (5/2)"), ("Altitude", 5, 0, "0 (5/0)"), ("Exposure bias", -1, 3, "-0.33 (-1/3)")]
     df = spark.createDataFrame([(str(i), lab, f"{n}/{d}", [n], [d]) for i, (lab, n, d, _) in enumerate(made)], "path string, label string, value string, num array<long>, den array<long>")

@@ -1,9 +1,12 @@
 import base64
 import hashlib
+import json
+import random
 
 from pyspark.sql import functions as F
 
 from loomwork.functions import js_compat as js
+from loomwork.functions import json_text
 from loomwork.operators import integrity, reshape
 from tests.conftest import rows
 
@@ -54,9 +57,86 @@ RECORDS = [(1, '{"b": 1, "a": {"x": [1, {}]}}'), (2, '{"a": null, "c": "yes"}'),
 
 def test_keys_and_wide(spark):
     df = spark.createDataFrame(RECORDS, "id long, j string")
-    assert rows(reshape.discover_keys(df, "j", "id")) == [("a", 1, 1, 2), ("b", 1, 0, 1), ("c", 2, 1, 2), ("k k", 5, 1, 1)]
-    wide = {r.id: (r.ok, r.a, r.c) for r in reshape.json_to_wide(df, "id", "j", ["a", "c"]).collect()}
-    assert wide[2] == (True, "", "yes") and wide[3][0] is False and wide[4][0] is False and wide[6][0] is False
+    assert rows(reshape.discover_keys(df, "j", "id").drop("first_item")) == [("a", 1, 1, 2), ("b", 1, 0, 1), ("c", 2, 1, 2), ("k k", 5, 1, 1)]
+    wide = {r.id: (r.a, r.c) for r in reshape.json_to_wide(df, "id", "j", ["a", "c"]).collect()}
+    assert wide == {1: ('{"x":[1,{}]}', ""), 2: ("", "yes"), 5: ("", "1e5")}
+    assert rows(reshape.wide_rejects(df, "id", "j")) == [(3, "not_objects"), (4, "syntax"), (6, "null")]
+
+
+TABLES = [
+    ("plain", '[{"x": "1", "y": 2e0}, {"y": null, "z": [1.0, "2"]}]'), ("words", '["p", "q"]'), ("hole", '[{"x": 1}, null]'), ("lists", "[[3], [4]]"), ("one", '{"X": true, "k": 0.10, "item": -0}'),
+    ("tail", '{"x": 1} more'), ("single", "{'x': 1}"), ("none", "[]"), ("bare", "[{}, {}]"), ("text", '"x"'), ("void", None), ("twice", '{"x": 1, "x": "last"}'), ("deep", '{"x": ' + "[" * 2000 + "]" * 2000 + "}"),
+]
+
+
+def test_tables_of_json(spark):
+    df = spark.createDataFrame(TABLES, "k string, j string")
+    wide = reshape.json_to_wide(df, "k", "j")
+    # keys in the order they are first seen by id: of "one", "plain" and "twice"; taken names are told apart in any case
+    assert wide.columns == ["k", "item", "X", "k_2", "item_2", "x_2", "y", "z", "more"]
+    want = [("one", 0, "true", "0.1", "0", "", "", "", ""), ("plain", 0, "", "", "", "1", "2", "", ""), ("plain", 1, "", "", "", "", "", '[1,"2"]', ""), ("twice", 0, "", "", "", "last", "", "", "")]
+    assert rows(wide) == want
+    rejects = {"words": "not_objects", "hole": "not_objects", "lists": "not_objects", "tail": "syntax", "single": "syntax", "none": "no_fields", "bare": "no_fields", "text": "not_array", "void": "null", "deep": "depth"}
+    assert dict(rows(reshape.wide_rejects(df, "k", "j"))) == rejects
+    narrow = {(r.k, r.item): (r.X, r.more) for r in reshape.json_to_wide(df, "k", "j", widest=1).collect()}
+    assert narrow["one", 0] == ("true", '{"k":"0.1","item":"0"}') and narrow["twice", 0] == ("", '{"x":"last"}')
+    long = rows(reshape.json_to_long(df, "k", "j"))
+    assert ("plain", 1, "y", "") in long and ("plain", 1, "z", '[1,"2"]') in long and len(long) == 8
+    assert reshape.json_to_wide(df.where("false"), "k", "j").columns == ["k", "item", "more"]
+
+
+def strictly(text):
+    """What a JSON parser says that takes no words for numbers."""
+
+    def no(word):
+        raise ValueError(word)
+
+    try:
+        return json.loads(text, parse_constant=no)
+    except ValueError:
+        return ValueError
+
+
+def test_gate_is_strict_and_keeps_the_order(spark):
+    rng = random.Random(4)
+    parts = ["{", "}", "[", "]", ":", ",", '"a"', '"b\\n"', '"\\u00e9"', '"\\x"', "1", "-0", "01", "1.", "1e5", "-1.5E+3", "true", "null", "nul", " ", "\n", "'a'", "NaN", "\x0b", "\x01", "﻿", '"', '"tab\there"', ".5", "+1", "1 2"]
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(['"a"', '"\\"q\\\\"', "1", "-0.5e-3", "true", "null", ' "x" ', '""'])
+        if rng.random() < 0.6:
+            return "{" + ",".join(rng.choice(['"k"', '"a b"', ' "j" ']) + ":" + value(depth - 1) for _ in range(rng.randint(0, 3))) + " }"
+        return "[ " + " , ".join(value(depth - 1) for _ in range(rng.randint(0, 3))) + "]"
+
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(1500)] + [value(4) for _ in range(700)]
+    for _ in range(900):
+        whole = value(3)
+        at = rng.randrange(len(whole) + 1)
+        texts.append(whole[:at] + rng.choice([*parts, ""]) + whole[at + rng.randint(0, 1) :])
+    texts += ['{"t":"x"} trailing', "{'a':1}", '{"b": 1e2, "a": [ ], "b": "\\u0041"}', '"' + "\\n" * 100_000 + '"', "[" + ",".join("1" * 50_000) + "]", "[" * 900 + "]" * 900, "[" * 500 + "]" * 499, None]
+    got = reshape.json_gate(spark.createDataFrame(list(enumerate(texts)), "raw int, ok string"), "raw", "ok").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r[0]]
+        if text is None or strictly(text) is ValueError:
+            assert (r[1], r.reason, r.minified) == (False, "null" if text is None else "syntax", None), text
+        else:
+            assert r[1] and strictly(r.minified) == strictly(text) and r.bytes_after == len(r.minified.encode()) <= r.bytes_before
+    assert [r.minified for r in got if texts[r[0]] == '{"b": 1e2, "a": [ ], "b": "\\u0041"}'] == ['{"b":1e2,"a":[],"b":"\\u0041"}']
+    deep = spark.createDataFrame([(1, "[" * 2000 + "]" * 2000)], "k int, j string")
+    assert reshape.json_gate(deep, "k", "j").first().reason == "depth"
+
+
+def test_numbers_as_javascript_prints_them(spark):
+    made = {"1e2": "100", "1.0": "1", "1.50": "1.5", "-0": "0", "0.1": "0.1", "1e21": "1e+21", "1e-7": "1e-7", "123456789012345678901234567890": "1.2345678901234568e+29", "12345678.5": "12345678.5", "-2.5E3": "-2500", "0.000001": "0.000001", "123e-20": "1.23e-18"}
+    df = spark.createDataFrame([(k,) for k in made], "t string")
+    assert {r.t: r.n for r in df.select("t", json_text.js_number(F.col("t")).alias("n")).collect()} == made
+
+
+def test_leaf_rejects(spark):
+    df = spark.createDataFrame([*RECORDS, (7, '{"a": 1} x'), (8, '{"a": 1, "a": 2}')], "id long, j string")
+    assert rows(reshape.leaf_rejects(df, "id", "j")) == [(4, "syntax"), (6, "null"), (7, "syntax"), (8, "repeated_keys")]
+    assert {r.id for r in reshape.leaf_paths(df, "id", "j").collect()} == {1, 2, 3, 5}
 
 
 def test_gate_accounts_for_every_row(spark):
@@ -87,6 +167,12 @@ def test_ambiguous(spark):
 
 
 def test_drop_sensitive(spark):
-    df = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"b": "x"})], "id long, m map<string,string>")
-    got = {r.id: (r.cleaned, r.dropped) for r in reshape.drop_sensitive(df, "id", "m", ["a"]).collect()}
-    assert got == {1: ('{"b":"2"}', 1), 2: ('{"b":"x"}', 0)}
+    df = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {"b": "x"}), (2, {"b": "x"}), (3, None), (4, {}), (5, {"a": None, "z": None}), (None, {"c": "y", "a": "q"})], "id long, m map<string,string>")
+    want = [(None, '{"c":"y"}', 1), (1, '{"b":"2"}', 1), (2, '{"b":"x"}', 0), (2, '{"b":"x"}', 0), (3, None, 0), (4, "{}", 0), (5, '{"z":null}', 1)]
+    got = reshape.drop_sensitive(df, "id", "m", ["a"])
+    assert sorted(((r.id, r.cleaned, r.dropped) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert {(r.bytes_before, r.bytes_after) for r in got.where("id = 1").collect()} == {(17, 9)}
+    # a table of a million names, with repeated and null ones, of which one occurs
+    names = spark.range(1_000_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")).union(spark.createDataFrame([("a",), ("a",), (None,)], "name string"))
+    assert sorted(((r.id, r.cleaned, r.dropped) for r in reshape.drop_sensitive(df, "id", "m", names).collect()), key=repr) == sorted(want, key=repr)
+    assert reshape.drop_sensitive(df, "id", "m", []).where("dropped > 0").count() == 0 and reshape.drop_sensitive(df.where("false"), "id", "m", ["a"]).count() == 0

@@ -73,3 +73,23 @@ def test_extract_fields(spark):
     df = spark.createDataFrame([(1, "<title>T</title><h1>H</h1>"), (2, "none"), (3, None)], "k long, html string")
     got = rows(text.extract_fields(df, "k", [("Title", "<title>([^<]*)"), ("Heading", "<h1>([^<]*)")], "html"))
     assert got == [(1, "Heading", "H"), (1, "Title", "T"), (2, "present", ""), (3, "present", "")]
+
+
+def test_quantiles_from_merged_sketches(spark):
+    """Ranks of merged quantiles are within the stated error; small groups are exact; nulls group as a value of their own."""
+    import bisect
+    import random
+
+    rng = random.Random(6)
+    made = [(rng.choice(["a", "b", None]), rng.choice("xy"), "w " * int(rng.paretovariate(0.7) % 3000)) for _ in range(6000)] + [("c", "x", "one two three")] * 3
+    df = spark.createDataFrame(made, "lang string, source string, text string").repartition(7)
+    for grouping, levels in (("rollup", {0, 1, 3}), ("cube", {0, 1, 2, 3})):
+        found = text.text_quantiles_by(text.text_sketches(df, ["lang", "source"]), ["lang", "source"], (0.1, 0.5, 0.99), grouping).collect()
+        assert {r.level for r in found} == levels
+        for r in found:
+            own = sorted(len(t.split()) for lang, source, t in made if (r.level & 2 or lang == r.lang) and (r.level & 1 or source == r.source))
+            assert r.texts == len(own)
+            below, upto = bisect.bisect_left(own, r.quantile) / len(own), bisect.bisect_right(own, r.quantile) / len(own)
+            assert below <= r.share + text.RANK_ERROR and upto >= r.share - text.RANK_ERROR
+        assert {r.quantile for r in found if r.lang == "c"} == {3}
+    assert text.text_quantiles_by(text.text_sketches(df.where("false"), ["lang"]), ["lang"]).count() == 0
