@@ -6,6 +6,9 @@ see; and a renderer writes the rest with blank lines between blocks, list marker
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -46,9 +49,9 @@ ENDS = {
 }
 SCOPE = frozenset(("table", "td", "th", "caption", "button", "object", "html"))
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
-#: Elements nested deeper than this become siblings, as in browsers. A cell beside others is wrapped to WIDE characters, and
-#: spans over more columns than MOST_SPAN count as so many.
-DEPTH, WIDE, MOST_SPAN = 300, 60, 100
+#: Elements nested deeper than this become siblings, as in browsers. A cell beside others is wrapped to WIDE characters. No cell
+#: spans more columns than MOST_SPAN, as the HTML standard has it.
+DEPTH, WIDE, MOST_SPAN, BLANKS = 300, 60, 1000, 32
 
 
 class Node:
@@ -325,16 +328,56 @@ def _wrapped(lines: list[str]) -> list[str]:
     return out
 
 
+class Places:
+    """The columns that a table's next row has free: those that no cell from above takes up, as intervals, and all from ``width`` on."""
+
+    def __init__(self):
+        self.free: list[tuple[int, int]] = []  # a heap of intervals below width
+        self.width, self.row = 0, 0
+        self.ending: dict[int, list[tuple[int, int]]] = {}  # by row, what is free again from there on
+        self.used: list[tuple[int, int]] = []
+
+    def take(self, span: int, height: int) -> int:
+        """The column of a row's next cell. A height of 0 is to the end of the table."""
+        start = self.free[0][0] if self.free else self.width
+        end, own = start + span - 1, []
+        while self.free and self.free[0][0] <= end:
+            low, high = heapq.heappop(self.free)
+            if high > end:
+                heapq.heappush(self.free, (end + 1, high))
+            own.append((low, min(high, end)))
+        if end >= self.width:
+            own.append((max(start, self.width), end))
+            self.width = end + 1
+        if height == 1:
+            self.used += own
+        elif height:
+            self.ending.setdefault(self.row + height, []).extend(own)
+        return start
+
+    def next_row(self) -> None:
+        merged: list[tuple[int, int]] = []
+        for low, high in self.used:
+            if merged and merged[-1][1] + 1 == low:
+                merged[-1] = (merged[-1][0], high)
+            else:
+                merged.append((low, high))
+        self.row += 1
+        for interval in (*merged, *self.ending.pop(self.row, ())):
+            heapq.heappush(self.free, interval)
+        self.used = []
+
+
 def tabled(node: Node, shown: bool) -> list[str]:
     """Captions, then rows with their cells side by side; each column as wide as its widest cell. Columns without any text, and
-    the places that a cell of several rows or columns takes up, are not seen."""
+    the places that a cell of several rows or columns takes up, are not seen. A table that would be mostly blanks, over BLANKS
+    times its text, is not aligned: its rows are their cells one after another."""
     captions: list[str] = []
     rows: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # rows that a cell from above still takes up in a column
+    places = Places()
 
     def place(row: Node, seen: bool) -> dict[int, list[str]]:
         cells: dict[int, list[str]] = {}
-        at, below = 0, dict(taken)
         for cell in row.children:
             if isinstance(cell, str):
                 if seen and cell.strip():
@@ -343,16 +386,10 @@ def tabled(node: Node, shown: bool) -> list[str]:
             laid, visible = visibility(cell, seen)
             if not laid:
                 continue
-            while taken.get(at, 0) > 0:
-                at += 1
-            cells[at] = _bare(block(cell, visible, False) if cell.tag in BLOCKS and cell.tag not in CELL else flow(cell, visible))
             height = cell.number("rowspan", 1)
-            for _ in range(max(min(cell.number("colspan", 1), MOST_SPAN), 1)):
-                if height != 1:
-                    below[at] = height if height > 0 else len(node.children) + 65534  # 0 is to the end of the table
-                at += 1
-        taken.clear()
-        taken.update({c: n - 1 for c, n in below.items() if n > 1})
+            at = places.take(max(min(cell.number("colspan", 1), MOST_SPAN), 1), height if height >= 0 else 1)
+            cells[at] = _bare(block(cell, visible, False) if cell.tag in BLOCKS and cell.tag not in CELL else flow(cell, visible))
+        places.next_row()
         return cells
 
     def gather(parent: Node, seen: bool) -> None:
@@ -372,16 +409,27 @@ def tabled(node: Node, shown: bool) -> list[str]:
                 captions.extend(block(child, visible, False) if child.tag in BLOCKS else flow(child, visible))
 
     gather(node, shown)
-    columns = sorted({c for row in rows for c, lines in row.items() if lines})
+    rows = [{c: lines for c, lines in row.items() if lines} for row in rows]
+    columns = sorted({c for row in rows for c in row})
     if len(columns) > 1:
         rows = [{c: _wrapped(lines) for c, lines in row.items()} for row in rows]
     widths = _widths(rows)
+    edges = [0, *itertools.accumulate(widths[c] + 2 for c in columns)]
+    shape = [(row, max(row), max(map(len, row.values()))) for row in rows if row]
+    letters = sum(len(line) + 2 for row in rows for lines in row.values() for line in lines)
+    aligned = sum(height * edges[bisect.bisect_left(columns, last)] for _, last, height in shape) <= BLANKS * letters + 4096
     out = list(captions)
-    for row in rows:
-        last = max((c for c, lines in row.items() if lines), default=-1)
-        mine = [c for c in columns if c <= last]
-        for i in range(max((len(row[c]) for c in mine if c in row), default=0)):
-            out.append("  ".join((row[c][i] if c in row and i < len(row[c]) else "").ljust(widths[c] if c != last else 0) for c in mine).rstrip())
+    for row, last, height in shape:
+        if aligned:
+            mine = columns[: bisect.bisect_right(columns, last)]
+            for i in range(height):
+                out.append("  ".join((row[c][i] if c in row and i < len(row[c]) else "").ljust(widths[c] if c != last else 0) for c in mine).rstrip())
+        else:
+            beside: list[list[str]] = [[] for _ in range(height)]
+            for c in sorted(row):
+                for i, line in enumerate(row[c]):
+                    beside[i].append(line)
+            out += ["  ".join(parts).rstrip() for parts in beside]
     return out
 
 

@@ -357,6 +357,49 @@ def test_html_time_grows_with_the_length_only():
         assert spent[1] < 12 * max(spent[0], 0.05), piece
 
 
+def test_tables_take_time_and_room_in_proportion():
+    import time
+
+    shapes = [
+        lambda n: "<table><tr>" + "<td rowspan=0>x" * n + "<tr><td>y" * n,
+        lambda n: "<table>" + "<tr><td rowspan=0>" * n + "<tr>" * n,
+        lambda n: "<table><tr>" + "<td>x" * n + "<tr><td>y" * n,
+        lambda n: "<table><tr>" + "".join(f"<td rowspan={k % n + 2}>x" for k in range(n)) + "<tr><td>y<td>z" * n,
+        lambda n: "<table><tr>" + "<td colspan=1000 rowspan=9>x<td>z<tr>" * n,
+        lambda n: "<table><tr><td>" + "a<br>" * n + "<td>x" * n + "</table>",
+    ]
+    for shape in shapes:
+        spent = []
+        for n in (2000, 10_000):
+            page = shape(n)
+            began = time.perf_counter()
+            text = html_layout.render(page)
+            spent.append(time.perf_counter() - began)
+            assert len(text) < 40 * len(page)
+            assert text.count("y") == page.count("y") and text.count("x") == page.count("x")
+        assert spent[1] < 12 * max(spent[0], 0.05), page[:60]
+
+
+def test_places_of_spanning_cells():
+    """Columns that cells get in random tables, against a grid that is marked place by place."""
+    rng = random.Random(9)
+    for _ in range(300):
+        places, grid = html_layout.Places(), {}
+        for row in range(rng.randint(1, 9)):
+            at = 0
+            for _ in range(rng.randint(0, 5)):
+                span, height = rng.choice([1, 1, 2, 4]), rng.choice([1, 1, 2, 3, 0])
+                while grid.get((row, at)):
+                    at += 1
+                assert places.take(span, height) == at
+                # a cell that spans places taken from above holds the others only
+                for c in [c for c in range(at, at + span) if not grid.get((row, c))]:
+                    for r in range(row, row + height if height else 12):
+                        grid[r, c] = True
+                at += span
+            places.next_row()
+
+
 def test_html_of_a_very_long_page():
     rows_of = [f"<tr><td>name {i}<td>{i}" for i in range(60_000)]
     page = "<p>start<p>" + "long words " * 150_000 + "<table>" + "".join(rows_of) + "</table><p>end"
