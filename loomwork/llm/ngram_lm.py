@@ -192,7 +192,7 @@ def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
         found = [np.zeros(len(both), np.int64), np.zeros(len(both), np.int64)]
         for p in (0, 1):
             found[p][np.searchsorted(both, keys[p])] = counts[p]
-        return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([deltas(both)], pa.binary()), **{c: pa.array([planes(f.astype(np.uint32))], pa.binary()) for c, f in zip(("estimate", "held"), found)}})
+        return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([deltas(both)], pa.binary()), **{c: pa.array([planes(f.astype(np.int64))], pa.binary()) for c, f in zip(("estimate", "held"), found)}})
 
     packed = texts.where(F.col("part") != UNSEEN).mapInArrow(count, "bucket int, k0 binary, n0 binary, k1 binary, n1 binary")
     return packed.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, estimate binary, held binary")
@@ -204,7 +204,7 @@ def _vocabulary(packed: DataFrame, size: int) -> tuple[Model, Model]:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, e, h in zip(*(batch.column(c).to_pylist() for c in ("keys", "estimate", "held"))):
-                yield pa.RecordBatch.from_arrays([pa.array(undeltas(k, "<u8").view(np.int64)), *(pa.array(unplanes(x, "<u4").astype(np.int64)) for x in (e, h))], ["h", "estimate", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array(undeltas(k, "<u8").view(np.int64)), *(pa.array(unplanes(x, "<i8")) for x in (e, h))], ["h", "estimate", "held"])
 
     words = packed.mapInArrow(unpack, "h long, estimate long, held long")
     total = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("estimate"), F.lit(0)).alias("e"), F.coalesce(F.sum("held"), F.lit(0)).alias("h")).first()
@@ -317,7 +317,7 @@ def _rare_facts(texts: DataFrame, words: DataFrame, model: Model, buckets: int)
         found = [_looked_up(counts, x) for _, x in rows]
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([COUNTS_BEFORE] * len(rows), pa.int32()), "keys": pa.array([deltas(r[1]) for r in rows], pa.binary()),
-            **{c: pa.array([planes(f[i].astype(np.uint32)) for f in found], pa.binary()) for i, c in enumerate(("docs", "counts"))},
+            **{c: pa.array([planes(f[i].astype(np.int64)) for f in found], pa.binary()) for i, c in enumerate(("docs", "counts"))},
         })
 
     schema = "bucket int, kind int, keys binary, docs binary, counts binary"
@@ -331,7 +331,7 @@ def _known(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     rows = [r for r in zip(*(table.column(c).to_pylist() for c in ("kind", "keys", "docs", "counts"))) if r[0] == kind]
     h = np.concatenate([np.zeros(0, np.uint64), *(undeltas(r[1], "<u8") for r in rows)])
     order = np.argsort(h, kind="stable")
-    return h[order], *(np.concatenate([np.zeros(0, np.uint32), *(unplanes(r[i], "<u4") for r in rows)])[order].astype(np.int64) for i in (2, 3))
+    return h[order], *(np.concatenate([np.zeros(0, np.int64), *(unplanes(r[i], "<i8") for r in rows)])[order] for i in (2, 3))
 
 
 def _looked_up(known: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,21 @@ def test_lm_keeps_the_counts_of_every_word(spark, sf_dir, monkeypatch, coded, fr
             assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
 
 
+def test_lm_counts_pass_32_bits(spark):
+    """Counts of a corpus are added up and carried as 64-bit numbers."""
+    from loomwork.llm.words import deltas, planes
+
+    end, many = int(ngram_lm.END), (1 << 33) + 5
+    keys = np.array(sorted([7, end]), np.uint64)
+    counts = np.array([3, many] if end > 7 else [many, 3], np.int64)
+    packed = spark.createDataFrame([(0, bytearray(deltas(keys)), bytearray(planes(counts)), bytearray(planes(counts * 2)))], "bucket int, keys binary, estimate binary, held binary")
+    final, estimate = ngram_lm._vocabulary(packed, 10)
+    assert final.tokens == 3 * (many + 3) and estimate.tokens == many + 3 and many * 3 in final.counts.tolist() and many in estimate.counts.tolist()
+    table = pa.table({"kind": pa.array([1], pa.int32()), "keys": [deltas(keys)], "docs": [planes(counts)], "counts": [planes(counts * 2)]})
+    known = ngram_lm._known(table, 1)
+    assert [x.tolist() for x in ngram_lm._looked_up(known, np.array([end, 9], np.uint64))] == [[many, 0], [2 * many, 0]]
+
+
 def test_lm_weights_raise_the_likelihood_of_held_out_counts(spark):
     rng = np.random.default_rng(0)
     b, f12, f1, n = rng.integers(1, 4, 300).astype(np.uint8), rng.random(300) * (rng.random(300) < 0.5), rng.random(300) / 50, rng.integers(1, 9, 300)
