@@ -20,8 +20,9 @@ from .common import counted as distinct_counts
 from .common import settled, text_bytes, text_slices
 from .words import deltas, mixed, planes, undeltas, unplanes, word_hashes
 
-#: Bytes of text that a block is cut from, and occurrences of the whole corpus that a counting task has a share of.
-BLOCK, BUCKET = 16 << 20, 2_000_000
+#: Bytes of text that a block is cut from, occurrences of the whole corpus that a counting task has a share of, and groups of
+#: ranked phrases that are merged at a time.
+BLOCK, BUCKET, MERGE = 16 << 20, 2_000_000, 32
 _BLANK, _END = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _END[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -249,9 +250,10 @@ def longer_relation(relation: DataFrame, told: DataFrame) -> DataFrame:
     return settled(_joined(relation, told).mapInArrow(run, RELATION))
 
 
-def frequent_phrases(df: DataFrame, least: int, longest: int, lang_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
-    """The number of words of each language (lang, n), and for each length the frequent phrases: id, lang, phrase, f, last (word),
-    pre and suf (f of its first and last 1, 2, ... words), and from two words on a and b, the ids of its parts."""
+def frequent_phrases(df: DataFrame, least: int, longest: int, lang_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame], int]:
+    """The number of words of each language (lang, n); for each length the frequent phrases: id, lang, phrase, f, last (word), pre
+    and suf (f of its first and last 1, 2, ... words), and from two words on a and b, the ids of its parts; and in how many buckets
+    phrases were counted."""
     blocks = word_blocks(df, lang_col, text_col)
     buckets = max(8, (blocks.agg(F.sum("total")).first()[0] or 0) // BUCKET)
     told = frequent_words(blocks, least, buckets)
@@ -270,7 +272,19 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, lang_col: str, tex
         found.append(settled(longer.select(
             "id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.col("n").alias("f"), "last", F.concat("pre", own).alias("pre"), F.concat("suf", own).alias("suf"), "a", "b",
         )))
-    return totals, found
+    return totals, found, buckets
+
+
+def _best(scored: DataFrame, top: int, groups: int) -> DataFrame:
+    """The first ``top`` rows of each language with their rank. A language may hold most of the rows, so its phrases are dealt to
+    ``groups``, then to a MERGE-th of them and so on, and each keeps its own first ones only."""
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    while groups > 1:
+        dealt = scored.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
+        place = F.row_number().over(Window.partitionBy("lang", "group").orderBy(*order))
+        scored = dealt.withColumn("rank", place).where(F.col("rank") <= top).drop("group", "rank")
+        groups //= MERGE
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
 def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -285,7 +299,7 @@ def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 20
     A null language is ``und``, null and empty texts have no words, repeated rows count each time, an empty table gives an empty
     result; other columns of ``df``, whatever their names, are left out. Texts are taken whole.
     """
-    totals, found = frequent_phrases(df, least, longest, lang_col, text_col)
+    totals, found, buckets = frequent_phrases(df, least, longest, lang_col, text_col)
     big = "cast({} as decimal(20,0))".format  # products of counts may pass 64 bits
     phrases = []
     for k in range(2, longest + 1):
@@ -305,6 +319,5 @@ def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 20
     for more in phrases[1:]:
         all_phrases = all_phrases.union(more)
     flat = all_phrases.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    ranked = flat.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    ranked = _best(flat, top, buckets)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
