@@ -197,7 +197,12 @@ def t9_bad_characters(spark, sf_dir):
     return text.bad_characters(_table(spark, sf_dir, "documents"), "lang", allowed=r"\t\n\r\x20-\x7E")
 
 
-@query()
+@query(r"""with p as (select doc_id, unnest(regexp_split_to_array(text, '\r?\n')) as para, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) as par from documents)
+    , w as (select doc_id, par, array_to_string(flatten([regexp_extract_all(x, '.{1,86}') for x in regexp_extract_all(para, '\S+')]), ' ') as words from p)
+    , l as (select doc_id, par, unnest(lines) as line, generate_subscripts(lines, 1) as place from (
+        select doc_id, par, case when words = '' then [''] else regexp_extract_all(words, '([^ ](?:.{0,84}[^ ])?)(?: |$)', 1) end as lines from w))
+    , n as (select doc_id, line, row_number() over (partition by doc_id order by par, place) - 1 as line_no from l)
+    select doc_id, (line_no // 43)::int as page_idx, line_no::int as line_no, line from n""")
 def t10_paginate(spark, sf_dir):
     return text.paginate(_table(spark, sf_dir, "documents"), "doc_id")
 
