@@ -37,7 +37,7 @@ def url_templates(depth: int = 4, z: float = 2.58, alpha: float = 4.0, beta: flo
     , ruled as (
         select *, case when {fits('example.net', '/en/')} then 'example.net/en/' when {fits('example.com', '/de/')} then 'example.com/de/'
             when {fits('org', '/fr/')} then 'org/fr/' when {fits('net', '/')} then 'net/' end as rule,
-            regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g') as shape
+            regexp_replace(regexp_replace(path, '[0-9a-fA-F]{{12,}}', '{{#}}', 'g'), '[0-9]+', '{{0}}', 'g') as shape
         from base)
     , said as (select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end as says from ruled)
     , shapes as (

@@ -48,7 +48,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 
 def shape_of(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{12,}", "{h}"), "[0-9]+", "{n}")
+    """Hashes as {#} and numbers as {0}, which no letter stands in, so that a segment's form keeps them apart."""
+    return F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{12,}", "{#}"), "[0-9]+", "{0}")
 
 
 def form_of(segment: Column) -> Column:

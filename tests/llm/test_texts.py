@@ -503,6 +503,17 @@ def test_variable_segments_take_in_unlabelled_ones_of_their_form(spark):
     assert {i for i in range(400) if got[200 + i] == "block"} == {3}
 
 
+def test_numbers_and_hashes_have_forms_of_their_own(spark):
+    """Two blocked siblings with hashes show that such a segment is variable; one with a number is not taken for it."""
+    seen = ["/0123456789abcdef/x"] * 9 + ["/fedcba9876543210aa/x"] * 9 + ["/17/x"] * 9
+    rules = [("h.com", "/0123456789abcdef/", "block"), ("h.com", "/fedcba9876543210aa/", "block"), ("h.com", "/ok/", "allow")]
+    urls = [*seen, *["/ok/x"] * 30, "/00112233445566778899/x"]
+    df = spark.createDataFrame([(i, "http://h.com" + u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.path: (r.verdict, r.template) for r in url_templates.judge_urls(df, rules).collect()}
+    assert got["/17/x"][0] == "allow" and got["/17/x"][1] != got["/00112233445566778899/x"][1]
+    assert "{0}" in got["/17/x"][1]
+
+
 def test_templates_reject_what_rules_block(spark):
     """On the given pages, the method's own view of the labelled pages is the rules', and it rejects whole templates."""
     got = queries.op9_url_templates(spark, "/root/testdata/sf0.1").where("rule is not null").collect()
