@@ -1,4 +1,5 @@
 import random
+import re
 import struct
 
 import pytest
@@ -61,23 +62,23 @@ def test_outputs_by_kind(spark, tmp_path):
 
 
 def plainly_read(text):
-    """Rows of cells, character by character: a quote opens or closes wherever it stands."""
-    table, row, cell, quoted, at = [], [], "", False, 0
-    while at < len(text):
-        c = text[at]
-        if c == '"' and quoted and text[at + 1 : at + 2] == '"':
-            cell, at = cell + c, at + 1
-        elif c == '"':
-            quoted = not quoted
-        elif c == "," and not quoted:
-            row, cell = [*row, cell], ""
-        elif c in "\r\n" and not quoted:
-            at += text[at : at + 2] == "\r\n"
-            table, row, cell = [*table, [*row, cell]], [], ""
+    """Rows of cells by what stands between quotes: every second part is quoted text, and an empty part between two of those is
+    what is left of a doubled quote."""
+    parts = text.split('"')
+    table = [[""]]
+    for i, part in enumerate(parts):
+        if i % 2:
+            table[-1][-1] += part
+        elif part == "" and 0 < i < len(parts) - 1:
+            table[-1][-1] += '"'
         else:
-            cell += c
-        at += 1
-    return [*table, [*row, cell]]
+            for n, line in enumerate(re.split("\r\n|\r|\n", part)):
+                if n:
+                    table.append([""])
+                first, *more = line.split(",")
+                table[-1][-1] += first
+                table[-1] += more
+    return table
 
 
 @pytest.mark.parametrize("split", ["24", "128m"])
