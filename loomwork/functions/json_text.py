@@ -105,10 +105,12 @@ MARK = "\x02"
 
 
 def with_marked_numbers(text: Column) -> Column:
-    """A minified JSON text with its numbers as marked strings in JavaScript's spelling, so that no reader respells them."""
+    """A minified JSON text with its numbers as marked strings in JavaScript's spelling, so that no reader respells them. A text with
+    none but short integers needs no marks."""
     tokens = F.regexp_extract_all(text, F.lit(rf"({STRING}|-?[0-9][0-9.eE+-]*+|[^\"0-9-]++)"), F.lit(1))
     marked = F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), F.concat(F.lit('"\\u0002'), js_number(t), F.lit('"'))).otherwise(t))
-    return F.when(text.contains("\\u0002"), text).otherwise(F.array_join(marked, ""))
+    plain = ~F.regexp_replace(text, F.lit(STRING), F.lit("")).rlike("[0-9][.eE]|-0|[0-9]{16}")
+    return F.when(text.contains("\\u0002") | plain, text).otherwise(F.array_join(marked, ""))
 
 
 def without_marks(value: Column) -> Column:

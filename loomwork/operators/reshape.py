@@ -12,6 +12,11 @@ from ..functions import json_text
 from ..functions.names import distinct_names
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once for each row, also where rows are chosen by it: no filter passes a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def json_gate(df: DataFrame, key: str, col: str) -> DataFrame:
     """key, ok, reason (null, syntax or depth), minified text, and bytes before and after.
 
@@ -28,7 +33,7 @@ def json_gate(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def _judged(df: DataFrame, key: str, col: str) -> DataFrame:
     """k, json, kind and reason, which is null where the text is an object with fields, or an array of objects that have some."""
-    read = df.select(F.col(key).alias("k"), F.col(col).alias("json"), json_text.json_kind(F.col(col)).alias("kind"))
+    read = _once(df.select(F.col(key).alias("k"), F.col(col).alias("json")), "kind", json_text.json_kind(F.col("json")))
     bare = F.translate(json_text.json_minified(F.col("json")), "[]{},", "") == ""
     reason = (
         F.when(F.col("kind").startswith("?"), F.substring("kind", 2, 9)).when(F.col("kind").isin("string", "scalar"), "not_array").when(F.col("kind") == "array", "not_objects")
@@ -40,9 +45,8 @@ def _judged(df: DataFrame, key: str, col: str) -> DataFrame:
 def _objects(df: DataFrame, key: str, col: str) -> DataFrame:
     """k, item and json of each object: a text that is an object is its own, an array of objects has one for each item."""
     judged = _judged(df, key, col).where("reason is null")
-    one = judged.where("kind = 'object'").select("k", F.lit(0).alias("item"), "json")
-    items = F.from_json(json_text.json_minified(F.col("json")), "array<string>")
-    return one.unionByName(judged.where("kind = 'objects'").select("k", F.posexplode(items).alias("item", "json")))
+    items = F.when(F.col("kind") == "object", F.array("json")).otherwise(F.from_json(json_text.json_minified(F.col("json")), "array<string>"))
+    return judged.select("k", F.posexplode(items).alias("item", "json"))
 
 
 def _fields(json: str) -> Column:
@@ -122,8 +126,8 @@ def leaf_paths(df: DataFrame, key: str, col: str, depth: int = 4) -> DataFrame:
     """
     kind = F.regexp_extract(F.expr("schema_of_variant(v)"), "^[A-Z]+", 0)
     nested = kind.isin("OBJECT", "ARRAY") & ~F.to_json("v").isin("{}", "[]")
-    valid = F.when(json_text.json_problem(F.col(col)).isNull(), F.try_parse_json(F.col(col)))
-    level = df.select(F.col(key).alias("k"), F.lit("").alias("path"), valid.alias("v")).where("v is not null").withColumn("open", nested)
+    valid = F.when(json_text.json_problem(F.col("json")).isNull(), F.try_parse_json("json"))
+    level = _once(df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.col(col).alias("json")), "v", valid).drop("json").where("v is not null").withColumn("open", nested)
     for _ in range(depth):
         members = F.when(F.col("open"), F.col("v")).otherwise(F.parse_json(F.lit("[0]")))
         inner = level.withColumn("members", members).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("members").outer()))
@@ -138,8 +142,9 @@ def leaf_paths(df: DataFrame, key: str, col: str, depth: int = 4) -> DataFrame:
 
 def leaf_rejects(df: DataFrame, key: str, col: str) -> DataFrame:
     """key and reason of every text without leaves: null, syntax, depth or repeated_keys."""
-    problem = F.coalesce(json_text.json_problem(F.col(col)), F.when(F.try_parse_json(F.col(col)).isNull(), "repeated_keys"))
-    return df.select(F.col(key), problem.alias("reason")).where("reason is not null")
+    problem = F.coalesce(json_text.json_problem(F.col("json")), F.when(F.try_parse_json("json").isNull(), "repeated_keys"))
+    judged = _once(df.select(F.col(key).alias("k"), F.col(col).alias("json")), "reason", problem)
+    return judged.where("reason is not null").select(F.col("k").alias(key), "reason")
 
 
 # fixed values: words that are read as truth values or nothing, in any case
