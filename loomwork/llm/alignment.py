@@ -29,7 +29,7 @@ from .pieces import MARKER, ChunkTable
 #: Distinct chunks that a worker keeps; beyond it the table is started afresh, which costs time and changes nothing else.
 TABLE_SIZE = 250_000
 #: What either tokenizer may read as white space, and those of it that start no chunk.
-WHITE = " \n\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　" + MARKER
+WHITE = " \n\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + MARKER
 INNER = WHITE[2:]
 CHUNKS = re.compile(f"[ \n][{WHITE}]*+(?:[^{WHITE}]++(?:[{INNER}][{WHITE}]*+[^{WHITE}]*+)*+)?+")
 
