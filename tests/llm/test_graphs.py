@@ -290,7 +290,7 @@ def test_mixing_odd_rows(spark):
     assert kept.columns == clash.columns and {(r.mix_0, r.MIX_prob, r["a.b"]) for r in kept.collect()} == {("mine", 7, "dot")}
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op9_url_templates"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
