@@ -22,6 +22,8 @@ from .common import counted, text_slices
 #: Ranks in a language's profile, and most frequent n-grams of a document that are compared.
 PROFILE, COMPARED = 400, 300
 UNDETERMINED = "und"
+#: Characters of a text that are worked on at a time; a longer text is counted in such parts.
+PART = 1 << 20
 EDGE = 1  # stands for anything between words; no letter has this code point
 
 
@@ -36,7 +38,7 @@ def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     Every text starts with an EDGE, and so ends before the next one's.
     """
     parts = [np.frombuffer(("\0" + (t or "").lower()).encode("utf-32-le", "replace"), dtype=np.uint32) for t in texts]
-    bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
     cp = np.concatenate([*parts, np.zeros(1, np.uint32)]).astype(np.int64)
     letter = _letters()[cp]
     start = np.zeros(len(cp), dtype=bool)
@@ -57,6 +59,37 @@ def grams(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate((one, two, three))
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts, those of 0 left out."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), keys[1:] != keys[:-1])))
+    sums = np.add.reduceat(counts, first)
+    return keys[first][sums > 0], sums[sums > 0]
+
+
+def counted_in_parts(text: str, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram keys of one text in order and their counts, as ``_counted`` finds them, in room for ``part`` characters.
+
+    From part to part go the last two letters or edges. The n-grams within these are counted again and so taken off."""
+    lower = text.lower()
+    tail, keys, counts = np.array([EDGE], np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for s in range(0, len(lower) + 1, part):
+        closes = s + part > len(lower)
+        raw = np.frombuffer(lower[s : s + part].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        cp = np.where(_letters()[raw], raw, EDGE)
+        cp = np.concatenate((tail, cp, np.full(int(closes), EDGE)))
+        keep = np.ones(len(cp), dtype=bool)
+        keep[1:] = (cp[1:] != EDGE) | (cp[:-1] != EDGE)
+        cp = cp[keep]
+        (new, n), (old, m) = _counted(cp), counted(grams(tail)[0])
+        keys, counts = _summed(np.concatenate((keys, new, old)), np.concatenate((counts, n, -m)))
+        tail = cp[-2:]
+    return keys, counts
+
+
 def gram_text(key: int) -> str:
     """An n-gram as text, with _ at word edges."""
     points = [key >> s & (1 << 21) - 1 for s in (42, 21, 0)]
@@ -103,11 +136,12 @@ def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size
         for batch in text_slices(batches, "text", 4 << 20):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for lang in set(langs):
-                cp, _ = letters_of([t for t, x in zip(texts, langs) if x == lang])
-                keys, counts = _counted(cp)
+                own = [t for t, x in zip(texts, langs) if x == lang]
+                cp, _ = letters_of([t for t in own if len(t) <= PART])
                 mine = held.setdefault(lang, {})
-                for k, n in zip(keys.tolist(), counts.tolist()):
-                    mine[k] = mine.get(k, 0) + n
+                for keys, counts in (_counted(cp), *(counted_in_parts(t) for t in own if len(t) > PART)):
+                    for k, n in zip(keys.tolist(), counts.tolist()):
+                        mine[k] = mine.get(k, 0) + n
             if sum(map(len, held.values())) > 500_000:
                 yield _rows(held)
                 held = {}
@@ -130,9 +164,8 @@ def profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size
     return {lang: [g for _, g in sorted(found[lang])] for lang in sorted(found)}
 
 
-def distances(cp: np.ndarray, ranked: list[tuple[np.ndarray, np.ndarray]], size: int, compared: int) -> tuple[np.ndarray, int]:
-    """Out-of-place distance of one text to each profile, and the largest possible one."""
-    keys, counts = counted(grams(cp)[0])
+def distances(keys: np.ndarray, counts: np.ndarray, ranked: list[tuple[np.ndarray, np.ndarray]], size: int, compared: int) -> tuple[np.ndarray, int]:
+    """Out-of-place distance of one text's n-grams, in order, to each profile, and the largest possible one."""
     top = keys[np.argsort(-counts, kind="stable")[:compared]]
     rank = np.arange(len(top))
     out = np.empty(len(ranked))
@@ -156,15 +189,17 @@ class Identifier:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, fit) of each text."""
-        cp, bounds = letters_of(texts)
+        cp, bounds = letters_of([t if t and len(t) <= PART else "" for t in texts])
         langs, scores, fits = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-            if b - a < 2 or not self.names:
+            if texts[i] and len(texts[i]) > PART:
+                keys, counts = counted_in_parts(texts[i])
+            else:
+                own = cp[a : b + 1]  # with the next text's first EDGE, which closes this one's last word
+                keys, counts = counted(grams(own[:-1] if own[-2] == EDGE else own)[0])
+            if not len(keys) or not self.names:
                 continue
-            own = cp[a : b + 1]  # with the next text's first EDGE, which closes this one's last word
-            if own[-2] == EDGE:
-                own = own[:-1]
-            d, most = distances(own, self.ranked, self.size, self.compared)
+            d, most = distances(keys, counts, self.ranked, self.size, self.compared)
             best = int(d.argmin())
             second = np.delete(d, best).min() if len(d) > 1 else most
             langs[i] = self.names[best]
