@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,7 +177,8 @@ def train(
     """A machine learned from the whole texts of ``df`` whose ids ``labels`` has, at most ``sample`` of them.
 
     Of an id's several labels the largest counts; null ids and null labels do not. Null and empty texts are documents without
-    terms; repeated rows of an id count once each. Where the labelled rows are all clean, or there are none, every score will
+    terms. Of an id's several rows the one with the smallest hash of its text counts, whatever their number, so that ``sample``
+    bounds the documents too. Where the labelled rows are all clean, or there are none, every score will
     be 0; where all are toxic, 1. Other columns of either table, whatever their names, do not matter.
     """
     rows = _labelled(df, labels, id_col, text_col, label_col, sample)
@@ -186,9 +187,13 @@ def train(
         for batch in text_slices(batches, "text"):
             docs, buckets = _pairs(*terms(batch.column("text").to_pylist()), BUCKETS)
             offsets = np.searchsorted(docs, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets.astype(np.int32)))], ["label", "h", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("h"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets.astype(np.int32)))], ["id", "label", "h", "terms"])
 
-    listed = settled(rows.select("text", "label", F.xxhash64("id", "text").alias("h")).mapInArrow(list_terms, "label int, h long, terms array<int>").withColumn("sample", F.lit(0)))
+    hashed = rows.select(F.xxhash64("id").alias("id"), "text", "label", F.xxhash64("id", "text").alias("h"))
+    named = hashed.mapInArrow(list_terms, "id long, label int, h long, terms array<int>")
+    # Spark keeps the first row of an id in each task before it sends rows
+    place = F.row_number().over(Window.partitionBy("id").orderBy("h"))
+    listed = settled(named.withColumn("place", place).where("place = 1").select("label", "h", "terms", F.lit(0).alias("sample")))
     totals = dict(listed.groupBy("label").count().collect())
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not clean or not toxic:
