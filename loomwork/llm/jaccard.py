@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import counted, new_name, settled, text_slices
@@ -41,8 +41,9 @@ TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
 MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
 #: Holders up to which a list is joined with itself, and documents in a block of a longer one: of whole sets, and of prefixes.
 SHORT, BLOCK, PREFIXES = 64, 256, 1536
-#: Parts in which the copies of one set, and the documents of one long list, are dealt out.
-SALTS = 32
+#: Parts in which the copies of one set, and the documents of one long list, are dealt out; and those of any list while it
+#: meets what is known of it, of which a short list has no more than it has documents.
+SALTS, PARTS = 32, 256
 #: Shingles a task holds before it sends them, and shingles counted at a time.
 CHUNK, BUCKET = 2_000_000, 750_000
 
@@ -252,6 +253,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _told(lists: DataFrame, keys: list[str], found: dict[str, tuple[Column, Column]], where: Column | None = None) -> DataFrame:
+    """``lists`` with a column for each of ``found``, an aggregate over the rows of equal ``keys``: how a part of these is
+    summed up, and how the parts are. Rows of keys for which ``where`` does not hold go.
+
+    A shingle may be held by a third of all documents, so the rows of a key are dealt out by their ids, and each part that has
+    rows meets its own copy of what was found: no more copies than there are rows, and no task with all rows of a key.
+    """
+    dealt = lists.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy(*keys, "part").agg(*(one.alias(name) for name, (one, _) in found.items()))
+    whole = parts.groupBy(*keys).agg(*(both.alias(name) for name, (_, both) in found.items()), F.collect_set("part").alias("parts"))
+    if where is not None:
+        whole = whole.where(where)
+    return dealt.join(whole.withColumn("part", F.explode("parts")).drop("parts"), [*keys, "part"]).drop("part")
+
+
 def _near_sizes(num: int, den: int):
     return F.least("na", "nb") * den >= F.greatest("na", "nb") * num
 
@@ -285,16 +301,15 @@ def link_texts(
     frequent, times = frequent[order], np.array([r[1] for r in top], dtype=np.int64)[order]
     prefixed = settled(_prefixes(needed, frequent, times, words, num, den))
     postings = prefixed.select("id", "n", "k", "band", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
-    lists = settled(postings.join(shared, "token").select("token", "id", "n", "k", "band"))
+    holders = {"holders": (F.count("*"), F.sum("holders"))}
+    lists = settled(_told(postings, ["token"], holders, F.col("holders") > 1).select("token", "id", "n", "k", "band"))
 
     found = settled(_verified(_leader_pairs(lists, num, den), needed, words, num, den)).where("linked").select("a", "b")
     links = copies.union(found)
     grouped = components(links)
     known = lists.join(grouped, "id", "left").select("token", "id", "n", "k", "band", F.coalesce("component", "id").alias("component"))
-    known = settled(known)
-    spans = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders")).where("low < high").select("token", "holders")
-    open_ = settled(known.join(spans, "token"))
+    ends = {"low": (F.min("component"), F.min("low")), "high": (F.max("component"), F.max("high"))}
+    open_ = settled(_told(settled(known), ["token"], holders | ends, F.col("low") < F.col("high")).drop("low", "high"))
     short = _verified(_all_pairs(open_.where(F.col("holders") <= SHORT), num, den), needed, words, num, den).where("linked").select("a", "b")
     long = _compared(open_.where(F.col("holders") > SHORT), prefixed, needed, words, num, den)
     more = settled(short.union(long))
@@ -398,6 +413,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # maps and variants have no order of their own
     order = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes if c != id_col]
     place = new_name(df, "row_of_id")
+    # Spark keeps the first row of an id in each task before it sends rows, however many an id has
     # a row without an id is alone, whatever others there are
     alone, named = kept.where(F.col(id_col).isNull()), kept.where(F.col(id_col).isNotNull())
     firsts = named.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(*(order or [F.lit(0)])))).where(F.col(place) == 1)
@@ -406,8 +422,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def _leader_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """Each document of a list with the list's leader among those of about its size."""
-    leaders = lists.groupBy("token", "band").agg(F.min(F.struct("id", "n", "k")).alias("leader"))
-    met = lists.join(leaders, ["token", "band"]).where("id <> leader.id")
+    met = _told(lists, ["token", "band"], {"leader": (F.min(F.struct("id", "n", "k")), F.min("leader"))}).where("id <> leader.id")
     pairs = met.select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"), F.col("n").alias("na"), F.col("leader.n").alias("nb"), F.least("k", "leader.k").alias("k"))
     return pairs.where(_near_sizes(num, den)).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("k").alias("k")).where("matches >= k").select("a", "b")
 
