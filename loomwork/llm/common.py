@@ -49,9 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/loomwork-{os.getpid()}"
 
 
+def _settled_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/settled-{spark.sparkContext.applicationId}"
+
+
+def forget_settled(spark: SparkSession) -> None:
+    """Removes all that ``settled`` wrote in this application. To be called once the results that read it are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_settled_dir(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: work done once, lineage cut, no loss with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = f"{_settled_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import components, jaccard, mixing, near_vectors, ngram_lm, queries
+from loomwork.llm import common, components, jaccard, mixing, near_vectors, ngram_lm, queries
 from tests.conftest import rows
 from tests.llm.test_texts import awkward, documents, empty
 
@@ -330,3 +330,11 @@ def test_pipeline_stages(spark, sf_dir):
     for table in (odd, odd.where("false")):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, table, sf_dir).count()
+
+
+def test_settled_tables_are_removed_on_demand(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    assert common.settled(spark.range(5)).count() == 5 and list(tmp_path.glob("settled-*/*"))
+    common.forget_settled(spark)
+    common.forget_settled(spark)  # nothing is left: no error
+    assert not list(tmp_path.glob("settled-*"))

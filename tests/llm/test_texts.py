@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -238,6 +239,37 @@ def test_language_distance_matches_a_plain_one(spark, sf_dir):
         assert far[lang] == best and score == pytest.approx((second - best) / second) and fit == pytest.approx(1 - best / (langid.PROFILE * len(top)))
 
 
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 64])
+def test_long_texts_are_counted_in_parts_alike(spark, sf_dir, monkeypatch, part):
+    """N-grams of texts cut anywhere are those of whole texts, and so are profiles, languages and scores."""
+    texts = [t for t in AWKWARD if t is not None] + ["ΟΔΟΣ ΟΔΟΣ", "a", " a", "a ", "  ", "ab--cd", "ab" * part, "a " * part]
+    for text in texts:
+        cp, _ = langid.letters_of([text])
+        whole = langid.counted(langid.grams(cp[:-1] if len(cp) > 1 and cp[-2] == langid.EDGE else cp)[0])
+        keys, counts = langid.counted_in_parts(text, part)
+        assert keys.tolist() == whole[0].tolist() and counts.tolist() == whole[1].tolist(), text
+    if part == 64:
+        docs = documents(spark, sf_dir).limit(40)
+        learned, rows = langid.profiles(docs), [r.text for r in docs.collect()]
+        before = [list(x) for x in langid.Identifier(learned)(rows)]
+        monkeypatch.setattr(langid, "PART", part)
+        monkeypatch.setattr(langid.counted_in_parts, "__defaults__", (part,))
+        assert langid.profiles(docs) == learned and [list(x) for x in langid.Identifier(learned)(rows)] == before
+
+
+def test_language_of_a_very_long_text():
+    """A text of 20 MB takes room for a part of it, beside copies of the text itself."""
+    text = "der schnelle braune Fuchs springt. " * 600_000
+    name = langid.Identifier({"de": [ord("e"), ord("n")], "xx": [ord("x"), ord("q")]})
+    tracemalloc.start()
+    try:
+        langs, _, _ = name([text, None, "qxqx"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert langs == ["de", "und", "xx"] and peak < 400 << 20
+
+
 def test_language_odd_rows(spark):
     learned = {"aa": [ord("a"), ord("b")], "zz": [ord("z")]}
     got = {(r.doc_id, r.lang_pred, r.score) for r in langid.identify(awkward(spark).where("text is null or trim(text) = ''"), learned).collect()}
@@ -307,8 +339,20 @@ def test_toxicity_odd_rows_and_labels(spark):
     assert toxicity.clean_rows(df, toxicity.train(df, none)).columns == df.columns
 
 
+def test_toxicity_learns_one_row_of_each_id(spark):
+    """However many rows an id has, one of them is learned from, so copies of a document do not change the machine."""
+    rows = [(i, f"word{i % 7} you idiot" if i % 3 == 0 else f"word{i % 7} a fine day", int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels, texts = df.select("doc_id", "toxic"), df.select("doc_id", "text")
+    many = texts.union(texts.where("doc_id % 3 = 0").crossJoin(spark.range(40).select()))
+    scores = lambda machine: {r.doc_id: r.score for r in toxicity.score(texts, machine).collect()}
+    assert scores(toxicity.train(texts, labels)) == scores(toxicity.train(many, labels))
+
+
 def test_toxicity_held_out(spark):
-    """Of held-out toxic documents nearly all that hold a word of the learned ones' insults are caught, and no clean ones."""
+    """Of held-out toxic documents nearly all that hold a word of the learned ones' insults are caught, and no clean ones.
+
+    Of all that are labelled toxic, whatever they hold, at least 85 in 100 are."""
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels.select("doc_id", "toxic"), "doc_id", "left")
@@ -317,6 +361,8 @@ def test_toxicity_held_out(spark):
     insults = ("idiot", "clown", "pathetic", "stupid", "moron", "loser", "disgusting", "scum", "trash", "worthless")
     clean, toxic = [r for r in got if r.toxic == 0 and r.held_out], [r for r in got if r.toxic == 1 and r.held_out and any(w in r.text.lower() for w in insults)]
     assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    marked = [r for r in got if r.toxic == 1 and r.held_out]
+    assert sum(r.predicted for r in marked) >= 0.85 * len(marked)
     assert len(toxic) > 40 and sum(r.predicted for r in toxic) >= 0.95 * len(toxic)
 
 
