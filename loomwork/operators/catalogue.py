@@ -52,26 +52,39 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
 
 
+#: Texts that hold the same part are scored in so many groups.
+DEALT = 16
+
+
 def search_table(catalogue: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score and rank as ``keyword_search`` has them, for a table of ``queries`` (query_id, text) of any number.
 
-    A row that holds a token holds all its parts of three characters (or the token, if it is shorter). Each query is led by the
-    part that the fewest rows hold: the rows' lists of that part are its candidates, found by an equi-join, and all its tokens are
-    then looked for in these alone. Null and blank queries rank the whole catalogue in its order. Repeated tokens count again;
-    rows of one query_id must be one row.
+    Queries of the same tokens are one, and so are rows of the same texts, of which no more than the first ``k`` can be in a result;
+    so it is different queries that meet different texts. A row that holds a token holds all its parts of three characters (or the
+    token, if it is shorter). Each query is led by the part that the fewest texts hold, whose texts are found by an equi-join, and
+    all its tokens are then looked for in these alone. Null and blank queries rank the whole catalogue in its order. Repeated tokens
+    count again.
     """
     split = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s+"), lambda t: t != "")
-    asked = queries.select("query_id", split.alias("tokens"))
+    asked = queries.select("query_id", F.array_sort(split).alias("tokens"))
+    different = asked.where("size(tokens) > 0").select("tokens").distinct()
     parts = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.when(F.length(t) < 3, F.array(t)).otherwise(_grams(t, 3)))))
-    wanted = asked.select("query_id", F.explode(parts).alias("part"))
-    hay = _haystack(catalogue)
-    rows = catalogue.select("id", "ord", F.lower("name").alias("name"), F.lower(F.concat_ws(" ", "keywords")).alias("words"), F.lower("description").alias("about"), hay.alias("hay"))
-    held = rows.select("id", F.explode(F.array_distinct(F.concat(*(_grams(F.col("hay"), n) for n in (1, 2, 3))))).alias("part"))
+    wanted = different.select("tokens", F.explode(parts).alias("part"))
+    texts = {"name": F.lower("name"), "words": F.lower(F.concat_ws(" ", "keywords")), "about": F.lower("description"), "hay": _haystack(catalogue)}
+    place = F.row_number().over(Window.partitionBy(*texts).orderBy("ord", "id"))
+    rows = catalogue.select("id", "ord", *(c.alias(n) for n, c in texts.items())).withColumn("place", place).where(F.col("place") <= k)
+    heads = rows.where("place = 1").drop("place")
+    held = heads.select("*", F.explode(F.array_distinct(F.concat(*(_grams(F.col("hay"), n) for n in (1, 2, 3))))).alias("part"))
     posted = held.join(wanted.select("part").distinct(), "part", "left_semi")
     sizes = posted.groupBy("part").agg(F.count("*").alias("n"))
-    # a part that no row holds leads its query to no candidates
-    led = wanted.join(sizes, "part", "left").groupBy("query_id").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"))
-    candidates = posted.join(led, "part").select("query_id", "id")
+    # a part that no text holds leads its query to no candidates
+    led = wanted.join(sizes, "part", "left").groupBy("tokens").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"))
+    # texts of a part are dealt out, and every group meets the part's queries
+    deal = F.pmod(F.xxhash64("hay"), F.lit(DEALT)).cast("int")
+    # few bytes give many pairs, so neither side is broadcast from one task nor are tasks put together
+    tasks = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asking = led.select("tokens", "part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("deal"))
+    candidates = posted.withColumn("deal", deal).repartition(tasks, "part", "deal").join(asking.hint("shuffle_hash"), ["part", "deal"])
 
     def points(t: Column) -> Column:
         name = F.col("name")
@@ -81,13 +94,17 @@ def search_table(catalogue: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         )
 
     score = F.aggregate(F.transform("tokens", points), F.lit(0), lambda a, x: a + x)
-    hits = candidates.join(rows, "id").join(asked, "query_id").select("query_id", "id", "ord", score.alias("score")).where("score is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord", "id"))
-    best = hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    hits = candidates.select("tokens", "id", "ord", *texts, score.alias("score")).where("score is not null")
+    rank = F.row_number().over(Window.partitionBy("tokens").orderBy(F.col("score").desc(), "ord", "id"))
+    # a row among the first k has a text whose first row is among the first k of these
+    leaders = hits.withColumn("rank", rank).where(F.col("rank") <= k).select("tokens", "score", *(F.col(c).alias(f"_{c}") for c in texts))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in texts]
+    best = leaders.join(rows, same).withColumn("rank", rank).where(F.col("rank") <= k).select("tokens", "id", "score", "rank")
+    found = asked.join(best, "tokens").select("query_id", "id", "score", "rank")
     # the first k rows, numbered, go to each blank query
     first = catalogue.select("id", "ord").orderBy("ord", "id").limit(k).select("id", F.row_number().over(Window.orderBy("ord", "id")).alias("rank"))
     blank = asked.where("size(tokens) = 0").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")).join(first, "rank")
-    return best.unionByName(blank.select("query_id", "id", F.lit(0).alias("score"), "rank"))
+    return found.unionByName(blank.select("query_id", "id", F.lit(0).alias("score"), "rank"))
 
 
 def page_of(ranked: DataFrame, page: int, size: int = 10) -> DataFrame:

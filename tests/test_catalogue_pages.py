@@ -96,6 +96,29 @@ def test_search_by_a_table_of_queries(spark):
     assert catalogue.search_table(catalogue_df.where("false"), asked, 8).count() == 0
 
 
+def most_rows(df):
+    """The most rows that an operator of the plan as it was run gave."""
+
+    def walk(node):
+        kind, given = node.getClass().getSimpleName(), node.metrics().get("numOutputRows")
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return max([given.get().value() if given.isDefined() else 0, *map(walk, inner)])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_equal_queries_and_equal_rows_meet_once(spark):
+    """Rows that are asked by 600 equal queries are not scored for each of them; repeated ids and queries keep their rows."""
+    made = [(i // 2, "Red bolt", "Tools", "", [], i) for i in range(600)] + [(900, "Red bolt 7", None, None, ["x"], -1), (901, "bolt", None, None, [], 700)]
+    catalogue_df = spark.createDataFrame(made, "id long, name string, category string, description string, keywords array<string>, ord long")
+    asked = spark.createDataFrame([(i, ("bolt red", " RED  bolt ")[i % 2]) for i in range(600)] + [(1000, "bolt"), (1000, "7 x")], "query_id int, text string")
+    got = catalogue.search_table(catalogue_df, asked, 3)
+    found = rows(got, "query_id", "rank")
+    assert found[:6] == [(0, 900, 100, 1), (0, 0, 100, 2), (0, 0, 100, 3), (1, 900, 100, 1), (1, 0, 100, 2), (1, 0, 100, 3)]
+    assert len(found) == 600 * 3 + 3 + 1 and set(found[-4:]) == {(1000, 901, 100, 1), (1000, 900, 40, 2), (1000, 0, 40, 3), (1000, 900, 60, 1)}
+    assert most_rows(got) < 50_000
+
+
 def test_idle_users_leave_the_state(spark, tmp_path):
     """Late rows move nothing newer, a restart goes on where it was, and who is idle is forgotten."""
     import time
