@@ -281,6 +281,12 @@ def privacy_flags(files: DataFrame, items: DataFrame) -> DataFrame:
     return joined.select("path", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in flags.dtypes if c != "path"))
 
 
+def _by_file(held: DataFrame) -> DataFrame:
+    """The rows dealt out by file. Texts and arrays are aggregated by sorting: without this all rows of an input task would be
+    sorted before the shuffle, and a small file of items holds many."""
+    return held.repartition("path")
+
+
 def gps_points(items: DataFrame) -> DataFrame:
     """path, lat and lon in degrees to six places; a denominator of 0 counts as 0."""
     value = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
@@ -352,6 +358,9 @@ def format_exif(items: DataFrame) -> DataFrame:
 
 def device_summary(items: DataFrame) -> DataFrame:
     """make, model, software, files and with_gps."""
-    value = lambda label, name: F.max(F.when((F.col("grp") == "EXIF image") & (F.col("label") == label), F.col("value"))).alias(name)
-    per = items.groupBy("path").agg(value("Camera make", "make"), value("Camera model", "model"), value("Software", "software"), F.coalesce(F.bool_or(F.col("grp") == "EXIF GPS location"), F.lit(False)).alias("gps"))
+    label, image, gps = F.col("label"), F.col("grp") == "EXIF image", F.col("grp") == "EXIF GPS location"
+    named = image & label.isin("Camera make", "Camera model", "Software")
+    held = _by_file(items.where(named | gps).select("path", *(F.when(named, F.col(c)).alias(c) for c in ("label", "value"))))
+    value = lambda name, c: F.max(F.when(label == name, F.col("value"))).alias(c)
+    per = held.groupBy("path").agg(value("Camera make", "make"), value("Camera model", "model"), value("Software", "software"), F.bool_or(label.isNull()).alias("gps"))
     return per.where("make is not null or model is not null").groupBy("make", "model", "software").agg(F.count("*").alias("files"), F.count_if("gps").alias("with_gps"))

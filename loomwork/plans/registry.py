@@ -887,7 +887,8 @@ def m2_privacy_flags(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    """Metadata items made of the parts: a camera, exposures and a position for each."""
+    """Metadata items made of the parts: a camera, exposures and a position for each. The parts are dealt out first, as a task of a
+    small file of parts would make a great many items."""
     k = F.col("p_partkey")
     rat = lambda *x: F.array(*(F.lit(v).cast("long") if isinstance(v, int) else v.cast("long") for v in x))
     row = lambda grp, label, value, num=None, den=None: F.struct(F.lit(grp).alias("grp"), F.lit(label).alias("label"), value.cast("string").alias("value"), (num if num is not None else F.lit(None).cast("array<long>")).alias("num"), (den if den is not None else F.lit(None).cast("array<long>")).alias("den"))
@@ -898,7 +899,8 @@ def _items(spark, sf_dir):
         row("EXIF camera", "ISO speed", (k % 8 * 100), rat(k % 8 * 100), rat(1)), row(gps, "Latitude ref", F.when(k % 2 == 0, "N").otherwise("S")), row(gps, "Latitude", F.lit("n/d"), rat(k % 90, k % 60, 30), rat(1, 1, k % 2)),
         row(gps, "Longitude ref", F.lit("E")), row(gps, "Longitude", F.lit("n/d"), rat(k % 180, 0, 0), rat(1, 1, 1)),
     )
-    return _table(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.explode(rows).alias("r")).select("path", "r.*")
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type").repartition("p_partkey")
+    return parts.select(k.cast("string").alias("path"), F.explode(rows).alias("r")).select("path", "r.*")
 
 
 @query("""select p_partkey::varchar as path, round(case when p_partkey % 2 = 0 then 1 else -1 end * (p_partkey % 90 + (p_partkey % 60) / 60 + case when p_partkey % 2 = 1 then 30.0::double / 3600 else 0 end), 6) as lat, (p_partkey % 180)::double as lon from part""")

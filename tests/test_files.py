@@ -218,3 +218,20 @@ def test_stream_admit_splits_all_files(spark, tmp_path):
     read = lambda side: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / side))
     assert [r.name for r in read("ok").collect()] == ["a.txt"]
     assert {(r.name, r.reason) for r in read("rejected").collect()} == {("b.bin", "extension"), ("c.txt", "size")}
+
+
+def unsorted_before_the_shuffle(df):
+    """Whether the rows that come in are neither sorted nor aggregated before they are dealt out by file."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning(path") :]
+    return "Sort" not in first and "Aggregate" not in first
+
+
+def test_devices_of_items_in_many_parts(spark):
+    """Items of a file lie apart; a task does not sort all it is given."""
+    image, gps = "EXIF image", "EXIF GPS location"
+    made = [(f"{i}.jpg", image, "Camera make", f"make {i % 2}") for i in range(40)] + [(f"{i}.jpg", image, "Software", "Loo") for i in range(0, 40, 4)] + [(f"{i}.jpg", gps, None, None) for i in range(0, 40, 2)]
+    made += [("0.jpg", image, "Camera make", "a smaller text"), ("only.jpg", gps, "Latitude", "1/1"), ("soft.jpg", image, "Software", "Loo"), ("none.jpg", None, "Camera make", "x"), ("cam.jpg", "EXIF camera", "Camera model", "x")]
+    got = media.device_summary(spark.createDataFrame(made, "path string, grp string, label string, value string").repartition(7))
+    assert rows(got, "make", "software") == [("make 0", None, None, 10, 10), ("make 0", None, "Loo", 10, 10), ("make 1", None, None, 20, 0)]
+    assert unsorted_before_the_shuffle(got)
