@@ -289,9 +289,12 @@ def _by_file(held: DataFrame) -> DataFrame:
 
 def gps_points(items: DataFrame) -> DataFrame:
     """path, lat and lon in degrees to six places; a denominator of 0 counts as 0."""
-    value = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
-    axes = ("Latitude", "Longitude")
-    held = items.where((F.col("grp") == "EXIF GPS location") & F.col("label").isin(*axes, *(f"{a} ref" for a in axes)))
+    label, axes = F.col("label"), ("Latitude", "Longitude")
+    refs = [f"{a} ref" for a in axes]
+    held = items.where((F.col("grp") == "EXIF GPS location") & label.isin(*axes, *refs))
+    ref = label.isin(*refs)
+    held = _by_file(held.select("path", "label", F.when(ref, F.col("value")).alias("value"), *(F.when(~ref, F.col(c)).alias(c) for c in ("num", "den"))))
+    value = lambda name, c: F.max(F.when(label == name, F.col(c)))
     gathered = held.groupBy("path").agg(*(value(a, c).alias(f"{a}_{c}") for a in axes for c in ("num", "den")), *(value(f"{a} ref", "value").alias(f"{a}_ref") for a in axes))
 
     def degrees(axis: str) -> Column:

@@ -235,3 +235,12 @@ def test_devices_of_items_in_many_parts(spark):
     got = media.device_summary(spark.createDataFrame(made, "path string, grp string, label string, value string").repartition(7))
     assert rows(got, "make", "software") == [("make 0", None, None, 10, 10), ("make 0", None, "Loo", 10, 10), ("make 1", None, None, 20, 0)]
     assert unsorted_before_the_shuffle(got)
+
+
+def test_positions_of_items_in_many_parts(spark):
+    gps = "EXIF GPS location"
+    made = [(f"{i}.jpg", gps, label, value, num, [1, 1, 1] if num else None) for i in range(30) for label, value, num in (("Latitude", "n/d", [i, 30, 0]), ("Longitude", "n/d", [i, 0, 36]), ("Latitude ref", "sS"[i % 2], None), ("Altitude", "n/d", [1, 1, 1]))]
+    made += [("3.jpg", gps, "Latitude", "n/d", [2, 59, 0], [1, 1, 1]), ("3.jpg", gps, "Longitude ref", "W", None, None), ("half.jpg", gps, "Latitude", "n/d", [2, 59, 0], [1, 1, 1]), ("4.jpg", "EXIF image", "Latitude", "n/d", [90, 0, 0], [1, 1, 1])]
+    got = media.gps_points(spark.createDataFrame(made, "path string, grp string, label string, value string, num array<long>, den array<long>").repartition(7))
+    assert rows(got) == sorted((f"{i}.jpg", -(i + 0.5), (i + 0.01) * (-1 if i == 3 else 1)) for i in range(30))
+    assert unsorted_before_the_shuffle(got)
