@@ -61,19 +61,37 @@ def url_encode_col(df: DataFrame, key: str, col: str) -> DataFrame:
 STRENGTHS = ("Not generated", "Fair", "Good", "Strong", "Very strong")
 
 
+def _bits(token: Column) -> Column:
+    """Bits of a secret by the pool of characters it draws from. What is only small letters, as most words are, and ASCII are seen
+    to first, as the classes of white space beyond it are slow to look for."""
+
+    def pool(space: str) -> Column:
+        found = sum((F.when(token.rlike(p), n).otherwise(0) for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), (f"[^A-Za-z0-9{space}]", 28))), F.lit(0))
+        return F.when(token.rlike(f"[_{space}-]"), F.greatest(found, F.lit(48))).otherwise(found)
+
+    ascii_only = F.octet_length(token) == F.length(token)
+    pools = F.when(token.rlike(r"\A[a-z]++\z"), 26).when(ascii_only, pool(r"\s")).otherwise(pool(js.SPACE[1:-1]))
+    length = js.utf16_length(token)
+    return F.when(length == 0, 0).otherwise(F.round(length * F.log2(F.greatest(pools, F.lit(1)))).cast("int"))
+
+
+def _ranked(token: Column, bits: Column) -> tuple[Column, Column]:
+    """(score, label) of a secret and its bits."""
+    score = F.when(bits >= 80, 4).when(bits >= 60, 3).when(bits >= 40, 2).when(token != "", 1).otherwise(0)
+    return score, F.element_at(F.array(*map(F.lit, STRENGTHS)), score + 1)
+
+
 def strength(token: Column) -> tuple[Column, Column, Column]:
     """(bits, score, label) of a secret by the pool of characters it draws from."""
-    pool = sum((F.when(token.rlike(p), n).otherwise(0) for p, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), (f"[^A-Za-z0-9{js.SPACE[1:-1]}]", 28))), F.lit(0))
-    pool = F.when(token.rlike(f"[_{js.SPACE[1:-1]}-]"), F.greatest(pool, F.lit(48))).otherwise(pool)
-    length = js.utf16_length(token)
-    bits = F.when(length == 0, 0).otherwise(F.round(length * F.log2(F.greatest(pool, F.lit(1)))).cast("int"))
-    score = F.when(bits >= 80, 4).when(bits >= 60, 3).when(bits >= 40, 2).when(length > 0, 1).otherwise(0)
-    label = F.element_at(F.array(*map(F.lit, STRENGTHS)), score + 1)
-    return bits, score, label
+    bits = _bits(token)
+    return bits, *_ranked(token, bits)
 
 
 def secret_strength(df: DataFrame, key: str, col: str, token_rule: str = "[0-9a-f]{32,64}") -> DataFrame:
     """key, the token's hash (never the token), bits, score and label of every token in the texts."""
     tokens = df.select(key, F.explode(F.regexp_extract_all(F.col(col), F.lit(f"({token_rule})"))).alias("token"))
-    bits, score, label = strength(F.col("token"))
-    return tokens.select(key, F.sha2("token", 256).alias("token_sha256"), bits.alias("bits"), score.alias("score"), label.alias("label"))
+    token, bits = F.col("token"), F.col("bits")
+    # a generator, so that bits are worked out once for each token and not wherever they are looked at
+    known = tokens.select(key, "token", F.explode(F.array(_bits(token))).alias("bits"))
+    score, label = _ranked(token, bits)
+    return known.select(key, F.sha2("token", 256).alias("token_sha256"), "bits", score.alias("score"), label.alias("label"))

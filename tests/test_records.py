@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -47,6 +48,24 @@ def test_strength(spark):
     assert [tuple(r) for r in df.select(*integrity.strength(F.col("t"))).collect()] == [tuple(want) for _, *want in table]
 
 
+def test_strength_is_worked_out_once(spark):
+    """Each token's classes are looked for once, however often its bits are looked at; small letters, ASCII and other texts agree."""
+    import math
+
+    words = ["lowercaseonly", "UPPERCASE", "Mixed-case_9", "with,marks!", "snake_case_", "123456789", "żółćżółćżó", "żółć_żółćA1", "abc\u3000def", "\U0001f600" * 5, "a\x1fbcdefgh"]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "short words")], "k int, t string")
+    got = integrity.secret_strength(df, "k", "t", r"\S{5,}")
+
+    def bits(t):
+        pool = sum(n for n, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (28, "[^A-Za-z0-9\u3000]")) if re.search(p, t))
+        return round(len(t.encode("utf-16-be")) // 2 * math.log2(max(pool, 48 if re.search("[_\u3000-]", t) else 1)))
+
+    level = lambda b: 4 if b >= 80 else 3 if b >= 60 else 2 if b >= 40 else 1
+    want = [(1, hashlib.sha256(t.encode()).hexdigest(), b, level(b), integrity.STRENGTHS[level(b)]) for t in words for b in [bits(t)]]
+    assert rows(got) == sorted([*want, *((3, hashlib.sha256(t.encode()).hexdigest(), 24, 1, "Fair") for t in ("short", "words"))])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[0-9]") < 8
+
+
 def test_size_labels(spark):
     df = spark.createDataFrame([(0,), (-1,), (1023,), (1024,), (1536,), (1 << 30,), (5 << 40,)], "b long")
     assert [r[0] for r in df.select(js.size_label(F.col("b"))).collect()] == ["0 B", "0 B", "1023 B", "1.00 KB", "1.50 KB", "1.00 GB", "5120.00 GB"]
