@@ -21,6 +21,23 @@ OBJECT = rf"\{{(?:\x01:{VALUE}(?:,\x01:{VALUE})*+)?+\}}"
 ARRAY = rf"\[(?:{VALUE}(?:,{VALUE})*+)?+\]"
 #: What stands for what, in the order of a level's steps: empty arrays, arrays of objects only, other arrays, objects.
 STEPS = ((r"\[\]", "empty"), (r"\[\x03(?:,\x03)*+\]", "objects"), (ARRAY, "array"), (OBJECT, "object"))
+#: Whole texts that one pattern tells: objects of scalars and of objects and arrays of scalars, and arrays of such objects. What a
+#: value is shows in its first character, so that possessive repetitions lose nothing; all other texts go through their skeleton.
+_BLANK = r"[ \t\n\r]*+"
+
+
+def _listed(opening: str, item: str, closing: str) -> str:
+    return rf"{opening}{_BLANK}(?:{item}{_BLANK}(?:,{_BLANK}{item}{_BLANK})*+)?+{closing}"
+
+
+def _object_of(value: str) -> str:
+    return _listed(r"\{", rf"{STRING}{_BLANK}:{_BLANK}(?:{value})", r"\}")
+
+
+PLAIN = rf"{STRING}|{SCALAR}"
+SHALLOW = _object_of(rf"{PLAIN}|{_object_of(PLAIN)}|{_listed(r'\[', f'(?:{PLAIN})', r'\]')}")
+SHALLOW_OBJECT = rf"\A{_BLANK}{SHALLOW}{_BLANK}\z"
+SHALLOW_OBJECTS = rf"\A{_BLANK}\[{_BLANK}{SHALLOW}{_BLANK}(?:,{_BLANK}{SHALLOW}{_BLANK})*+\]{_BLANK}\z"
 #: Levels of nesting that are taken by default; Spark's own JSON functions take no more.
 DEPTH = 1000
 
@@ -65,7 +82,10 @@ def json_kind(text: Column, depth: int = DEPTH) -> Column:
             found = F.when(x == mark, kind).otherwise(found)
         return found
 
-    return F.when(text.isNull(), "?null").otherwise(_once(left, named))
+    known = F.when(text.isNull(), "?null")
+    if depth >= 3:
+        known = known.when(text.rlike(SHALLOW_OBJECT), "object").when(text.rlike(SHALLOW_OBJECTS), "objects")
+    return known.otherwise(_once(left, named))
 
 
 def json_problem(text: Column, depth: int = DEPTH) -> Column:
@@ -108,7 +128,8 @@ def with_marked_numbers(text: Column) -> Column:
     """A minified JSON text with its numbers as marked strings in JavaScript's spelling, so that no reader respells them. A text with
     none but short integers needs no marks."""
     tokens = F.regexp_extract_all(text, F.lit(rf"({STRING}|-?[0-9][0-9.eE+-]*+|[^\"0-9-]++)"), F.lit(1))
-    marked = F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), F.concat(F.lit('"\\u0002'), js_number(t), F.lit('"'))).otherwise(t))
+    short = lambda t: t.rlike("^(?:0|-?[1-9][0-9]{0,14}+)$")  # noqa: E731  # a short integer is spelled as it is
+    marked = F.transform(tokens, lambda t: F.when(short(t), F.concat(F.lit('"\\u0002'), t, F.lit('"'))).when(t.rlike("^-?[0-9]"), F.concat(F.lit('"\\u0002'), js_number(t), F.lit('"'))).otherwise(t))
     plain = ~F.regexp_replace(text, F.lit(STRING), F.lit("")).rlike("[0-9][.eE]|-0|[0-9]{16}")
     return F.when(text.contains("\\u0002") | plain, text).otherwise(F.array_join(marked, ""))
 

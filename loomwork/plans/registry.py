@@ -344,7 +344,8 @@ def r1_discover_keys(spark, sf_dir):
 
 
 def _feeds(spark, sf_dir):
-    """Records as objects, arrays of objects, and arrays and values that give no table; some numbers have exponents."""
+    """Records as objects, arrays of objects, and arrays and values that give no table; some numbers have exponents. The
+    events are dealt out first, as a task of a small file of events would make and read a great many texts."""
     i, q = F.col("event_id"), F.lit
     number = F.concat(F.col("user_id").cast("string"), F.when(i % 7 == 0, "e2").when(i % 7 == 1, ".50").when(i % 7 == 2, ".0").otherwise(""))
     more = F.when(i % 3 == 0, ', "flag": null, "Kind": "1e2", "item": true').otherwise("")
@@ -353,7 +354,8 @@ def _feeds(spark, sf_dir):
         F.when(i % 9 == 0, F.regexp_replace(j, "}$", "")).when(i % 10 == 0, '["a", "b"]').when(i % 11 == 0, F.concat(q("["), j, q(", null]"))).when(i % 13 == 0, "[[1, 2]]")
         .when(i % 8 == 0, F.concat(q("["), j, q(", "), j, q("]"))).when(i % 14 == 0, "[ {} ]").when(i % 17 == 0, "3").when(i % 19 == 0, None).otherwise(j)
     )
-    return _table(spark, sf_dir, "events").select("event_id", json.alias("json"))
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props").repartition("event_id")
+    return events.select("event_id", json.alias("json"))
 
 
 _FEEDS = """(select event_id, event_type as kind, case event_id % 7 when 0 then (user_id * 100)::varchar when 1 then user_id || '.5' else user_id::varchar end as user, event_id % 3 = 0 as more, replace(props, ' ', '') as props,

@@ -66,6 +66,19 @@ def test_strength_is_worked_out_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("[0-9]") < 8
 
 
+def test_shallow_texts_are_told_by_one_pattern(spark):
+    """What the pattern takes is what the skeleton says, and it leaves nothing invalid through."""
+    good = {"object": ['{}', ' { "a" : [1, -2.5e3, "x"], "b":{"c":null} }\n', '{"a":[]}', '{"\\u00e9\\"":"}"}'], "objects": ['[{}]', '[ {"a":1} , {"b":[true]} ]']}
+    bad = ['{"a":01}', '{"a":1,}', '{"a" 1}', '[{"a":1},]', '{"a":"\x01"}', '{"a":1} x', '{"a":+1}', "{'a':1}", '{"a":[1,]}', '{"a":NaN}', '{"a":1}\x0b', '{"a":"\\x"}', '[]', '[{},1]', '"{}"', '{"a":{"b":{"c":1}}}']
+    table = [(t, kind) for kind, texts in good.items() for t in texts]
+    df = spark.createDataFrame([*table, *((t, None) for t in bad)], "t string, kind string")
+    t = F.col("t")
+    told = F.when(t.rlike(json_text.SHALLOW_OBJECT), "object").when(t.rlike(json_text.SHALLOW_OBJECTS), "objects")
+    for r in df.select("t", "kind", told.alias("told"), json_text.json_kind(t).alias("found"), json_text.json_kind(t, 2).alias("slow")).collect():
+        assert r.told == r.kind and (r.kind is None or r.found == r.kind), r
+        assert r.found == r.slow or r.slow == "?depth", r
+
+
 def test_size_labels(spark):
     df = spark.createDataFrame([(0,), (-1,), (1023,), (1024,), (1536,), (1 << 30,), (5 << 40,)], "b long")
     assert [r[0] for r in df.select(js.size_label(F.col("b"))).collect()] == ["0 B", "0 B", "1023 B", "1.00 KB", "1.50 KB", "1.00 GB", "5120.00 GB"]
