@@ -28,6 +28,8 @@ from .common import distinct, settled, text_slices
 
 #: Buckets of hashed terms, labelled rows (those of smallest hashed id) that are learned from, documents a feature needs.
 BUCKETS, SAMPLE, LEAST = 1 << 18, 30_000, 3
+#: Characters hashed at a time, and learned documents whose terms are looked up at a time.
+PART, ROWS = 1 << 19, 1_000
 #: Letters of a word's beginnings that are terms too.
 BEGINNINGS = (4, 6)
 #: The evidence (twice a log-likelihood ratio) that makes a feature's value a half, and the value and number of documents of
@@ -84,7 +86,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every term of every text, repeated as often as it occurs."""
+    """(document, bucket) of every term of every text, repeated as often as it occurs. Texts are hashed PART characters at a
+    time, so that many of them take no more memory than the longest one; a longer text stays whole."""
+    part = np.cumsum([len(t or "") + 1 for t in texts]) // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    found = [(a, *_terms(texts[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(docs + a for a, docs, _ in found)]), np.concatenate([none, *(buckets for _, _, buckets in found)])
+
+
+def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.frombuffer(((t or "").lower() + "\0").encode("utf-32-le", "replace"), dtype=np.uint32) for t in texts]
     cp = np.concatenate([np.zeros(1, np.uint32), *parts]).astype(np.uint64)
     ends_of_texts = np.cumsum([1 + len(p) if i == 0 else len(p) for i, p in enumerate(parts)])
@@ -134,8 +145,31 @@ def values_of(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: i
     return np.where(n >= LEAST, np.maximum(evidence / (evidence + HALF), NEUTRAL * n / (n + SETTLED)), 0.0)
 
 
-def fitted(starts: np.ndarray, features: np.ndarray, labels: np.ndarray, values: np.ndarray, factors: int, epochs: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and vectors, with the features' values worked in. Document i has ``features[starts[i]:starts[i + 1]]``.
+def gathered(batches: Iterator[pa.RecordBatch], feature: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each document's features start, how many it has, the features of all, and labels, in the order of ``h``.
+
+    ``room`` is the number of all terms. Features are written once to where they stay, and documents put in order without
+    moving them, so a document takes four bytes a term and those of its batch."""
+    features, used = np.empty(room, dtype=np.int32), 0
+    sizes, marks, labels = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for rows in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+            found = feature[np.asarray(rows.column("terms").flatten())]
+            has = found >= 0
+            ends = np.cumsum(np.asarray(pa.compute.list_value_length(rows.column("terms"))))
+            sizes.append(np.diff(np.concatenate(([0], np.cumsum(has)))[np.concatenate(([0], ends))]))
+            marks.append(np.asarray(rows.column("h")))
+            labels.append(np.asarray(rows.column("label")))
+            features[used : used + sizes[-1].sum()] = found[has]
+            used += sizes[-1].sum()
+    sizes, marks, labels = (np.concatenate(x) for x in (sizes, marks, labels))
+    order = np.lexsort((labels, marks))
+    return (np.cumsum(sizes) - sizes)[order], sizes[order], features, labels[order]
+
+
+def fitted(starts: np.ndarray, lengths: np.ndarray, features: np.ndarray, labels: np.ndarray, values: np.ndarray, factors: int, epochs: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors, with the features' values worked in. Document i has ``lengths[i]``
+    of ``features`` from ``starts[i]`` on.
 
     Weights follow the proximal gradient with an L1 penalty, under which a feature needs more than noise to move off 0."""
     rng, size = np.random.default_rng(7), len(values)
@@ -148,7 +182,7 @@ def fitted(starts: np.ndarray, features: np.ndarray, labels: np.ndarray, values:
         order = rng.permutation(len(labels))
         for s in range(0, len(order), BATCH):
             rows = order[s : s + BATCH]
-            n, sizes = len(rows), starts[rows + 1] - starts[rows]
+            n, sizes = len(rows), lengths[rows]
             doc = np.repeat(np.arange(n), sizes)
             mine = features[np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(doc))]
             used, at = np.unique(mine, return_inverse=True)
@@ -194,24 +228,22 @@ def train(
     # Spark keeps the first row of an id in each task before it sends rows
     place = F.row_number().over(Window.partitionBy("id").orderBy("h"))
     listed = settled(named.withColumn("place", place).where("place = 1").select("label", "h", "terms", F.lit(0).alias("sample")))
-    totals = dict(listed.groupBy("label").count().collect())
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
+    totals = {r.label: r for r in listed.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).collect()}
+    clean, toxic = (totals[c].n if c in totals else 0 for c in (0, 1))
+    room = sum(r.terms for r in totals.values())
     if not clean or not toxic:
         return Machine(None, 0.0, None, None, 1.0 if toxic else 0.0)
     # a row for each bucket at most
     counted = listed.select("label", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy("bucket").toArrow()
     bucket, with_toxic, with_any = (np.asarray(counted.column(c)).astype(np.int64) for c in ("bucket", "toxic", "n"))
     values = values_of(with_toxic, with_any - with_toxic, toxic, clean)
-    feature = np.full(BUCKETS, -1, dtype=np.int64)
+    feature = np.full(BUCKETS, -1, dtype=np.int32)
     feature[bucket] = np.arange(len(bucket))
 
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("h", "ascending"), ("label", "ascending")]).combine_chunks()
-        terms_of = table.column("terms").combine_chunks()
-        found = feature[np.asarray(terms_of.flatten())]
-        row = np.repeat(np.arange(len(table)), np.asarray(pa.compute.list_value_length(terms_of)))[found >= 0]
-        bias, linear, vectors = fitted(np.searchsorted(row, np.arange(len(table) + 1)), found[found >= 0], np.asarray(table.column("label")), values, factors, epochs)
-        return pa.table({c: pa.array([np.asarray(v, dtype=np.float32).tobytes()], pa.binary()) for c, v in (("bias", bias), ("linear", linear), ("vectors", vectors))})
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, lengths, features, labels = gathered(batches, feature, room)
+        bias, linear, vectors = fitted(starts, lengths, features, labels, values, factors, epochs)
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(v, dtype=np.float32).tobytes()], pa.binary()) for v in (bias, linear, vectors)], ["bias", "linear", "vectors"])
 
     # the sample of at most ``sample`` documents is one group
     learned = listed.groupBy("sample").applyInArrow(fit, "bias binary, linear binary, vectors binary").first()

@@ -6,6 +6,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,38 @@ def test_machine_scores_are_the_plain_formula():
         assert got == pytest.approx(1 / (1 + np.exp(-raw)))
 
 
+def test_terms_of_many_texts_take_the_room_of_a_part():
+    texts = ["ab cde", None, "日本語 x", "long" * 200_000] + [f"some{i} Words{i % 7} a" for i in range(300_000)]
+    toxicity.terms(["a"])  # what is kept between calls
+    alone = [toxicity.terms([t])[1].tolist() for t in texts[:3] + texts[-3:]]
+    tracemalloc.start()
+    docs, buckets = toxicity.terms(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [buckets[docs == i].tolist() for i in (0, 1, 2, *range(len(texts) - 3, len(texts)))] == alone
+    assert peak < 250e6  # 45 MB of results, twice while they are joined, and a part; 760 MB if all were hashed at once
+
+
+def test_learned_terms_are_held_once():
+    rng = np.random.default_rng(4)
+    feature = np.where(rng.random(toxicity.BUCKETS) < 0.8, np.arange(toxicity.BUCKETS), -1).astype(np.int32)
+    sizes, marks, labels = rng.integers(0, 900, 12_000), rng.permutation(12_000), rng.integers(0, 2, 12_000).astype(np.int32)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    found = rng.integers(0, toxicity.BUCKETS, offsets[-1]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))
+    whole = pa.RecordBatch.from_arrays([pa.array(marks), pa.array(labels), lists], ["h", "label", "terms"])
+    tracemalloc.start()
+    starts, lengths, features, sorted_labels = toxicity.gathered((whole.slice(i, 5_000) for i in range(0, 12_000, 5_000)), feature, len(found))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(found) + 12e6
+    order = np.argsort(marks)
+    assert (sorted_labels == labels[order]).all()
+    for i in range(0, 12_000, 97):
+        f = feature[found[offsets[order[i]] : offsets[order[i] + 1]]]
+        assert (features[starts[i] : starts[i] + lengths[i]] == f[f >= 0]).all()
+
+
 def test_toxicity_odd_rows_and_labels(spark):
     df = awkward(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
