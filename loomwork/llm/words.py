@@ -13,8 +13,10 @@ from .common import text_bytes
 _P = 0x5851F42D4C957F2D
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)
+#: Bytes hashed at a time; a longer text stays whole.
+PART = 1 << 19
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
 
@@ -36,11 +38,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) of a text column, and where each text's words start
-    and the last one's end."""
+    and the last one's end. Many texts take no more memory than PART bytes of them, or the longest one."""
     raw, offsets = text_bytes(column)
+    part = offsets[1:] // PART
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(offsets) - 1]
+    hashes, bounds, before = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for a, b in zip(cuts, cuts[1:]):
+        h, found = _word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes.append(h)
+        bounds.append(found[1:] + before)
+        before += len(h)
+    return np.concatenate(hashes), np.concatenate(bounds)
+
+
+def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    raw = _LOWER[raw]
     inside = ~_SPACE[raw]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
@@ -51,7 +64,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at, to = np.flatnonzero(start), np.flatnonzero(end) + 1
     _grow(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers[: len(raw)], out=sums[1:])
+    np.multiply(_VALUE[raw], _powers[: len(raw)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     h = (sums[to] - sums[at]) * _inverses[at]
     return mixed(h ^ (to - at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(at, offsets)
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwork.llm import common, components, jaccard, mixing, near_vectors, ngram_lm, queries
+from loomwork.llm.words import word_hashes
 from tests.conftest import rows
 from tests.llm.test_texts import awkward, documents, empty
 
@@ -92,6 +94,18 @@ def test_join_of_large_groups(spark, monkeypatch):
     check_join(df, 5, 80, 100)
 
 
+def test_words_of_many_texts_take_the_room_of_a_part():
+    texts = pa.array(["Ab c", None, "", "x" * 900_000] + [f"word{i} Other{i % 5}  end" for i in range(250_000)] + ["ab C"])
+    alone = [word_hashes(pa.array([t]))[0].tolist() for t in ("ab c", "word0 other0 end", "x" * 900_000)]
+    tracemalloc.start()
+    h, bounds = word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [h[bounds[i] : bounds[i + 1]].tolist() for i in (0, 4, 3, len(texts) - 1)] == [*alone[:1], *alone[1:], *alone[:1]]
+    assert bounds[:4].tolist() == [0, 2, 2, 2] and len(bounds) == len(texts) + 1 and bounds[-1] == len(h)
+    assert peak < 90e6  # 300 MB if all were hashed at once
+
+
 def test_one_row_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(40))
     table = [(5, text, "a"), (3, text, "b"), (3, text, "b"), (9, "other words here", "c"), (None, text, "d"), (None, None, "e"), (8, None, "f")]
@@ -234,6 +248,21 @@ def test_lm_keeps_the_counts_of_every_word(spark, sf_dir, monkeypatch, coded, fr
             assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
 
 
+def test_lm_orders_and_places_match_plain_ones():
+    rng = np.random.default_rng(6)
+    near = np.array([2**63 + 5, 2**63 + 4, 2**63 + 5, 7, 2**64 - 1, 0, 7], dtype=np.uint64)  # differ in their last bits only
+    wide = np.concatenate((near, rng.choice(rng.integers(0, 2**64, 400, dtype=np.uint64), 3_000)))
+    for columns in ((wide,), (wide, wide[::-1], rng.integers(0, 9, len(wide)).astype(np.uint32)), (rng.integers(-4, 4, 500), rng.integers(0, 4, 500)), (wide.astype(np.uint32),), (wide[:0], wide[:0]), (wide[:1], wide[:1])):
+        order, new = ngram_lm._groups(*columns)
+        assert (order == np.lexsort(columns[::-1])).all()
+        rows = list(zip(*(c[order].tolist() for c in columns)))
+        assert new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))]
+    for hashes in (np.unique(wide), rng.permutation(np.unique(wide.astype(np.uint32))), np.arange(3_000, dtype=np.uint32), wide[:0], wide[:1]):
+        asked = np.concatenate((hashes, hashes[:50] + hashes.dtype.type(1), rng.integers(0, 2**32, 200).astype(hashes.dtype)))
+        where = {h: i for i, h in enumerate(hashes.tolist())}
+        assert ngram_lm.Places(hashes).of(asked).tolist() == [where.get(h, -1) for h in asked.tolist()]
+
+
 def test_lm_counts_pass_32_bits(spark):
     """Counts of a corpus are added up and carried as 64-bit numbers."""
     from loomwork.llm.words import deltas, planes
