@@ -41,6 +41,8 @@ TASK_SUMMARY, SUMMARY, NOT_RARE = 1 << 16, 1 << 17, 4
 MOST_MATCHES, VERIFY_COST, RARE_HOLDERS = 4, 8, 0.25
 #: Holders up to which a list is joined with itself, and documents in a block of a longer one: of whole sets, and of prefixes.
 SHORT, BLOCK, PREFIXES = 64, 256, 1536
+#: Sets of a block that are looked at together with all others of it, and hashes.
+STRIP, HASHES = 256, 1024
 #: Parts in which the copies of one set, and the documents of one long list, are dealt out; and those of any list while it
 #: meets what is known of it, of which a short list has no more than it has documents.
 SALTS, PARTS = 32, 256
@@ -92,9 +94,12 @@ def _surveyed(texts: DataFrame, words: int, buckets: int, bits: int) -> DataFram
             n, x, y = (np.concatenate([part[j] for part in held]) for j in (1, 2, 3))
             short = np.concatenate([part[4] for part in held])
             low = np.uint64(24)  # a chunk's texts fit: bits is at most 40
-            pairs = short << low | np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            pairs = short << low
+            del short
+            pairs |= np.repeat(np.arange(len(n), dtype=np.uint64), n)
             pairs.sort()
-            keys, docs = pairs >> low, pairs & ((np.uint64(1) << low) - np.uint64(1))
+            keys = pairs >> low
+            docs = np.bitwise_and(pairs, (np.uint64(1) << low) - np.uint64(1), out=pairs)
             first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), dtype=bool), keys[1:] != keys[:-1])))
             once = np.diff(first, append=len(keys)) == 1
             keys = keys[first]
@@ -318,19 +323,27 @@ def link_texts(
 
 
 def _in_common(row: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    """How many hashes each two of ``size`` sets share, from the (set, hash) pairs of all of them."""
+    """How many hashes each two of ``size`` sets share, from the (set, hash) pairs of all of them, as whole 32-bit floats.
+
+    Beside the result it holds STRIP rows of it and HASHES columns of who has what."""
     keys, times = counted(h)
     keys = keys[times > 1]  # what one set alone has is in no intersection
     at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
     hit = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
     row, at = row[hit], at[hit]
     common = np.zeros((size, size), dtype=np.float32)
-    for s in range(0, len(keys), 4096):
-        part = (at >= s) & (at < s + 4096)
-        has = np.zeros((size, min(4096, len(keys) - s)), dtype=np.float32)
-        has[row[part], at[part] - s] = 1
-        common += has @ has.T
-    return common.astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    strips = [(a, min(a + STRIP, size)) for a in range(0, size, STRIP)]
+    for s in range(0, len(keys), HASHES):
+        i, j = np.searchsorted(at, (s, s + HASHES))
+        has = np.zeros((size, min(HASHES, len(keys) - s)), dtype=np.float32)
+        has[row[i:j], at[i:j] - s] = 1
+        for a, b in strips:
+            common[a:b, a:] += has[a:b] @ has[a:].T
+    for a, b in strips:
+        common[b:, a:b] = common[a:b, b:].T
+    return common
 
 
 def _in_blocks(lists: DataFrame, payload: DataFrame, on: list[str], block: int) -> DataFrame:
@@ -354,12 +367,12 @@ def _compared(lists: DataFrame, prefixed: DataFrame, texts: DataFrame, words: in
     Two documents that share several lists are candidates in the first of these only."""
     near = lists.select("token", "id", "n", "k", "band", "component", F.explode(F.array("band", F.col("band") + 1)).alias("at"))
 
-    def may_meet(table: pa.Table) -> np.ndarray:
-        """Which two rows are of different components, and of different blocks if two blocks meet here."""
+    def may_meet(table: pa.Table, some: slice) -> np.ndarray:
+        """Which two rows, the first one of ``some``, are of different components, and of different blocks if two meet here."""
         groups, mine = (np.asarray(table.column(c)) for c in ("component", "mine"))
-        apart = groups[:, None] != groups[None, :]
+        apart = groups[some, None] != groups[None, :]
         if table.column("low")[0].as_py() != table.column("high")[0].as_py():
-            apart &= mine[:, None] != mine[None, :]
+            apart &= mine[some, None] != mine[None, :]
         return apart
 
     def contend(table: pa.Table) -> pa.Table:
@@ -369,22 +382,24 @@ def _compared(lists: DataFrame, prefixed: DataFrame, texts: DataFrame, words: in
         size = np.asarray(pa.compute.list_value_length(prefix)).astype(np.int64)
         h = np.asarray(prefix.flatten()).view(np.uint64)
         matches = _in_common(np.repeat(np.arange(len(n)), size), h, len(n))
-        fits = (matches >= np.minimum(k[:, None], k[None, :])) & (np.minimum(n[:, None], n[None, :]) * den >= np.maximum(n[:, None], n[None, :]) * num)
-        fits &= (own[:, None] | own[None, :]) & may_meet(table)
         held = table.column("lists").combine_chunks()
         row, token = np.repeat(np.arange(len(n)), np.asarray(pa.compute.list_value_length(held)).astype(np.int64)), np.asarray(held.flatten())
         before = token < table.column("token")[0].as_py()
-        fits &= _in_common(row[before], token[before].view(np.uint64), len(n)) == 0
-        return table.select(["token", "at", "id", "n", "k", "band", "component"]).take(pa.array(np.flatnonzero(fits.any(axis=1))))
+        matches[_in_common(row[before], token[before].view(np.uint64), len(n)) > 0] = 0  # they met in an earlier list; all want a match
+        found = np.zeros(len(n), dtype=bool)
+        for some in (slice(a, a + STRIP) for a in range(0, len(n), STRIP)):
+            fits = (matches[some] >= np.minimum(k[some, None], k[None, :])) & (np.minimum(n[some, None], n[None, :]) * den >= np.maximum(n[some, None], n[None, :]) * num)
+            found[some] = (fits & (own[some, None] | own[None, :]) & may_meet(table, some)).any(axis=1)
+        return table.select(["token", "at", "id", "n", "k", "band", "component"]).take(pa.array(np.flatnonzero(found)))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         groups = np.asarray(table.column("component"))
-        h, starts = shingle_sets(table.column("text").combine_chunks(), words)
-        n = np.diff(starts)
-        shared = _in_common(np.repeat(np.arange(len(n)), n), h, len(n))
+        sets = [shingle_sets(part.column("text"), words) for part in text_slices(iter(table.select(["text"]).to_batches()), "text", 2 << 20)]
+        h, n = (np.concatenate([f(x) for x in sets]) for f in (lambda x: x[0], lambda x: np.diff(x[1])))
+        shared = _in_common(np.repeat(np.arange(len(n)), n), h, len(n)).astype(np.int64)
         linked = den * shared >= num * (n[:, None] + n[None, :] - shared)
-        linked &= (n > 0)[:, None] & (n > 0)[None, :] & may_meet(table)
+        linked &= (n > 0)[:, None] & (n > 0)[None, :] & may_meet(table, slice(None))
         a, b = np.nonzero(linked)
         # a forest over the components met here says as much as all links
         names = np.unique(groups)

@@ -94,6 +94,19 @@ def test_join_of_large_groups(spark, monkeypatch):
     check_join(df, 5, 80, 100)
 
 
+def test_blocks_take_little_more_than_their_result():
+    rng = np.random.default_rng(3)
+    row, h = np.repeat(np.arange(1_500), 40), rng.integers(0, 9_000, 60_000).astype(np.uint64)
+    row, h = np.unique(np.stack((row, h)), axis=1).astype(np.int64)
+    tracemalloc.start()
+    common = jaccard._in_common(row, h.view(np.uint64), 1_500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sets = [set(h[row == i].tolist()) for i in range(1_500)]
+    assert all(common[i, j] == len(sets[i] & sets[j]) for i in range(0, 1_500, 41) for j in range(0, 1_500, 7) if i != j)
+    assert peak < 3 * 4 * 1_500**2  # the result has four bytes a pair
+
+
 def test_words_of_many_texts_take_the_room_of_a_part():
     texts = pa.array(["Ab c", None, "", "x" * 900_000] + [f"word{i} Other{i % 5}  end" for i in range(250_000)] + ["ab C"])
     alone = [word_hashes(pa.array([t]))[0].tolist() for t in ("ab c", "word0 other0 end", "x" * 900_000)]
