@@ -188,6 +188,34 @@ def test_leaves_beyond_the_sample_are_split_further(spark, monkeypatch):
         assert np.percentile(n, 90) < 2 * 64  # twice the aim, at both sizes
 
 
+@pytest.mark.parametrize("part", [8192, 128])
+def test_vectors_are_routed_in_small_batches(spark, monkeypatch, part):
+    """A vector has tens of leaves, more in a larger table, so its copies for them must not be made for thousands of vectors at once."""
+    monkeypatch.setattr(near_vectors, "PART", part, raising=False)
+    monkeypatch.setattr(near_vectors, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2800, 64))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.1, x[:1] + rng.normal(size=(400, 64)) * 0.05]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+
+    def checked(df, function, *more, to=type(spark.range(1)).mapInArrow):
+        def run(batches):
+            for batch in function(batches):
+                assert batch.nbytes < 8 << 20, f"a batch of {batch.nbytes >> 20} MB"
+                yield batch
+
+        return to(df, run, *more)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", checked)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.link_vectors(df).collect()}
+    want = least([(int(a), int(b)) for a, b in zip(*np.nonzero(near))], range(len(x)))
+    assert all(got[i][0] <= near[i].sum() for i in range(len(x))) and sum(n for n, _ in got.values()) >= 0.97 * near.sum()
+    assert np.mean([got[i][1] == want[i] for i in range(len(x))]) >= 0.97
+
+
 def test_vectors_that_share_an_id(spark):
     x = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0]}
     table = [(1, x["a"]), (1, x["b"]), (2, [1.0, 0.01, 0.0]), (3, [0.01, 1.0, 0.0]), (4, [0.0, 1.0, 0.01])]
