@@ -112,7 +112,7 @@ def word_blocks(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 made += 1
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return settled(df.select(lang.alias("lang"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, BLOCKS))
+    return settled(df.select(lang.alias("lang"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, BLOCKS), large_rows=True)
 
 
 def frequent_words(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
@@ -155,7 +155,7 @@ def frequent_words(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
         groups = {"id": ids, "lang": langs.dictionary.take(pa.array(lang_of[frequent])), "phrase": words.dictionary.take(pa.array(word_of[frequent])), "n": sums[frequent]}
         return _told(rows + totals, groups)
 
-    return settled(blocks.select("block", "lang", "words", "n").mapInArrow(deal, WORD_PARTS).groupBy("bucket").applyInArrow(count, COUNTED))
+    return settled(blocks.select("block", "lang", "words", "n").mapInArrow(deal, WORD_PARTS).groupBy("bucket").applyInArrow(count, COUNTED), large_rows=True)
 
 
 def _joined(relation: DataFrame, told: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def word_relation(blocks: DataFrame, told: DataFrame) -> DataFrame:
                 kept = found >= 0
                 yield _relation_row(row, undeltas(row.column("places")[0].as_py(), "u4")[kept], found[kept])
 
-    return settled(_joined(blocks, told).mapInArrow(run, RELATION))
+    return settled(_joined(blocks, told).mapInArrow(run, RELATION), large_rows=True)
 
 
 def _relation_row(row: pa.RecordBatch, places: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def frequent_pairs(relation: DataFrame, least: int, buckets: int) -> DataFrame:
                     rows.append({"kind": "answer", "block": block, "at": deltas(own[held]), "ids": planes(ids[at[held]].astype(np.uint32))})
         return _told(rows, {"id": ids, "a": (named >> np.uint64(32)).astype(np.int64), "b": (named & np.uint64(0xFFFFFFFF)).astype(np.int64), "n": sums[frequent]})
 
-    return settled(relation.mapInArrow(deal, PAIR_PARTS).groupBy("bucket").applyInArrow(count, COUNTED))
+    return settled(relation.mapInArrow(deal, PAIR_PARTS).groupBy("bucket").applyInArrow(count, COUNTED), large_rows=True)
 
 
 def longer_relation(relation: DataFrame, told: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def longer_relation(relation: DataFrame, told: DataFrame) -> DataFrame:
                 kept = keys[at] == pairs
                 yield _relation_row(row, places[kept], ids[at[kept]])
 
-    return settled(_joined(relation, told).mapInArrow(run, RELATION))
+    return settled(_joined(relation, told).mapInArrow(run, RELATION), large_rows=True)
 
 
 def frequent_phrases(df: DataFrame, least: int, longest: int, lang_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame], int]:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row group in a table of large rows, and of a batch of these that goes to Python.
+ROW_GROUP, BATCH = 16 << 20, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,13 +63,33 @@ def forget_settled(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: work done once, lineage cut, no loss with an executor."""
+def settled(df: DataFrame, large_rows: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: work done once, lineage cut, no loss with an executor.
+
+    A writer first looks at the size of a row group after 100 rows, and 64 MB of rows go to Python at a time. With ``large_rows``,
+    of megabytes each, the writer looks after every row, so that neither it nor a reader holds more than ROW_GROUP bytes and a row,
+    and so does what goes to Python.
+    """
     path = f"{_settled_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1} if large_rows else {}
+    with _small_batches(df.sparkSession) if large_rows else nullcontext():
+        df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, rows go to Python in batches of BATCH bytes, or fewer if the session says so."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(name, str(min(size, BATCH) if size > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most_bytes`` in each; one longer text stays whole in its own slice."""
     for batch in batches:

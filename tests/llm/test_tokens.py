@@ -197,3 +197,23 @@ def test_collocations_match_a_plain_count(spark, monkeypatch, block, bucket):
         assert sorted(tuple(r) for r in got.collect()) == sorted(plainly_mined(texts, least, top))
     assert collocations.collocations(df.where("false")).count() == 0
     assert collocations.collocations(df, least=10**6).count() == 0
+
+
+def test_blocks_are_written_in_small_row_groups(spark, monkeypatch):
+    """A writer that first looks after 100 rows would hold as many blocks, of megabytes each, at once."""
+    import pyarrow.parquet as pq
+
+    from loomwork.llm import common
+
+    monkeypatch.setattr(collocations, "BLOCK", 100_000)
+    monkeypatch.setattr(common, "ROW_GROUP", 1 << 20, raising=False)
+    rng = random.Random(5)
+    texts = [("x", " ".join(f"w{rng.randrange(10**6)}" for _ in range(13_000))) for _ in range(60)]
+    df = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    blocks = collocations.word_blocks(df, "lang", "text")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert blocks.count() >= 50 and sum(groups) > 8 << 20 and max(groups) < 3 << 20
+    assert spark.conf.get(name) == before
